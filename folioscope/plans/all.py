@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from folioscope.plans import finance_queries, link_queries  # noqa: F401
+from folioscope.plans import finance_queries, link_queries, reconcile_queries  # noqa: F401
 from folioscope.plans.registry import QUERIES, SQL  # noqa: F401

@@ -93,6 +93,7 @@ TABLES = {
         parsed_item_count + batch_id % 3 - 1 AS snapshot_total,
         created_at + to_days((batch_id % 40)::INT) AS snapshot_verified_at, 'snap-' || (batch_id % 7) AS snapshot_sha256
         FROM batches, (SELECT unnest([0, 1]) AS attempt) WHERE attempt = 0 OR state = 'needs_review'""",
+    "first_runs": "SELECT * FROM runs WHERE run_id = batch_id * 2",
     "items": f"""SELECT {_ITEM} AS item_id, l_orderkey AS batch_id, l_orderkey * 2 AS run_id, l_linenumber::BIGINT AS ordinal,
         CASE WHEN l_returnflag IN ('N', 'A') THEN 'matched' WHEN l_linestatus = 'F' THEN 'ambiguous'
           WHEN l_quantity = 50 THEN 'invalid_identifier' ELSE 'unmatched' END AS status,
