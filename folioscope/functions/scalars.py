@@ -1,16 +1,19 @@
 """Column expressions for strict normalisation of source values.
 
-Raw values arrive as VARIANT, so the JSON type is still known. Every reader has a
-``*_error`` twin that returns a code when the value breaks the contract and null otherwise.
+Records arrive as VARIANT, so the JSON type of each value is still known; :func:`open_record`
+turns it into a :class:`Raw` pair. Every reader of such a pair has a ``*_error`` twin that returns
+a code when the value breaks the contract and null otherwise.
 """
 
 from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Sequence
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Business zone, case-number shape, money scale.
@@ -29,64 +32,120 @@ def field(record: Column | str, path: str) -> Column:
     return F.try_variant_get(record if isinstance(record, Column) else F.col(record), f"$.{path}", "variant")
 
 
-def json_kind(value: Column) -> Column:
-    """absent, boolean, integer, number, string, object or array."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull() | kind.isNull() | (kind == "VOID"), "absent")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind == "BIGINT", "integer")
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "number")
-        .when(kind == "STRING", "string")
-        .when(kind.startswith("ARRAY"), "array")
-        .otherwise("object")
+def codes(*candidates: Column) -> Column:
+    """Array of the non-null codes; built from text, which stays inside generated code."""
+    joined = F.concat_ws(",", *candidates)
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, ","))
+
+
+class Raw(NamedTuple):
+    """A source value: the first character of its JSON form, which tells the type, and its text."""
+
+    mark: Column
+    text: Column
+
+    def absent(self) -> Column:
+        return F.coalesce(self.mark == ord("n"), F.lit(True))
+
+    def is_string(self) -> Column:
+        return F.coalesce(self.mark == ord('"'), F.lit(False))
+
+    def is_boolean(self) -> Column:
+        return F.coalesce(self.mark.isin(ord("t"), ord("f")), F.lit(False))
+
+    def is_number(self) -> Column:
+        digit_or_minus = self.mark.between(ord("0"), ord("9")) | (self.mark == ord("-"))
+        return F.coalesce(digit_or_minus, F.lit(False))
+
+    def integer(self) -> Column:
+        """The value of a whole JSON number; 1.0 and 1e3 are not whole by form."""
+        return F.when(self.is_number(), self.text.try_cast("bigint"))
+
+
+def _plain_text(form: Column, record: Column, path: str) -> Column:
+    """Text of a value: strings lose their quotes, and only escaped ones are looked up again."""
+    quoted = F.ascii(form) == ord('"')
+    bare = F.substring(form, F.lit(2), F.length(form) - 2)
+    escaped = F.try_variant_get(record, f"$.{path}", "string")
+    return F.when(~quoted, form).when(F.instr(form, "\\") == 0, bare).otherwise(escaped)
+
+
+def open_record(df: DataFrame, names: Sequence[str], record: str = "record", extra: Sequence[Column] = ()) -> DataFrame:
+    """Replaces a VARIANT record by ``_<name>_mark`` and ``_<name>_text`` columns.
+
+    The two steps stay apart in the plan, so every attribute is looked up once per row however
+    often the normalising expressions use it.
+    """
+    kept = [c for c in df.columns if c != record]
+    forms = [F.to_json(field(record, n)).alias(f"_{n}_form") for n in names]
+    looked_up = df.select(*kept, record, *forms, *extra)
+    marks = {f"_{n}_mark": F.ascii(f"_{n}_form") for n in names}
+    texts = {f"_{n}_text": _plain_text(F.col(f"_{n}_form"), F.col(record), n) for n in names}
+    return looked_up.withColumns(marks | texts).drop(record, *[f"_{n}_form" for n in names])
+
+
+def opened(name: str) -> Raw:
+    """The value of an attribute that :func:`open_record` has looked up."""
+    return Raw(F.col(f"_{name}_mark"), F.col(f"_{name}_text"))
+
+
+def open_list(entries: Column, names: Sequence[str]) -> Column:
+    """Opens every entry of a VARIANT array: struct(is_object, <name> struct(mark, text), ...)."""
+    looked_up = F.transform(
+        entries,
+        lambda r: F.struct(
+            is_object(r).alias("is_object"),
+            *[F.to_json(field(r, n)).alias(f"{n}_form") for n in names],
+            *[F.try_variant_get(r, f"$.{n}", "string").alias(f"{n}_text") for n in names],
+        ),
+    )
+    return F.transform(
+        looked_up,
+        lambda e: F.struct(
+            e["is_object"].alias("is_object"),
+            *[F.struct(F.ascii(e[f"{n}_form"]).alias("mark"), e[f"{n}_text"].alias("text")).alias(n) for n in names],
+        ),
     )
 
 
-def _string(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def entry_value(entry: Column, name: str) -> Raw:
+    return Raw(entry[name]["mark"], entry[name]["text"])
+
 
+def is_object(value: Column) -> Column:
+    """Is a VARIANT a JSON object?"""
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
-def _is_blank(value: Column) -> Column:
+
+def _is_blank(value: Raw) -> Column:
     """Missing, null or the empty string."""
-    kind = json_kind(value)
-    return (kind == "absent") | ((kind == "string") & (_string(value) == ""))
+    return value.absent() | (value.is_string() & (value.text == ""))
 
 
-def _is_no_id(value: Column) -> Column:
+def _is_no_id(value: Raw) -> Column:
     """Values that mean "no identifier": blank, zero and false."""
-    kind = json_kind(value)
-    number = F.try_variant_get(value, "$", "decimal(38,6)")
-    flag = F.try_variant_get(value, "$", "boolean")
-    return (
-        _is_blank(value)
-        | (kind.isin("integer", "number") & (number == 0))
-        | ((kind == "boolean") & ~flag)
-    )
+    zero = value.is_number() & F.coalesce(value.text.try_cast("decimal(38,6)") == 0, F.lit(False))
+    return _is_blank(value) | zero | (value.is_boolean() & (value.text == "false"))
 
 
-def positive_id(value: Column) -> Column:
+def positive_id(value: Raw) -> Column:
     """Identifier as bigint; null when absent or malformed."""
-    number = F.try_variant_get(value, "$", "bigint")
-    return F.when((json_kind(value) == "integer") & (number > 0), number)
+    return F.when(value.integer() > 0, value.integer())
 
 
-def positive_id_error(value: Column, name: str, required: bool = False) -> Column:
+def positive_id_error(value: Raw, name: str, required: bool = False) -> Column:
     missing = F.lit(f"{name}_missing") if required else F.lit(None).cast("string")
-    number = F.try_variant_get(value, "$", "bigint")
-    return (
-        F.when(_is_no_id(value), missing)
-        .when((json_kind(value) != "integer") | number.isNull() | (number < 0), F.lit(f"{name}_invalid"))
-    )
+    fine = positive_id(value).isNotNull()
+    return F.when(~fine & _is_no_id(value), missing).when(~fine, F.lit(f"{name}_invalid"))
 
 
-def text_or_null(value: Column) -> Column:
+def text_or_null(value: Raw) -> Column:
     """Text as given (no trimming); the empty string means absent."""
-    return F.when(json_kind(value) == "string", F.nullif(_string(value), F.lit("")))
+    return F.when(value.is_string() & (value.text != ""), value.text)
 
 
-def text_error(value: Column, name: str) -> Column:
-    return F.when(~json_kind(value).isin("absent", "string"), F.lit(f"{name}_invalid"))
+def text_error(value: Raw, name: str) -> Column:
+    return F.when(~value.absent() & ~value.is_string(), F.lit(f"{name}_invalid"))
 
 
 def collapse(text: Column) -> Column:
@@ -99,37 +158,32 @@ def short(text: Column, limit: int = 250) -> Column:
     return F.substring(collapse(text), 1, limit)
 
 
-def short_text(value: Column, limit: int = 250) -> Column:
+def short_text(value: Raw, limit: int = 250) -> Column:
     return short(text_or_null(value), limit)
 
 
-def money(value: Column) -> Column:
+def money(value: Raw) -> Column:
     """Exact decimal from a JSON number; strings and booleans are not money."""
-    return F.when(
-        json_kind(value).isin("integer", "number"), F.try_variant_get(value, "$", MONEY_TYPE)
-    )
+    return F.when(value.is_number(), value.text.try_cast(MONEY_TYPE))
 
 
-def money_error(value: Column, name: str, blank_ok: bool = True) -> Column:
-    kind = json_kind(value)
-    fine = _is_blank(value) if blank_ok else (kind == "absent")
-    too_big = kind.isin("integer", "number") & F.try_variant_get(value, "$", MONEY_TYPE).isNull()
-    return F.when(~fine & (~kind.isin("integer", "number") | too_big), F.lit(f"{name}_invalid"))
+def money_error(value: Raw, name: str, blank_ok: bool = True) -> Column:
+    fine = _is_blank(value) if blank_ok else value.absent()
+    return F.when(~fine & money(value).isNull(), F.lit(f"{name}_invalid"))
 
 
 def iso_date_text(text: Column) -> Column:
     """The first ten characters as an ISO day."""
     day = F.substring(text, 1, 10)
-    return F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(day, "yyyy-MM-dd")).when(
-        day.rlike(r"^\d{8}$"), F.try_to_date(day, "yyyyMMdd")
-    )
+    dashed = (F.length(day) == 10) & day.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return F.when(dashed, day.try_cast("date")).when(day.rlike(r"^\d{8}$"), F.try_to_date(day, "yyyyMMdd"))
 
 
-def iso_date(value: Column) -> Column:
-    return F.when(json_kind(value) == "string", iso_date_text(_string(value)))
+def iso_date(value: Raw) -> Column:
+    return F.when(value.is_string(), iso_date_text(value.text))
 
 
-def iso_date_error(value: Column, name: str) -> Column:
+def iso_date_error(value: Raw, name: str) -> Column:
     return F.when(~_is_blank(value) & iso_date(value).isNull(), F.lit(f"{name}_invalid"))
 
 
@@ -142,27 +196,27 @@ def iso_timestamp_text(text: Column, zone: str = BUSINESS_ZONE) -> Column:
     return F.when(plain.rlike(_ISO_MOMENT), full.try_cast("timestamp"))
 
 
-def iso_timestamp(value: Column, zone: str = BUSINESS_ZONE) -> Column:
-    return F.when(json_kind(value) == "string", iso_timestamp_text(_string(value), zone))
+def iso_timestamp(value: Raw, zone: str = BUSINESS_ZONE) -> Column:
+    return F.when(value.is_string(), iso_timestamp_text(value.text, zone))
 
 
-def iso_timestamp_error(value: Column, name: str, required: bool = False) -> Column:
+def iso_timestamp_error(value: Raw, name: str, required: bool = False) -> Column:
     missing = F.lit(f"{name}_missing") if required else F.lit(None).cast("string")
     return F.when(_is_blank(value), missing).when(iso_timestamp(value).isNull(), F.lit(f"{name}_invalid"))
 
 
-def flag(value: Column) -> Column:
-    return F.when(json_kind(value) == "boolean", F.try_variant_get(value, "$", "boolean"))
+def flag(value: Raw) -> Column:
+    return F.when(value.is_boolean(), value.text == "true")
 
 
-def flag_error(value: Column, name: str) -> Column:
-    return F.when(~json_kind(value).isin("absent", "boolean"), F.lit(f"{name}_invalid"))
+def flag_error(value: Raw, name: str) -> Column:
+    return F.when(~value.absent() & ~value.is_boolean(), F.lit(f"{name}_invalid"))
 
 
-def technical_id(value: Column) -> Column:
+def technical_id(value: Raw) -> Column:
     """An integer or a non-blank string, as text."""
-    return F.when(json_kind(value) == "integer", _string(value)).when(
-        json_kind(value) == "string", F.nullif(edge_trim(_string(value)), F.lit(""))
+    return F.when(value.integer().isNotNull(), value.text).when(
+        value.is_string(), F.nullif(edge_trim(value.text), F.lit(""))
     )
 
 

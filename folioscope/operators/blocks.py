@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.scalars import case_number, folder_key
+from folioscope.functions.scalars import case_number, codes, folder_key
 from folioscope.operators.spread import positions
 
 # Layout of the manifest pages.
@@ -96,12 +96,10 @@ def extract_blocks(chunks: DataFrame) -> DataFrame:
     )
 
     number = case_number(F.nullif(F.regexp_extract("text", NUMBER_TEXT, 1), F.lit("")))
-    flags = F.array_compact(
-        F.array(
-            F.when(F.col("folder").isNull(), F.lit("incomplete_block")),
-            F.when(F.col("number").isNull() & F.col("text").rlike(r"\d"), F.lit("invalid_identifier")),
-            F.when(F.col("number").isNull() & F.col("folder").isNull(), F.lit("missing_identifier")),
-        )
+    flags = codes(
+        F.when(F.col("folder").isNull(), "incomplete_block"),
+        F.when(F.col("number").isNull() & F.col("text").rlike(r"\d"), "invalid_identifier"),
+        F.when(F.col("number").isNull() & F.col("folder").isNull(), "missing_identifier"),
     )
     items = positions(
         anchors.join(folders, [*page, "y"]).withColumn("number", number).withColumn("quality_flags", flags),

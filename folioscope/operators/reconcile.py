@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.scalars import case_number, folder_key, local_day
+from folioscope.functions.scalars import case_number, codes, folder_key, local_day
 from folioscope.operators.latest import ACTIVE, latest_decision, latest_run
 from folioscope.operators.spread import group_sizes, multiset_digest, own_key, repeated_keys
 
@@ -242,11 +242,9 @@ def flag_manifest(items: DataFrame) -> DataFrame:
         "_key", own_key(F.coalesce("number", "folder"), F.col("item_id"))
     )
     first = keyed.groupBy("doc_id", "_kind", "_key").agg(F.min("ordinal").alias("_first"))
-    extra = F.array_compact(
-        F.array(
-            F.when(F.col("ordinal") > F.col("_first"), F.lit("duplicate_source")),
-            F.when(F.col("page_end") > F.col("page_start"), F.lit(HARMLESS_FLAG)),
-        )
+    extra = codes(
+        F.when(F.col("ordinal") > F.col("_first"), "duplicate_source"),
+        F.when(F.col("page_end") > F.col("page_start"), HARMLESS_FLAG),
     )
     return (
         keyed.join(first, ["doc_id", "_kind", "_key"])

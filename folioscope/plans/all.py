@@ -1,4 +1,12 @@
 """Imports every query module, so that the registry is complete."""
 
-from folioscope.plans import finance_queries, link_queries, reconcile_queries  # noqa: F401
+from folioscope.plans import (  # noqa: F401
+    coverage_queries,
+    finance_queries,
+    ingest_queries,
+    latest_queries,
+    link_queries,
+    reconcile_queries,
+    status_queries,
+)
 from folioscope.plans.registry import QUERIES, SQL  # noqa: F401
