@@ -1,7 +1,7 @@
 """The model tables of ``sources/sample.py`` stated once more in plain SQL, for the SQL twins."""
 
 _ITEM = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
-_HASH_ID = f"('0x' || substr(sha256({_ITEM}), 1, 15))::BIGINT"
+_HASH_ID = f"('0x' || substr(sha256({_ITEM} || '-' || CAST(l_extendedprice AS DECIMAL(18,2))), 1, 15))::BIGINT"
 _MASK = (
     r"regexp_replace(lpad(o_orderkey::VARCHAR, 20, '0'), "
     r"'^([0-9]{7})([0-9]{2})([0-9]{4})([0-9])([0-9]{2})([0-9]{4})$', '\1-\2.\3.\4.\5.\6')"

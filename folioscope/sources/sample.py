@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from folioscope.sources.tables import read_table
 
 _HASH_ID = (
-    "cast(conv(substring(sha2(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey), 256), 1, 15), 16, 10)"
-    " as bigint)"
+    "cast(conv(substring(sha2(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
+    " cast(l_extendedprice as decimal(18,2))), 256), 1, 15), 16, 10) as bigint)"
 )
 _ITEM_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
