@@ -506,7 +506,7 @@ def n17(m):
     "n18_formats",
     "entry_id l, money s, percent s, day s, number s",
     r"""SELECT entry_id, CASE WHEN amount < 0 THEN '-' ELSE '' END || 'R$ ' || translate(format('{:,.2f}', abs(amount)), ',.', '.,') AS money,
-        replace(regexp_replace(CAST(amount / 1000 AS DECIMAL(18,2))::VARCHAR, '\.?0+$', ''), '.', ',') || '%' AS percent,
+        replace(regexp_replace(CAST(round(CAST(amount AS DECIMAL(30,5)) * 0.001, 2) AS DECIMAL(18,2))::VARCHAR, '\.?0+$', ''), '.', ',') || '%' AS percent,
         coalesce(strftime(date_payment, '%d/%m/%Y'), '—') AS day,
         regexp_replace(lpad(case_id::VARCHAR, 20, '0'), '^([0-9]{7})([0-9]{2})([0-9]{4})([0-9])([0-9]{2})([0-9]{4})$', '\1-\2.\3.\4.\5.\6') AS number
         FROM (SELECT * REPLACE (CASE WHEN entry_type = 'expense' THEN -amount ELSE amount END AS amount) FROM transactions)
@@ -597,7 +597,7 @@ def n23(m):
     "n24_parse_percent",
     "entry_id l, percent m",
     """SELECT entry_id, CASE WHEN v BETWEEN 0 AND 100 THEN CAST(round_even(v, 2) AS DECIMAL(5,2)) END AS percent FROM (SELECT entry_id,
-       CAST(amount / 500 AS DECIMAL(18,3)) * CASE WHEN entry_type = 'expense' THEN -1 ELSE 1 END AS v FROM transactions WHERE amount IS NOT NULL)""",
+       CAST(round(CAST(amount AS DECIMAL(30,5)) * 0.002, 3) AS DECIMAL(18,3)) * CASE WHEN entry_type = 'expense' THEN -1 ELSE 1 END AS v FROM transactions WHERE amount IS NOT NULL)""",
 )
 def n24(m):
     """Amounts written as percent texts with a comma and three places."""

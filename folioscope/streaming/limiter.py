@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Length of a window and failures that limit a key.
 WINDOW_SECONDS = 15 * 60
@@ -76,41 +76,30 @@ def limiter(events: DataFrame) -> DataFrame:
 
 
 def stream_limiter(stream: DataFrame) -> DataFrame:
-    """Streaming form with one small state per key and a timer that forgets idle keys.
+    """Streaming form; the state of a key is the start of its open window and the failures in it.
 
-    Needs the RocksDB state store provider.
+    Rows of a key reach the function as a sequence of Arrow batches and a success removes the state.
     """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    class WindowState(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            schema = T.StructType([T.StructField("start", T.LongType()), T.StructField("failures", T.IntegerType())])
-            self.state = handle.getValueState("window", schema, ttlDurationMs=WINDOW_SECONDS * 1000)
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            current = self.state.get()
-            start, failures = (current[0], current[1]) if current else (None, 0)
-            found = pd.concat(list(rows)).sort_values(["at", "event_id"])
-            out = []
-            for row in found.itertuples():
-                at = row.at.value // 1000
-                if row.success:
-                    start, failures = None, 0
-                    continue
-                if start is None or at - start >= WINDOW_SECONDS * _MICROS:
-                    start, failures = at, 1
-                else:
-                    failures += 1
-                out.append((key[0], row.at, row.event_id, pd.Timestamp(start * 1000), failures, failures >= LIMIT))
-            if start is None:
-                self.state.clear()
+    def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, failures = state.get if state.exists else (None, 0)
+        found = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        out = []
+        for at, event_id, success in zip(found["at"], found["event_id"], found["success"]):
+            micros = at.value // 1000
+            if success:
+                start, failures = None, 0
+                continue
+            if start is None or micros - start >= WINDOW_SECONDS * _MICROS:
+                start, failures = micros, 1
             else:
-                self.state.update((start, failures))
-            yield pd.DataFrame(out, columns=["key", "at", "event_id", "window_start", "failures", "limited"])
-
-        def close(self) -> None:
-            pass
-
-    return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=WindowState(), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime"
+                failures += 1
+            out.append((key[0], at, event_id, pd.Timestamp(start * 1000), failures, failures >= LIMIT))
+        if start is None:
+            state.remove()
+        else:
+            state.update((start, failures))
+        yield pd.DataFrame(out, columns=["key", "at", "event_id", "window_start", "failures", "limited"])
+
+    return stream.groupBy("key").applyInPandasWithState(
+        advance, OUTPUT, "start bigint, failures int", "append", GroupStateTimeout.NoTimeout
     )
