@@ -27,6 +27,7 @@ VALUE_X = (122, 160)
 VALUE_DY = 3
 
 BAND = 256
+PAGE_SLICE = 65536
 
 
 def _band(y: Column) -> Column:
@@ -107,24 +108,35 @@ def extract_blocks(chunks: DataFrame) -> DataFrame:
         "chunk_id",
         "ordinal",
         [("page",), ("y",)],
+        id_levels=1,
     )
-    last_on_page = items.groupBy("doc_id", "page").agg(F.max("ordinal").alias("_last"))
+    is_last = F.struct("y", "chunk_id") == F.col("_last")
     return (
-        items.join(_page_ends(chunks, last_on_page), ["doc_id", "page"])
-        .withColumn("page_end", F.when(F.col("ordinal") == F.col("_last"), F.col("_page_end")).otherwise(F.col("page")))
+        items.join(_page_ends(chunks, anchors), ["doc_id", "page"])
+        .withColumn("page_end", F.when(is_last, F.col("_page_end")).otherwise(F.col("page")))
         .select("doc_id", "ordinal", "number", "folder", F.col("page").alias("page_start"), "page_end", "quality_flags")
     )
 
 
-def _page_ends(chunks: DataFrame, anchored: DataFrame) -> DataFrame:
-    """Per anchored page the last page before the next anchored one."""
-    numbered = positions(anchored, ["doc_id"], "page", "_n")
-    following = numbered.select("doc_id", (F.col("_n") - 1).alias("_n"), (F.col("page") - 1).alias("_before_next"))
+def _page_ends(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Per anchored page its last anchor and the last page before the next anchored one.
+
+    The next anchored page is looked up inside a slice of pages, then in the next slice that has
+    any, so a document with very many pages is not one window.
+    """
+    pages = anchors.groupBy("doc_id", "page").agg(F.max(F.struct("y", "chunk_id")).alias("_last"))
+    sliced = pages.withColumn("_slice", F.floor(F.col("page") / PAGE_SLICE))
+    slices = sliced.groupBy("doc_id", "_slice").agg(F.min("page").alias("_first"))
+    next_slice = F.lead("_first").over(Window.partitionBy("doc_id").orderBy("_slice"))
+    next_page = F.lead("page").over(Window.partitionBy("doc_id", "_slice").orderBy("page"))
     last_page = chunks.groupBy("doc_id").agg(F.max("page").alias("_last_page"))
     return (
-        numbered.join(following, ["doc_id", "_n"], "left")
+        sliced.withColumn("_next", next_page)
+        .join(slices.withColumn("_next_slice", next_slice).drop("_first"), ["doc_id", "_slice"])
         .join(last_page, "doc_id")
-        .select("doc_id", "page", "_last", F.coalesce("_before_next", "_last_page").alias("_page_end"))
+        .select(
+            "doc_id", "page", "_last", F.coalesce(F.coalesce("_next", "_next_slice") - 1, "_last_page").alias("_page_end")
+        )
     )
 
 

@@ -57,15 +57,18 @@ def positions(
     id_col: str,
     name: str,
     before_id: Sequence[tuple[str, ...]] = (),
+    id_levels: int = 2,
 ) -> DataFrame:
     """1-based position of each row in its ``by`` group, ordered by ``before_id`` then ``id_col``.
 
     ``id_col`` is a unique non-negative bigint inside the group. ``before_id`` lists columns of
     bounded cardinality (a day, a kind); each tuple is one level of the order. The group is cut
     into slices along the levels and the digits of the id; slice sizes are summed level by level
-    and only a slice is sorted in one task.
+    and only a slice is sorted in one task. Where the levels alone leave small groups, fewer
+    ``id_levels`` save shuffles.
     """
-    digits = {f"_d{i}": c for i, c in enumerate(id_digits(id_col))}
+    slices = id_digits(id_col) if id_levels == 2 else [F.shiftright(F.col(id_col), _DIGIT)]
+    digits = {f"_d{i}": c for i, c in enumerate(slices)}
     sliced = df.withColumns(digits)
     levels = [tuple(level) for level in before_id] + [(d,) for d in digits]
     slice_keys = [c for level in levels for c in level]

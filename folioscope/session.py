@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Generated methods above this size are not compiled by the JVM; wide projections then run
+    # faster as several small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
