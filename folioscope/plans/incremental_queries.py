@@ -107,7 +107,7 @@ TRANSACTION_STATE_SQL = """SELECT entry_id, now_case AS case_id, CASE WHEN entry
          FROM transactions)"""
 
 
-@query("i3_upsert_transactions", "entry_id l, case_id l, action s", TRANSACTION_STATE_SQL)
+@query("i3_upsert_transactions", "entry_id l, case_id n, action s", TRANSACTION_STATE_SQL)
 def i3(m):
     return _transaction_parts(m)["transactions"]
 

@@ -213,7 +213,7 @@ def s5(m):
 
 @query(
     "s6_synthetic_portfolios",
-    "partner_id l, case_id l, customer_id l, movement_age l",
+    "partner_id l, case_id l, customer_id l, movement_age n",
     """SELECT partner_id, partner_id * 1000 + i AS case_id, partner_id * 1000 + i % people AS customer_id,
          CASE WHEN i % 7 <> 0 THEN i % 19 + 1 END AS movement_age
        FROM (SELECT partner_id, CASE status WHEN 'inactive' THEN 0 ELSE CASE WHEN pilot_enabled THEN 55 ELSE 1 END END AS n,
@@ -260,7 +260,7 @@ def s9(m):
 
 @query(
     "n1_positive_id",
-    "seq l, stage_id l, responsible_id l, error s",
+    "seq l, stage_id n, responsible_id n, error s",
     f"""SELECT seq, {id_value('stages_id')} AS stage_id, {id_value('responsible_id')} AS responsible_id,
         {id_error('stages_id', True)} AS error FROM raw_cases""",
 )
@@ -340,7 +340,7 @@ CUSTOMER_ERRORS = ", ".join(
 
 @query(
     "n7_normalize_customers",
-    "seq l, external_id l, name s, origin s, source_created_at t, errors s",
+    "seq l, external_id n, name s, origin s, source_created_at t, errors s",
     f"""SELECT seq, {id_value('id')} AS external_id, {text_value('name')} AS name, {text_value('origin')} AS origin,
         {moment_value('created_at')} AS source_created_at, concat_ws(',', {CUSTOMER_ERRORS}) AS errors FROM raw_customers""",
 )
@@ -358,7 +358,7 @@ CASE_ERRORS = ", ".join(
 
 @query(
     "n8_normalize_cases",
-    "seq l, external_id l, folder s, stage_id l, responsible_id l, process_date d, step_label s, fees_expected m, customers s, names s, errors s",
+    "seq l, external_id l, folder s, stage_id n, responsible_id n, process_date d, step_label s, fees_expected m, customers s, names s, errors s",
     f"""SELECT seq, {id_value('id')} AS external_id, {text_value('folder')} AS folder, {id_value('stages_id')} AS stage_id,
         {id_value('responsible_id')} AS responsible_id, {date_value('process_date')} AS process_date, 'Em andamento' AS step_label,
         {money_value('fees_expec')} AS fees_expected,
@@ -393,7 +393,7 @@ TRANSACTION_ERRORS = ", ".join(
 
 @query(
     "n9_normalize_transactions",
-    "seq l, external_id l, case_external_id l, amount m, amount_status s, date_due d, date_payment d, errors s",
+    "seq l, external_id l, case_external_id n, amount m, amount_status s, date_due d, date_payment d, errors s",
     f"""SELECT seq, {id_value('id')} AS external_id, {id_value('lawsuit_id')} AS case_external_id, {money_value('amount')} AS amount,
         CASE WHEN {money_value('amount')} IS NULL THEN 'not_provided' ELSE 'available' END AS amount_status,
         {date_value('date_due')} AS date_due, {date_value('date_payment')} AS date_payment,
@@ -410,7 +410,7 @@ FINGERPRINT = f"""sha256(concat('["', {id_value('lawsuit_id')}, '","', strftime(
 
 @query(
     "n10_normalize_movements",
-    "seq l, case_external_id l, occurred_at t, title s, fingerprint s, errors s",
+    "seq l, case_external_id n, occurred_at t, title s, fingerprint s, errors s",
     f"""SELECT * REPLACE (CASE WHEN errors = '' THEN fingerprint END AS fingerprint) FROM (SELECT seq, {id_value('lawsuit_id')} AS case_external_id,
         {moment_value('date')} AS occurred_at, {text_value('title')} AS title, {FINGERPRINT} AS fingerprint,
         concat_ws(',', {MOVEMENT_ERRORS}) AS errors FROM raw_movements)""",

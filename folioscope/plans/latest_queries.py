@@ -35,7 +35,7 @@ def w2(m):
 
 @query(
     "w3_latest_decision",
-    "item_id s, review_id s, decision s, after_id l",
+    "item_id s, review_id s, decision s, after_id n",
     """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY review_revision DESC, review_id DESC) AS rn
        FROM reviews) WHERE rn = 1""",
 )
@@ -156,7 +156,7 @@ def w12(m):
 
 @query(
     "w13_work_queue",
-    "batch_id l, lane s, step s, open_items l",
+    "batch_id l, lane s, step s, open_items n",
     """SELECT batch_id, CASE WHEN step IN ('checking', 'generating') THEN 'in_progress' ELSE 'attention' END AS lane, step,
          CASE WHEN step = 'corrections_open' THEN open_items END AS open_items FROM (SELECT b.*,
          coalesce(r.open_items, parsed_item_count) AS open_items,

@@ -92,7 +92,7 @@ def l5_source(m):
 
 @query(
     "l6_technical_gate",
-    "partner_id l, status s, eligible_cases l, reason s",
+    "partner_id l, status s, eligible_cases n, reason s",
     f"""SELECT partner_id, CASE WHEN ready THEN 'available' ELSE 'pending_validation' END AS status,
         CASE WHEN ready THEN eligible_cases END AS eligible_cases,
         CASE WHEN NOT ready THEN 'linkage_not_approved_or_conflict' END AS reason
@@ -166,7 +166,7 @@ def l9(m):
 
 @query(
     "l10_preview_alerts",
-    "partner_id l, code s, count l",
+    "partner_id l, code s, count n",
     f"""SELECT partner_id, 'missing_movement' AS code, missing_movements AS count FROM ({QUALITY_SQL}) WHERE missing_movements > 0
         UNION ALL SELECT partner_id, 'missing_customer_reference', missing_customer_references FROM ({QUALITY_SQL})
           WHERE missing_customer_references > 0

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import blocks, reconcile
 from folioscope.plans.registry import query
 
-_ITEM_SHAPE = "item_id l, status s, method s, matched_id l, reason_code s"
+_ITEM_SHAPE = "item_id l, status s, method s, matched_id n, reason_code s"
 
 
 def reconcile_sql(scope: str) -> str:
@@ -116,7 +116,7 @@ def r4(m):
 
 @query(
     "r5_proposals",
-    "item_id s, status s, method s, matched_id l, evidence s, proposed_from d, proposed_to d",
+    "item_id s, status s, method s, matched_id n, evidence s, proposed_from d, proposed_to d",
     """SELECT item_id, status, method, matched_id, CASE WHEN status = 'matched' THEN
          sha256(concat_ws(':', batch_id, parser_version, 'snap', item_id, matched_id, method)) END AS evidence,
          CASE WHEN status = 'matched' THEN period_start END AS proposed_from,
@@ -282,7 +282,7 @@ def _resolved(m):
     return reconcile.resolve_for_approval(m.items(), m.reviews(), m.targets(), first_runs, m.batches())
 
 
-@query("r10_resolve_for_approval", "batch_id l, item_id s, target_id l, link_method s, link_evidence s, block_reason s", RESOLVED_SQL)
+@query("r10_resolve_for_approval", "batch_id l, item_id s, target_id n, link_method s, link_evidence s, block_reason s", RESOLVED_SQL)
 def r10(m):
     return _resolved(m)
 
@@ -303,7 +303,7 @@ _OLD_SQL = """(SELECT batch_id, best FROM (SELECT batch_id, first_value(batch_id
 
 @query(
     "r11_replace_period",
-    "kind s, id s, state s, superseded_by l",
+    "kind s, id s, state s, superseded_by n",
     f"""SELECT 'batch' AS kind, batch_id::VARCHAR AS id, CASE WHEN best IS NOT NULL THEN 'superseded' ELSE state END AS state,
          best AS superseded_by FROM batches LEFT JOIN {_OLD_SQL} USING (batch_id)
        UNION ALL SELECT 'link', link_id, CASE WHEN best IS NOT NULL THEN 'inactive' ELSE status END, NULL

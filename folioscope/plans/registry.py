@@ -14,9 +14,10 @@ from folioscope.plans.tables_sql import TABLES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-# Output types: l bigint, s text, b boolean, m money, d day, t second.
+# Output types: l bigint, n bigint or null (as text), s text, b boolean, m money, d day, t second.
 _SPARK_CASTS = {
     "l": lambda c: c.cast("bigint"),
+    "n": lambda c: c.cast("bigint").cast("string"),
     "s": lambda c: c.cast("string"),
     "b": lambda c: c.cast("boolean"),
     "m": lambda c: c.cast("decimal(18,2)").cast("string"),
@@ -25,6 +26,7 @@ _SPARK_CASTS = {
 }
 _SQL_CASTS = {
     "l": "CAST({c} AS BIGINT)",
+    "n": "CAST(CAST({c} AS BIGINT) AS VARCHAR)",
     "s": "CAST({c} AS VARCHAR)",
     "b": "CAST({c} AS BOOLEAN)",
     "m": "CAST(CAST({c} AS DECIMAL(18,2)) AS VARCHAR)",

@@ -189,7 +189,7 @@ def q16(m):
 
 @query(
     "pt14_account_list",
-    "user_id l, status s, pending_link l, expired_link l",
+    "user_id l, status s, pending_link n, expired_link n",
     f"""SELECT user_id, u.status, p.link_id AS pending_link,
          CASE WHEN p.link_id IS NULL AND u.status = 'active' AND l.used_at IS NULL THEN l.link_id END AS expired_link
        FROM users u LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, link_id DESC) AS rn
