@@ -59,3 +59,8 @@ def ascii_lower(text: Column) -> Column:
     plain = ~text.rlike(r"[^\x00-\x7F\xDF-\xFF]")
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, letters, letters.lower()))
+
+
+def id_remainder(doc_id: Column, modulus: int) -> Column:
+    """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

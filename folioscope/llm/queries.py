@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import fertility, packing, warc
-from folioscope.llm.common import read
+from folioscope.llm import fertility, langid, packing, warc
+from folioscope.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,6 +30,16 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", id_remainder(F.col("doc_id"), 4) == 2)
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    found = docs.select("doc_id", "held_out", langid.predictions(F.col("text"), model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 @query
 def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
