@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import fertility, langid, packing, simhash, warc
+from folioscope.llm import fertility, langid, lines, packing, simhash, warc
 from folioscope.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,11 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of lines that an earlier place has."""
+    left = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce(F.col("lines.text"), F.lit(""))
+    return left.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))

@@ -2,6 +2,34 @@
 
 from __future__ import annotations
 
-from folioscope.llm import warc
+from folioscope.llm import lines, warc
 
 SQL: dict[str, str] = {}
+
+SQL["op6_winnowed_lines"] = f"""
+WITH split AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+    FROM documents
+), normal AS (
+    SELECT doc_id, i, line, trim(regexp_replace(line, '[\\t\\x0B\\x0C\\r ]+', ' ', 'g')) AS words FROM split
+), numbered AS (
+    SELECT *, sum(CASE WHEN words <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM normal
+), filled AS (
+    SELECT doc_id, pos, words FROM numbered WHERE words <> ''
+), windows AS (
+    SELECT doc_id, pos, {", ".join(f"lead(words, {i}) OVER w AS w{i}" for i in range(lines.RUN))}
+    FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), ranked AS (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY {", ".join(f"w{i}" for i in range(lines.RUN))} ORDER BY doc_id, pos) AS place
+    FROM windows WHERE w{lines.RUN - 1} IS NOT NULL
+), gone AS (
+    SELECT DISTINCT doc_id, pos + shift AS pos FROM ranked, range({lines.RUN}) AS r(shift) WHERE place > 1
+), marked AS (
+    SELECT n.*, g.pos IS NOT NULL AS goes FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.pos = g.pos
+)
+SELECT doc_id, CAST(sum(CASE WHEN words <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_lines,
+       CAST(sum(CASE WHEN words <> '' AND goes THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT goes), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
