@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import fertility, langid, lines, packing, simhash, warc
+from folioscope.llm import decontaminate, fertility, langid, lines, packing, simhash, warc
 from folioscope.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,10 @@ def op6_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce(F.col("lines.text"), F.lit(""))
     return left.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document shares with the benchmark."""
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("items")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import lines, warc
+from folioscope.llm import decontaminate, lines, warc
 
 SQL: dict[str, str] = {}
 
@@ -33,3 +33,39 @@ SELECT doc_id, CAST(sum(CASE WHEN words <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT goes), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_WORDS = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+)
+SQL["op3_benchmark_containment"] = f"""
+WITH docs AS (
+    SELECT doc_id, {_WORDS} AS words FROM documents
+), items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS words FROM benchmark
+), item_windows AS (
+    SELECT DISTINCT item, size, array_to_string(words[s:s + size - 1], ' ') AS win
+    FROM (
+        SELECT item, words, least(len(words), {decontaminate.WINDOW}) AS size,
+               unnest(range(1, len(words) - least(len(words), {decontaminate.WINDOW}) + 2)) AS s
+        FROM items WHERE len(words) > 0
+    )
+), sizes AS (
+    SELECT DISTINCT size FROM item_windows
+), doc_windows AS (
+    SELECT doc_id, size, s, array_to_string(words[s:s + size - 1], ' ') AS win
+    FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS s FROM docs, sizes WHERE len(words) >= size)
+), hits AS (
+    SELECT d.doc_id, d.size, d.s, i.item FROM doc_windows d JOIN item_windows i ON d.size = i.size AND d.win = i.win
+), hit_words AS (
+    SELECT doc_id, count(DISTINCT pos) AS n_hit
+    FROM (SELECT doc_id, unnest(range(s, s + size)) AS pos FROM hits) GROUP BY doc_id
+), hit_items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
