@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, fertility, langid, lines, packing, simhash, warc
+from folioscope.llm import decontaminate, fertility, langid, lines, packing, quotes, simhash, warc
 from folioscope.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,9 @@ def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document shares with the benchmark."""
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.drop("items")
+
+
+@query
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, with what it answers, in reply order."""
+    return quotes.reply_order(read(spark, sf_dir, "conversations"))
