@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, fertility, langid, lines, packing, quotes, simhash, warc
+from folioscope.llm import decontaminate, fertility, langid, lines, packing, quotes, simhash, substrings, warc
 from folioscope.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without quotes, with what it answers, in reply order."""
     return quotes.reply_order(read(spark, sf_dir, "conversations"))
+
+
+@query
+def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 200 bytes that also start elsewhere."""
+    return substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
