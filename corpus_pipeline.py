@@ -1,32 +1,68 @@
-"""The corpus pipeline: quality rules and packing (the other stages follow)."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
+
+Every stage is one operator of ``folioscope.llm`` over all rows that its predecessor kept; all but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import fertility, packing
-from folioscope.llm.common import read, shared_folder
+from folioscope.llm import decontaminate, fertility, lines, packing, simhash
+from folioscope.llm.common import KEY, key_of, keyed, read, shared_folder
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, as they are."""
     return fertility.judge(docs, name="_fertility").filter("_fertility.kept").drop("_fertility")
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the runs of lines that an earlier document has."""
+    left = lines.dedup_lines(docs, name="_lines")
+    text = F.col("_lines.text")
+    changed = {"text": text, "n_chars": F.when(F.col("_lines.n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast("bigint")}
+    return left.select(*[changed[c].alias(c) if c in changed else c for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the least id (null ids last)."""
+    ids = [c.alias(k) for c, k in zip(key_of(), KEY)]
+    found = simhash.near_duplicates(docs, extra=(F.col("doc_id").isNull().alias("no_id"), *ids))
+    first = found.groupBy("root").agg(F.min(F.struct("no_id", *KEY)).alias("first")).select("first.*").select(*KEY)
+    kept = docs.withColumns(dict(zip(KEY, key_of()))).join(first, KEY, "left_semi")
+    return kept.dropDuplicates(KEY).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    hit = decontaminate.hit_documents(keyed(docs), read(spark, sf_dir, "benchmark")).select(*KEY)
+    return docs.withColumns(dict(zip(KEY, key_of()))).join(hit, KEY, "left_anti").select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences."""
+    """The pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("quality", quality), ("pack", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+#: Tokenisers, fingerprints and packing aren't SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        folder = shared_folder(spark, name)
+        folder = shared_folder(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
     return STAGES[-1][1](spark, docs, sf_dir)

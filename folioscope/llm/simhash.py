@@ -152,7 +152,10 @@ def near_duplicates(
     largest_group: int = LARGEST_GROUP,
     extra: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` (the least doc_id reachable) and the ``extra`` columns, a row per row."""
+    """``doc_id, fingerprint, component_id`` (the least doc_id reachable), ``root`` and the ``extra`` columns, a row per row.
+
+    ``root`` is a fingerprint that names the component, also where no member has an id.
+    """
     docs = stored(
         df.select(F.col(doc_id).cast("bigint").alias("doc_id"), *extra, fingerprints(F.col(text), width).alias("print")),
         "prints",
@@ -163,10 +166,11 @@ def near_duplicates(
         "print", "least", F.coalesce("root", "print").alias("root")
     )
     ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = members.select("print", "root").join(ids, "root").select("print", "component_id")
+    classes = members.select("print", "root").join(ids, "root")
     return docs.join(classes, "print").select(
         "doc_id",
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         "component_id",
+        "root",
         *[c for c in docs.columns if c not in ("doc_id", "print")],
     )
