@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, fertility, langid, lines, packing, quotes, simhash, substrings, warc
+from folioscope.llm import decontaminate, fertility, katz, langid, lines, packing, quotes, simhash, substrings, warc
 from folioscope.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,10 @@ def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the strings of 200 bytes that also start elsewhere."""
     return substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+@query
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document under a model of six sevenths of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.scores(docs, id_remainder(F.col("doc_id"), 7) == 2)
