@@ -10,35 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, fertility, lines, packing, simhash
-from folioscope.llm.common import KEY, key_of, keyed, read, shared_folder
+from folioscope.llm.common import KEY, keyed, keyed_rows, read, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, as they are."""
-    return fertility.judge(docs, name="_fertility").filter("_fertility.kept").drop("_fertility")
+    return fertility.judge(docs).filter("fertility.kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the runs of lines that an earlier document has."""
-    left = lines.dedup_lines(docs, name="_lines")
-    text = F.col("_lines.text")
-    changed = {"text": text, "n_chars": F.when(F.col("_lines.n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast("bigint")}
-    return left.select(*[changed[c].alias(c) if c in changed else c for c in docs.columns])
+    left = F.when(F.col("lines.n_removed") > 0, F.col("lines.text")).otherwise(F.col("row.text"))
+    row = F.col("row").withField("text", left)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("lines.n_removed") > 0, F.length(left)).otherwise(F.col("row.n_chars"))
+        row = row.withField("n_chars", n_chars.cast("bigint"))
+    return lines.dedup_lines(docs).select(row.alias("row")).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the least id (null ids last)."""
-    ids = [c.alias(k) for c, k in zip(key_of(), KEY)]
-    found = simhash.near_duplicates(docs, extra=(F.col("doc_id").isNull().alias("no_id"), *ids))
-    first = found.groupBy("root").agg(F.min(F.struct("no_id", *KEY)).alias("first")).select("first.*").select(*KEY)
-    kept = docs.withColumns(dict(zip(KEY, key_of()))).join(first, KEY, "left_semi")
-    return kept.dropDuplicates(KEY).select(*docs.columns)
+    found = simhash.near_duplicates(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *KEY)).alias("first")
+    stay = found.groupBy("root").agg(first).select(*[f"first.{k}" for k in KEY])
+    return keyed_rows(docs).join(stay, KEY, "left_semi").dropDuplicates(KEY).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     hit = decontaminate.hit_documents(keyed(docs), read(spark, sf_dir, "benchmark")).select(*KEY)
-    return docs.withColumns(dict(zip(KEY, key_of()))).join(hit, KEY, "left_anti").select(*docs.columns)
+    return keyed_rows(docs).join(hit, KEY, "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,12 +26,18 @@ def keyed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
-def key_of(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """The key of :func:`keyed` as columns of the caller's own frame."""
-    return [
-        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)),
-        F.xxhash64(F.col(doc_id).isNull(), F.col(text)),
-    ]
+def whole(df: DataFrame) -> Column:
+    """All columns of a row as one, so that whatever their names are they can't clash with others."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def keyed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The key of each row, and the row in the column ``row``."""
+    return df.select(
+        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)).alias("_id"),
+        F.xxhash64(F.col(doc_id).isNull(), F.col(text)).alias("_h"),
+        whole(df).alias("row"),
+    )
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:

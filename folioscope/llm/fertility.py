@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import whole
+
 VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS = 10
 MAX_REPEAT = 20
@@ -155,9 +157,7 @@ def measures(text: Column, vocabulary: str = VOCABULARY) -> Column:
         )
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, f"struct<{MEASURES.replace(' bigint', ':bigint').replace(' double', ':double').replace(' string', ':string')}>")(
-        text.cast("binary")
-    )
+    return F.arrow_udf(run, f"struct<{MEASURES}>")(text.cast("binary"))
 
 
 def base_failed(m: Column) -> Column:
@@ -183,19 +183,12 @@ def in_band(m: Column, bands: dict[str, Band]) -> Column:
 
 
 def judge(
-    df: DataFrame,
-    text: str = "text",
-    name: str = "fertility",
-    bands: dict[str, Band] = BANDS,
-    vocabulary: str = VOCABULARY,
+    df: DataFrame, text: str = "text", bands: dict[str, Band] = BANDS, vocabulary: str = VOCABULARY
 ) -> DataFrame:
-    """``df`` with a struct column ``name``: the measures, ``base_failed`` and ``kept``.
-
-    ``name`` must not be a column of ``df``.
-    """
-    m = F.col(name)
+    """``row`` (the row of ``df``) and ``fertility``: the measures, ``base_failed`` and ``kept``."""
+    m = F.col("fertility")
     return (
-        df.withColumn(name, measures(F.col(text), vocabulary))
-        .withColumn(name, m.withField("base_failed", base_failed(m)))
-        .withColumn(name, m.withField("kept", ~m["base_failed"] & in_band(m, bands)))
+        df.select(whole(df).alias("row"), measures(F.col(text), vocabulary).alias("fertility"))
+        .withColumn("fertility", m.withField("base_failed", base_failed(m)))
+        .withColumn("fertility", m.withField("kept", ~m["base_failed"] & in_band(m, bands)))
     )

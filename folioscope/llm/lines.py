@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import KEY, key_of
+from folioscope.llm.common import KEY, keyed, keyed_rows
 
 #: Repeats of at least so many lines are found, without exception, and nothing shorter goes.
 RUN = 3
@@ -72,10 +72,9 @@ def anchors(df: DataFrame, doc_id: str, text: str, run: int) -> DataFrame:
             names = [x.split()[0] for x in _ANCHORS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    ids = [c.alias(k) for c, k in zip(key_of(doc_id, text), KEY)]
-    return df.select(*ids, F.col(doc_id).isNull().alias("no_id"), F.col(text).cast("binary").alias("text")).mapInArrow(
-        select, _ANCHORS
-    )
+    docs = keyed(df, doc_id, text)
+    columns = docs.select(*KEY, F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("binary").alias("text"))
+    return columns.mapInArrow(select, _ANCHORS)
 
 
 def repeated_windows(found: DataFrame, run: int) -> DataFrame:
@@ -127,18 +126,12 @@ def without_lines(text: Column, starts: Column, run: int) -> Column:
     return F.arrow_udf(run_all, "struct<text:string,n_lines:bigint,n_removed:bigint>")(text.cast("binary"), starts)
 
 
-def dedup_lines(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "lines", run: int = RUN
-) -> DataFrame:
-    """``df`` with a struct column ``name``: the text that is left, ``n_lines`` and ``n_removed``.
-
-    ``name``, ``_id``, ``_h`` and ``_starts`` must not be columns of ``df``.
-    """
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+    """``row`` (the row of ``df``) and ``lines``: the text that is left, ``n_lines`` and ``n_removed``."""
     gone = (
         repeated_windows(anchors(df, doc_id, text, run), run)
         .groupBy(*KEY)
-        .agg(F.collect_set("start").alias("_starts"))
+        .agg(F.collect_set("start").alias("starts"))
     )
-    documents = df.withColumns(dict(zip(KEY, key_of(doc_id, text))))
-    joined = documents.join(gone, KEY, "left")
-    return joined.withColumn(name, without_lines(F.col(text), F.col("_starts"), run)).drop(*KEY, "_starts")
+    joined = keyed_rows(df, doc_id, text).join(gone, KEY, "left")
+    return joined.select("row", without_lines(F.col("row")[text], F.col("starts"), run).alias("lines"))

@@ -47,13 +47,13 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("fertility")
     first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     rest = ["n_tokens", "chars_per_token", "byte_share", "entropy", "script"]
-    return judged.select("doc_id", *[m[c].alias(c) for c in first + rest])
+    return judged.select("row.doc_id", *[m[c].alias(c) for c in first + rest])
 
 
 @query
 def op4_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 @query
@@ -61,7 +61,7 @@ def op6_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the runs of lines that an earlier place has."""
     left = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce(F.col("lines.text"), F.lit(""))
-    return left.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    return left.select("row.doc_id", "lines.n_lines", "lines.n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
 @query

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import stored
+from folioscope.llm.common import KEY, keyed, stored
 from folioscope.llm.components import components
 
 RADIUS = 4
@@ -150,16 +150,12 @@ def near_duplicates(
     radius: int = RADIUS,
     width: int = SHINGLE,
     largest_group: int = LARGEST_GROUP,
-    extra: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` (the least doc_id reachable), ``root`` and the ``extra`` columns, a row per row.
+    """``doc_id, fingerprint, component_id`` (the least doc_id reachable), ``root`` and the key of each row.
 
     ``root`` is a fingerprint that names the component, also where no member has an id.
     """
-    docs = stored(
-        df.select(F.col(doc_id).cast("bigint").alias("doc_id"), *extra, fingerprints(F.col(text), width).alias("print")),
-        "prints",
-    )
+    docs = stored(keyed(df, doc_id, text).select(*KEY, "doc_id", fingerprints(F.col("text"), width).alias("print")), "prints")
     prints = docs.groupBy("print").agg(F.min("doc_id").alias("least"))
     linked = components(near_links(prints.select("print"), radius, largest_group), "a", "b")
     members = prints.join(linked.withColumnRenamed("node", "print"), "print", "left").select(
@@ -172,5 +168,5 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         "component_id",
         "root",
-        *[c for c in docs.columns if c not in ("doc_id", "print")],
+        *KEY,
     )
