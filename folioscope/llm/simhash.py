@@ -73,11 +73,10 @@ def fingerprints(text: Column, width: int = SHINGLE) -> Column:
 def masks(shared: int = 0, radius: int = RADIUS) -> tuple[int, ...]:
     """Masks that cover the bits outside ``shared``, each with the bits of ``shared`` added."""
     free = [i for i in range(64) if not shared >> i & 1]
-    vectors = (1 << radius + 1) - 1
-    found = {
-        shared | sum(1 << bit for i, bit in enumerate(free) if ((i % vectors + 1) & v).bit_count() % 2)
-        for v in range(1, vectors + 1)
-    }
+    # Unit vectors come first: with more than ``radius`` free bits each mask then has at least one of them.
+    vectors = sorted(range(1, 1 << radius + 1), key=lambda v: (v.bit_count(), v))
+    own = {bit: vectors[i % len(vectors)] for i, bit in enumerate(free)}
+    found = {shared | sum(1 << bit for bit in free if (own[bit] & v).bit_count() % 2) for v in vectors}
     return tuple(sorted(found))
 
 
@@ -122,6 +121,8 @@ def _group_links(members: Column, radius: int) -> Column:
 
 def near_links(prints: DataFrame, radius: int = RADIUS, largest_group: int = LARGEST_GROUP) -> DataFrame:
     """``a, b``: pairs that connect what fingerprints within the radius connect. ``prints`` has distinct ``print``."""
+    # Members of a group that differ in ``radius`` bits at most all link, and are no more than this.
+    largest_group = max(largest_group, 1 << radius)
     rows = prints.select("print", F.explode(F.array(*[F.lit(_signed(m)) for m in masks(0, radius)])).alias("mask"))
     found = []
     while True:
