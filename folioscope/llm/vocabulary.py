@@ -7,57 +7,126 @@ text are the ids of its words one after the other, and each distinct word is enc
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import public_tokenizers
 
-#: Words kept per worker; longer words are encoded each time.
+#: Words kept per worker are at most twice as many; longer words are encoded each time.
 KEPT_WORDS = 400_000
 LONGEST_KEPT = 64
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[str, object] = {}
 
 
 class WordIds:
-    """Little-endian 32-bit ids of words, by a tokeniser that takes a list of words."""
+    """Little-endian 32-bit ids of words, by a function that encodes a list of words.
+
+    Words of the last ``KEPT_WORDS`` new ones stay; older ones stay if they were met again meanwhile.
+    """
 
-    def __init__(self, encode):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]]):
         self._encode = encode
         self._kept: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def of(self, words: list[bytes]) -> bytes:
         """The ids of the words, joined."""
-        import numpy as np
-
         kept = self._kept
         try:
             return b"".join([kept[w] for w in words])
         except KeyError:
             pass
-        new = list({w for w in words if w not in kept})
-        ids = self._encode([w.decode("utf-8", "replace") for w in new])
-        found = {w: np.asarray(i, dtype="<u4").tobytes() for w, i in zip(new, ids)}
+        missing = set(words).difference(kept)
+        found = {w: self._older[w] for w in missing if w in self._older}
+        new = [w for w in missing if w not in found]
+        found.update(zip(new, self._encode(new)))
         joined = b"".join([kept[w] if w in kept else found[w] for w in words])
-        if len(kept) + len(found) > KEPT_WORDS:
-            kept.clear()
-        kept.update((w, i) for w, i in found.items() if len(w) <= LONGEST_KEPT)
+        if len(kept) > KEPT_WORDS:
+            self._older, self._kept = kept, {}
+        self._kept.update((w, i) for w, i in found.items() if len(w) <= LONGEST_KEPT)
         return joined
 
 
+def _ids(ids: list[int]) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids])
+
+
+#: Punctuation of ASCII; at the end of a word the tokeniser always cuts it off in one piece.
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that lower case and normal form leave one letter each.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A word that such a letter or a digit ends, but for punctuation. A special token's text isn't one.
+_ENDED = re.compile(rb"(?!.*<\|).*(?:[A-Za-z0-9]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])", re.S)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else the next free one from 256."""
+    printing = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printing]
+    return {b: chr(b) for b in printing} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _WordBpe:
+    """Ids of single words for a file of the tokenizers library, without special tokens.
+
+    Most words are letters and then punctuation. Their letters go straight to the vocabulary's merges,
+    once for each spelling in lower case; every other word goes through the whole tokeniser.
+    """
+
+    def __init__(self, file: str):
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(file)
+        self._model = self._tokenizer.model
+        self._letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self._parts: dict[bytes, bytes] = {}
+
+    def _part(self, part: bytes) -> bytes:
+        """Ids of a run of letters or of punctuation."""
+        text = part.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text):
+            text = text.lower()
+            key = text.encode()
+            if key not in self._parts:
+                spelled = key.decode("latin-1").translate(self._letters)
+                self._parts[key] = _ids([t.id for t in self._model.tokenize(spelled)])
+        else:
+            key = part
+            if key not in self._parts:
+                self._parts[key] = _ids(self._tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._parts[key]
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        if len(self._parts) > KEPT_WORDS:
+            self._parts.clear()
+        out = []
+        for w in words:
+            letters = w.rstrip(_PUNCTUATION)
+            if len(letters) < len(w) and _ENDED.fullmatch(letters):
+                out.append(self._part(letters) + self._part(w[len(letters) :]))
+            else:
+                out.append(self._part(w))
+        return out
+
+
 def word_bpe(name: str) -> WordIds:
     """Ids of a file for the tokenizers library, without special tokens."""
     if name not in _LOADED:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        _LOADED[name] = WordIds(
-            lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        )
+        _LOADED[name] = WordIds(_WordBpe(public_tokenizers.path(name)))
     return _LOADED[name]
 
 
 def word_pieces(name: str) -> WordIds:
     """Ids of a sentencepiece model."""
     if name not in _LOADED:
-        _LOADED[name] = WordIds(lambda words: piece_model(name).encode(words, num_threads=1))
+        model = piece_model(name)
+
+        def encode(words: list[bytes]) -> list[bytes]:
+            found = model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
+            return [_ids(ids) for ids in found]
+
+        _LOADED[name] = WordIds(encode)
     return _LOADED[name]
 
 
