@@ -376,29 +376,44 @@ def i17(m):
 
 # -- profiles and content scans ---------------------------------------------------------------
 
+#: Cases with arrays longer than any sample would be, the odd element last, and with texts that aren't JSON.
+LONG_RAW = """(SELECT raw FROM raw_cases UNION ALL SELECT CASE WHEN seq % 3 = 0 THEN '{"broken": ' || seq ELSE
+         '{"items": [' || array_to_string(list_transform(range(25 + seq % 7), lambda x: CAST(x AS VARCHAR)), ',') || ',{"partner_id":"p' || seq || '"}]}' END
+         FROM raw_cases)"""
 PROFILE_SQL = """SELECT path, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count(*) AS observed, count_if(type = 'null') AS nulls
        FROM (SELECT regexp_replace(regexp_replace(substr(t.fullkey, 3), '\\[[0-9]+\\]', '[]', 'g'), '"', '', 'g') AS path,
          CASE t.type WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string'
-           ELSE lower(t.type) END AS type FROM {raw} r, json_tree(r.raw::JSON) t WHERE t.fullkey <> '$') GROUP BY 1"""
+           ELSE lower(t.type) END AS type FROM {raw} r, json_tree(CASE WHEN json_valid(r.raw) THEN r.raw::JSON END) t WHERE t.fullkey <> '$'
+         UNION ALL SELECT '', 'malformed' FROM {raw} r WHERE NOT json_valid(r.raw)) GROUP BY 1"""
 
 
-@query("q1_schema_profile", "path s, types s, observed l, nulls l", PROFILE_SQL.format(raw="raw_cases"))
+def _long_raw(m):
+    """The cases, and as many texts with a long array or cut off in the middle."""
+    seq = F.col("seq").cast("string")
+    numbers = F.array_join(F.transform(F.sequence(F.lit(0), 24 + F.col("seq") % 7), lambda x: x.cast("string")), ",")
+    longer = F.concat(F.lit('{"items": ['), numbers, F.lit(',{"partner_id":"p'), seq, F.lit('"}]}'))
+    more = F.when(F.col("seq") % 3 == 0, F.concat(F.lit('{"broken": '), seq)).otherwise(longer)
+    raw = m.raw_cases().select("seq", "raw")
+    return raw.select("raw").unionByName(raw.select(more.alias("raw")))
+
+
+@query("q1_schema_profile", "path s, types s, observed l, nulls l", PROFILE_SQL.format(raw=LONG_RAW))
 def q1(m):
-    return profile.schema_profile(m.raw_cases(), "raw").withColumn("types", F.array_join("types", ","))
+    return profile.schema_profile(_long_raw(m), "raw").withColumn("types", F.array_join("types", ","))
 
 
 @query(
     "q2_field_roles",
     "path s, is_id b, is_date b, is_relationship b, has_nulls b, is_partner_candidate b",
     f"""SELECT path, leaf = 'id' OR suffix(leaf, '_id') OR suffix(leaf, '_ids') AS is_id,
-         regexp_matches(leaf, 'date|created|updated|timestamp') AS is_date,
+         regexp_matches(leaf, '{"|".join(profile.DATE_TERMS)}') AS is_date,
          leaf = 'id' OR suffix(leaf, '_id') OR suffix(leaf, '_ids') OR regexp_matches(leaf, '(customer|lawsuit|user|owner)$') AS is_relationship,
-         nulls > 0 AS has_nulls, regexp_matches(lower(path), 'partner|parceiro|origin|origem|indication|indicacao|referrer|responsible|responsavel|tag|folder|pasta|portfolio|carteira')
+         nulls > 0 AS has_nulls, regexp_matches(lower(path), '{"|".join(profile.PARTNER_TERMS)}')
            AS is_partner_candidate
-       FROM (SELECT *, lower(string_split(regexp_replace(path, '\\[\\]$', ''), '.')[-1]) AS leaf FROM ({PROFILE_SQL.format(raw='raw_cases')}))""",
+       FROM (SELECT *, lower(string_split(regexp_replace(path, '\\[\\]$', ''), '.')[-1]) AS leaf FROM ({PROFILE_SQL.format(raw=LONG_RAW)}))""",
 )
 def q2(m):
-    return profile.field_roles(profile.schema_profile(m.raw_cases(), "raw"))
+    return profile.field_roles(profile.schema_profile(_long_raw(m), "raw"))
 
 
 def _with_partner(raw):
@@ -417,34 +432,49 @@ def _with_partner(raw):
 @query(
     "q3_linkage_conclusion",
     "input s, conclusion s, evidence s",
-    """SELECT 'plain' AS input, 'INCONCLUSIVO' AS conclusion, '' AS evidence WHERE (SELECT count(*) FROM raw_cases) > 0
-       UNION ALL SELECT 'partner', 'CONFIRMADO', 'lawsuits: extra.partner.id' WHERE (SELECT count(*) FROM raw_cases) > 0""",
+    f"""WITH partner AS (SELECT CASE seq % 5 WHEN 1 THEN raw[:-2] || ',"extra":{{"partner":{{"id":7}}}}}}'
+           WHEN 2 THEN raw[:-2] || ',"Partner-Id":null}}' WHEN 3 THEN raw[:-2] || ',"partner":"name only"}}' ELSE raw END AS raw FROM raw_cases),
+         hits AS (SELECT input, path FROM (
+           SELECT 'plain' AS input, * FROM ({PROFILE_SQL.format(raw="raw_cases")}) UNION ALL
+           SELECT 'partner', * FROM ({PROFILE_SQL.format(raw="partner")}) UNION ALL
+           SELECT 'long', * FROM ({PROFILE_SQL.format(raw=LONG_RAW)}))
+           WHERE regexp_matches(lower(path), '(partner_id|partnerid|parceiro_id|partner\\.id|parceiro\\.id)$') AND nulls < observed)
+       SELECT i.input, CASE WHEN count(path) > 0 THEN 'CONFIRMADO' ELSE 'INCONCLUSIVO' END AS conclusion,
+         coalesce(string_agg('lawsuits: ' || path, ',' ORDER BY path), '') AS evidence
+       FROM (SELECT unnest(['plain', 'partner', 'long']) AS input) i LEFT JOIN hits h ON i.input = h.input GROUP BY 1""",
 )
 def q3(m):
+    """The plain cases, cases that name partners, and cases with a partner at the end of a long array."""
     def concluded(raw, name):
         profiles = profile.schema_profile(raw, "raw").withColumn("resource", F.lit("lawsuits"))
         return profile.linkage_conclusion(profiles).select(
             F.lit(name).alias("input"), "conclusion", F.array_join("evidence", ",").alias("evidence")
         )
 
-    return concluded(m.raw_cases(), "plain").unionByName(concluded(_with_partner(m.raw_cases()), "partner"))
+    inputs = {"plain": m.raw_cases(), "partner": _with_partner(m.raw_cases()), "long": _long_raw(m)}
+    return reduce(DataFrame.unionByName, [concluded(raw, name) for name, raw in inputs.items()])
 
 
 @query("q4_direct_partner_field", "seq l, direct b", "SELECT seq, seq % 5 IN (1, 2) AS direct FROM raw_cases")
 def q4(m):
-    return _with_partner(m.raw_cases()).select("seq", profile.has_direct_partner_field(F.col("raw")).alias("direct"))
+    return profile.with_direct_partner(_with_partner(m.raw_cases()), "raw").select("seq", "direct")
+
 
+def _re2(pattern: str) -> str:
+    """A pattern without look-around and Unicode word ends, for an engine that has neither."""
+    word_end, letters = r"[^\pL\pM\pN_]", r"\w"
+    pattern = pattern.replace(r"(?<!\d)", "(^|[^0-9])").replace(r"(?!\d)", "([^0-9]|$)").replace(r"\d", "[0-9]").replace("(?iuU)", "(?i)")
+    if pattern.startswith(r"(?i)\b"):
+        pattern = "(?i)(^|" + word_end + ")" + pattern[6:-2] + "(" + word_end + "|$)"
+    return pattern.replace(letters, r"[\pL\pM\pN_]")
 
-SCAN_SQL = r"""concat_ws(',', CASE WHEN regexp_matches({c}, '(?i)<\s*script|<\s*iframe|<\s*svg|<\s*img|javascript:|on\w+\s*=') THEN 'active_html' END,
-         CASE WHEN regexp_matches({c}, 'sk-[A-Za-z0-9_-]{{12,}}|eyJ[A-Za-z0-9_-]{{16,}}\.') THEN 'api_key' END,
-         CASE WHEN regexp_matches({c}, '(^|[^0-9])[0-9]{{7}}-[0-9]{{2}}\.[0-9]{{4}}\.[0-9]\.[0-9]{{2}}\.[0-9]{{4}}([^0-9]|$)') THEN 'case_number' END,
-         CASE WHEN regexp_matches({c}, '(^|[^0-9])[0-9]{{2}}\.?[0-9]{{3}}\.?[0-9]{{3}}/?[0-9]{{4}}-?[0-9]{{2}}([^0-9]|$)') THEN 'cnpj' END,
-         CASE WHEN regexp_matches({c}, '(^|[^0-9])[0-9]{{3}}\.?[0-9]{{3}}\.?[0-9]{{3}}-?[0-9]{{2}}([^0-9]|$)') THEN 'cpf' END,
-         CASE WHEN regexp_matches({c}, '(?i)(^|[^\pL\pM\pN_])(senha|password|token|bearer|api[_ -]?key|secret|segredo|cpf|cnpj)([^\pL\pM\pN_]|$)') THEN 'credential_word' END,
-         CASE WHEN regexp_matches({c}, '(?i)(^|[^\pL\pM\pN_])(diagn[oó]stico|doen[cç]a|sa[uú]de|medicamento|tratamento)([^\pL\pM\pN_]|$)') THEN 'health_word' END)"""
 
+def scan_sql(text: str) -> str:
+    checks = [f"CASE WHEN regexp_matches({text}, '{_re2(p)}') THEN '{code}' END" for code, p in sorted(profile.SENSITIVE.items())]
+    return f"concat_ws(',', {', '.join(checks)})"
 
-@query("q5_scan_documents", "doc_id l, findings s", f"SELECT doc_id, {SCAN_SQL.format(c='text')} AS findings FROM documents")
+
+@query("q5_scan_documents", "doc_id l, findings s", f"SELECT doc_id, {scan_sql('text')} AS findings FROM documents")
 def q5(m):
     return profile.scan_sensitive(m.stored("documents"), ["text"]).withColumn("findings", F.array_join("findings", ","))
 
@@ -453,13 +483,33 @@ def q5(m):
     "q5_quarantine_pages",
     "side s, page_id l, findings s",
     f"""SELECT CASE WHEN findings = '' THEN 'clean' ELSE 'quarantine' END AS side, page_id, findings
-        FROM (SELECT page_id, {SCAN_SQL.format(c="(url || chr(10) || html)")} AS findings FROM pages)""",
+        FROM (SELECT page_id, {scan_sql("(url || chr(10) || html)")} AS findings FROM pages)""",
 )
 def q5_pages(m):
-    clean, blocked = profile.quarantine(m.stored("pages"), ["url", "html"])
-    return clean.select(F.lit("clean").alias("side"), "page_id", F.lit("").alias("findings")).unionByName(
-        blocked.select(F.lit("quarantine").alias("side"), "page_id", F.array_join("findings", ",").alias("findings"))
+    return profile.quarantine(m.stored("pages"), ["url", "html"]).withColumn("findings", F.array_join("findings", ","))
+
+
+@query(
+    "q5_scan_nested",
+    "conv_id l, findings s",
+    f"""SELECT conv_id, {scan_sql("string_agg(role || chr(10) || text || chr(10) || key, chr(10))")} AS findings
+        FROM (SELECT conv_id, role, CASE turn WHEN 1 THEN 'CPF 123.456.789-0' || (conv_id % 10) WHEN 2 THEN 'diagnóstico' WHEN 3 THEN 'sk-abcdefghijkl'
+                ELSE text END AS text, CASE WHEN conv_id % 4 = 1 THEN 'senha' ELSE 'plain' END AS key FROM conversations) GROUP BY 1""",
+)
+def q5_nested(m):
+    """Conversations as nested values, with blocked content in some texts and some map keys."""
+    text = (
+        F.when(F.col("turn") == 1, F.concat(F.lit("CPF 123.456.789-0"), (F.col("conv_id") % 10).cast("string")))
+        .when(F.col("turn") == 2, "diagnóstico")
+        .when(F.col("turn") == 3, "sk-abcdefghijkl")
+        .otherwise(F.col("text"))
+    )
+    key = F.when(F.col("conv_id") % 4 == 1, "senha").otherwise("plain")
+    nested = m.stored("conversations").groupBy("conv_id").agg(
+        F.collect_list(F.struct("role", text.alias("content"))).alias("turns"),
+        F.create_map(F.max(key), F.count(F.lit(1))).alias("counts"),
     )
+    return profile.scan_sensitive(nested, ["turns", "counts"]).withColumn("findings", F.array_join("findings", ","))
 
 
 @query(

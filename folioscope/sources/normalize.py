@@ -284,10 +284,10 @@ def candidate_coverage(records: DataFrame, salt: str, with_customers: bool) -> D
 
     Origins are compared as salted digests only.
     """
-    from folioscope.operators.profile import has_direct_partner_field
+    from folioscope.operators.profile import with_direct_partner
 
     opened = _opened(
-        records.withColumn("direct", has_direct_partner_field(F.to_json(F.col("record")))),
+        with_direct_partner(records.withColumn("_json", F.to_json(F.col("record"))), "_json").drop("_json"),
         ("id", "origin", "folder", "responsible_id"),
         related=with_customers,
     )

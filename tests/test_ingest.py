@@ -184,13 +184,33 @@ def test_sensitive_patterns(spark, text, code):
     df = spark.createDataFrame([(text, "plain"), ("nothing here", None)], "a string, b string")
     found = [r["findings"] for r in profile.scan_sensitive(df, ["a", "b"]).collect()]
     assert code in found[0] and found[1] == []
-    assert profile.quarantine(df, ["a", "b"])[0].count() == 1
+    assert [r["side"] for r in profile.quarantine(df, ["a", "b"]).collect()] == ["quarantine", "clean"]
 
 
-def test_schema_profile_samples_arrays(spark, rows):
-    df = spark.createDataFrame([('{"a":[' + ",".join(["1"] * 30) + '],"b":null,"c":{"partner_id":1.5}}',)], "j string")
+def test_schema_profile_counts_every_element(spark):
+    late = '{"a":[' + ",".join(["1"] * 20) + ',"x","y"],"b":null,"c":{"partner_id":1.5,"n":12345678901234567890}}'
+    df = spark.createDataFrame([(late,), ("not json",), ('{"a":[',), ("[]",), ("7",), (None,)], "j string")
     found = profile.field_roles(profile.schema_profile(df, "j")).orderBy("path").collect()
     assert [(r["path"], r["types"], r["observed"], r["nulls"]) for r in found] == [
-        ("a", ["array"], 1, 0), ("a[]", ["integer"], 20, 0), ("b", ["null"], 1, 1), ("c", ["object"], 1, 0), ("c.partner_id", ["number"], 1, 0),
-    ]
-    assert found[4]["is_id"] and found[4]["is_partner_candidate"] and found[2]["has_nulls"]
+        ("", ["malformed"], 2, 0), ("a", ["array"], 1, 0), ("a[]", ["integer", "string"], 22, 0), ("b", ["null"], 1, 1),
+        ("c", ["object"], 1, 0), ("c.n", ["integer"], 1, 0), ("c.partner_id", ["number"], 1, 0),
+    ]
+    assert found[6]["is_id"] and found[6]["is_partner_candidate"] and found[3]["has_nulls"]
+
+
+def test_direct_partner_at_any_depth(spark):
+    texts = {
+        '{"a":[1,2,{"b":[{"Partner-ID":3}]}]}': True, '{"Parceiro":{"x":1,"id":null}}': True, '{"partner":[{"id":1}]}': False,
+        '{"partner":"partner_id"}': False, '{"partner":{"ids":1}}': False, '{"x":"{\\"partner_id\\":1}"}': False, "partner": False,
+    }
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "j string")
+    found = {r["j"]: r["direct"] for r in profile.with_direct_partner(df, "j").collect()}
+    assert found == texts | {None: False}
+
+
+def test_nested_texts_and_keys_are_scanned(spark):
+    df = spark.createDataFrame(
+        [([("x", {"password": 1})],), ([("123.456.789-09", {"k": 1})],), ([("fine", None), ("<", {"script": 2})],), (None,)],
+        "a array<struct<t string, m map<string,int>>>",
+    )
+    assert [r["findings"] for r in profile.scan_sensitive(df, ["a"]).collect()] == [["credential_word"], ["cpf"], [], []]
