@@ -25,6 +25,15 @@ NAMESPACE_URL_HEX = "6ba7b8119dad11d180b400c04fd430c8"
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
 _ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([+-]\d{2}:?\d{2})?)?$"
 _ISO_OFFSET = r"[T ].*[+-]\d{2}:?\d{2}$"
+#: Steps from the other ISO forms to the extended one with minutes and at most six fraction digits.
+_ISO_FORMS = (
+    (r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"),
+    (r"^(.{10}[T ]\d{2})(\d{2})(?=\d{2}([.,+-]|$))", "$1:$2:"),
+    (r"^(.{10}[T ]\d{2})(\d{2})(?=$|[+-])", "$1:$2"),
+    (r"^(.{10}[T ]\d{2})(?=$|[+-])", "$1:00"),
+    (r"^(.{10}[T ]\d{2}:\d{2}:\d{2})[.,](\d{1,6})\d*", "$1.$2"),
+    (r"^(.{10}[T ].*[+-]\d{2})$", "$1:00"),
+)
 
 
 def field(record: Column | str, path: str) -> Column:
@@ -188,8 +197,16 @@ def iso_date_error(value: Raw, name: str) -> Column:
 
 
 def iso_timestamp_text(text: Column, zone: str = BUSINESS_ZONE) -> Column:
-    """ISO instant; a value without offset is local to ``zone`` whatever the session zone."""
+    """ISO instant, basic or extended; a value without offset is local to ``zone`` whatever the session zone.
+
+    Digits beyond the microsecond are cut off.
+    """
     plain = F.regexp_replace(text, "Z", "+00:00")
+    irregular = plain
+    for form, extended in _ISO_FORMS:
+        irregular = F.regexp_replace(irregular, form, extended)
+    # Most values are extended already and skip the steps.
+    plain = F.when(plain.rlike(_ISO_MOMENT), plain).otherwise(irregular)
     plain = F.regexp_replace(plain, r"^(.{10}[T ]\d{2}:\d{2})([+-]|$)", "$1:00$2")
     local = F.when(F.length(plain) == 10, F.concat(plain, F.lit(" 00:00:00"))).otherwise(plain)
     full = F.when(plain.rlike(_ISO_OFFSET), plain).otherwise(F.concat(local, F.lit(f" {zone}")))
@@ -240,8 +257,10 @@ def _nfc():
 
 
 def folder_key(text: Column) -> Column:
-    """Edge-trimmed NFC text, empty means absent."""
-    return F.nullif(_nfc()(edge_trim(text)), F.lit(""))
+    """Edge-trimmed NFC text, empty means absent. ASCII is in that form already and stays in the JVM."""
+    trimmed = edge_trim(text)
+    other = trimmed.rlike(r"[^\x00-\x7F]")
+    return F.nullif(F.when(other, _nfc()(F.when(other, trimmed))).otherwise(trimmed), F.lit(""))
 
 
 def label(text: Column) -> Column:

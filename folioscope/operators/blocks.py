@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.scalars import case_number, codes, folder_key
+from folioscope.functions.scalars import case_number, codes, edge_trim, folder_key
 from folioscope.operators.spread import positions
 
 # Layout of the manifest pages.
@@ -39,6 +39,11 @@ def _in_bands(df: DataFrame, low: Column, high: Column) -> DataFrame:
     return df.withColumn("band", F.explode(F.array_distinct(F.array(_band(low), _band(high)))))
 
 
+def _visible(chunks: DataFrame) -> DataFrame:
+    """Chunks with their text trimmed; blank ones say nothing and go."""
+    return chunks.withColumn("text", edge_trim(F.col("text"))).filter(F.col("text") != "")
+
+
 def _is_label() -> Column:
     return F.col("text").rlike(LABEL_TEXT) & (F.abs(F.col("x") - LABEL_X) <= LABEL_DX)
 
@@ -84,6 +89,7 @@ def extract_blocks(chunks: DataFrame) -> DataFrame:
     """Items with ordinal, number, folder, page range and quality flags."""
     page = ["doc_id", "page"]
     y = F.col("y")
+    pages, chunks = chunks, _visible(chunks)
     anchors = chunks.filter(_is_anchor())
     heights = anchors.select(*page, "y").distinct()
     labels = _in_bands(_label_values(chunks), y - LABEL_DY[1], y - LABEL_DY[0])
@@ -112,7 +118,7 @@ def extract_blocks(chunks: DataFrame) -> DataFrame:
     )
     is_last = F.struct("y", "chunk_id") == F.col("_last")
     return (
-        items.join(_page_ends(chunks, anchors), ["doc_id", "page"])
+        items.join(_page_ends(pages, anchors), ["doc_id", "page"])
         .withColumn("page_end", F.when(is_last, F.col("_page_end")).otherwise(F.col("page")))
         .select("doc_id", "ordinal", "number", "folder", F.col("page").alias("page_start"), "page_end", "quality_flags")
     )
@@ -143,7 +149,7 @@ def _page_ends(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
 def document_layout(chunks: DataFrame) -> DataFrame:
     """items, zero_processes or LAYOUT_UNKNOWN per document."""
     first_page = F.col("page") == 1
-    seen = chunks.groupBy("doc_id").agg(
+    seen = chunks.withColumn("text", edge_trim(F.col("text"))).groupBy("doc_id").agg(
         F.max("page").alias("pages"),
         F.count_if(_is_anchor()).alias("items"),
         F.count_if(first_page & F.col("text").rlike(HEADING_TEXT)).alias("_headings"),

@@ -50,9 +50,13 @@ def quality_summary(
 
 
 def movement_age(cases: DataFrame, movements: DataFrame, as_of: dt.date | str) -> DataFrame:
-    """Cases per age class of their last movement; a later last movement counts as future_dated."""
-    last = movements.groupBy("case_id").agg(F.max("occurred_at").alias("_last"))
-    days = F.datediff(F.lit(str(as_of)).cast("date"), F.to_date("_last"))
+    """Cases per age class of their last movement; a later last movement counts as future_dated.
+
+    The last movement is the one with the latest instant; its age counts from ``occurred_on``, the day
+    that its own offset shows.
+    """
+    last = movements.groupBy("case_id").agg(F.max(F.struct("occurred_at", "occurred_on"))["occurred_on"].alias("_last"))
+    days = F.datediff(F.lit(str(as_of)).cast("date"), F.col("_last"))
     age = F.when(F.col("_last").isNull(), "without_movement").when(days < 0, "future_dated")
     for limit, name in AGE_CLASSES:
         age = age.when(days <= limit, name)

@@ -64,6 +64,11 @@ def apply_retention(plan: DataFrame, sources: DataFrame, reports: DataFrame, aud
     }
 
 
-def expire(df: DataFrame, ts_col: str, before: dt.datetime | str) -> DataFrame:
-    """Rows that are still alive: not older than ``before``."""
-    return df.filter(F.col(ts_col) >= _at(before))
+def expire(df: DataFrame, ts_col: str, before: dt.datetime | str, equal_stays: bool = True) -> DataFrame:
+    """Rows that are still alive at ``before``; rows without a timestamp never end.
+
+    Whether a row that ends exactly then stays is the caller's rule: sessions end, login windows stay.
+    """
+    ends = F.col(ts_col)
+    alive = ends >= _at(before) if equal_stays else ends > _at(before)
+    return df.filter(ends.isNull() | alive)

@@ -367,11 +367,22 @@ def i16(m):
 
 @query(
     "i17_expire",
-    "link_id l",
-    f"SELECT link_id FROM access_links WHERE expires_at >= TIMESTAMP '{NOW}'",
+    "rule s, link_id l",
+    f"""WITH timed AS (SELECT link_id, CASE WHEN link_id % 5 = 0 THEN NULL WHEN link_id % 5 = 1 THEN TIMESTAMP '{NOW}' ELSE expires_at END AS ends
+         FROM access_links)
+       SELECT 'window' AS rule, link_id FROM timed WHERE ends IS NULL OR ends >= TIMESTAMP '{NOW}'
+       UNION ALL SELECT 'session', link_id FROM timed WHERE ends IS NULL OR ends > TIMESTAMP '{NOW}'""",
 )
 def i17(m):
-    return retention.expire(m.access_links(), "expires_at", NOW)
+    """Links without an end, links that end exactly then, and others, under both rules."""
+    fifth = F.col("link_id") % 5
+    ends = F.when(fifth == 1, F.lit(NOW).cast("timestamp")).when(fifth != 0, F.col("expires_at"))
+    timed = m.access_links().withColumn("ends", ends)
+    rules = {"window": True, "session": False}
+    return reduce(
+        DataFrame.unionByName,
+        [retention.expire(timed, "ends", NOW, equal).select(F.lit(rule).alias("rule"), "link_id") for rule, equal in rules.items()],
+    )
 
 
 # -- profiles and content scans ---------------------------------------------------------------

@@ -229,18 +229,24 @@ def s6(m):
 @query(
     "s7_report_version",
     "partner_id l, period_end d, version l, cases l",
-    """SELECT partner_id, (date_trunc('year', opened_on) + INTERVAL 1 YEAR - INTERVAL 1 DAY)::DATE AS period_end, 1 AS version,
-       count(*) AS cases FROM eligible JOIN cases USING (case_id) GROUP BY ALL""",
+    """WITH report AS (SELECT partner_id, (date_trunc('year', opened_on) + INTERVAL 1 YEAR - INTERVAL 1 DAY)::DATE AS period_end, case_id
+         FROM eligible JOIN cases USING (case_id))
+       SELECT partner_id, period_end, 1 AS version, count_if(partner_id % 2 = 1 OR case_id % 2 = 0) AS cases FROM report GROUP BY ALL
+         HAVING count_if(partner_id % 2 = 1 OR case_id % 2 = 0) > 0
+       UNION ALL SELECT partner_id, period_end, 2, count(*) FROM report WHERE partner_id % 3 = 0 GROUP BY ALL""",
 )
 def s7(m):
-    """A report slice per partner and year is written, indexed, and read back through the index."""
+    """Slices per partner and year in several writes: two of version 1, one of a slice again, one of version 2."""
     from folioscope.plans.steps import eligible_cases
 
     report = eligible_cases(m).join(m.cases().select("case_id", "opened_on"), "case_id").select(
         "partner_id", F.make_date(F.year("opened_on"), F.lit(12), F.lit(31)).alias("period_end"), "case_id"
     )
     folder = work_folder(m.spark, "reports")
-    sinks.write_report_version(report, folder, version=1)
+    sinks.write_report_version(report.filter("partner_id % 2 = 1"), folder, version=1)
+    sinks.write_report_version(report.filter("partner_id % 2 = 0 and case_id % 2 = 0"), folder, version=1)
+    sinks.write_report_version(report.filter("partner_id % 2 = 0 and case_id % 2 = 0"), folder, version=1)
+    sinks.write_report_version(report.filter("partner_id % 3 = 0"), folder, version=2)
     visible = sinks.read_reports(m.spark, folder)
     return visible.groupBy("partner_id", "period_end", "version").agg(F.count(F.lit(1)).alias("cases"))
 

@@ -173,7 +173,9 @@ _CHUNKS_SQL = r"""SELECT o_custkey AS doc_id, 1 + o_orderkey % 5 AS page, 2.0::D
          + CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 0 END,
          CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'com espaço' ELSE ' F/' || o_orderkey END, o_orderkey * 8 + 2 FROM orders
        UNION ALL SELECT o_custkey, 6 + o_orderkey % 3, 100.0, 300.0, 'continuação', o_orderkey * 8 + 3 FROM orders WHERE o_orderstatus = 'O'
-       UNION ALL SELECT o_custkey, 1, 2.0, 20.0, 'Relatório', o_orderkey * 8 + 4 FROM orders WHERE o_orderstatus = 'F'"""
+       UNION ALL SELECT o_custkey, 1, 2.0, 20.0, 'Relatório', o_orderkey * 8 + 4 FROM orders WHERE o_orderstatus = 'F'
+       UNION ALL SELECT o_custkey, 1 + o_orderkey % 5, 140.0, 180.0 + 250 * ((o_orderkey // 5) % 6), '   ', o_orderkey * 8 + 5
+         FROM orders WHERE o_orderpriority = '2-HIGH'"""
 
 
 def _chunks(m):
@@ -201,6 +203,7 @@ def _chunks(m):
                   "if(o_orderpriority = '4-NOT SPECIFIED', 'com espaço', concat(' F/', o_orderkey))", 2),
             chunk("o_orderstatus = 'O'", "6 + o_orderkey % 3", 100, 300, "'continuação'", 3),
             chunk("o_orderstatus = 'F'", 1, 2, 20, "'Relatório'", 4),
+            chunk("o_orderpriority = '2-HIGH'", page, 140, f"180 + {y0}", "'   '", 5),
         ]
     )
     exploded = m.stored("orders").selectExpr(
@@ -212,7 +215,7 @@ def _chunks(m):
 @query(
     "r8_extract_blocks",
     "doc_id l, ordinal l, number s, folder s, page_start l, page_end l, flags s",
-    rf"""WITH ch AS ({_CHUNKS_SQL}),
+    rf"""WITH ch AS (SELECT * REPLACE (trim(text) AS text) FROM ({_CHUNKS_SQL}) WHERE trim(text) <> ''),
        anchors AS (SELECT * FROM ch WHERE regexp_matches(text, '(?i)^\s*Processo\b') AND abs(x - 2) <= 10),
        labels AS (SELECT * FROM ch WHERE regexp_matches(text, '(?i)^\s*Pasta\s*:?\s*$') AND abs(x - 93) <= 12),
        lab AS (SELECT a.chunk_id, count(l.chunk_id) AS n, min(l.y) AS ly, min(l.text) AS lt FROM anchors a LEFT JOIN labels l

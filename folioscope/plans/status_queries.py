@@ -73,13 +73,12 @@ def q9(m):
 @query(
     "q10_invalid_transitions",
     "batch_id l, seq l, violation s",
-    """SELECT batch_id, seq, violation FROM (SELECT e.batch_id, e.seq, CASE WHEN e.from_state || '>' || e.to_state NOT IN (
-           'uploaded>quarantined', 'quarantined>parsing', 'quarantined>rejected', 'quarantined>failed', 'parsing>parsed',
-           'parsing>needs_review', 'parsing>rejected', 'parsing>failed', 'parsed>reconciling', 'parsed>needs_review',
-           'reconciling>approved', 'reconciling>needs_review', 'reconciling>failed', 'needs_review>reconciling', 'needs_review>approved',
-           'needs_review>rejected', 'needs_review>superseded', 'failed>quarantined', 'approved>superseded') THEN 'not_allowed'
-         WHEN p.to_state <> e.from_state THEN 'chain_broken' END AS violation
-       FROM state_log e LEFT JOIN state_log p ON p.batch_id = e.batch_id AND p.seq = e.seq - 1) WHERE violation IS NOT NULL""",
+    f"""SELECT batch_id, seq, violation FROM (SELECT batch_id, seq,
+           CASE WHEN before IS NULL AND from_state IS NULL AND to_state = 'uploaded' THEN NULL
+             WHEN from_state IS NULL OR from_state || '>' || to_state NOT IN ({", ".join(f"'{a}>{b}'" for a, to in status.TRANSITIONS.items() for b in to)})
+               THEN 'not_allowed'
+             WHEN before IS DISTINCT FROM from_state THEN 'chain_broken' END AS violation
+         FROM (SELECT *, lag(to_state) OVER (PARTITION BY batch_id ORDER BY seq) AS before FROM state_log)) WHERE violation IS NOT NULL""",
 )
 def q10(m):
     return status.invalid_transitions(m.state_log())
@@ -125,11 +124,16 @@ def q12(m):
 
 @query(
     "q13_unlisted_audit",
-    "audit_id l, action s, reason_code s",
-    "SELECT audit_id, action, reason_code FROM audit_log WHERE action = 'unknown_action' OR reason_code = 'other_reason'",
+    "audit_id l, action s, entity_type s, reason_code s",
+    """SELECT audit_id, action, entity_type, reason_code FROM (SELECT audit_id, CASE WHEN audit_id % 11 <> 0 THEN action END AS action,
+         CASE audit_id % 13 WHEN 0 THEN NULL WHEN 1 THEN 'invoice' ELSE entity_type END AS entity_type, reason_code FROM audit_log)
+       WHERE action IS NULL OR action = 'unknown_action' OR entity_type IS NULL OR entity_type = 'invoice' OR reason_code = 'other_reason'""",
 )
 def q13(m):
-    return status.unlisted_audit(m.audit_log())
+    """Some events lose their action or entity, or get an entity that isn't listed."""
+    action = F.when(F.col("audit_id") % 11 != 0, F.col("action"))
+    entity = F.when(F.col("audit_id") % 13 == 1, "invoice").when(F.col("audit_id") % 13 != 0, F.col("entity_type"))
+    return status.unlisted_audit(m.audit_log().withColumns({"action": action, "entity_type": entity}))
 
 
 @query(

@@ -27,15 +27,19 @@ def _movements(events: DataFrame) -> DataFrame:
 
 @query(
     "st1_stream_movements",
-    "case_id l, fingerprint s",
-    """SELECT DISTINCT user_id AS case_id, concat_ws('|', strftime(ts, '%Y-%m-%d %H'), event_type) AS fingerprint FROM events
-       WHERE user_id IN (SELECT case_id FROM cases)""",
+    "part s, case_id l, fingerprint s",
+    """SELECT DISTINCT CASE WHEN case_id IN (SELECT case_id FROM cases) THEN 'new' ELSE 'missing_lawsuit' END AS part, case_id,
+         concat_ws('|', strftime(ts, '%Y-%m-%d %H'), event_type) AS fingerprint
+       FROM (SELECT *, CASE WHEN event_id % 17 = 0 THEN user_id + 1000000000 ELSE user_id END AS case_id FROM events)""",
 )
 def st1(m):
+    """One movement in 17 names a case that nobody knows."""
+    lost = F.when(F.col("event_id") % 17 == 0, F.col("user_id") + 1000000000).otherwise(F.col("user_id"))
     folder = work_folder(m.spark, "movements")
-    stream = _movements(event_stream(m))
-    jobs.stream_movements(stream, m.cases(), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
-    return m.spark.read.parquet(f"{folder}/table")
+    new, errors = f"{folder}/table", f"{folder}/errors"
+    jobs.stream_movements(_movements(event_stream(m).withColumn("user_id", lost)), m.cases(), new, errors, f"{folder}/checkpoint").awaitTermination()
+    parts = [m.spark.read.parquet(p).select(F.lit(n).alias("part"), "case_id", "fingerprint") for n, p in (("new", new), ("missing_lawsuit", errors))]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
@@ -78,11 +82,11 @@ def st3(m):
     "st4_stream_latest",
     "case_id l, last_movement_at t, last_movement_title s",
     f"""SELECT user_id AS case_id, ts AS last_movement_at, event_type AS last_movement_title FROM (SELECT *, row_number() OVER
-       (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events WHERE ts <= TIMESTAMP '{AS_OF}') WHERE rn = 1""",
+       (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events WHERE ts <= TIMESTAMP '{AS_OF}' AND user_id IN (SELECT case_id FROM cases)) WHERE rn = 1""",
 )
 def st4(m):
     folder = work_folder(m.spark, "latest")
-    latest = jobs.stream_latest(_movements(event_stream(m)), AS_OF)
+    latest = jobs.stream_latest(_movements(event_stream(m)), m.cases(), AS_OF)
     jobs.keep_latest_in_table(latest, f"{folder}/log", f"{folder}/checkpoint")
     return jobs.current_state(m.spark.read.parquet(f"{folder}/log"), "case_id")
 

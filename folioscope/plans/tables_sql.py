@@ -49,7 +49,8 @@ TABLES = {
             WHEN 2 THEN 'honorários  finais' ELSE 'REEMBOLSO' END END AS category,
         l_shipdate::DATE AS date_due, CASE WHEN l_linestatus = 'F' THEN l_shipdate::DATE END AS date_payment
         FROM lineitem""",
-    "movements": "SELECT event_id AS movement_id, user_id AS case_id, ts AS occurred_at, event_type AS title FROM events",
+    "movements": "SELECT event_id AS movement_id, user_id AS case_id, ts AS occurred_at, "
+    "(ts + to_hours(CAST(user_id % 9 - 3 AS INTEGER)))::DATE AS occurred_on, event_type AS title FROM events",
     "manifest": f"""SELECT o_orderkey AS item_id, o_custkey AS doc_id, o_orderkey AS ordinal,
         CASE o_orderstatus WHEN 'F' THEN {_MASK}
           WHEN 'O' THEN lpad((CASE WHEN o_orderpriority = '2-HIGH' THEN o_orderkey + 500000000 ELSE o_orderkey END)::VARCHAR, 20, '0')
@@ -140,8 +141,9 @@ TABLES = {
         CASE WHEN event_type = 'click' THEN 'none' ELSE 'user' END AS entity_type,
         CASE WHEN event_type = 'error' THEN CASE WHEN value > 50 THEN 'other_reason' ELSE 'rate_limited' END END
           AS reason_code FROM events""",
-    "state_log": """SELECT conv_id AS batch_id, turn AS seq, names[turn % 9 + 1] AS from_state,
-        CASE WHEN role = 'system' THEN 'failed' ELSE names[(turn + 1) % 9 + 1] END AS to_state
+    "state_log": """SELECT conv_id AS batch_id, turn * (1 + conv_id % 3) AS seq,
+        CASE WHEN turn = 0 OR conv_id % 5 = 4 THEN NULL ELSE names[(turn - 1) % 9 + 1] END AS from_state,
+        CASE WHEN role = 'system' AND conv_id % 2 = 1 THEN 'failed' ELSE names[turn % 9 + 1] END AS to_state
         FROM conversations, (SELECT ['uploaded', 'quarantined', 'parsing', 'parsed', 'reconciling', 'needs_review',
           'approved', 'superseded', 'failed'] AS names)""",
     "users": """SELECT c_custkey AS user_id, c_name AS login,

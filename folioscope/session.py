@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,6 +17,8 @@ SETTINGS = {
     # Generated methods above this size are not compiled by the JVM; wide projections then run
     # faster as several small methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # The state of streams outgrows a heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -33,14 +33,9 @@ def build_session(app: str = "folioscope", master: str | None = None, **extra: s
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under the shared one that ``spark.checkpoint.dir`` names, else under the warehouse.
 
-    ``spark.checkpoint.dir`` names that folder; only a local session without it gets a
-    temporary one.
+    The caller owns it and removes it when the result has been used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = os.path.join(tempfile.gettempdir(), "folioscope")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

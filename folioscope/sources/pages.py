@@ -70,8 +70,8 @@ def check_pages(pages: DataFrame) -> DataFrame:
     return measured.select("requested_offset", "row_count", "total", violation.alias("violation"))
 
 
-def check_scan(pages: DataFrame, id_name: str = "id", cap: int | None = None) -> DataFrame:
-    """One row about a whole scan: constant total, no gaps, unique ids, optional size limit.
+def check_scan(pages: DataFrame, id_name: str = "id") -> DataFrame:
+    """One row about a whole scan: constant total, no gaps, unique ids.
 
     Every page end but the total must be the start of another page; starts and ends are counted
     against each other per offset, so no window runs over all pages.
@@ -105,7 +105,6 @@ def check_scan(pages: DataFrame, id_name: str = "id", cap: int | None = None) ->
         F.count("violation").alias("page_violations"),
         F.min("requested_offset").alias("_start"),
     )
-    too_many = F.lit(False) if cap is None else F.col("total") > cap
     return (
         summary.withColumn("gaps", gaps.agg(F.count(F.lit(1)).alias("n")).scalar())
         .withColumn("repeated_in_page", repeats.select("in_page").scalar())
@@ -118,8 +117,7 @@ def check_scan(pages: DataFrame, id_name: str = "id", cap: int | None = None) ->
             & (F.col("records") == F.col("total"))
             & (F.col("page_violations") == 0)
             & (F.col("repeated_in_page") == 0)
-            & (F.col("repeated_across_pages") == 0)
-            & ~too_many,
+            & (F.col("repeated_across_pages") == 0),
         )
         .drop("_start")
     )

@@ -120,7 +120,12 @@ class Model:
 
     def movements(self) -> DataFrame:
         return self.stored("events").selectExpr(
-            "event_id as movement_id", "user_id as case_id", "ts as occurred_at", "event_type as title"
+            "event_id as movement_id",
+            "user_id as case_id",
+            "ts as occurred_at",
+            # Each source has its own offset, from three hours behind to five ahead.
+            "cast(ts + make_interval(0, 0, 0, 0, cast(user_id % 9 - 3 as int)) as date) as occurred_on",
+            "event_type as title",
         )
 
     # -- reconciliation ------------------------------------------------------------------
@@ -325,16 +330,16 @@ class Model:
         )
 
     def state_log(self) -> DataFrame:
-        """State changes of one import per conversation, one per turn."""
+        """State changes of one import per conversation, one per turn; the numbers of some leave gaps."""
         states = (
             "array('uploaded', 'quarantined', 'parsing', 'parsed', 'reconciling', 'needs_review', 'approved',"
             " 'superseded', 'failed')"
         )
         return self.stored("conversations").selectExpr(
             "conv_id as batch_id",
-            "turn as seq",
-            f"element_at({states}, cast(turn % 9 as int) + 1) as from_state",
-            f"if(role = 'system', 'failed', element_at({states}, cast((turn + 1) % 9 as int) + 1)) as to_state",
+            "turn * (1 + conv_id % 3) as seq",
+            f"if(turn = 0 or conv_id % 5 = 4, null, element_at({states}, cast((turn - 1) % 9 as int) + 1)) as from_state",
+            f"if(role = 'system' and conv_id % 2 = 1, 'failed', element_at({states}, cast(turn % 9 as int) + 1)) as to_state",
         )
 
     # -- accounts ------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,30 +25,28 @@ def write_summary(summary: DataFrame, path: str) -> None:
 def write_report_version(report: DataFrame, path: str, version: int) -> None:
     """Writes the (partner, period) slices of one version; the index that makes them visible comes last.
 
-    A retry overwrites exactly the partitions it writes, so it cannot leave half a version behind.
+    Every write has a number of its own and so its own folder. The index rows are counted from what
+    was written, so the report is computed once; a write that broke off has no index rows and stays
+    unseen. A later write of a slice of the same version takes its place, other slices stay.
     """
+    write_id = time.time_ns()
+    folder = f"{path}/slices/write_id={write_id}"
     slices = report.withColumn("version", F.lit(version).cast("bigint"))
-    (
-        # Rows of one slice meet in few files, and a big slice may still use several tasks.
-        slices.repartition(*SLICE_KEYS[:2], F.pmod(F.xxhash64(*report.columns), F.lit(8)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*SLICE_KEYS)
-        .parquet(f"{path}/slices")
-    )
-    counts = slices.groupBy(*SLICE_KEYS).agg(F.count(F.lit(1)).alias("rows"))
-    (
-        counts.withColumn("part", F.col("version"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("part")
-        .parquet(f"{path}/index")
-    )
+    # Rows of one slice meet in few files, and a big slice is dealt to several tasks by its size.
+    slices.hint("rebalance", *SLICE_KEYS[:2]).write.partitionBy(*SLICE_KEYS).parquet(folder)
+    written = _with_types(report.sparkSession.read.parquet(folder), slices)
+    counts = written.groupBy(*SLICE_KEYS).agg(F.count(F.lit(1)).alias("rows"))
+    counts.withColumn("write_id", F.lit(write_id)).write.mode("append").parquet(f"{path}/index")
+
+
+def _with_types(read: DataFrame, like: DataFrame) -> DataFrame:
+    """Partition columns come back with guessed types."""
+    return read.select(*[F.col(k).cast(like.schema[k].dataType) if k in SLICE_KEYS else F.col(k) for k in read.columns])
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of indexed slices only."""
-    index = spark.read.parquet(f"{path}/index").select(*SLICE_KEYS)
-    slices = spark.read.parquet(f"{path}/slices")
-    typed = slices.select(*[F.col(k).cast(index.schema[k].dataType) if k in SLICE_KEYS else F.col(k) for k in slices.columns])
-    return typed.join(index, list(SLICE_KEYS), "left_semi")
+    """Rows of indexed slices only, each slice from its last write."""
+    index = spark.read.parquet(f"{path}/index")
+    last = index.groupBy(*SLICE_KEYS).agg(F.max("write_id").alias("write_id"))
+    slices = _with_types(spark.read.parquet(f"{path}/slices"), index)
+    return slices.join(last, [*SLICE_KEYS, "write_id"], "left_semi").drop("write_id")

@@ -13,33 +13,43 @@ from folioscope.operators.spread import first_rows
 MOVEMENT_KEYS = ("case_id", "fingerprint")
 
 
-def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """A parquet folder, or no rows when it does not exist yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(like.schema).parquet(path) if exists else like.limit(0)
+def _table(like: DataFrame, path: str) -> None:
+    """Creates the folder of a table, so that the first batch finds it."""
+    like.sparkSession.createDataFrame([], like.schema).write.mode("append").partitionBy(*PARTS).parquet(path)
+
+
+#: Stored rows lie by day, and within a day by batch, so that a batch reads the days that it has itself.
+PARTS = ("day", "batch")
 
 
 def stream_movements(
-    stream: DataFrame, cases: DataFrame, target: str, checkpoint: str, watermark: str = "7 days"
+    stream: DataFrame, cases: DataFrame, target: str, errors: str, checkpoint: str, watermark: str = "7 days"
 ) -> StreamingQuery:
-    """Appends new movements by (case, fingerprint).
+    """Appends new movements by (case, fingerprint); movements of unknown cases go to ``errors``.
 
     State keeps one key per movement of the watermark span; a copy that comes later is caught by an
-    anti-join with the stored table. Each batch owns its folder, so a repeated batch replaces itself.
-    Movements older than the watermark are dropped and counted in the query's progress.
+    anti-join with the stored rows of its day, since a fingerprint covers the instant. Each batch owns
+    its folders, so a repeated batch replaces itself. Movements older than the watermark are dropped
+    and counted in the query's progress.
     """
-    # The watermark column is part of the key, so a copy of an old movement meets its own state.
     unique = stream.withWatermark("occurred_at", watermark).dropDuplicatesWithinWatermark(list(MOVEMENT_KEYS))
+    known = cases.select("case_id").distinct()
+    schema = stream.select("*", F.to_date("occurred_at").alias("day"), F.lit(0).cast("bigint").alias("batch")).schema
+    spark = stream.sparkSession
+    for folder in (target, errors):
+        _table(spark.createDataFrame([], schema), folder)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        numbered = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
-        stored = _read_or_empty(spark, target, numbered).filter(F.col("batch") != batch_id)
-        fresh = numbered.join(cases.select("case_id"), "case_id", "left_semi").join(
+        session = batch.sparkSession
+        numbered = batch.withColumns({"day": F.to_date("occurred_at"), "batch": F.lit(batch_id).cast("bigint")})
+        days = [r["day"] for r in numbered.select("day").distinct().collect()]
+        stored = session.read.schema(schema).parquet(target).filter(F.col("day").isin(days) & (F.col("batch") < batch_id))
+        fresh = numbered.join(known, "case_id", "left_semi").join(
             stored.select(*MOVEMENT_KEYS), list(MOVEMENT_KEYS), "left_anti"
         )
-        _write_batch(fresh, target)
+        _write_batch(fresh, target, PARTS)
+        lost = numbered.filter("case_id is not null").join(known, "case_id", "left_anti")
+        _write_batch(lost, errors, PARTS)
 
     return (
         unique.writeStream.foreachBatch(append)
@@ -49,11 +59,11 @@ def stream_movements(
     )
 
 
-def _write_batch(rows: DataFrame, target: str) -> None:
+def _write_batch(rows: DataFrame, target: str, parts: tuple[str, ...] = ("batch",)) -> None:
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch")
+        .partitionBy(*parts)
         .parquet(target)
     )
 
@@ -71,12 +81,15 @@ def stream_upsert(
     Only changed rows are written, never the whole state; :func:`current_state` reads the newest row
     per key. The lookup of stored digests is limited to the keys of the batch.
     """
+    empty = stream.sparkSession.createDataFrame([], stream.schema.add("batch", "long").add("action", "string"))
+    empty.write.mode("append").partitionBy("batch").parquet(target)
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = first_rows(batch, [key], [F.col(order_col).desc(), F.col(hash_col).desc()])
         numbered = newest.withColumn("batch", F.lit(batch_id).cast("bigint"))
         with_action = numbered.withColumn("action", F.lit(""))
-        stored = _read_or_empty(spark, target, with_action).filter(F.col("batch") < batch_id)
+        stored = spark.read.schema(with_action.schema).parquet(target).filter(F.col("batch") < batch_id)
         touched = stored.join(numbered.select(key), key, "left_semi")
         known = current_state(touched, key).select(key, F.col(hash_col).alias("_stored"))
         action = F.when(F.col("_stored").isNull(), "insert").when(F.col("_stored") != F.col(hash_col), "update")
@@ -91,9 +104,10 @@ def stream_upsert(
     )
 
 
-def stream_latest(stream: DataFrame, as_of: dt.datetime | str | None = None) -> DataFrame:
-    """Latest movement per case, kept up to date (update or complete mode)."""
+def stream_latest(stream: DataFrame, cases: DataFrame, as_of: dt.datetime | str | None = None) -> DataFrame:
+    """Latest movement per known case, kept up to date (update or complete mode)."""
     seen = stream if as_of is None else stream.filter(F.col("occurred_at") <= F.lit(str(as_of)).cast("timestamp"))
+    seen = seen.join(cases.select("case_id").distinct(), "case_id", "left_semi")
     best = F.max(F.struct("occurred_at", (-F.col("movement_id")).alias("_minus_id"), "title"))
     return seen.groupBy("case_id").agg(best.alias("_best")).select(
         "case_id",

@@ -60,10 +60,31 @@ def test_run_status_needs_a_full_scan_without_open_errors(spark):
 
 def test_transitions(spark, rows):
     events = spark.createDataFrame(
-        [(1, 0, "uploaded", "quarantined"), (1, 1, "quarantined", "parsing"), (1, 2, "parsed", "reconciling"), (2, 0, "approved", "parsed")],
+        [
+            (1, 0, None, "uploaded"), (1, 7, "uploaded", "quarantined"), (1, 9000, "quarantined", "parsing"), (1, 9001, "parsed", "reconciling"),
+            (2, 0, "approved", "parsed"), (3, 1, None, "uploaded"), (3, 3, None, "uploaded"), (4, 0, "uploaded", "quarantined"),
+            (5, 0, None, "uploaded"), (5, 1, "uploaded", "quarantined"), (5, 3, "parsing", "parsed"),
+        ],
         "batch_id long, seq long, from_state string, to_state string",
+    )
+    assert rows(status.invalid_transitions(events), "batch_id", "seq", "violation") == [
+        (1, 9001, "chain_broken"), (2, 0, "not_allowed"), (3, 3, "not_allowed"), (4, 0, "chain_broken"), (5, 3, "chain_broken"),
+    ]
+
+
+def test_events_without_action_or_entity_are_unlisted(spark, rows):
+    events = spark.createDataFrame(
+        [(1, None, "user", None), (2, "logout", None, None), (3, "logout", "user", None), (4, "logout", "user", "other")],
+        "audit_id long, action string, entity_type string, reason_code string",
     )
-    assert rows(status.invalid_transitions(events), "batch_id", "seq", "violation") == [(1, 2, "chain_broken"), (2, 0, "not_allowed")]
+    assert rows(status.unlisted_audit(events), "audit_id") == [(1,), (2,), (4,)]
+
+
+def test_rows_without_an_end_stay(spark, rows):
+    cut, earlier = dt.datetime(2026, 1, 1), dt.datetime(2025, 12, 31)
+    df = spark.createDataFrame([(1, None), (2, cut), (3, earlier)], "id long, ends timestamp")
+    assert rows(retention.expire(df, "ends", cut), "id") == [(1,), (2,)]
+    assert rows(retention.expire(df, "ends", cut, equal_stays=False), "id") == [(1,)]
 
 
 def _login_events(spark):
@@ -94,16 +115,19 @@ def test_stream_twins(spark, rows, tmp_path):
     def stream():
         return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
 
-    query = jobs.stream_movements(stream(), cases, str(tmp_path / "m"), str(tmp_path / "cm"))
+    query = jobs.stream_movements(stream(), cases, str(tmp_path / "m"), str(tmp_path / "me"), str(tmp_path / "cm"))
     query.awaitTermination()
     whole = spark.createDataFrame(data, schema).withColumn("page_offset", F.lit(0))
     batch = incremental.append_movements(whole.limit(0), whole, cases)["new"]
     keys = ("case_id", "fingerprint")
     assert rows(spark.read.parquet(str(tmp_path / "m")), *keys) == rows(batch, *keys)
 
-    jobs.keep_latest_in_table(jobs.stream_latest(stream()), str(tmp_path / "l"), str(tmp_path / "cl"))
+    lost = incremental.append_movements(whole.limit(0), whole, cases)["errors"]
+    assert rows(spark.read.parquet(str(tmp_path / "me")).select("case_id").distinct()) == rows(lost.select("case_id").distinct())
+
+    jobs.keep_latest_in_table(jobs.stream_latest(stream(), cases), str(tmp_path / "l"), str(tmp_path / "cl"))
     latest = jobs.current_state(spark.read.parquet(str(tmp_path / "l")), "case_id")
-    assert rows(latest, "case_id", "last_movement_at") == rows(jobs.stream_latest(whole), "case_id", "last_movement_at")
+    assert rows(latest, "case_id", "last_movement_at") == rows(jobs.stream_latest(whole, cases), "case_id", "last_movement_at")
 
     hashed = stream().select("case_id", "occurred_at", F.col("fingerprint").alias("row_hash"))
     jobs.stream_upsert(hashed, "case_id", "row_hash", "occurred_at", str(tmp_path / "u"), str(tmp_path / "cu")).awaitTermination()

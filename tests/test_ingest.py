@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import formats
 from folioscope.functions import scalars as s
-from folioscope.operators import profile
+from folioscope.operators import coverage, profile
 from folioscope.sources import normalize, pages, sinks, synthetic, tables
 
 
@@ -157,7 +157,31 @@ def test_sinks_and_external_view(spark, tmp_path):
     for version in (1, 2):
         sinks.write_report_version(report, str(tmp_path / "r"), version)
     sinks.write_report_version(report, str(tmp_path / "r"), 2)
-    assert sinks.read_reports(spark, str(tmp_path / "r")).count() == 2
+    other = report.withColumn("partner_id", F.lit(2).cast("bigint"))
+    sinks.write_report_version(other, str(tmp_path / "r"), 1)
+    sinks.write_report_version(other.withColumn("case_id", F.lit(6).cast("bigint")), str(tmp_path / "r"), 1)
+    found = sinks.read_reports(spark, str(tmp_path / "r")).select("partner_id", "version", "case_id").collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1, 5), (1, 2, 5), (2, 1, 6)]
+
+
+def test_iso_forms(spark):
+    day = dt.datetime(2024, 1, 1, 10, 0)
+    forms = {
+        "2024-01-01T10:00:00.1234567Z": day.replace(microsecond=123456), "2024-01-01T10": day + dt.timedelta(hours=3),
+        "20240101T101010": dt.datetime(2024, 1, 1, 13, 10, 10), "20240101T101010Z": dt.datetime(2024, 1, 1, 10, 10, 10),
+        "2024-01-01 10:00+02": day - dt.timedelta(hours=2), "20240101": dt.datetime(2024, 1, 1, 3), "2024-01-01T1010-0300": dt.datetime(2024, 1, 1, 13, 10),
+        "2024-01-01T10:00:00,5Z": day.replace(microsecond=500000), "2024-13-01T10": None, "2024-01-01T": None, "20240101T1": None, "2024": None,
+    }
+    df = spark.createDataFrame([(t,) for t in forms], "t string")
+    found = {r["t"]: r["m"] for r in df.select("t", s.iso_timestamp_text(F.col("t")).alias("m")).collect()}
+    assert found == forms
+
+
+def test_movement_age_counts_from_its_own_day(spark, rows):
+    late = dt.datetime(2024, 1, 21, 2, 30)  # half past eleven the evening before, three hours behind
+    movements = spark.createDataFrame([(1, late, dt.date(2024, 1, 20))], "case_id long, occurred_at timestamp, occurred_on date")
+    cases = spark.createDataFrame([(1,), (2,)], "case_id long")
+    assert rows(coverage.movement_age(cases, movements, "2024-01-20")) == [("0_30_days", 1), ("without_movement", 1)]
 
 
 def test_synthetic_portfolio_sizes(spark):

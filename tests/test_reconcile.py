@@ -124,3 +124,9 @@ def test_items_are_numbered_and_flagged(spark):
         (None, "PASTA-02", ["invalid_identifier"]),
         ("12345678920261234568", "PASTA-03", []),
     ]
+
+
+def test_blank_chunks_say_nothing(spark):
+    blank = [(1, 1, 140.0, 180.0, "  ", 50), (1, 1, 136.0, 181.0, "\t", 51)]
+    chunks = _chunks(spark, [("", " PASTA-01 ")]).unionByName(spark.createDataFrame(blank, CHUNK))
+    assert [(r["folder"], r["quality_flags"]) for r in blocks.extract_blocks(chunks).collect()] == [("PASTA-01", [])]
