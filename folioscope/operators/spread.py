@@ -66,7 +66,14 @@ def positions(
     into slices along the levels and the digits of the id; slice sizes are summed level by level
     and only a slice is sorted in one task. Where the levels alone leave small groups, fewer
     ``id_levels`` save shuffles.
+
+    Where no group is larger than a slice may be, the numbers come from one window; a count with
+    map-side combine, run beforehand, tells.
     """
+    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0] or 0
+    if largest <= 1 << _DIGIT:
+        order = [c for level in before_id for c in level]
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order, id_col)).cast("bigint"))
     slices = id_digits(id_col) if id_levels == 2 else [F.shiftright(F.col(id_col), _DIGIT)]
     digits = {f"_d{i}": c for i, c in enumerate(slices)}
     sliced = df.withColumns(digits)

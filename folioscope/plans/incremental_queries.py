@@ -112,12 +112,11 @@ def i3(m):
     return _transaction_parts(m)["transactions"]
 
 
-@query(
-    "i3_changed_cases",
-    "case_id l",
-    f"""SELECT DISTINCT c AS case_id FROM (SELECT case_id AS c FROM ({TRANSACTION_STATE_SQL}) WHERE action <> 'keep'
-        UNION ALL SELECT old_case FROM ({TRANSACTION_STATE_SQL}) WHERE action <> 'keep') WHERE c IS NOT NULL""",
-)
+CHANGED_CASES_SQL = f"""SELECT DISTINCT c AS case_id FROM (SELECT case_id AS c FROM ({TRANSACTION_STATE_SQL}) WHERE action <> 'keep'
+        UNION ALL SELECT old_case FROM ({TRANSACTION_STATE_SQL}) WHERE action <> 'keep') WHERE c IS NOT NULL"""
+
+
+@query("i3_changed_cases", "case_id l", CHANGED_CASES_SQL)
 def i3_cases(m):
     return _transaction_parts(m)["changed_cases"]
 
@@ -146,15 +145,20 @@ def i4(m):
 @query(
     "i5_changed_partners",
     "run_id l, partner_id l",
-    f"""WITH hit AS (SELECT 'customer' AS t, customer_id AS id FROM ({CUSTOMER_STATE_SQL}) WHERE action IN ('insert', 'update')
+    f"""WITH changed_cases AS ({CHANGED_CASES_SQL} UNION SELECT case_id FROM movements
+         WHERE title NOT IN ('view', 'signup') AND case_id IN (SELECT case_id FROM cases)),
+       hit AS (SELECT 'customer' AS t, customer_id AS id FROM ({CUSTOMER_STATE_SQL}) WHERE action IN ('insert', 'update')
          UNION SELECT 'case', case_id FROM case_customers WHERE customer_id IN
-           (SELECT customer_id FROM ({CUSTOMER_STATE_SQL}) WHERE action IN ('insert', 'update')))
+           (SELECT customer_id FROM ({CUSTOMER_STATE_SQL}) WHERE action IN ('insert', 'update'))
+         UNION SELECT 'case', case_id FROM changed_cases
+         UNION SELECT 'customer', customer_id FROM case_customers WHERE case_id IN (SELECT case_id FROM changed_cases))
        SELECT DISTINCT 7 AS run_id, partner_id FROM active_links JOIN hit ON t = entity_type AND id = entity_id""",
 )
 def i5(m):
+    """Partners of changed customers, of the old and new cases of transactions, and of cases with new movements."""
     changed = incremental.changed_keys(_customer_state(m), "customer_id")
-    nothing = m.cases().filter("false").select("case_id")
-    affected = links.affected_partners(changed, nothing, m.case_customers(), m.links(), LINK_DAY)
+    cases = _transaction_parts(m)["changed_cases"].unionByName(_movement_parts(m)["changed_cases"]).distinct()
+    affected = links.affected_partners(changed, cases, m.case_customers(), m.links(), LINK_DAY)
     return incremental.changed_partners(7, affected)
 
 

@@ -515,14 +515,12 @@ def n17(m):
         replace(regexp_replace(CAST(round(CAST(amount AS DECIMAL(30,5)) * 0.001, 2) AS DECIMAL(18,2))::VARCHAR, '\.?0+$', ''), '.', ',') || '%' AS percent,
         coalesce(strftime(date_payment, '%d/%m/%Y'), '—') AS day,
         regexp_replace(lpad(case_id::VARCHAR, 20, '0'), '^([0-9]{7})([0-9]{2})([0-9]{4})([0-9])([0-9]{2})([0-9]{4})$', '\1-\2.\3.\4.\5.\6') AS number
-        FROM (SELECT * REPLACE (CASE WHEN entry_type = 'expense' THEN -amount ELSE amount END AS amount) FROM transactions)
-        WHERE case_id IS NOT NULL AND amount IS NOT NULL""",
+        FROM (SELECT * REPLACE (CASE WHEN entry_type = 'expense' THEN -amount ELSE amount END AS amount) FROM transactions)""",
 )
 def n18(m):
     signed = F.when(F.col("entry_type") == "expense", -F.col("amount")).otherwise(F.col("amount"))
     return (
         m.transactions()
-        .filter("case_id is not null and amount is not null")
         .withColumn("amount", signed)
         .select(
             "entry_id",
@@ -603,14 +601,14 @@ def n23(m):
     "n24_parse_percent",
     "entry_id l, percent m",
     """SELECT entry_id, CASE WHEN v BETWEEN 0 AND 100 THEN CAST(round_even(v, 2) AS DECIMAL(5,2)) END AS percent FROM (SELECT entry_id,
-       CAST(round(CAST(amount AS DECIMAL(30,5)) * 0.002, 3) AS DECIMAL(18,3)) * CASE WHEN entry_type = 'expense' THEN -1 ELSE 1 END AS v FROM transactions WHERE amount IS NOT NULL)""",
+       CAST(round(CAST(amount AS DECIMAL(30,5)) * 0.002, 3) AS DECIMAL(18,3)) * CASE WHEN entry_type = 'expense' THEN -1 ELSE 1 END AS v FROM transactions)""",
 )
 def n24(m):
     """Amounts written as percent texts with a comma and three places."""
     sign = F.when(F.col("entry_type") == "expense", "-").otherwise(" ")
     number = F.translate((F.col("amount") / 500).cast("decimal(18,3)").cast("string"), ".", ",")
     written = F.concat(sign, number, F.lit("%"))
-    return m.transactions().filter("amount is not null").select("entry_id", s.parse_percent(written).alias("percent"))
+    return m.transactions().select("entry_id", s.parse_percent(written).alias("percent"))
 
 
 @query(

@@ -145,10 +145,10 @@ def l8(m):
 
 @query(
     "l9_availability",
-    "case_id l, status s, fees m, source s, reason s, consistent b",
-    """SELECT case_id, CASE WHEN amount IS NULL THEN 'not_provided' ELSE 'available' END AS status, amount AS fees,
+    "entry_id l, case_id n, status s, fees m, source s, reason s, consistent b",
+    """SELECT entry_id, case_id, CASE WHEN amount IS NULL THEN 'not_provided' ELSE 'available' END AS status, amount AS fees,
        'transactions' AS source, CASE WHEN amount IS NULL THEN 'no_amount' END AS reason, TRUE AS consistent
-       FROM transactions WHERE case_id IS NOT NULL""",
+       FROM transactions""",
 )
 def l9(m):
     from folioscope.functions.availability import availability, is_consistent
@@ -158,9 +158,8 @@ def l9(m):
     )
     return (
         m.transactions()
-        .filter("case_id is not null")
-        .select("case_id", wrapped.alias("w"))
-        .select("case_id", "w.status", F.col("w.value").alias("fees"), "w.source", "w.reason", is_consistent(F.col("w")).alias("consistent"))
+        .select("entry_id", "case_id", wrapped.alias("w"))
+        .select("entry_id", "case_id", "w.status", F.col("w.value").alias("fees"), "w.source", "w.reason", is_consistent(F.col("w")).alias("consistent"))
     )
 
 

@@ -274,15 +274,14 @@ RESOLVED_SQL = f"""SELECT batch_id, item_id, target_id, CASE WHEN status = 'matc
            WHEN count(*) OVER (PARTITION BY batch_id, target_id) > 1 THEN 'target_repeated' END AS block_reason
        FROM (SELECT i.*, b.state, c.review_id, CASE WHEN i.status = 'matched' THEN matched_id
            WHEN i.status IN ('unmatched', 'ambiguous') THEN after_id END AS target_id
-         FROM items i JOIN {_LATEST_RUN.replace('FROM runs', 'FROM first_runs')} r ON r.batch_id = i.batch_id AND r.run_id = i.run_id
+         FROM items i JOIN {_LATEST_RUN} r ON r.batch_id = i.batch_id AND r.run_id = i.run_id
          JOIN batches b ON b.batch_id = i.batch_id LEFT JOIN {_LATEST_CORRECTION} c ON c.item_id = i.item_id)
        LEFT JOIN (SELECT case_id AS target_id, TRUE AS live FROM targets WHERE status = 'active') USING (target_id)"""
 
 
 def _resolved(m):
-    """Items resolved against the first run of each batch, the one the sample items belong to."""
-    first_runs = m.runs().filter("run_id = batch_id * 2")
-    return reconcile.resolve_for_approval(m.items(), m.reviews(), m.targets(), first_runs, m.batches())
+    """The items of the latest run of each batch, resolved."""
+    return reconcile.resolve_for_approval(m.items(), m.reviews(), m.targets(), m.runs(), m.batches())
 
 
 @query("r10_resolve_for_approval", "batch_id l, item_id s, target_id n, link_method s, link_evidence s, block_reason s", RESOLVED_SQL)
@@ -434,11 +433,11 @@ def r19(m):
 @query(
     "r20_correctable",
     "item_id s, after_id l",
-    f"""SELECT item_id, after_id FROM reviews JOIN items i USING (item_id) JOIN {_LATEST_RUN.replace('FROM runs', 'FROM first_runs')} r
+    f"""SELECT item_id, after_id FROM reviews JOIN items i USING (item_id) JOIN {_LATEST_RUN} r
          ON r.batch_id = i.batch_id AND r.run_id = i.run_id
        WHERE decision = 'corrected' AND i.status IN ('unmatched', 'ambiguous')
          AND after_id IN (SELECT case_id FROM targets WHERE status = 'active')""",
 )
 def r20(m):
     wanted = m.reviews().filter("decision = 'corrected'").select("item_id", "after_id")
-    return reconcile.correctable(m.items(), m.runs().filter("run_id = batch_id * 2"), m.targets(), wanted)
+    return reconcile.correctable(m.items(), m.runs(), m.targets(), wanted)

@@ -7,14 +7,9 @@ from folioscope.plans.latest_queries import STATUS_SQL
 from folioscope.plans.reconcile_queries import _LATEST_CORRECTION, _LATEST_RUN
 from folioscope.plans.registry import query
 
-FIRST_RUN = _LATEST_RUN.replace("FROM runs", "FROM first_runs")
 NOW = "1998-02-01 12:00:00"
 
 
-def _first_runs(m):
-    return m.runs().filter("run_id = batch_id * 2")
-
-
 @query("q7_partner_status", "partner_id l, report_status s", STATUS_SQL)
 def q7(m):
     changes = latest.last_change(m.changed_partners(), m.run_log())
@@ -23,7 +18,7 @@ def q7(m):
 
 REPROCESS_SQL = f"""SELECT batch_id, r.run_id, coalesce(a.run_id = r.run_id AND NOT coalesce(processing_status = 'succeeded'
          AND processing_finished_at > a.created_at, FALSE), FALSE) AS reprocess_pending
-       FROM batches JOIN {FIRST_RUN} r USING (batch_id) LEFT JOIN (SELECT batch_id, run_id, created_at FROM (SELECT *, row_number() OVER
+       FROM batches JOIN {_LATEST_RUN} r USING (batch_id) LEFT JOIN (SELECT batch_id, run_id, created_at FROM (SELECT *, row_number() OVER
          (PARTITION BY batch_id ORDER BY review_revision DESC, review_id DESC) AS rn FROM reviews WHERE decision = 'reprocess_requested')
          WHERE rn = 1) a USING (batch_id)"""
 
@@ -33,7 +28,7 @@ BLOCKED_SQL = f"""SELECT b.*, coalesce(issues, 0) AS open_issues, coalesce(n_ite
        FROM batches b LEFT JOIN (SELECT i.batch_id, count(*) AS n_items,
            count_if(NOT (status = 'matched' OR (status IN ('unmatched', 'ambiguous') AND c.item_id IS NOT NULL))) AS unsolved,
            count_if(status <> 'matched' AND c.item_id IS NULL) AS issues
-         FROM items i JOIN {FIRST_RUN} r ON r.run_id = i.run_id LEFT JOIN {_LATEST_CORRECTION} c ON c.item_id = i.item_id GROUP BY 1)
+         FROM items i JOIN {_LATEST_RUN} r ON r.run_id = i.run_id LEFT JOIN {_LATEST_CORRECTION} c ON c.item_id = i.item_id GROUP BY 1)
          USING (batch_id)
        LEFT JOIN (SELECT batch_id, count(*) AS n_rows, count_if(list_contains(quality_flags, 'missing_identifier')) AS n_flagged
          FROM items GROUP BY 1) USING (batch_id)
@@ -43,7 +38,7 @@ BLOCKED_SQL = f"""SELECT b.*, coalesce(issues, 0) AS open_issues, coalesce(n_ite
 
 
 def _blocked(m):
-    return status.approval_blocked(m.batches(), _first_runs(m), m.items(), m.reviews())
+    return status.approval_blocked(m.batches(), m.runs(), m.items(), m.reviews())
 
 
 @query(
@@ -57,12 +52,11 @@ def _blocked(m):
            WHEN open_issues > 0 THEN 'issues' WHEN approval_blocked THEN 'blocked' ELSE 'ready' END
          WHEN state = 'approved' AND q.status = 'failed' THEN 'generation_failed'
          WHEN state = 'approved' THEN 'approved' ELSE 'processing' END AS stage
-       FROM ({BLOCKED_SQL}) b LEFT JOIN (SELECT * FROM versions WHERE storage_key IS NULL) v USING (batch_id)
+       FROM ({BLOCKED_SQL}) b LEFT JOIN versions v USING (batch_id)
        LEFT JOIN requests q USING (batch_id)""",
 )
 def q8(m):
-    """Only versions without a stored object count here, so that open stages occur as well."""
-    return status.batch_stage(_blocked(m), m.versions().filter("storage_key is null"), m.requests())
+    return status.batch_stage(_blocked(m), m.versions(), m.requests())
 
 
 @query("q9_approval_blocked", "batch_id l, open_issues l, approval_blocked b", BLOCKED_SQL)
@@ -86,7 +80,7 @@ def q10(m):
 
 @query("q11_reprocess_pending", "batch_id l, run_id l, reprocess_pending b", REPROCESS_SQL)
 def q11(m):
-    return status.reprocess_pending(m.batches(), _first_runs(m), m.reviews())
+    return status.reprocess_pending(m.batches(), m.runs(), m.reviews())
 
 
 @query(
@@ -144,13 +138,13 @@ def q13(m):
            OR timezone('America/Sao_Paulo', timezone('UTC', snapshot_verified_at))::DATE < period_end THEN 'snapshot_incomplete'
          WHEN coalesce(n_rows, 0) <> result_total OR coalesce(n_links, 0) <> result_total OR coalesce(flagged, 0) > 0
            OR coalesce(uncovered, 0) > 0 THEN 'review_incomplete' END AS gate_reason
-       FROM batches b LEFT JOIN (SELECT * FROM first_runs) r USING (batch_id)
+       FROM batches b LEFT JOIN (SELECT * FROM runs JOIN {_LATEST_RUN} USING (batch_id, run_id)) r USING (batch_id)
        LEFT JOIN (SELECT batch_id, count(*) AS n_rows, count_if(list_contains(quality_flags, 'missing_identifier')) AS flagged,
          count_if(item_id NOT IN (SELECT item_id FROM batch_links WHERE status = 'active')) AS uncovered FROM items GROUP BY 1) USING (batch_id)
        LEFT JOIN (SELECT batch_id, count(*) AS n_links FROM batch_links WHERE status = 'active' GROUP BY 1) USING (batch_id)""",
 )
 def q14(m):
-    return status.report_gate(m.batches(), _first_runs(m), m.items(), m.batch_links())
+    return status.report_gate(m.batches(), m.runs(), m.items(), m.batch_links())
 
 
 @query(

@@ -94,15 +94,17 @@ TABLES = {
         parsed_item_count + batch_id % 3 - 1 AS snapshot_total,
         created_at + to_days((batch_id % 40)::INT) AS snapshot_verified_at, 'snap-' || (batch_id % 7) AS snapshot_sha256
         FROM batches, (SELECT unnest([0, 1]) AS attempt) WHERE attempt = 0 OR state = 'needs_review'""",
-    "first_runs": "SELECT * FROM runs WHERE run_id = batch_id * 2",
-    "items": f"""SELECT {_ITEM} AS item_id, l_orderkey AS batch_id, l_orderkey * 2 AS run_id, l_linenumber::BIGINT AS ordinal,
-        CASE WHEN l_returnflag IN ('N', 'A') THEN 'matched' WHEN l_linestatus = 'F' THEN 'ambiguous'
+    "items": f"""SELECT CASE WHEN first THEN {_ITEM} || '/first' ELSE {_ITEM} END AS item_id, l_orderkey AS batch_id, run_id,
+        l_linenumber::BIGINT AS ordinal,
+        CASE WHEN first THEN 'unmatched' WHEN l_returnflag IN ('N', 'A') THEN 'matched' WHEN l_linestatus = 'F' THEN 'ambiguous'
           WHEN l_quantity = 50 THEN 'invalid_identifier' ELSE 'unmatched' END AS status,
-        CASE WHEN l_returnflag IN ('N', 'A') THEN l_partkey END AS matched_id,
-        CASE WHEN l_returnflag IN ('N', 'A') THEN 'process_number_exact' END AS method,
-        CASE WHEN l_returnflag IN ('N', 'A') AND l_tax > 0 THEN sha256(l_partkey::VARCHAR) END AS evidence,
+        CASE WHEN l_returnflag IN ('N', 'A') AND NOT first THEN l_partkey END AS matched_id,
+        CASE WHEN l_returnflag IN ('N', 'A') AND NOT first THEN 'process_number_exact' END AS method,
+        CASE WHEN l_returnflag IN ('N', 'A') AND l_tax > 0 AND NOT first THEN sha256(l_partkey::VARCHAR) END AS evidence,
         CASE WHEN l_quantity = 1 THEN ['missing_identifier'] WHEN l_quantity = 2 THEN ['page_continuation']
-          ELSE {_NO_FLAGS} END AS quality_flags FROM lineitem""",
+          ELSE {_NO_FLAGS} END AS quality_flags
+        FROM lineitem JOIN (SELECT batch_id, run_id, run_id % 2 = 0 AND count(*) OVER (PARTITION BY batch_id) = 2 AS first FROM runs)
+          ON batch_id = l_orderkey""",
     "targets": "SELECT p_partkey AS case_id, CASE WHEN p_size > 45 THEN 'inactive' ELSE 'active' END AS status FROM part",
     "reviews": f"""SELECT {_ITEM} || '#' || round AS review_id, {_ITEM} AS item_id, l_orderkey AS batch_id,
         l_orderkey * 2 AS run_id, l_linenumber + round * 10 AS review_revision,

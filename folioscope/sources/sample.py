@@ -223,17 +223,20 @@ class Model:
         )
 
     def items(self) -> DataFrame:
-        """Reconciliation items of the first run of each batch."""
-        return self.stored("lineitem").selectExpr(
-            f"{_ITEM_ID} as item_id",
+        """Reconciliation items of every run. A batch that ran twice had matched nothing at first."""
+        first = "(attempt = 0 and runs = 2)"
+        runs = self.batches().selectExpr("batch_id as l_orderkey", "if(state = 'needs_review', 2, 1) as runs")
+        attempts = F.expr("explode(sequence(0, runs - 1))")
+        return self.stored("lineitem").join(runs, "l_orderkey").withColumn("attempt", attempts).selectExpr(
+            f"if({first}, concat({_ITEM_ID}, '/first'), {_ITEM_ID}) as item_id",
             "l_orderkey as batch_id",
-            "l_orderkey * 2 as run_id",
+            "l_orderkey * 2 + attempt as run_id",
             "cast(l_linenumber as bigint) as ordinal",
-            """case when l_returnflag in ('N', 'A') then 'matched' when l_linestatus = 'F' then 'ambiguous'
+            f"""case when {first} then 'unmatched' when l_returnflag in ('N', 'A') then 'matched' when l_linestatus = 'F' then 'ambiguous'
                  when l_quantity = 50 then 'invalid_identifier' else 'unmatched' end as status""",
-            "if(l_returnflag in ('N', 'A'), l_partkey, null) as matched_id",
-            "if(l_returnflag in ('N', 'A'), 'process_number_exact', null) as method",
-            "if(l_returnflag in ('N', 'A') and l_tax > 0, sha2(cast(l_partkey as string), 256), null) as evidence",
+            f"if(l_returnflag in ('N', 'A') and not {first}, l_partkey, null) as matched_id",
+            f"if(l_returnflag in ('N', 'A') and not {first}, 'process_number_exact', null) as method",
+            f"if(l_returnflag in ('N', 'A') and l_tax > 0 and not {first}, sha2(cast(l_partkey as string), 256), null) as evidence",
             """if(l_quantity = 1, array('missing_identifier'),
                  if(l_quantity = 2, array('page_continuation'), cast(array() as array<string>))) as quality_flags""",
         )
