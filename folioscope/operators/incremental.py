@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators.latest import ACTIVE, READY, latest_version
-from folioscope.operators.spread import join_null_safe, multiset_digest, own_key
+from folioscope.operators.links import in_scope
+from folioscope.operators.spread import first_rows, join_null_safe, multiset_digest, own_key
 
 
 def upsert(
@@ -167,11 +168,23 @@ def resolve_errors(errors: DataFrame, page_offset: int, now: dt.datetime | str)
     )
 
 
-def change_cycle(sources: DataFrame, versions: DataFrame, batches: DataFrame, requests: DataFrame) -> DataFrame:
+def change_cycle(
+    sources: DataFrame,
+    partners: DataFrame,
+    versions: DataFrame,
+    batches: DataFrame,
+    requests: DataFrame,
+    scope: str | None = None,
+) -> DataFrame:
     """``outcome`` per scanned partner: unchanged, queued or already_active.
 
-    Partners with an approved batch follow their batch and are not scanned.
+    Scanned are active partners that are not deleted and belong to the scope, if one is given. Partners
+    with an approved batch follow their batch and are not scanned.
     """
+    live = partners.filter("status = 'active' and deleted_at is null")
+    if scope:
+        live = in_scope(live, scope)
+    sources = sources.join(live.select("partner_id"), "partner_id", "left_semi")
     approved = batches.filter("state = 'approved'").select("partner_id").distinct()
     last = latest_version(versions).select("partner_id", F.col("source_digest").alias("_seen"))
     busy = requests.filter(F.col("status").isin(*ACTIVE)).select("partner_id", F.lit(True).alias("_busy")).distinct()
@@ -215,14 +228,24 @@ def count_regressions(new: DataFrame, versions: DataFrame) -> DataFrame:
     return new.join(last, "partner_id").filter(fewer)
 
 
-def replace_in_scope(target: DataFrame, source: DataFrame, scope: DataFrame, scope_key: str, key: Sequence[str]) -> dict[str, DataFrame]:
+def replace_in_scope(
+    target: DataFrame,
+    source: DataFrame,
+    scope: DataFrame,
+    scope_key: str,
+    key: Sequence[str],
+    latest: Sequence[Column] | None = None,
+) -> dict[str, DataFrame]:
     """Inside the scope the source replaces the target; the rest of the target stays.
 
-    ``foreign`` holds source rows outside the scope and must stay empty.
+    With ``latest``, an order, only the first source row of each scope key survives, as for the last
+    movement of a case. ``foreign`` holds source rows outside the scope and must stay empty.
     """
     ids = scope.select(scope_key).distinct()
     outside = target.join(ids, scope_key, "left_anti")
     inside = source.join(ids, scope_key, "left_semi")
+    if latest:
+        inside = first_rows(inside, [scope_key], latest)
     stored = target.join(ids, scope_key, "left_semi").select(*key)
     return {
         "state": outside.unionByName(inside, allowMissingColumns=True),

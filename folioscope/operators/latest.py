@@ -138,6 +138,18 @@ def catalog(
     return listed.orderBy("name", "external_id")
 
 
+def catalog_page(listed: DataFrame, number: int, size: int = 20) -> DataFrame:
+    """One page of the catalog with ``page``, ``pages`` and ``total_rows``.
+
+    A number before the first or past the last page means that page; an empty catalog has one empty page.
+    """
+    total = listed.count()
+    pages = max(1, -(-total // size))
+    number = min(max(1, number), pages)
+    shown = listed.orderBy("name", "external_id").offset((number - 1) * size).limit(size)
+    return shown.withColumns({"page": F.lit(number), "pages": F.lit(pages), "total_rows": F.lit(total)})
+
+
 def set_union(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.select(*keys).unionByName(right.select(*keys)).distinct()
 

@@ -213,27 +213,34 @@ def i8(m):
     return incremental.reprocess_from(incremental.resolve_errors(_error_log(m), 200, NOW))
 
 
+#: Batches of every second order; with all of them every partner would have an approved one.
+APPROVED_SQL = """WITH approved AS (SELECT CASE WHEN batch_id % 2 = 0 THEN partner_id ELSE -partner_id END AS partner_id FROM batches
+         WHERE state = 'approved')"""
+
+
 @query(
     "i9_change_cycle",
     "partner_id l, outcome s",
-    f"""SELECT d.partner_id, CASE WHEN 'd1' IS NOT DISTINCT FROM v.source_digest THEN 'unchanged'
+    f"""{APPROVED_SQL} SELECT d.partner_id, CASE WHEN 'd1' IS NOT DISTINCT FROM v.source_digest THEN 'unchanged'
          WHEN d.partner_id IN (SELECT partner_id FROM requests WHERE status IN ('pending', 'running')) THEN 'already_active' ELSE 'queued' END AS outcome
        FROM directory d LEFT JOIN ({LATEST_VERSION_SQL}) v USING (partner_id)
-       WHERE d.partner_id NOT IN (SELECT partner_id FROM batches WHERE state = 'approved' AND processing_status = 'failed')""",
+       WHERE d.status = 'active' AND d.deleted_at IS NULL AND d.partner_id NOT IN (SELECT partner_id FROM approved)""",
 )
 def i9(m):
     sources = m.directory().select("partner_id", F.lit("d1").alias("source_digest"))
-    settled = m.batches().filter("processing_status = 'failed'")
-    return incremental.change_cycle(sources, m.versions(), settled, m.requests())
+    # Half of the batches belong to partners outside the directory.
+    owner = F.when(F.col("batch_id") % 2 == 0, F.col("partner_id")).otherwise(-F.col("partner_id"))
+    batches = m.batches().withColumn("partner_id", owner)
+    return incremental.change_cycle(sources, m.directory(), m.versions(), batches, m.requests())
 
 
 @query(
     "i9_cycle_counts",
     "scanned l, changed l, queued l",
-    f"""SELECT count(*) AS scanned, count_if(source_digest IS DISTINCT FROM 'd1') AS changed,
+    f"""{APPROVED_SQL} SELECT count(*) AS scanned, count_if(source_digest IS DISTINCT FROM 'd1') AS changed,
          count_if(source_digest IS DISTINCT FROM 'd1' AND d.partner_id NOT IN (SELECT partner_id FROM requests WHERE status IN ('pending', 'running'))) AS queued
        FROM directory d LEFT JOIN ({LATEST_VERSION_SQL}) v USING (partner_id)
-       WHERE d.partner_id NOT IN (SELECT partner_id FROM batches WHERE state = 'approved' AND processing_status = 'failed')""",
+       WHERE d.status = 'active' AND d.deleted_at IS NULL AND d.partner_id NOT IN (SELECT partner_id FROM approved)""",
 )
 def i9_counts(m):
     return incremental.cycle_counts(i9(m))
@@ -295,6 +302,31 @@ def i12(m):
     return reduce(DataFrame.unionByName, shown)
 
 
+@query(
+    "i12_latest_movement",
+    "part s, case_id l, movement_id l",
+    """WITH judicial AS (SELECT case_id FROM cases WHERE step = 'JUDICIAL'),
+         source AS (SELECT case_id, movement_id + 1000000000 AS movement_id, occurred_at FROM movements WHERE title <> 'view'),
+         last AS (SELECT case_id, movement_id FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY occurred_at DESC, movement_id DESC) AS rn
+           FROM source WHERE case_id IN (SELECT case_id FROM judicial)) WHERE rn = 1)
+       SELECT 'state' AS part, case_id, movement_id FROM movements WHERE case_id NOT IN (SELECT case_id FROM judicial)
+       UNION ALL SELECT 'state', case_id, movement_id FROM last
+       UNION ALL SELECT 'deleted', case_id, movement_id FROM movements WHERE case_id IN (SELECT case_id FROM judicial)
+       UNION ALL SELECT 'foreign', case_id, movement_id FROM source WHERE case_id NOT IN (SELECT case_id FROM judicial)""",
+)
+def i12_movements(m):
+    """New movements replace those of judicial cases; of each case only the last one survives."""
+    source = m.movements().filter("title <> 'view'").withColumn("movement_id", F.col("movement_id") + 1000000000)
+    order = [F.col("occurred_at").desc(), F.col("movement_id").desc()]
+    parts = incremental.replace_in_scope(
+        m.movements(), source, m.cases().filter("step = 'JUDICIAL'"), "case_id", ["case_id", "movement_id"], order
+    )
+    return reduce(
+        DataFrame.unionByName,
+        [parts[p].select(F.lit(p).alias("part"), "case_id", "movement_id") for p in ("state", "deleted", "foreign")],
+    )
+
+
 @query(
     "i13_updated_after",
     "source s, rows l",

@@ -1,5 +1,8 @@
 """Latest-per-key, paging, set and queue queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators import latest
@@ -89,7 +92,7 @@ def w7(m):
     "w8_ready_reports",
     "version_id l, partner_id l, name s, generated_at t",
     """SELECT v.version_id, v.partner_id, d.name, v.generated_at FROM versions v JOIN directory d USING (partner_id)
-       WHERE v.status IN ('validated', 'published') AND d.status = 'active' ORDER BY generated_at DESC, version_id DESC LIMIT 100""",
+       WHERE v.status IN ('validated', 'published') AND d.status = 'active' AND d.deleted_at IS NULL ORDER BY generated_at DESC, version_id DESC LIMIT 100""",
 )
 def w8(m):
     """A top-100 report; the limit is the feature."""
@@ -111,12 +114,31 @@ def w9(m):
 @query(
     "w10_catalog",
     "partner_id l, name s, external_id s, report_status s",
-    f"""SELECT * FROM ({STATUS_SQL}) WHERE status = 'active' AND (contains(lower(name), '#0000000') OR contains(lower(external_id), '#0000000'))
-        AND report_status = 'desatualizado'""",
+    f"""SELECT * FROM ({STATUS_SQL}) WHERE status = 'active' AND partner_id NOT IN (SELECT partner_id FROM directory WHERE deleted_at IS NOT NULL)
+        AND (contains(lower(name), '#0000000') OR contains(lower(external_id), '#0000000'))""",
 )
 def w10(m):
     changes = latest.last_change(m.changed_partners(), m.run_log())
-    return latest.catalog(m.directory(), m.versions(), m.requests(), changes, "#0000000", "desatualizado")
+    return latest.catalog(m.directory(), m.versions(), m.requests(), changes, "#0000000")
+
+
+@query(
+    "w10_catalog_pages",
+    "report_status s, partner_id l, page l, pages l, total_rows l",
+    f"""WITH listed AS (SELECT *, row_number() OVER (PARTITION BY report_status ORDER BY name, external_id) AS rn,
+         count(*) OVER (PARTITION BY report_status) AS total FROM ({STATUS_SQL}) WHERE status = 'active'
+         AND partner_id NOT IN (SELECT partner_id FROM directory WHERE deleted_at IS NOT NULL))
+       SELECT report_status, partner_id, CAST(ceil(total / 3) AS BIGINT) AS page, CAST(ceil(total / 3) AS BIGINT) AS pages, total AS total_rows
+       FROM listed WHERE rn > (ceil(total / 3) - 1) * 3""",
+)
+def w10_pages(m):
+    """The last page of each status, asked for with a number far behind it."""
+    changes = latest.last_change(m.changed_partners(), m.run_log())
+    states = ("atualizado", "desatualizado", "gerando", "erro", "sem relatório")
+    pages = [
+        latest.catalog_page(latest.catalog(m.directory(), m.versions(), m.requests(), changes, status=x), 1_000_000, 3) for x in states
+    ]
+    return reduce(DataFrame.unionByName, pages)
 
 
 @query(

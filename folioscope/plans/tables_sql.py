@@ -74,7 +74,8 @@ TABLES = {
         (CASE WHEN c_mktsegment = 'BUILDING' THEN 'SYNTHETIC-' ELSE 'P-' END) || c_custkey AS external_id, c_name AS name,
         CASE WHEN c_acctbal < 0 THEN 'inactive' ELSE 'active' END AS status,
         c_mktsegment IN ('MACHINERY', 'FURNITURE') AS pilot_enabled,
-        CAST(c_acctbal / 100 AS DECIMAL(5,2)) AS percentage FROM customer""",
+        CAST(c_acctbal / 100 AS DECIMAL(5,2)) AS percentage,
+        CASE WHEN c_custkey % 23 = 0 THEN TIMESTAMP '1998-01-01' END AS deleted_at FROM customer""",
     "batches": """SELECT o_orderkey AS batch_id, o_custkey AS partner_id, o_custkey AS source_id,
         CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'needs_review'
           ELSE CASE o_orderpriority WHEN '1-URGENT' THEN 'quarantined' WHEN '2-HIGH' THEN 'parsed'

@@ -174,7 +174,7 @@ class Model:
             "concat(if(c_mktsegment = 'BUILDING', 'SYNTHETIC-', 'P-'), c_custkey) as external_id",
             "c_name as name",
             "if(c_acctbal < 0, 'inactive', 'active') as status",
-            "cast(null as timestamp) as deleted_at",
+            "if(c_custkey % 23 = 0, timestamp'1998-01-01', null) as deleted_at",
             "c_mktsegment in ('MACHINERY', 'FURNITURE') as pilot_enabled",
             "cast(c_acctbal / 100 as decimal(5,2)) as percentage",
         )
