@@ -24,20 +24,32 @@ _MICROS = 1_000_000
 def with_segments(events: DataFrame) -> DataFrame:
     """Adds ``segment``: stretches of a key that cannot share a window.
 
-    A failure at least one window length after the one before it always opens a new window, so the
-    key can be cut there. Slots of one window length stand in for their events: the window function
-    sees slots only, never a key's whole event list.
+    A failure at least one window length after the one before it always opens a new window, and a
+    success clears everything before it, so the key can be cut at both. Slots of one window length
+    stand in for their events: a slot starts a segment after a gap, and another one behind its last
+    success; the window function sees slots only, never a key's whole event list.
     """
     slot = F.floor(F.unix_micros("at") / F.lit(WINDOW_SECONDS * _MICROS)).alias("slot")
     slotted = events.withColumn("slot", slot)
-    bounds = slotted.groupBy("key", "slot").agg(F.min("at").alias("_first"), F.max("at").alias("_last"))
+    moment = F.struct("at", "event_id")
+    bounds = slotted.groupBy("key", "slot").agg(
+        F.min("at").alias("_first"), F.max("at").alias("_last"), F.max(F.when(F.col("success"), moment)).alias("_cleared")
+    )
     order = Window.partitionBy("key").orderBy("slot")
     gap = F.unix_micros("_first") - F.unix_micros(F.lag("_last").over(order))
     opens = F.coalesce(gap >= WINDOW_SECONDS * _MICROS, F.lit(True))
-    marked = bounds.withColumn("_opens", F.when(opens, F.col("slot"))).withColumn(
-        "segment", F.last("_opens", ignorenulls=True).over(order)
+    head, tail = 2 * F.col("slot"), 2 * F.col("slot") + 1
+    marked = (
+        bounds.withColumn("_opens", F.when(opens, head))
+        .withColumn("_mark", F.when(F.col("_cleared").isNotNull(), tail).otherwise(F.col("_opens")))
+        .withColumn("_after", F.last("_mark", ignorenulls=True).over(order))
+        .withColumn("_before", F.coalesce("_opens", F.lag("_after").over(order)))
+    )
+    behind = F.coalesce(moment > F.col("_cleared"), F.lit(True))
+    joined = slotted.join(marked.select("key", "slot", "_before", "_after", "_cleared"), ["key", "slot"])
+    return joined.withColumn("segment", F.when(behind, F.col("_after")).otherwise(F.col("_before"))).drop(
+        "slot", "_before", "_after", "_cleared"
     )
-    return slotted.join(marked.select("key", "slot", "segment"), ["key", "slot"]).drop("slot")
 
 
 def _count_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,8 +79,9 @@ def _count_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def limiter(events: DataFrame) -> DataFrame:
     """State of the limiter after every failure; ``events`` has key, at, event_id and success.
 
-    Work is spread by (key, segment) and streams through sorted partitions: memory stays constant
-    also for a key with a third of all events.
+    Work is spread by (key, segment) and streams through sorted partitions with constant memory. A key
+    with a third of all events fills one task only as far as it fails without a success and without a
+    quarter of an hour's rest, since there each window depends on the one before.
     """
     placed = with_segments(events).select("key", "segment", "at", "event_id", "success")
     ordered = placed.repartition("key", "segment").sortWithinPartitions("key", "segment", "at", "event_id")
