@@ -1,4 +1,7 @@
-"""Times the headline queries, the better of two passes each, and prints one JSON line."""
+"""Times the headline queries and prints one JSON line.
+
+Queries of under AGAIN seconds run twice and the better time counts, as start-up weighs on them.
+"""
 
 import json
 import os
@@ -40,6 +43,9 @@ HEADLINE = (
 )
 
 
+AGAIN = 8.0
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -54,8 +60,10 @@ def main() -> None:
         )
         spark.sparkContext.setLogLevel("OFF")
         times: dict[str, float] = {}
-        for _ in range(2):
+        for again in (False, True):
             for name in HEADLINE:
+                if again and times[name] >= AGAIN:
+                    continue
                 start = time.perf_counter()
                 QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
                 took = round(time.perf_counter() - start, 3)
