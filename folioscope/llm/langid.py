@@ -51,33 +51,76 @@ class Penalties:
     l2: float = 0.01
 
 
-def word_features(word: str, max_n: int = MAX_N, buckets: int = BUCKETS) -> list[int]:
+class _Buckets(dict):
+    """The bucket of an n-gram, kept once it was asked for: there are few n-grams of so few letters."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > _KEPT_WORDS:
+            self.clear()
+        bucket = self[gram] = zlib.crc32(gram.encode()) % BUCKETS
+        return bucket
+
+
+_BUCKET = _Buckets()
+
+
+def word_features(word: str) -> list[int]:
     """Buckets of the n-grams of a word with its ends marked."""
     marked = f"\x02{word}\x03"
-    grams = [marked[i : i + n] for n in range(1, max_n + 1) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % buckets for g in grams if g not in "\x02\x03"]
+    found = [_BUCKET[c] for c in word]
+    for n in range(2, MAX_N + 1):
+        found += [_BUCKET[marked[i : i + n]] for i in range(len(marked) - n + 1)]
+    return found
+
+
+class Recent:
+    """What was made of the words met lately, by a function that makes it for a list of new words.
+
+    Words of the last ``_KEPT_WORDS`` new ones stay; older ones stay if they were met again meanwhile.
+    """
+
+    def __init__(self, make):
+        self._make = make
+        self._kept: dict = {}
+        self._older: dict = {}
+
+    def of(self, words: list[str]) -> list:
+        kept = self._kept
+        try:
+            return [kept[w] for w in words]
+        except KeyError:
+            pass
+        missing = set(words).difference(kept)
+        if len(kept) > _KEPT_WORDS:
+            # The words of this text are looked up anew, most of them among the older ones.
+            self._older, self._kept, missing = kept, {}, set(words)
+            kept = self._kept
+        new = []
+        for w in missing:
+            if w in self._older:
+                kept[w] = self._older[w]
+            else:
+                new.append(w)
+        kept.update(zip(new, self._make(new)) if new else ())
+        return [kept[w] for w in words]
+
+
+def _feature_bytes(words: list[str]) -> list[bytes]:
+    import numpy as np
+
+    return [np.array(word_features(w), "<i4").tobytes() for w in words]
 
 
 class Features:
-    """The buckets of words, kept for those met before."""
+    """The buckets of words, joined."""
 
     def __init__(self):
-        self._kept: dict[str, bytes] = {}
+        self._recent = Recent(_feature_bytes)
 
     def of(self, words: list[str]):
         import numpy as np
 
-        if len(self._kept) > _KEPT_WORDS:
-            self._kept.clear()
-        parts = []
-        for w in words:
-            found = self._kept.get(w)
-            if found is None:
-                found = np.array(word_features(w), "<i4").tobytes()
-                if len(w) < 64:
-                    self._kept[w] = found
-            parts.append(found)
-        return np.frombuffer(b"".join(parts), "<i4")
+        return np.frombuffer(b"".join(self._recent.of(words)), "<i4")
 
 
 def document_frequencies(df: DataFrame, text: str) -> DataFrame:
@@ -209,7 +252,7 @@ def fit(
 
 
 class WordLogits:
-    """What each word met so far adds to the logits of a text, and its number of n-grams in the last column."""
+    """What each word adds to the logits of a text, and its number of n-grams in the last column."""
 
     def __init__(self, model: Model):
         import numpy as np
@@ -217,23 +260,23 @@ class WordLogits:
         self.np = np
         self.matrix = model.matrix()
         self.bias = np.array(model.bias)
-        self.rows: dict[str, int] = {}
-        self.values = np.zeros((1024, self.matrix.shape[1] + 1))
+        self._recent = Recent(self._make)
+
+    def _make(self, words: list[str]) -> list[bytes]:
+        np = self.np
+        grams = [word_features(w) for w in words]
+        sizes = np.array([len(g) for g in grams])
+        flat = np.array([x for g in grams for x in g])
+        sums = np.add.reduceat(self.matrix[flat], np.cumsum(sizes) - sizes, axis=0)
+        rows = np.ascontiguousarray(np.column_stack([sums, sizes]))
+        width = rows.itemsize * rows.shape[1]
+        data = rows.tobytes()
+        return [data[i : i + width] for i in range(0, len(data), width)]
 
     def of(self, words: list[str]):
         """The logits of a text of these words, before the temperature."""
-        if len(self.rows) > _KEPT_WORDS:
-            self.rows.clear()
-        rows = self.rows
-        for w in words:
-            if w not in rows:
-                if len(rows) == len(self.values):
-                    self.values = self.np.concatenate([self.values, self.np.zeros_like(self.values)])
-                grams = word_features(w)
-                self.values[len(rows), :-1] = self.matrix[grams].sum(axis=0)
-                self.values[len(rows), -1] = len(grams)
-                rows[w] = len(rows)
-        total = self.values[[rows[w] for w in words]].sum(axis=0)
+        found = b"".join(self._recent.of(words))
+        total = self.np.frombuffer(found).reshape(len(words), -1).sum(axis=0)
         return total[:-1] / total[-1] + self.bias
 
 
