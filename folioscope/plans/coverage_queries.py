@@ -39,12 +39,12 @@ def a1(m):
     """SELECT CASE WHEN moved IS NULL THEN 'without_movement' WHEN d < 0 THEN 'future_dated' WHEN d <= 30 THEN '0_30_days'
          WHEN d <= 90 THEN '31_90_days' WHEN d <= 180 THEN '91_180_days' WHEN d <= 365 THEN '181_365_days' ELSE 'over_365_days' END AS age,
          count(*) AS cases FROM (SELECT moved, date_diff('day', moved, DATE '2024-01-20') AS d FROM cases LEFT JOIN
-         (SELECT case_id, arg_max(occurred_on, (occurred_at, occurred_on)) - CAST(any_value(case_id) % 8 * 60 AS INTEGER) AS moved
+         (SELECT case_id, arg_max(occurred_on, (occurred_at, occurred_on)) - CAST(any_value(case_id) % 12 * 35 AS INTEGER) AS moved
           FROM movements GROUP BY 1) USING (case_id)) GROUP BY 1""",
 )
 def a2(m):
-    """Every eighth of the cases has its movements another two months earlier."""
-    days = (F.col("case_id") % 8 * 60).cast("int")
+    """The movements of a twelfth of the cases each are another five weeks earlier."""
+    days = (F.col("case_id") % 12 * 35).cast("int")
     earlier = m.movements().withColumn("occurred_on", F.date_sub("occurred_on", days))
     return coverage.movement_age(m.cases(), earlier, "2024-01-20")
 
