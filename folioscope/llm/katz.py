@@ -11,7 +11,7 @@ leave everything to p.
 The corpus is cut into blocks of ``BLOCK_TOKENS``, as they lie. Tables and messages are columns of
 whole arrays, packed into binary values, so that tasks work on arrays rather than on tokens:
 
-* ``blocks``: tokens as places in the block's list of different words;
+* ``blocks``: tokens as places in the block's list of different words, which is ordered by their hashes;
 * ``words``: partitioned by word, the merged counts; each block gets its words' counts and ids back;
 * ``pairs``: partitioned by history (by both words for histories with more than ``HOT_SHARE`` of all
   tokens, so that none fills a task), the merged counts of pairs. They are evaluated where they are
@@ -48,8 +48,8 @@ MOST_DISCOUNTED = 5
 _START = (1 << 62) - 1
 
 _BLOCKS = (
-    "block bigint, n_tokens bigint, learned bigint, texts bigint, doc_ids array<bigint>, held binary, sizes binary, "
-    "words binary, tokens binary"
+    "block bigint, n_tokens bigint, n_words bigint, learned bigint, texts bigint, doc_ids array<bigint>, held binary, "
+    "sizes binary, words binary, tokens binary"
 )
 _WORDS = "part bigint, block bigint, words binary, counts binary"
 _FOUND = "part bigint, block bigint, ids binary, counts binary, summary array<bigint>"
@@ -136,9 +136,12 @@ def blocks(df: DataFrame, doc_id: str, text: str, held_out: Column, block_tokens
         def flush() -> pa.RecordBatch:
             size, out = np.array(sizes, np.uint64), np.array(held, bool)
             words = np.array([xxh64_intdigest(w) for w in places], np.uint64)
+            order = np.argsort(words)
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
             row = (
-                number, len(tokens), int(size[~out].sum()), int((~out).sum()), ids, out.tobytes(), squeeze(size),
-                words.tobytes(), squeeze(np.array(tokens, np.uint32)),
+                number, len(tokens), len(words), int(size[~out].sum()), int((~out).sum()), ids, out.tobytes(), squeeze(size),
+                squeeze(np.diff(words[order], prepend=np.uint64(0))), squeeze(place[tokens]),
             )
             return _batch([row], _BLOCKS)
 
@@ -167,17 +170,16 @@ def _learned_counts(row: dict):
 
     tokens, sizes = unsqueeze(row["tokens"], np.uint32).astype(np.int64), unsqueeze(row["sizes"], np.uint64).astype(np.int64)
     held = np.frombuffer(row["held"], bool)
-    counts = np.bincount(tokens[~np.repeat(held, sizes)], minlength=len(row["words"]) // 8)
+    counts = np.bincount(tokens[~np.repeat(held, sizes)], minlength=row["n_words"])
     return tokens, sizes, held, counts
 
 
 def _parts(words, parts: int):
-    """The order of a block's words by partition, and where each partition begins."""
+    """Where each partition begins in a block's ordered words: partitions are ranges of hashes."""
     import numpy as np
 
-    part = (words % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    part = (words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1))
 
 
 def _send_words(cut: DataFrame, parts: int) -> DataFrame:
@@ -187,13 +189,14 @@ def _send_words(cut: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 _, _, _, counts = _learned_counts(row)
-                words = np.frombuffer(row["words"], np.uint64)
-                order, at = _parts(words, parts)
+                words = np.cumsum(unsqueeze(row["words"], np.uint64), dtype=np.uint64)
+                at = _parts(words, parts)
                 rows = []
                 for p in range(parts):
-                    some = order[at[p] : at[p + 1]]
-                    if len(some):
-                        rows.append((p, row["block"], words[some].tobytes(), squeeze(counts[some].astype(np.uint64))))
+                    some = slice(at[p], at[p + 1])
+                    if at[p] < at[p + 1]:
+                        steps = np.diff(words[some], prepend=np.uint64(0))
+                        rows.append((p, row["block"], squeeze(steps), squeeze(counts[some].astype(np.uint64))))
                 yield _batch(rows, _WORDS)
 
     return cut.select(*[x.split()[0] for x in _BLOCKS.split(", ")]).mapInArrow(run, _WORDS)
@@ -207,7 +210,9 @@ def _merge_words(sent: DataFrame, parts: int) -> DataFrame:
 
         rows = table.to_pylist()
         part = rows[0]["part"]
-        words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
+        each = [np.cumsum(unsqueeze(r["words"], np.uint64), dtype=np.uint64) for r in rows]
+        ends = np.cumsum([len(x) for x in each])
+        words = np.concatenate(each)
         counts = np.concatenate([unsqueeze(r["counts"], np.uint64) for r in rows]).astype(np.int64)
         _, which = np.unique(words, return_inverse=True)
         total = np.zeros(which.max() + 1, np.int64)
@@ -215,7 +220,6 @@ def _merge_words(sent: DataFrame, parts: int) -> DataFrame:
         rank = np.empty(len(total), np.uint64)
         rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
         ids = rank * np.uint64(parts) + np.uint64(part)
-        ends = np.cumsum([len(r["words"]) // 8 for r in rows])
         out = []
         for r, first, last in zip(rows, [0, *ends[:-1]], ends):
             some = which[first:last]
@@ -228,7 +232,7 @@ def _merge_words(sent: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(merge, _FOUND)
 
 
-def _send_pairs(known: DataFrame, words: Words, hot: int, parts: int, pair_parts: int) -> DataFrame:
+def _send_pairs(known: DataFrame, words: Words, hot: int, pair_parts: int) -> DataFrame:
     """From blocks with their words' ids and counts: sums by document, and pairs by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,11 +242,9 @@ def _send_pairs(known: DataFrame, words: Words, hot: int, parts: int, pair_parts
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 tokens, sizes, held, _ = _learned_counts(row)
-                order, _ = _parts(np.frombuffer(row["words"], np.uint64), parts)
-                ids, counts = np.empty(len(order), np.uint64), np.empty(len(order), np.int64)
                 found = sorted(row["found"], key=lambda x: x["part"])
-                ids[order] = np.concatenate([unsqueeze(x["ids"], np.uint64) for x in found])
-                counts[order] = np.concatenate([unsqueeze(x["counts"], np.uint64) for x in found]).astype(np.int64)
+                ids = np.concatenate([unsqueeze(x["ids"], np.uint64) for x in found])
+                counts = np.concatenate([unsqueeze(x["counts"], np.uint64) for x in found]).astype(np.int64)
 
                 starts = np.cumsum(sizes) - sizes
                 doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -319,18 +321,22 @@ def _merge_pairs(sent: DataFrame, words: Words, hot: int) -> DataFrame:
         each = [np.cumsum(unsqueeze(r["a"], np.uint64), dtype=np.uint64) for r in rows]
         ends = np.cumsum([len(x) for x in each])
         history = np.concatenate(each)
-        word, times, count, n, uses = (
-            np.concatenate([unsqueeze(r[k], kind) for r in rows])
-            for k, kind in (("b", np.uint64), ("c", np.int64), ("d", np.int64), ("e", np.int64), ("f", np.int64))
-        )
+
+        def column(name: str, kind=np.int64):
+            return np.concatenate([unsqueeze(r[name], kind) for r in rows])
+
+        word = column("b", np.uint64)
         order = np.lexsort((word, history))
         new = np.concatenate([[True], (np.diff(history[order]) != 0) | (np.diff(word[order]) != 0)])
-        which = np.empty(len(order), np.int64)
+        which = np.empty(len(order), np.int32)
         which[order] = np.cumsum(new) - 1
         first = order[new]
+        history_of, word_of = history[first], word[first]
+        del each, history, word, order, new
+        times_of, count_of = column("c")[first], column("d")[first]
         total = np.zeros(len(first), np.int64)
-        np.add.at(total, which, n)
-        history_of, word_of, times_of, count_of = history[first], word[first], times[first], count[first]
+        np.add.at(total, which, column("e"))
+        uses = column("f")
         alone = words.of(count_of)
 
         learned = total > 0
@@ -472,7 +478,8 @@ def scores(
     hot = max(total // hot_share, 1024)
 
     of_block = found.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "ids", "counts")).alias("found"))
-    sent = _send_pairs(cut.join(of_block, "block"), words, hot, parts, parts)
+    # The words' hashes have done their work; the counts come back in their order.
+    sent = _send_pairs(cut.drop("words").join(of_block, "block"), words, hot, parts)
     merged = stored(_merge_pairs(sent, words, hot), "pairs")
 
     histories = stored(_histories(merged), "histories")
