@@ -156,16 +156,26 @@ def portfolio_quality(
     shared = span.filter("first_partner < last_partner").select("case_id")
     sets = case_partner_sets(cases.join(shared, "case_id", "left_semi"), case_customers, customers, links, day)
 
+    # One row per eligible case with what it lacks, counted in one pass.
+    moved = latest_movements.select("case_id", F.lit(True).alias("_moved"))
+    lacking = missing_customer_refs(case_customers, customers).groupBy("case_id").agg(F.count(F.lit(1)).alias("_missing"))
+    of_cases = (
+        eligible.join(moved, "case_id", "left")
+        .join(lacking, "case_id", "left")
+        .groupBy("partner_id")
+        .agg(
+            F.count(F.lit(1)).alias("eligible_cases"),
+            F.count_if(F.col("_moved").isNull()).alias("missing_movements"),
+            F.coalesce(F.sum("_missing"), F.lit(0)).alias("missing_customer_references"),
+        )
+    )
+
     def count_of(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("partner_id").agg(F.count(F.lit(1)).alias(name))
 
     counters = [
-        count_of(eligible, "eligible_cases"),
+        of_cases,
         count_of(sets, "ambiguous_cases"),
-        count_of(eligible.join(latest_movements.select("case_id"), "case_id", "left_anti"), "missing_movements"),
-        count_of(
-            eligible.join(missing_customer_refs(case_customers, customers), "case_id"), "missing_customer_references"
-        ),
         count_of(unknown_targets(active, customers, cases), "nonexistent_links"),
     ]
     result = partners.select("partner_id")

@@ -222,11 +222,16 @@ NORMALIZERS = {
 }
 
 
-def split_rejects(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows, and rejected rows reduced to technical columns and error codes."""
+def split_rejects(normalized: DataFrame) -> DataFrame:
+    """Adds ``side``, accepted or rejected; of rejected rows only technical columns and errors are left.
+
+    One frame for both sides, so that the records are normalised once; written partitioned by side,
+    each side is read alone.
+    """
     clean = F.size("errors") == 0
-    technical = [c for c in ("requested_offset", "position", "seq") if c in normalized.columns]
-    return normalized.filter(clean).drop("errors"), normalized.filter(~clean).select(*technical, "errors")
+    kept = ("requested_offset", "position", "seq", "errors")
+    columns = [F.col(c) if c in kept else F.when(clean, F.col(c)).alias(c) for c in normalized.columns]
+    return normalized.select(*columns, F.when(clean, "accepted").otherwise("rejected").alias("side"))
 
 
 def first_accepted(accepted: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
