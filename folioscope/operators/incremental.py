@@ -264,6 +264,27 @@ def updated_after(cutoff: dt.datetime | str, **frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, counts).filter("rows > 0")
 
 
+def stale_inputs(runs: DataFrame, **frames: DataFrame) -> DataFrame:
+    """(run_id, source, last_change): inputs of a run's partner that changed after its snapshot was taken.
+
+    ``runs`` has run_id, partner_id and snapshot_verified_at; each frame has partner_id and updated_at.
+    A frame is reduced to its last change per partner before it meets the runs.
+    """
+    last = reduce(
+        DataFrame.unionByName,
+        [
+            frame.groupBy("partner_id").agg(F.max("updated_at").alias("last_change")).withColumn("source", F.lit(name))
+            for name, frame in frames.items()
+        ],
+    )
+    return (
+        runs.select("run_id", "partner_id", "snapshot_verified_at")
+        .join(last, "partner_id")
+        .filter(F.col("last_change") > F.col("snapshot_verified_at"))
+        .select("run_id", "source", "last_change")
+    )
+
+
 def restore_version(versions: DataFrame, targets: DataFrame) -> DataFrame:
     """Statuses after restoring one version per partner (``targets``: version_id).
 

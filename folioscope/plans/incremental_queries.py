@@ -341,6 +341,43 @@ def i13(m):
     )
 
 
+@query(
+    "i13_stale_inputs",
+    "run_id l, source s, last_change t",
+    """WITH owned AS (SELECT partner_id, case_id FROM eligible), changes AS (
+         SELECT 'cases' AS source, partner_id, opened_on::TIMESTAMP AS updated_at FROM owned JOIN cases USING (case_id)
+         UNION ALL SELECT 'bridge', partner_id, opened_on::TIMESTAMP + INTERVAL 1 DAY FROM owned JOIN cases USING (case_id) JOIN case_customers USING (case_id)
+         UNION ALL SELECT 'customers', partner_id, opened_on::TIMESTAMP + to_days(CAST(customer_id % 50 AS INTEGER)) FROM owned JOIN cases USING (case_id)
+           JOIN case_customers USING (case_id)
+         UNION ALL SELECT 'movements', partner_id, occurred_at FROM owned JOIN movements USING (case_id)),
+       last AS (SELECT source, partner_id, max(updated_at) AS last_change FROM changes GROUP BY ALL)
+       SELECT r.run_id, source, last_change FROM runs r JOIN batches b USING (batch_id) JOIN last l ON l.partner_id = b.partner_id
+       WHERE last_change > snapshot_verified_at""",
+)
+def i13_stale(m):
+    """Cases, their customers, the bridge between them and movements against the snapshot of each run."""
+    from folioscope.plans.steps import eligible_cases
+
+    owned = eligible_cases(m).select("partner_id", "case_id")
+    cases = owned.join(m.cases().select("case_id", F.col("opened_on").cast("timestamp").alias("opened")), "case_id")
+    bridge = cases.join(m.case_customers().select("case_id", "customer_id"), "case_id")
+
+    def later(days):
+        return (F.unix_micros("opened") + days * 86_400_000_000).cast("bigint")
+
+    def changed(df, moment):
+        return df.select("partner_id", moment.alias("updated_at"))
+
+    runs = m.runs().join(m.batches().select("batch_id", "partner_id"), "batch_id")
+    return incremental.stale_inputs(
+        runs,
+        cases=changed(cases, F.col("opened")),
+        bridge=changed(bridge, F.timestamp_micros(later(F.lit(1)))),
+        customers=changed(bridge, F.timestamp_micros(later(F.col("customer_id") % 50))),
+        movements=changed(owned.join(m.movements().select("case_id", "occurred_at"), "case_id"), F.col("occurred_at")),
+    )
+
+
 AUDIT_NOW = "2026-01-20 06:00:00"
 PLAN_SQL = f"""SELECT 'source' AS kind, customer_id AS id FROM customers WHERE status = 'active' AND customer_id IN (SELECT source_id FROM batches
          WHERE state IN ('approved', 'superseded') AND updated_at <= TIMESTAMP '{AUDIT_NOW}' - INTERVAL 30 DAY)
