@@ -285,8 +285,14 @@ def unlisted_audit(events: DataFrame) -> DataFrame:
     return events.filter(~F.coalesce(listed, F.lit(False)))
 
 
-def report_gate(batches: DataFrame, runs: DataFrame, items: DataFrame, links: DataFrame) -> DataFrame:
-    """First reason that keeps a batch from being reported, null when it may be reported."""
+def report_gate(
+    batches: DataFrame, runs: DataFrame, items: DataFrame, links: DataFrame, partners: DataFrame, targets: DataFrame
+) -> DataFrame:
+    """First reason that keeps a batch from being reported, null when it may be reported.
+
+    The batch is approved and its partner live; its run and review are complete; every active link is
+    still valid when the period ends and leads to an active case. ``links`` has valid_to (null: open).
+    """
     run = latest_run(runs).select(
         "batch_id",
         "run_id",
@@ -306,8 +312,17 @@ def report_gate(batches: DataFrame, runs: DataFrame, items: DataFrame, links: Da
         .groupBy("batch_id", "run_id")
         .agg(F.count(F.lit(1)).alias("_uncovered"))
     )
+    usable = partners.filter("status = 'active' and deleted_at is null").select("partner_id", F.lit(True).alias("_usable"))
+    open_cases = targets.filter("status = 'active'").select(F.col("case_id").alias("entity_id"), F.lit(True).alias("_open"))
+    ended = F.col("valid_to") < F.col("period_end")
+    broken = (
+        live.join(batches.select("batch_id", "period_end"), "batch_id")
+        .join(open_cases, "entity_id", "left")
+        .groupBy("batch_id")
+        .agg(F.count_if(ended).alias("_ended"), F.count_if(F.col("_open").isNull()).alias("_closed"))
+    )
     zero = F.lit(0).cast("bigint")
-    counts = ("_rows", "_flagged", "_items", "_links", "_uncovered")
+    counts = ("_rows", "_flagged", "_items", "_links", "_uncovered", "_ended", "_closed")
     run_broken = (
         F.col("run_id").isNull()
         | (F.col("_parser") != F.col("parser_version"))
@@ -324,8 +339,11 @@ def report_gate(batches: DataFrame, runs: DataFrame, items: DataFrame, links: Da
     )
     reason = (
         F.when(F.col("state") != "approved", "batch_not_approved")
+        .when(F.col("_usable").isNull(), "partner_not_live")
         .when(run_broken, "snapshot_incomplete")
         .when(incomplete, "review_incomplete")
+        .when(F.col("_ended") > 0, "link_ended")
+        .when(F.col("_closed") > 0, "case_inactive")
     )
     return (
         batches.join(run, "batch_id", "left")
@@ -333,6 +351,8 @@ def report_gate(batches: DataFrame, runs: DataFrame, items: DataFrame, links: Da
         .join(in_run, ["batch_id", "run_id"], "left")
         .join(link_counts, "batch_id", "left")
         .join(covered, ["batch_id", "run_id"], "left")
+        .join(broken, "batch_id", "left")
+        .join(usable, "partner_id", "left")
         .withColumns({c: F.coalesce(c, zero) for c in counts})
         .select("batch_id", reason.alias("gate_reason"))
     )

@@ -134,17 +134,24 @@ def q13(m):
     "q14_report_gate",
     "batch_id l, gate_reason s",
     f"""SELECT batch_id, CASE WHEN state <> 'approved' THEN 'batch_not_approved'
+         WHEN b.partner_id NOT IN (SELECT partner_id FROM directory WHERE status = 'active' AND deleted_at IS NULL) THEN 'partner_not_live'
          WHEN r.run_id IS NULL OR r.parser_version <> b.parser_version OR result_total <> parsed_item_count OR snapshot_total < result_total
            OR timezone('America/Sao_Paulo', timezone('UTC', snapshot_verified_at))::DATE < period_end THEN 'snapshot_incomplete'
          WHEN coalesce(n_rows, 0) <> result_total OR coalesce(n_links, 0) <> result_total OR coalesce(flagged, 0) > 0
-           OR coalesce(uncovered, 0) > 0 THEN 'review_incomplete' END AS gate_reason
+           OR coalesce(uncovered, 0) > 0 THEN 'review_incomplete'
+         WHEN coalesce(ended, 0) > 0 THEN 'link_ended' WHEN coalesce(closed, 0) > 0 THEN 'case_inactive' END AS gate_reason
        FROM batches b LEFT JOIN (SELECT * FROM runs JOIN {_LATEST_RUN} USING (batch_id, run_id)) r USING (batch_id)
        LEFT JOIN (SELECT batch_id, count(*) AS n_rows, count_if(list_contains(quality_flags, 'missing_identifier')) AS flagged,
          count_if(item_id NOT IN (SELECT item_id FROM batch_links WHERE status = 'active')) AS uncovered FROM items GROUP BY 1) USING (batch_id)
-       LEFT JOIN (SELECT batch_id, count(*) AS n_links FROM batch_links WHERE status = 'active' GROUP BY 1) USING (batch_id)""",
+       LEFT JOIN (SELECT batch_id, count(*) AS n_links, count_if(entity_id % 5 = 1) AS ended,
+         count_if(entity_id NOT IN (SELECT case_id FROM targets WHERE status = 'active')) AS closed
+         FROM batch_links WHERE status = 'active' GROUP BY 1) USING (batch_id)""",
 )
 def q14(m):
-    return status.report_gate(m.batches(), m.runs(), m.items(), m.batch_links())
+    """A fifth of the links ended before any period."""
+    ended = F.when(F.col("entity_id") % 5 == 1, F.lit("1990-01-01").cast("date"))
+    links = m.batch_links().withColumn("valid_to", ended)
+    return status.report_gate(m.batches(), m.runs(), m.items(), links, m.directory(), m.targets())
 
 
 @query(
