@@ -210,13 +210,17 @@ def cycle_counts(cycle: DataFrame) -> DataFrame:
     )
 
 
-def revision_key(content: DataFrame, meta: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
-    """Digest per partner over its report rows and every other input named in ``meta``."""
+def revision_key(content: DataFrame, meta: DataFrame, by: str, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Digest per row of ``meta`` over it and the report rows of its ``by`` key.
+
+    ``columns`` are all that a report shows of a row; ``meta`` has every other input, such as period,
+    source digest, parser and snapshot, in one row per report, named by ``keep``.
+    """
     body = multiset_digest(content, columns, [by], "content_sha256").drop("rows")
     named = sorted([*meta.columns, "content_sha256"])
     joined = meta.join(body, by, "left")
     digest = F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}), 256)
-    return joined.select(by, digest.alias("revision_key"))
+    return joined.select(by, *keep, digest.alias("revision_key"))
 
 
 def count_regressions(new: DataFrame, versions: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators import consistency, incremental, links, profile, retention
+from folioscope.operators import consistency, finance, incremental, links, profile, retention
+from folioscope.operators.latest import latest_run
 from folioscope.plans.latest_queries import LATEST_VERSION_SQL
 from folioscope.plans.link_queries import QUALITY_SQL
 from folioscope.plans.registry import query
@@ -249,17 +250,29 @@ def i9_counts(m):
 _WORDS = ", ".join(f"sum(('0x' || substr(h, {16 * i + 1}, 16))::UBIGINT::HUGEINT)" for i in range(4))
 
 
+SHOWN = ("case_id", "entries", *finance.ACCOUNT_FIELDS)
+
+
 @query(
     "i10_revision_key",
-    "partner_id l, revision_key s",
-    f"""SELECT partner_id, sha256(concat('{{"content_sha256":', CASE WHEN content IS NULL THEN 'null' ELSE '"' || content || '"' END,
-         ',"partner_id":', partner_id, ',"percentage":', percentage, ',"rules":"stage-1+finance-1"}}')) AS revision_key
-       FROM partners LEFT JOIN (SELECT partner_id, sha256(concat_ws(':', count(*), {_WORDS})) AS content FROM (SELECT partner_id,
-         sha256(concat_ws(chr(31), case_id::VARCHAR, paid_income::VARCHAR, balance::VARCHAR)) AS h FROM accounts) GROUP BY 1) USING (partner_id)""",
+    "batch_id l, partner_id l, revision_key s",
+    f"""SELECT batch_id, partner_id, sha256(concat('{{"batch_id":', batch_id, ',"content_sha256":', CASE WHEN content IS NULL THEN 'null' ELSE '"' || content || '"' END,
+         ',"parser_version":"', r.parser_version, '","partner_id":', partner_id, ',"percentage":', percentage,
+         ',"period_end":"', strftime(period_end, '%Y-%m-%d'), '","period_start":"', strftime(period_start, '%Y-%m-%d'),
+         '","rules":"stage-1+finance-1","snapshot_sha256":"', snapshot_sha256, '"}}')) AS revision_key
+       FROM batches b JOIN partners USING (partner_id)
+       JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY created_at DESC, run_id DESC) AS rn FROM runs) WHERE rn = 1) r
+         USING (batch_id)
+       LEFT JOIN (SELECT partner_id, sha256(concat_ws(':', count(*), {_WORDS})) AS content FROM (SELECT partner_id,
+         sha256(concat_ws(chr(31), {", ".join(f"coalesce({c}::VARCHAR, chr(0))" for c in SHOWN)})) AS h FROM accounts) GROUP BY 1) USING (partner_id)""",
 )
 def i10(m):
-    meta = m.partners().select("partner_id", "percentage", F.lit("stage-1+finance-1").alias("rules"))
-    return incremental.revision_key(accounts(m), meta, "partner_id", ["case_id", "paid_income", "balance"])
+    """One key per batch, over the statement rows of its partner, the period, the parser and the snapshot."""
+    run = latest_run(m.runs()).select("batch_id", "parser_version", "snapshot_sha256")
+    batches = m.batches().select("batch_id", "partner_id", "period_start", "period_end").join(run, "batch_id")
+    meta = batches.join(m.partners().select("partner_id", "percentage"), "partner_id")
+    meta = meta.withColumn("rules", F.lit("stage-1+finance-1"))
+    return incremental.revision_key(accounts(m), meta, "partner_id", SHOWN, ["batch_id"])
 
 
 @query(
