@@ -42,15 +42,27 @@ def st1(m):
     return parts[0].unionByName(parts[1])
 
 
+def in_three_files(m, folder: str) -> DataFrame:
+    """The event table as a stream of three files, one for each micro-batch, by the remainder of the id."""
+    for part in range(3):
+        events = m.stored("events").filter(F.col("event_id") % 3 == part)
+        events.coalesce(1).write.mode("append").parquet(folder)
+    return m.spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query(
     "st2_stream_upsert",
     "key l, row_hash s, action s",
-    """SELECT user_id AS key, sha256(concat_ws('|', user_id, event_type)) AS row_hash, 'insert' AS action FROM (SELECT *, row_number()
-       OVER (PARTITION BY user_id ORDER BY ts DESC, sha256(concat_ws('|', user_id, event_type)) DESC) AS rn FROM events) WHERE rn = 1""",
+    """WITH newest AS (SELECT user_id AS key, event_id % 3 AS batch, sha256(concat_ws('|', user_id, event_type)) AS row_hash,
+         row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts DESC, sha256(concat_ws('|', user_id, event_type)) DESC) AS rn FROM events),
+       steps AS (SELECT *, lag(row_hash) OVER (PARTITION BY key ORDER BY batch) AS stored FROM newest WHERE rn = 1),
+       changes AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY batch DESC) AS last FROM steps WHERE row_hash IS DISTINCT FROM stored)
+       SELECT key, row_hash, CASE WHEN stored IS NULL THEN 'insert' ELSE 'update' END AS action FROM changes WHERE last = 1""",
 )
 def st2(m):
+    """Three micro-batches: keys are inserted, updated or kept."""
     folder = work_folder(m.spark, "upsert")
-    stream = event_stream(m).select(
+    stream = in_three_files(m, f"{folder}/in").select(
         F.col("user_id").alias("key"), "ts", F.sha2(F.concat_ws("|", "user_id", "event_type"), 256).alias("row_hash")
     )
     jobs.stream_upsert(stream, "key", "row_hash", "ts", f"{folder}/log", f"{folder}/checkpoint").awaitTermination()

@@ -15,6 +15,8 @@ OUTCOMES = {
     ("q10_invalid_transitions", "violation"): {"not_allowed", "chain_broken"},
     ("s7_report_version", "version"): {1, 2},
     ("st1_stream_movements", "part"): {"new", "missing_lawsuit"},
+    ("st2_stream_upsert", "action"): {"insert", "update"},
+    ("q14_report_gate", "gate_reason"): {"batch_not_approved", "partner_not_live", "snapshot_incomplete", "review_incomplete", "link_ended", "case_inactive", None},
     ("st3_failure_limiter", "limited"): {True, False},
     ("w10_catalog_pages", "report_status"): {"atualizado", "desatualizado", "gerando", "erro"},
 }
