@@ -13,8 +13,8 @@ whole arrays, packed into binary values, so that tasks work on arrays rather tha
 
 * ``blocks``: tokens as places in the block's list of different words, which is ordered by their hashes;
 * ``words``: partitioned by word, the merged counts; each block gets its words' counts and ids back;
-* ``pairs``: partitioned by history (by both words for histories with more than ``HOT_SHARE`` of all
-  tokens, so that none fills a task), the merged counts of pairs. They are evaluated where they are
+* ``pairs``: partitioned by history, the merged counts of pairs; a history that would fill more than
+  one ``HOT_SHARE``th of a partition is spread over as many partitions as that takes, by the other word. They are evaluated where they are
   merged, since each block sends with a pair the documents that hold it: back come sums by document;
 * ``histories``: what each history's pairs weigh, summed over the partitions, and its a(h). What wasn't
   learned is joined to it by history.
@@ -40,9 +40,8 @@ from folioscope.llm.common import stored
 BLOCK_TOKENS = 1 << 20
 #: Tokens whose words, or pairs, are merged by one task.
 PART_TOKENS = 2 << 20
-#: Histories with more than one in so many of the learned tokens are spread over ``SPREAD`` partitions.
-HOT_SHARE = 512
-SPREAD = 64
+#: A history with more tokens than one in so many of ``PART_TOKENS`` is spread.
+HOT_SHARE = 8
 MOST_DISCOUNTED = 5
 #: Stands for the start of a text as a history.
 _START = (1 << 62) - 1
@@ -277,7 +276,7 @@ def _pair_rows(block, history, word, times, count, doc, learned, hot: int, pair_
     """The pairs of a block by partition: different ones with counts, then the documents that hold them."""
     import numpy as np
 
-    spread = np.where(times >= hot, word % np.uint64(SPREAD), np.uint64(0))
+    spread = word % (times // hot + 1).astype(np.uint64)
     mixed = (history + spread * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     part = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(pair_parts)).astype(np.int64)
     order = np.lexsort((doc, word, history, part))
@@ -475,7 +474,7 @@ def scores(
     heads = [F.sum(F.col("summary")[i]).alias(f"s{i}") for i in range(MOST_DISCOUNTED + 2)]
     summary = [x or 0 for x in found.filter("block IS NULL").agg(*heads).collect()[0]]
     words = Words(total, sums["texts"] or 0, summary[0], summary[1:])
-    hot = max(total // hot_share, 1024)
+    hot = max(part_tokens // hot_share, 1)
 
     of_block = found.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "ids", "counts")).alias("found"))
     # The words' hashes have done their work; the counts come back in their order.

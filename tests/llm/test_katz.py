@@ -53,8 +53,7 @@ def brute(docs, held, hot):
 
 def compare(df, docs, **sizes):
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in docs]
-    learned = sum(len((t or "").split()) + 1 for (_, t), h in zip(docs, held) if not h)
-    wanted = brute(docs, held, max(learned // sizes.get("hot_share", katz.HOT_SHARE), 1024))
+    wanted = brute(docs, held, sizes.get("part_tokens", katz.PART_TOKENS) // sizes.get("hot_share", katz.HOT_SHARE))
     found = [tuple(r) for r in katz.scores(df, id_remainder(F.col("doc_id"), 7) == 2, **sizes).collect()]
     order = lambda r: (str(r[0]), r[2], r[5])
     assert len(found) == len(wanted)
@@ -62,7 +61,7 @@ def compare(df, docs, **sizes):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_tokens": 300, "part_tokens": 2000, "hot_share": 1 << 40}])
+@pytest.mark.parametrize("sizes", [{}, {"block_tokens": 300, "part_tokens": 2000, "hot_share": 2}])
 def test_scores_are_the_model_written_out(documents, clashing, sizes):
     draw = random.Random(4)
     vocabulary = [f"w{int(draw.paretovariate(0.8)) % 300}" for _ in range(2000)]
