@@ -146,9 +146,9 @@ def measures(text: Column, vocabulary: str = VOCABULARY) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         import numpy as np
 
-        from folioscope.llm.vocabulary import piece_model, word_pieces
+        from folioscope.llm.vocabulary import word_pieces
 
-        pieces, model = word_pieces(vocabulary), piece_model(vocabulary)
+        pieces, model = word_pieces(vocabulary)
         is_byte = np.array([model.IsByte(i) for i in range(model.GetPieceSize())])
         rows = [measure(x.as_py(), pieces, is_byte) for x in texts]
         columns = zip(*rows) if rows else [[] for _ in _FIELDS]

@@ -13,10 +13,18 @@ from collections.abc import Callable
 import public_tokenizers
 
 #: Words kept per worker are at most twice as many; longer words are encoded each time.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 LONGEST_KEPT = 64
 
-_LOADED: dict[str, object] = {}
+#: The vocabulary that this worker used last. Workers outlive stages, so it gives way to the next one.
+_LOADED: dict[str, tuple] = {}
+
+
+def _loaded(name: str, make: Callable[[str], tuple]) -> tuple:
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = make(public_tokenizers.path(name))
+    return _LOADED[name]
 
 
 class WordIds:
@@ -112,28 +120,21 @@ class _WordBpe:
 
 def word_bpe(name: str) -> WordIds:
     """Ids of a file for the tokenizers library, without special tokens."""
-    if name not in _LOADED:
-        _LOADED[name] = WordIds(_WordBpe(public_tokenizers.path(name)))
-    return _LOADED[name]
+    return _loaded(name, lambda file: (WordIds(_WordBpe(file)),))[0]
 
 
-def word_pieces(name: str) -> WordIds:
-    """Ids of a sentencepiece model."""
-    if name not in _LOADED:
-        model = piece_model(name)
+def word_pieces(name: str) -> tuple[WordIds, object]:
+    """Ids of a sentencepiece model, and the model."""
+
+    def make(file: str) -> tuple:
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=file)
 
         def encode(words: list[bytes]) -> list[bytes]:
             found = model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
             return [_ids(ids) for ids in found]
 
-        _LOADED[name] = WordIds(encode)
-    return _LOADED[name]
-
-
-def piece_model(name: str):
-    key = f"model of {name}"
-    if key not in _LOADED:
-        from sentencepiece import SentencePieceProcessor
+        return WordIds(encode), model
 
-        _LOADED[key] = SentencePieceProcessor(model_file=public_tokenizers.path(name))
-    return _LOADED[key]
+    return _loaded(name, make)
