@@ -3,7 +3,7 @@
 A public vocabulary is trained on ordinary text, so text that it cuts into many small tokens, spells
 byte by byte, or covers with few different tokens is rarely prose. Measured per document, over whole
 texts: characters per token, share of byte-fallback tokens, and the entropy of the document's tokens
-as a share of the most that so many tokens can have. The bands stand per script, the one that most
+as a share of the most that so many tokens, or ``ENTROPY_TOKENS`` if there are more, can have. The bands stand per script, the one that most
 letters of the text belong to, since a vocabulary serves scripts unequally.
 
 Before the bands come the base rules: at least ``MIN_WORDS`` words, and at most ``MAX_REPEAT`` percent
@@ -27,6 +27,8 @@ VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS = 10
 MAX_REPEAT = 20
 WINDOW = 5
+#: A language has so many common tokens that longer texts hardly show more; entropy is a share of this many at most.
+ENTROPY_TOKENS = 4096
 
 
 @dataclass(frozen=True)
@@ -124,7 +126,7 @@ def measure(raw: bytes | None, pieces, is_byte) -> tuple:
         counts = np.bincount(tokens)
         byte_share = float(counts[is_byte[: len(counts)]].sum()) / n
         p = counts[counts > 0] / n
-        most = np.log2(min(n, len(is_byte)))
+        most = np.log2(min(n, ENTROPY_TOKENS))
         entropy = float(-(p * np.log2(p)).sum() / most) if most else 0.0
     return (
         len(words),
