@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import KEY, keyed, keyed_rows
+from folioscope.llm.common import KEY, keyed, keyed_rows, stored
 
 #: Repeats of at least so many lines are found, without exception, and nothing shorter goes.
 RUN = 3
@@ -79,7 +79,9 @@ def anchors(df: DataFrame, doc_id: str, text: str, run: int) -> DataFrame:
 
 def repeated_windows(found: DataFrame, run: int) -> DataFrame:
     """``_id, _h, start``: windows of ``run`` lines that have an earlier place."""
-    repeated = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("anchor")
+    counts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    # Written first, the small sides leave the joins free to split a hot anchor or window.
+    repeated = stored(counts.filter(F.col("n") > 1).select("anchor"), "anchors")
     at = F.sequence(F.lit(0), F.size("around") - run)
     windows = (
         found.join(repeated, "anchor", "left_semi")
@@ -90,12 +92,8 @@ def repeated_windows(found: DataFrame, run: int) -> DataFrame:
             F.struct("no_id", "_id", "_h", (F.col("first") + F.col("shift")).alias("start")).alias("place"),
         )
     )
-    firsts = (
-        windows.groupBy("window")
-        .agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > 1)
-        .select("window", "earliest")
-    )
+    places = windows.groupBy("window").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n"))
+    firsts = stored(places.filter(F.col("n") > 1).select("window", "earliest"), "windows")
     later = windows.join(firsts, "window").filter(F.col("place") > F.col("earliest"))
     return later.select(*KEY, F.col("place.start").alias("start"))
 
