@@ -180,7 +180,7 @@ def suffix_array(symbols):
         places = np.flatnonzero(shared)
         suffixes = order[places]
         rest = np.where(suffixes + width < n, rank[np.minimum(suffixes + width, n - 1)], -1)
-        sort = np.lexsort((rest, rank[suffixes]))
+        sort = np.argsort(rank[suffixes] * (n + 1) + rest + 1)
         suffixes, rest, own = suffixes[sort], rest[sort], rank[suffixes][sort]
         order[places] = suffixes
         cut = np.concatenate([[True], (own[1:] != own[:-1]) | (rest[1:] != rest[:-1])])
@@ -201,16 +201,29 @@ def intervals(transform, length: int):
     rest = np.argsort(transform, kind="stable")
     symbol = transform[rest]
     boundary = np.concatenate([[True], symbol[1:] != symbol[:-1]]) | (symbol == 0)
+    found = boundary.copy()
     left = np.flatnonzero(~boundary)
-    before, after = rest[left - 1], rest[left]
+    before, after, origin = rest[left - 1], rest[left], np.arange(len(boundary))
     for _ in range(length - 1):
+        same = np.ones(len(left), bool)
+        if 2 * len(left) < len(boundary):
+            # Suffixes that are alone in their interval leave; whoever's rest is one of them parts now.
+            stays = ~boundary
+            stays[:-1] |= ~boundary[1:]
+            kept, place = np.flatnonzero(stays), np.cumsum(stays) - 1
+            same = stays[before] & stays[after]
+            boundary = boundary[kept]
+            boundary[1:] |= kept[1:] != kept[:-1] + 1
+            origin, left, before, after = origin[kept], place[left], place[before], place[after]
         interval = np.cumsum(boundary, dtype=np.int32)
-        same = interval[before] == interval[after]
+        same &= interval[before] == interval[after]
         if same.all():
             break
-        boundary[left[~same]] = True
+        apart = left[~same]
+        boundary[apart] = True
+        found[origin[apart]] = True
         left, before, after = left[same], before[same], after[same]
-    return np.cumsum(boundary) - 1
+    return np.cumsum(found) - 1
 
 
 def repeated_strings(segments: list[bytes], counts: list[int], length: int) -> list[tuple[list, list]]:
