@@ -294,7 +294,8 @@ def repeated_runs(
     ``n`` tells how often a text occurs; first and last starts of strings count from ``start``.
     """
     found = _places(texts, grams[0], length)
-    keys = found.groupBy("key").agg(F.sum(F.col("n") * F.col("anchors")).alias("total")).filter(F.col("total") > 1).select("key")
+    totals = found.groupBy("key").agg(F.sum(F.col("n") * F.col("anchors")).alias("total"))
+    keys = stored(totals.filter(F.col("total") > 1).select("key"), "keys")
     places = stored(found.drop("anchors").join(keys, "key", "left_semi"), "places")
     distinct = places.groupBy("key", "digest").agg(
         F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "start", "strings")).alias("at")
@@ -310,11 +311,11 @@ def repeated_runs(
     else:
         spread = segments.join(large, "key", "left_semi").dropDuplicates(["key", "digest"])
         again = spread.select(F.col("key").alias("k1"), F.col("digest").alias("k2"), "n", "raw")
-        further = repeated_runs(again, length, grams[1:], largest_group).select(
-            F.col("k1").alias("key"),
-            F.col("k2").alias("digest"),
-            F.transform("firsts", lambda x: x + F.col("start")).alias("firsts"),
-            F.transform("lasts", lambda x: x + F.col("start")).alias("lasts"),
+        # One row for each segment, however many runs of longer grams it was cut into.
+        parts = repeated_runs(again, length, grams[1:], largest_group)
+        shifted = {c: F.flatten(F.collect_list(F.transform(c, lambda x: x + F.col("start")))) for c in ("firsts", "lasts")}
+        further = parts.groupBy(F.col("k1").alias("key"), F.col("k2").alias("digest")).agg(
+            *[part.alias(c) for c, part in shifted.items()]
         )
         runs = _expand(segments.join(large, "key", "left_anti"), length).unionByName(further)
     return places.select("k1", "k2", "key", "digest", "start").join(runs, ["key", "digest"]).drop("key", "digest")
