@@ -293,7 +293,7 @@ def repeated_runs(
 
     ``n`` tells how often a text occurs; first and last starts of strings count from ``start``.
     """
-    found = _places(texts, grams[0], length)
+    found = stored(_places(texts, grams[0], length), "strings")
     totals = found.groupBy("key").agg(F.sum(F.col("n") * F.col("anchors")).alias("total"))
     keys = stored(totals.filter(F.col("total") > 1).select("key"), "keys")
     places = stored(found.drop("anchors").join(keys, "key", "left_semi"), "places")
