@@ -7,6 +7,9 @@ others are joined over their positions: each carries the lines around it, as far
 selected it reach to both sides, and equal windows are matched with their first place. Matched windows
 of a document that overlap or touch make up a run, so runs extend as far as the match does.
 
+A line can be a paragraph, so size counts as well as lines: fewer than ``run`` lines that hold ``WORDS``
+words or ``BYTES`` bytes together are a window of their own, which is its own anchor.
+
 A place is later than another by doc_id (null last), then by position. Every line of a window that
 has an earlier place goes; the first place stays. Blank lines go with the line before them.
 
@@ -14,8 +17,8 @@ Windows are counted and their first place found with map-side combine, so a line
 third of all documents share costs a row per task; only the join that brings the first place back
 meets all its windows, and it can be split.
 
-Null texts stay null; an empty text stays; texts of fewer lines than ``run`` stay whole; rows equal in
-id and text are one document and get the same verdict; an empty table gives none.
+Null texts stay null; an empty text stays; short texts of fewer lines than ``run`` stay whole; rows equal
+in id and text are one document and get the same verdict; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,19 +31,24 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import KEY, keyed, keyed_rows, stored
 
-#: Repeats of at least so many lines are found, without exception, and nothing shorter goes.
+#: Repeats of at least so many lines are found, without exception.
 RUN = 3
+#: So are repeats of fewer lines that hold so many words or bytes; nothing shorter goes. Scripts without
+#: spaces need the bytes.
+WORDS, BYTES = 50, 300
 
 _ANCHORS = "_id bigint, _h bigint, no_id boolean, anchor bigint, first bigint, around array<bigint>"
 
 
 def line_hashes(raw: bytes):
-    """Hashes of the non-blank lines, white space made single."""
+    """Of the non-blank lines, white space made single: hashes, numbers of words and of bytes."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    words = (line.split() for line in raw.split(b"\n"))
-    return np.array([xxh64_intdigest(b" ".join(w)) for w in words if w], "<u8").view("<i8")
+    words = [w for w in (line.split() for line in raw.split(b"\n")) if w]
+    joined = [b" ".join(w) for w in words]
+    hashes = np.array([xxh64_intdigest(x) for x in joined], "<u8").view("<i8")
+    return hashes, np.array([len(w) for w in words], np.int64), np.array([len(x) for x in joined], np.int64)
 
 
 def winnow(hashes, run: int) -> list[tuple[int, int, int]]:
@@ -56,17 +64,34 @@ def winnow(hashes, run: int) -> list[tuple[int, int, int]]:
     return list(zip(chosen[firsts].tolist(), firsts.tolist(), lasts.tolist()))
 
 
-def anchors(df: DataFrame, doc_id: str, text: str, run: int) -> DataFrame:
-    """The selected lines of all documents, each with the lines around it."""
+def large_windows(hashes, words, size, run: int) -> list[tuple[int, int, list[int]]]:
+    """Windows of fewer than ``run`` lines with ``WORDS`` words or ``BYTES`` bytes, as (anchor, start, hashes)."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    found = []
+    for n in range(1, min(run, len(hashes) + 1)):
+        sums = (np.lib.stride_tricks.sliding_window_view(x, n).sum(axis=1) for x in (words, size))
+        large = next(sums) >= WORDS
+        large |= next(sums) >= BYTES
+        for at in np.flatnonzero(large).tolist():
+            window = hashes[at : at + n]
+            # The seed tells these anchors from lines and from each other's lengths.
+            found.append((xxh64_intdigest(window.tobytes(), seed=n) - (1 << 63), at, window.tolist()))
+    return found
+
+
+def anchors(df: DataFrame, doc_id: str, text: str, run: int, large: bool) -> DataFrame:
+    """The selected lines of all documents, each with the lines around it, and the large windows."""
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[] for _ in range(6)]
             for i, h, no_id, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                hashes = line_hashes(raw or b"")
-                for at, first, last in winnow(hashes, run):
-                    row = (i, h, no_id, int(hashes[at]), first, hashes[first : last + run].tolist())
-                    for column, value in zip(out, row):
+                hashes, words, size = line_hashes(raw or b"")
+                chosen = [(int(hashes[at]), first, hashes[first : last + run].tolist()) for at, first, last in winnow(hashes, run)]
+                for row in chosen + (large_windows(hashes, words, size, run) if large else []):
+                    for column, value in zip(out, (i, h, no_id, *row)):
                         column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             names = [x.split()[0] for x in _ANCHORS.split(", ")]
@@ -78,33 +103,35 @@ def anchors(df: DataFrame, doc_id: str, text: str, run: int) -> DataFrame:
 
 
 def repeated_windows(found: DataFrame, run: int) -> DataFrame:
-    """``_id, _h, start``: windows of ``run`` lines that have an earlier place."""
+    """``_id, _h, start, n``: windows of ``n`` lines, ``run`` or a large one's, that have an earlier place."""
     counts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     # Written first, the small sides leave the joins free to split a hot anchor or window.
     repeated = stored(counts.filter(F.col("n") > 1).select("anchor"), "anchors")
-    at = F.sequence(F.lit(0), F.size("around") - run)
+    # Lines around a selected one are ``run`` or more; fewer are a large window as it is.
+    n = F.least(F.size("around"), F.lit(run))
+    at = F.sequence(F.lit(0), F.size("around") - n)
     windows = (
         found.join(repeated, "anchor", "left_semi")
         .withColumn("shift", F.explode(at))
         .select(
             *KEY,
-            F.slice("around", F.col("shift") + 1, run).alias("window"),
+            F.slice("around", F.col("shift") + 1, n).alias("window"),
             F.struct("no_id", "_id", "_h", (F.col("first") + F.col("shift")).alias("start")).alias("place"),
         )
     )
     places = windows.groupBy("window").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n"))
     firsts = stored(places.filter(F.col("n") > 1).select("window", "earliest"), "windows")
     later = windows.join(firsts, "window").filter(F.col("place") > F.col("earliest"))
-    return later.select(*KEY, F.col("place.start").alias("start"))
+    return later.select(*KEY, F.col("place.start").alias("start"), F.size("window").alias("n"))
 
 
-def without_lines(text: Column, starts: Column, run: int) -> Column:
+def without_lines(text: Column, windows: Column) -> Column:
     """``text`` without the lines of the windows, with the numbers of non-blank lines before and removed."""
 
-    def cut(raw: bytes | None, windows: list[int] | None) -> tuple:
+    def cut(raw: bytes | None, windows: list[dict] | None) -> tuple:
         if raw is None:
             return None, 0, 0
-        gone = {s + i for s in windows or () for i in range(run)}
+        gone = {w["start"] + i for w in windows or () for i in range(w["n"])}
         kept, at, n = [], -1, 0
         for line in raw.split(b"\n"):
             filled = bool(line.strip())
@@ -121,15 +148,20 @@ def without_lines(text: Column, starts: Column, run: int) -> Column:
         return pa.StructArray.from_arrays(columns, names=["text", "n_lines", "n_removed"])
 
     run_all.__annotations__ = {"texts": pa.Array, "windows": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run_all, "struct<text:string,n_lines:bigint,n_removed:bigint>")(text.cast("binary"), starts)
+    return F.arrow_udf(run_all, "struct<text:string,n_lines:bigint,n_removed:bigint>")(text.cast("binary"), windows)
+
 
+def dedup_lines(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, large: bool = True
+) -> DataFrame:
+    """``row`` (the row of ``df``) and ``lines``: the text that is left, ``n_lines`` and ``n_removed``.
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """``row`` (the row of ``df``) and ``lines``: the text that is left, ``n_lines`` and ``n_removed``."""
+    Without ``large`` only windows of ``run`` lines count, however long their lines are.
+    """
     gone = (
-        repeated_windows(anchors(df, doc_id, text, run), run)
+        repeated_windows(anchors(df, doc_id, text, run, large), run)
         .groupBy(*KEY)
-        .agg(F.collect_set("start").alias("starts"))
+        .agg(F.collect_set(F.struct("start", "n")).alias("windows"))
     )
     joined = keyed_rows(df, doc_id, text).join(gone, KEY, "left")
-    return joined.select("row", without_lines(F.col("row")[text], F.col("starts"), run).alias("lines"))
+    return joined.select("row", without_lines(F.col("row")[text], F.col("windows")).alias("lines"))
