@@ -20,8 +20,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata and conversion records of every page."""
-    return warc.derive(warc.responses(read(spark, sf_dir, "pages")))
+    """Metadata and conversion records of every page, in the short form that its SQL states."""
+    return warc.derive(warc.responses(read(spark, sf_dir, "pages")), whole=False)
 
 
 @query

@@ -6,7 +6,9 @@ record (its text). Both name the response in WARC-Refers-To and keep its target
 digest and source headers; their ids follow from the response's id, so a repeated run gives the same
 records. ``write_warc`` writes records as WARC 1.1 files.
 
-Everything is column expressions on single rows: no shuffle, whatever one host or page holds.
+References are decoded and links found as HTML reads them, in Arrow batches; ``whole=False`` is the short
+form that SQL can express, with the entities and the link pattern below. Everything works on single
+rows: no shuffle, whatever one host or page holds.
 
 Null bodies and urls are empty; an empty body gives an empty text and no links; rows equal in all
 columns give equal records, one set per row; an empty table gives none; further columns of the input
@@ -15,6 +17,11 @@ are left out, so their names can't clash.
 
 from __future__ import annotations
 
+import html as markup
+import re
+from html.entities import html5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +32,7 @@ SERVER = "folioscope"
 SPACE = r"[ \t\n\x0B\f\r]+"
 #: Elements that end a line of text.
 _BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
-#: Entities that pages use and what they stand for, the ampersand last.
+#: Fixed values of the short form: a few entities and what they stand for, the ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 PATTERNS = {
@@ -40,17 +47,65 @@ PATTERNS = {
 }
 
 
-def _decoded(text: Column) -> Column:
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
+_IN_VALUE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|([A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=]))))")
+_ANCHOR = re.compile(r"<a(?=[ \t\n\f\r/])", re.I)
+_ATTRIBUTE = re.compile(
+    r"""[ \t\n\f\r/]*([^ \t\n\f\r/>=]+)"""
+    r"""(?:[ \t\n\f\r]*=[ \t\n\f\r]*(?:"([^"]*)"|'([^']*)'|([^ \t\n\f\r>"'][^ \t\n\f\r>]*)))?"""
+)
+
+
+def unescaped(text: str) -> str:
+    """Text with all references decoded, once, from left to right; white space that they name is a space."""
+
+    def meaning(m: re.Match) -> str:
+        found = markup.unescape(m[0])
+        return " " if found and found in "\t\n\f\r\xa0" else found
+
+    return _REFERENCE.sub(meaning, text)
+
+
+def unescaped_value(value: str) -> str:
+    """As HTML reads attributes: a name without semicolon before a letter, digit or = is no reference."""
+    return _IN_VALUE.sub(lambda m: html5.get(m[1], m[0]) if m[1] else markup.unescape(m[0]), value)
+
+
+def link_targets(html: str) -> list[str]:
+    """The href of each anchor that has one, in double, single or no quotes."""
+    found = []
+    for anchor in _ANCHOR.finditer(html):
+        at = anchor.end()
+        while m := _ATTRIBUTE.match(html, at):
+            value = next((x for x in m.groups()[1:] if x is not None), None)
+            if m[1].lower() == "href" and value is not None:
+                found.append(unescaped_value(value))
+                break
+            at = m.end()
+    return found
+
+
+def _each(fn, text: Column, kind: str, arrow: pa.DataType) -> Column:
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else fn(x.decode("utf-8", "replace")) for x in texts.to_pylist()], arrow)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind)(text.cast("binary"))
+
+
+def _decoded(text: Column, whole: bool = False) -> Column:
+    if whole:
+        return _each(unescaped, text, "string", pa.string())
     for entity, meaning in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(meaning))
     return text
 
 
-def plain_text(html: Column) -> Column:
+def plain_text(html: Column, whole: bool = True) -> Column:
     """The visible text, a line for each block, without markup and with entities decoded."""
     text = F.regexp_replace(html, PATTERNS["hidden"], " ")
     text = F.regexp_replace(F.regexp_replace(text, SPACE, " "), PATTERNS["breaks"], "\n")
-    text = _decoded(F.regexp_replace(text, PATTERNS["tags"], ""))
+    text = _decoded(F.regexp_replace(text, PATTERNS["tags"], ""), whole)
     return F.trim(F.regexp_replace(F.regexp_replace(text, PATTERNS["spaces"], " "), PATTERNS["lines"], "\n"), F.lit(" \n"))
 
 
@@ -92,11 +147,17 @@ def responses(
     )
 
 
-def derive(records: DataFrame) -> DataFrame:
+def _links(html: Column, whole: bool) -> Column:
+    if whole:
+        return _each(link_targets, html, "array<string>", pa.list_(pa.string()))
+    return F.transform(F.regexp_extract_all(html, F.lit(PATTERNS["links"]), 1), lambda x: _decoded(x))
+
+
+def derive(records: DataFrame, whole: bool = True) -> DataFrame:
     """Two records for each response: ``metadata`` first, then ``conversion``."""
     html = F.col("body")
-    title = F.trim(F.regexp_replace(_decoded(F.regexp_extract(html, PATTERNS["title"], 1)), SPACE, " "))
-    links = F.transform(F.regexp_extract_all(html, F.lit(PATTERNS["links"]), 1), _decoded)
+    title = F.trim(F.regexp_replace(_decoded(F.regexp_extract(html, PATTERNS["title"], 1), whole), SPACE, " "))
+    links = _links(html, whole)
     lines = F.split(F.col("http_headers"), "\r\n")
     source_headers = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x != "")
     envelope = F.to_json(
@@ -116,7 +177,7 @@ def derive(records: DataFrame) -> DataFrame:
 
     both = F.array(
         made("metadata", "application/json", envelope),
-        made("conversion", "text/plain; charset=utf-8", plain_text(html)),
+        made("conversion", "text/plain; charset=utf-8", plain_text(html, whole)),
     )
     out = records.select(
         "page_id", "target_uri", "date", "payload_digest",

@@ -58,3 +58,17 @@ def test_files_can_be_read_back(spark, tmp_path):
             found.append((fields["WARC-Record-ID"], fields["WARC-Refers-To"], rest[:n].decode()))
             data = rest[n + 4 :]
     assert sorted(found) == sorted((r.record_id, r.refers_to, r.block) for r in records.collect())
+
+
+def test_references_and_links_as_html_reads_them(spark):
+    page = (
+        "<html><head><title>Caf&eacute; &#8212;&nbsp;&hellip;</title></head><body>"
+        "<p>&copy; 2024 &middot; it&#8217;s &#x2014; &amp;lt; &amp &nosuch; a&#160;b &#10;c</p>"
+        """<a href="/it's?a=1&copy=2&amp;b=3">x</a><a class=k href=/plain>y</a><A title='>"' HREF = '/q"r'>z</A><a data-href="/no">n</a>"""
+        "<a href=/c&eacute;>w</a><a name=top>t</a></body></html>"
+    )
+    meta, text = sorted(derived(spark, [(1, "u", page)]).collect(), key=lambda r: r.warc_type, reverse=True)
+    assert text.block.split("\n")[0].startswith("\xa9 2024 \xb7 it’s — &lt; & &nosuch; a b c")
+    envelope = json.loads(meta.block)
+    assert envelope["title"] == "Caf\xe9 — …"
+    assert envelope["links"] == ["/it's?a=1&copy=2&b=3", "/plain", '/q"r', "/c\xe9"]
