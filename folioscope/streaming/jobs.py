@@ -23,16 +23,14 @@ PARTS = ("day", "batch")
 
 
 def stream_movements(
-    stream: DataFrame, cases: DataFrame, target: str, errors: str, checkpoint: str, watermark: str = "7 days"
+    stream: DataFrame, cases: DataFrame, target: str, errors: str, checkpoint: str
 ) -> StreamingQuery:
     """Appends new movements by (case, fingerprint); movements of unknown cases go to ``errors``.
 
-    State keeps one key per movement of the watermark span; a copy that comes later is caught by an
-    anti-join with the stored rows of its day, since a fingerprint covers the instant. Each batch owns
-    its folders, so a repeated batch replaces itself. Movements older than the watermark are dropped
-    and counted in the query's progress.
+    Copies within a batch are dropped there; a copy in a later batch is caught by an anti-join with the
+    stored rows of its day, since a fingerprint covers the instant. So no state is kept and nothing is
+    too late, however old it is. Each batch owns its folders, so a repeated batch replaces itself.
     """
-    unique = stream.withWatermark("occurred_at", watermark).dropDuplicatesWithinWatermark(list(MOVEMENT_KEYS))
     known = cases.select("case_id").distinct()
     schema = stream.select("*", F.to_date("occurred_at").alias("day"), F.lit(0).cast("bigint").alias("batch")).schema
     spark = stream.sparkSession
@@ -41,18 +39,22 @@ def stream_movements(
 
     def append(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        numbered = batch.withColumns({"day": F.to_date("occurred_at"), "batch": F.lit(batch_id).cast("bigint")})
+        numbered = batch.dropDuplicates(list(MOVEMENT_KEYS)).withColumns({"day": F.to_date("occurred_at"), "batch": F.lit(batch_id).cast("bigint")})
         days = [r["day"] for r in numbered.select("day").distinct().collect()]
-        stored = session.read.schema(schema).parquet(target).filter(F.col("day").isin(days) & (F.col("batch") < batch_id))
-        fresh = numbered.join(known, "case_id", "left_semi").join(
-            stored.select(*MOVEMENT_KEYS), list(MOVEMENT_KEYS), "left_anti"
-        )
-        _write_batch(fresh, target, PARTS)
+        of_days = F.col("day").isin([d for d in days if d is not None]) | (F.lit(None in days) & F.col("day").isNull())
+
+        def unseen(rows: DataFrame, folder: str) -> DataFrame:
+            stored = session.read.schema(schema).parquet(folder).filter(of_days & (F.col("batch") < batch_id))
+            keys = stored.select(*[F.col(k).alias(f"_{k}") for k in MOVEMENT_KEYS])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in MOVEMENT_KEYS]
+            return rows.join(keys, same, "left_anti")
+
+        _write_batch(unseen(numbered.join(known, "case_id", "left_semi"), target), target, PARTS)
         lost = numbered.filter("case_id is not null").join(known, "case_id", "left_anti")
-        _write_batch(lost, errors, PARTS)
+        _write_batch(unseen(lost, errors), errors, PARTS)
 
     return (
-        unique.writeStream.foreachBatch(append)
+        stream.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

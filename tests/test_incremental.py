@@ -147,3 +147,22 @@ def test_stream_limiter_equals_batch(spark, rows, tmp_path):
     query.awaitTermination()
     columns = ("key", "event_id", "window_start", "failures", "limited")
     assert rows(spark.read.parquet(str(tmp_path / "out")), *columns) == rows(limiter.limiter(events), *columns)
+
+
+def test_movements_of_any_age_are_kept_once(spark, rows, tmp_path):
+    """Each batch is one file; later ones bring rows years behind the newest, and copies."""
+    at = lambda day: dt.datetime(2026, 1, 1) + dt.timedelta(days=day)
+    schema = "case_id long, occurred_at timestamp, title string, fingerprint string, movement_id long"
+    batches = [
+        [(1, at(0), "t", "a", 1), (1, at(0), "t", "a", 2), (9, at(0), "t", "x", 3)],
+        [(1, at(-900), "t", "old", 4), (9, at(-900), "t", "old", 5), (1, None, "t", "no day", 6)],
+        [(1, at(-900), "t", "old", 7), (9, at(0), "t", "x", 8), (1, at(0), "t", "a", 9), (1, None, "t", "no day", 10), (2, at(-30), "t", "b", 11)],
+    ]
+    cases = spark.createDataFrame([(1,), (2,)], "case_id long")
+    names = [str(tmp_path / n) for n in ("in", "new", "errors", "checkpoint")]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(names[0])
+        stream = spark.readStream.schema(schema).parquet(names[0])
+        jobs.stream_movements(stream, cases, *names[1:]).awaitTermination()
+    assert rows(spark.read.parquet(names[1]), "case_id", "fingerprint") == [(1, "a"), (1, "no day"), (1, "old"), (2, "b")]
+    assert rows(spark.read.parquet(names[2]), "case_id", "fingerprint") == [(9, "old"), (9, "x")]
