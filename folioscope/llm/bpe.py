@@ -8,9 +8,9 @@ own, a copy without the arc of ``v``, and wherever an arc of ``u`` begins, an ar
 lacks: for each state, the tokens whose arc was removed and the merge that did it. An arc ``w`` exists if
 none of the tokens that ``w`` grew from on its left had lost its arc when ``w`` was made.
 
-A pre-split word has exactly one accepted path, and so has each of its prefixes; encoding extends the
-paths of the prefixes arc by arc, with no merging. A token with the end of a word leads to the first
-state, so the ids of a whole text are one path. Decoding follows the ids and emits the label of each arc.
+A pre-split word has exactly one accepted path, and so has each of its prefixes; encoding follows arcs,
+with no merging. A token with the end of a word leads to the first state, so the ids of a whole text are
+one path. Decoding follows the ids and emits the label of each arc.
 
 Words are normalised and pre-split as the vocabulary's file says. White space of ASCII bounds every step,
 so each distinct word is encoded once per worker, and single rows need no shuffle.
@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 from folioscope.llm.vocabulary import KEPT_WORDS, LONGEST_KEPT, _byte_letters, _loaded
 
 VOCABULARY = "word_bpe_49k.json"
-#: Arcs that a worker keeps looked up.
-KEPT_ARCS = 400_000
-#: A batch of results ends when it holds so many bytes.
-BATCH_BYTES = 16 << 20
+#: Pieces up to this length are encoded many at a time, longer ones alone.
+LONGEST_TOGETHER = 64
+#: Bytes of text whose new words are encoded together.
+TOGETHER_BYTES = 8 << 20
 
 _END = "</w>"
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
@@ -64,21 +66,40 @@ class Automaton:
             self.target[w] = before if u == v else self.target[v]
             sharing[self.target[w]] += 1
             self.grown[w] = (*self.grown[u], (u, rank))
-        self._known: dict[int, bool] = {}
+        lacks = sorted((q * tokens + t, rank) for q, row in enumerate(self.removed) for t, rank in row.items())
+        self._lacks, self._lost = (np.array(c, np.int64) for c in zip(*lacks)) if lacks else (np.zeros(0, np.int64),) * 2
+        self._targets = np.array(self.target, np.int64)
+        self._left = np.full(tokens, -1, np.int64)
+        self._made = np.full(tokens, -1, np.int64)
+        for rank, (u, _, w) in enumerate(merges):
+            self._left[w], self._made[w] = u, rank
 
     def has_arc(self, state: int, token: int) -> bool:
-        key = state * self.tokens + token
-        found = self._known.get(key)
-        if found is None:
-            removed = self.removed[state]
-            found = token not in removed and all(removed.get(t, rank + 1) > rank for t, rank in self.grown[token])
-            if len(self._known) >= KEPT_ARCS:
-                self._known.clear()
-            self._known[key] = found
-        return found
+        removed = self.removed[state]
+        return token not in removed and all(removed.get(t, rank + 1) > rank for t, rank in self.grown[token])
+
+    def have_arcs(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """``has_arc`` of many pairs."""
+        have = np.ones(len(states), bool)
+        if not len(self._lacks):
+            return have
+        rows, limit = np.arange(len(states)), np.full(len(states), len(self._left), np.int64)
+        while len(rows):
+            key = states * self.tokens + tokens
+            at = np.minimum(np.searchsorted(self._lacks, key), len(self._lacks) - 1)
+            gone = (self._lacks[at] == key) & (self._lost[at] <= limit)
+            have[rows[gone]] = False
+            limit, tokens_left = self._made[tokens], self._left[tokens]
+            go = ~gone & (tokens_left >= 0)
+            rows, states, tokens, limit = rows[go], states[go], tokens_left[go], limit[go]
+        return have
+
+    def go(self, tokens: np.ndarray) -> np.ndarray:
+        """The states after the tokens."""
+        return self._targets[tokens]
 
     def accepts(self, ids: list[int]) -> bool:
-        """Whether encoding some text gives these ids."""
+        """Whether the ids are a path, that is, whether the merges leave them as they are."""
         state = 0
         for t in ids:
             if not 0 <= t < self.tokens or not self.has_arc(state, t):
@@ -114,8 +135,8 @@ class Codec:
         self._byte = {c: b for b, c in _byte_letters().items()}
         self._index(vocab)
         self._pieces: dict[bytes, list[int]] = {}
-        self._kept: dict[bytes, tuple[list[int], str]] = {}
-        self._older: dict[bytes, tuple[list[int], str]] = {}
+        self._kept: dict[bytes, tuple[bytes, str]] = {}
+        self._older: dict[bytes, tuple[bytes, str]] = {}
 
     def _index(self, vocab: dict[str, int]) -> None:
         """Per byte string that begins a token: the token within a word and the one at its end, or -1."""
@@ -127,28 +148,103 @@ class Codec:
                 self._tokens.setdefault(spelled[:n], (-1, -1))
             inner, last = self._tokens.get(spelled, (-1, -1))
             self._tokens[spelled] = (inner, i) if ends else (i, last)
+        number = {spelled: i + 1 for i, spelled in enumerate(self._tokens)} | {b"": 0}
+        steps = sorted((number[s[:-1]] * 256 + s[-1], number[s]) for s in self._tokens)
+        self._steps, self._next = (np.array(c, np.int64) for c in zip(*steps))
+        self._inner, self._last = (np.array([-1, *c], np.int64) for c in zip(*self._tokens.values()))
+
+    def pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of many distinct pre-split words, each on the one accepted path that spells it.
+
+        All tokens that begin at any place are found first; then the paths grow from the left, one place
+        of every word at a time, and the last arcs are followed back.
+        """
+        short = [p for p in pieces if len(p) <= LONGEST_TOGETHER]
+        if not short:
+            return [self.piece(p) for p in pieces]
+        data = np.frombuffer(b"".join(short), np.uint8)
+        size = np.array([len(p) for p in short], np.int64)
+        word = np.repeat(np.arange(len(short)), size)
+        first = np.cumsum(size) - size
+        stop = (first + size)[word]
+        at, node, arcs = np.arange(len(data)), np.zeros(len(data), np.int64), []
+        for n in range(1, LONGEST_TOGETHER + 1):
+            key = node * 256 + data[at + n - 1]
+            k = np.minimum(np.searchsorted(self._steps, key), len(self._steps) - 1)
+            known = self._steps[k] == key
+            at, node = at[known], self._next[k[known]]
+            ends = at + n == stop[at]
+            token = np.where(ends, self._last[node], self._inner[node])
+            some = token >= 0
+            arcs.append((at[some], at[some] + n, token[some]))
+            at, node = at[~ends], node[~ends]
+            if not len(at):
+                break
+        begin, end, token = (np.concatenate(c) for c in zip(*arcs))
+        # Every word has a place more than it has bytes.
+        begin, end, depth = begin + word[begin], end + word[begin], begin - first[word[begin]]
+        order = np.argsort(depth, kind="stable")
+        begin, end, token = begin[order], end[order], token[order]
+        bounds = np.searchsorted(depth[order], np.arange(int(size.max()) + 1))
+        state = np.full(len(data) + len(short), -1, np.int64)
+        state[first + np.arange(len(short))] = 0
+        came, by = np.zeros_like(state), np.zeros_like(state)
+        for lo, hi in zip(bounds, bounds[1:]):
+            b, e, t = begin[lo:hi], end[lo:hi], token[lo:hi]
+            good = state[b] >= 0
+            good[good] = self.automaton.have_arcs(state[b[good]], t[good])
+            b, e, t = b[good], e[good], t[good]
+            state[e], came[e], by[e] = self.automaton.go(t), b, t
+        rows, place = np.arange(len(short)), first + size + np.arange(len(short))
+        start, found = first + rows, []
+        while len(rows):
+            found.append((rows, by[place]))
+            place = came[place]
+            go = place > start[rows]
+            rows, place = rows[go], place[go]
+        rows, ids = (np.concatenate(c) for c in zip(*reversed(found)))
+        ids = ids[np.argsort(rows, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(rows, minlength=len(short))).tolist()
+        together = iter([ids[a:b] for a, b in zip([0, *ends], ends)])
+        return [next(together) if len(p) <= LONGEST_TOGETHER else self.piece(p) for p in pieces]
 
     def piece(self, piece: bytes) -> list[int]:
-        """The ids on the one accepted path that spells a pre-split word."""
-        tokens, target, has_arc = self._tokens, self.automaton.target, self.automaton.has_arc
+        """The ids on the one accepted path that spells a pre-split word.
+
+        Long arcs are tried first. As every prefix has one path only, a place that leads no further once
+        never does, so the search takes linear time.
+        """
+        tokens, target, has_arc = self._tokens.get, self.automaton.target, self.automaton.has_arc
         n = len(piece)
-        state: list[int] = [0] * (n + 1)
-        arc: list[int] = [-1] * (n + 1)
-        begin: list[int] = [0] * (n + 1)
-        for i in range(n):
-            q = state[i]
-            for j in range(i + 1, n + 1):
-                found = tokens.get(piece[i:j])
+        ids: list[int] = []
+        begins: list[int] = []
+        choices: list[list[tuple[int, int]]] = []
+        closed: set[int] = set()
+        at = state = 0
+        while at < n:
+            arcs = []
+            for j in range(at + 1, n + 1):
+                found = tokens(piece[at:j])
                 if found is None:
                     break
                 t = found[j == n]
-                if t >= 0 and has_arc(q, t):
-                    state[j], arc[j], begin[j] = target[t], t, i
-        ids = []
-        while n:
-            ids.append(arc[n])
-            n = begin[n]
-        ids.reverse()
+                if t >= 0:
+                    arcs.append((t, j))
+            begins.append(at)
+            choices.append(arcs)
+            while True:
+                if not arcs:
+                    closed.add(begins.pop())
+                    choices.pop()
+                    arcs = choices[-1]
+                    ids.pop()
+                    state = target[ids[-1]] if ids else 0
+                    continue
+                t, j = arcs.pop()
+                if j not in closed and has_arc(state, t):
+                    break
+            ids.append(t)
+            at, state = j, target[t]
         return ids
 
     #: Words of these characters are in normal form, and their letters are known.
@@ -162,51 +258,56 @@ class Codec:
         split = self._tokenizer.pre_tokenizer.pre_tokenize_str(normal)
         return [bytes(self._byte[c] for c in letters) for letters, _ in split]
 
-    def _new(self, word: bytes) -> tuple[list[int], str]:
+    def _parts(self, word: bytes) -> list[bytes | int]:
+        """Pre-split words of what lies between white space, and ids of special tokens."""
         text = word.decode("utf-8", "replace")
-        parts = self._special_text.split(text) if self._special_text and "<" in text else [text]
-        ids: list[int] = []
-        for part in parts:
+        if self._special_text is None or "<" not in text:
+            return self._presplit(text)
+        parts: list[bytes | int] = []
+        for part in self._special_text.split(text):
             if part in self._special:
-                ids.append(self._special[part])
-                continue
-            for piece in self._presplit(part) if part else ():
-                found = self._pieces.get(piece)
-                if found is None:
-                    found = self.piece(piece)
-                    if len(piece) <= LONGEST_KEPT:
-                        if len(self._pieces) >= KEPT_WORDS:
-                            self._pieces.clear()
-                        self._pieces[piece] = found
-                ids += found
-        return ids, self.decode(ids)
+                parts.append(self._special[part])
+            elif part:
+                parts += self._presplit(part)
+        return parts
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, as the tokenizers library joins them; ids without a label are left out."""
         labels = self.labels
         return " ".join([labels[i] for i in ids if i in labels])
 
-    def word(self, word: bytes) -> tuple[list[int], str]:
-        """Ids and labels of what lies between white space; the words met lately are kept."""
-        found = self._kept.get(word)
-        if found is None:
-            found = self._older.get(word) or self._new(word)
-            if len(word) <= LONGEST_KEPT:
-                if len(self._kept) >= KEPT_WORDS:
-                    self._older, self._kept = self._kept, {}
-                self._kept[word] = found
+    def _words(self, words: set[bytes]) -> dict[bytes, tuple[bytes, str]]:
+        """Ids, as little-endian 32-bit numbers, and labels of words; those met lately, and their pieces, are kept."""
+        kept, older = self._kept, self._older
+        found = {w: kept[w] for w in words if w in kept}
+        again = {w: older[w] for w in words if w in older and w not in found}
+        parts = {w: self._parts(w) for w in words if w not in found and w not in again}
+        pieces = {p for row in parts.values() for p in row if p.__class__ is bytes}
+        known = {p: self._pieces[p] for p in pieces if p in self._pieces}
+        new = [p for p in pieces if p not in known]
+        fresh = dict(zip(new, self.pieces(new)))
+        known.update(fresh)
+        for w, row in parts.items():
+            ids = [i for p in row for i in (known[p] if p.__class__ is bytes else (p,))]
+            again[w] = struct.pack(f"<{len(ids)}i", *ids), self.decode(ids)
+        if len(self._kept) + len(again) > KEPT_WORDS:
+            self._older, self._kept = self._kept, {}
+        if len(self._pieces) + len(fresh) > KEPT_WORDS:
+            self._pieces = {}
+        self._kept.update((w, row) for w, row in again.items() if len(w) <= LONGEST_KEPT)
+        self._pieces.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST_KEPT)
+        found.update(again)
         return found
 
-    def text(self, text: bytes) -> tuple[list[int], str]:
-        """Ids of a whole text, and the labels on their path."""
-        ids: list[int] = []
-        labels: list[str] = []
-        for word in text.split():
-            found = self.word(word)
-            ids += found[0]
-            if found[1]:
-                labels.append(found[1])
-        return ids, " ".join(labels)
+    def texts(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
+        """Ids of whole texts, as little-endian 32-bit numbers, and the labels on their paths."""
+        split = [text.split() for text in texts]
+        found = self._words(set().union(*split))
+        out = []
+        for words in split:
+            rows = [found[w] for w in words]
+            out.append((b"".join([ids for ids, _ in rows]), " ".join([labels for _, labels in rows if labels])))
+        return out
 
 
 def codec(vocabulary: str) -> Codec:
@@ -230,37 +331,40 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = codec(vocabulary)
-        out: tuple[list, list, list] = ([], [], [])
-        size = 0
         for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, decoded = words.text(raw.as_py() or b"")
-                size += 4 * len(ids) + len(decoded)
-                for column, value in zip(out, (i, pa.array(ids, pa.int32()), decoded)):
-                    column.append(value)
-                if size >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), _lists(out[1]), pa.array(out[2], pa.string())], schema=_ENCODED)
-                    out, size = ([], [], []), 0
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), _lists(out[1]), pa.array(out[2], pa.string())], schema=_ENCODED)
+            for part in _by_size(batch):
+                ids, decoded = zip(*words.texts([raw or b"" for raw in part.column(1).to_pylist()]))
+                columns = [part.column(0), _lists(ids), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema=_ENCODED)
 
     columns = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     return columns.mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 
 
-def _lists(lists: list[pa.Array]) -> pa.Array:
-    """Arrays of ids as one column."""
-    import numpy as np
+def _lists(ids: list[bytes]) -> pa.Array:
+    """Little-endian 32-bit numbers as one column of lists."""
+    ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def _by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``TOGETHER_BYTES`` of text; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
 
-    ends = np.cumsum([0, *[len(x) for x in lists]], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(lists) if lists else pa.array([], pa.int32()))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + TOGETHER_BYTES, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def decode(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id``, ``decoded`` and ``canonical`` of every row of ids.
 
     Ids that the vocabulary lacks have no label and are left out; null ids are none. ``canonical`` tells
-    whether the automaton accepts the ids, that is, whether encoding some text gives them; special tokens
-    end a word.
+    whether the ids are a path of the automaton, that is, whether the merges leave them as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, fertility, katz, langid, lines, packing, quotes, simhash, substrings, warc
+from folioscope.llm import bpe, decontaminate, fertility, katz, langid, lines, packing, quotes, simhash, substrings, warc
 from folioscope.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,16 @@ def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log probability of every document under a model of six sevenths of them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return katz.scores(docs, id_remainder(F.col("doc_id"), 7) == 2)
+
+
+@query
+def op13_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document."""
+    coded = bpe.encode(read(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
