@@ -12,8 +12,8 @@ A pre-split word has exactly one accepted path, and so has each of its prefixes;
 with no merging. A token with the end of a word leads to the first state, so the ids of a whole text are
 one path. Decoding follows the ids and emits the label of each arc.
 
-Words are normalised and pre-split as the vocabulary's file says. White space of ASCII bounds every step,
-so each distinct word is encoded once per worker, and single rows need no shuffle.
+Texts are normalised and pre-split as the vocabulary's file says; of its words, those met lately are kept
+per worker, and the new ones of many texts are encoded together. Single rows need no shuffle.
 """
 
 from __future__ import annotations
@@ -28,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.vocabulary import KEPT_WORDS, LONGEST_KEPT, _byte_letters, _loaded
+from folioscope.llm.vocabulary import LONGEST_KEPT, _byte_letters, _loaded
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces up to this length are encoded many at a time, longer ones alone.
 LONGEST_TOGETHER = 64
-#: Bytes of text whose new words are encoded together.
-TOGETHER_BYTES = 8 << 20
+MOST_TOGETHER = 8192
+#: Bytes of text whose new words are looked for together.
+TOGETHER_BYTES = 2 << 20
+#: Words that a worker keeps; of the words met before, as many more.
+KEPT_WORDS = 150_000
 
 _END = "</w>"
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
@@ -66,8 +69,11 @@ class Automaton:
             self.target[w] = before if u == v else self.target[v]
             sharing[self.target[w]] += 1
             self.grown[w] = (*self.grown[u], (u, rank))
-        lacks = sorted((q * tokens + t, rank) for q, row in enumerate(self.removed) for t, rank in row.items())
-        self._lacks, self._lost = (np.array(c, np.int64) for c in zip(*lacks)) if lacks else (np.zeros(0, np.int64),) * 2
+        size = [len(row) for row in self.removed]
+        lacks = np.repeat(np.arange(len(size)) * tokens, size) + np.fromiter((t for row in self.removed for t in row), np.int64)
+        order = np.argsort(lacks)
+        self._lacks = lacks[order]
+        self._lost = np.fromiter((rank for row in self.removed for rank in row.values()), np.int64)[order]
         self._targets = np.array(self.target, np.int64)
         self._left = np.full(tokens, -1, np.int64)
         self._made = np.full(tokens, -1, np.int64)
@@ -134,9 +140,8 @@ class Codec:
         self._tokenizer = Tokenizer.from_file(file)
         self._byte = {c: b for b, c in _byte_letters().items()}
         self._index(vocab)
-        self._pieces: dict[bytes, list[int]] = {}
-        self._kept: dict[bytes, tuple[bytes, str]] = {}
-        self._older: dict[bytes, tuple[bytes, str]] = {}
+        self._kept: dict[str | int, tuple[bytes, str]] = {}
+        self._older: dict[str | int, tuple[bytes, str]] = {}
 
     def _index(self, vocab: dict[str, int]) -> None:
         """Per byte string that begins a token: the token within a word and the one at its end, or -1."""
@@ -247,66 +252,66 @@ class Codec:
             at, state = j, target[t]
         return ids
 
-    #: Words of these characters are in normal form, and their letters are known.
-    _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-    _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    #: Texts of these characters are in normal form, and their letters are known.
+    _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+    _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
-    def _presplit(self, text: str) -> list[bytes]:
-        if self._PLAIN.fullmatch(text):
-            return [p.encode() for p in self._SPLIT.findall(text.lower())]
+    def _presplit(self, text: str) -> list[str]:
+        """Words of a text without special tokens, in normal form."""
+        if text.isascii() and not self._RARE.search(text) or self._PLAIN.fullmatch(text):
+            return self._SPLIT.findall(text.lower())
         normal = self._tokenizer.normalizer.normalize_str(text)
         split = self._tokenizer.pre_tokenizer.pre_tokenize_str(normal)
-        return [bytes(self._byte[c] for c in letters) for letters, _ in split]
+        return [bytes([self._byte[c] for c in letters]).decode() for letters, _ in split]
 
-    def _parts(self, word: bytes) -> list[bytes | int]:
-        """Pre-split words of what lies between white space, and ids of special tokens."""
-        text = word.decode("utf-8", "replace")
+    #: Control characters that aren't white space.
+    _RARE = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
+
+    def words(self, text: str) -> list[str | int]:
+        """Pre-split words of a text, and the ids of the special tokens between them."""
         if self._special_text is None or "<" not in text:
             return self._presplit(text)
-        parts: list[bytes | int] = []
+        words: list[str | int] = []
         for part in self._special_text.split(text):
             if part in self._special:
-                parts.append(self._special[part])
+                words.append(self._special[part])
             elif part:
-                parts += self._presplit(part)
-        return parts
+                words += self._presplit(part)
+        return words
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, as the tokenizers library joins them; ids without a label are left out."""
         labels = self.labels
         return " ".join([labels[i] for i in ids if i in labels])
 
-    def _words(self, words: set[bytes]) -> dict[bytes, tuple[bytes, str]]:
-        """Ids, as little-endian 32-bit numbers, and labels of words; those met lately, and their pieces, are kept."""
-        kept, older = self._kept, self._older
-        found = {w: kept[w] for w in words if w in kept}
-        again = {w: older[w] for w in words if w in older and w not in found}
-        parts = {w: self._parts(w) for w in words if w not in found and w not in again}
-        pieces = {p for row in parts.values() for p in row if p.__class__ is bytes}
-        known = {p: self._pieces[p] for p in pieces if p in self._pieces}
-        new = [p for p in pieces if p not in known]
-        fresh = dict(zip(new, self.pieces(new)))
-        known.update(fresh)
-        for w, row in parts.items():
-            ids = [i for p in row for i in (known[p] if p.__class__ is bytes else (p,))]
-            again[w] = struct.pack(f"<{len(ids)}i", *ids), self.decode(ids)
-        if len(self._kept) + len(again) > KEPT_WORDS:
+    def _coded(self, words: set[str | int]) -> dict[str | int, tuple[bytes, str]]:
+        """Ids, as little-endian 32-bit numbers, and labels of words; those met lately are kept."""
+        found, new = {}, []
+        for w in words:
+            row = self._kept.get(w) or self._older.get(w)
+            if row is None:
+                new.append(w)
+            else:
+                found[w] = row
+        for at in range(0, len(new), MOST_TOGETHER):
+            some = [w for w in new[at : at + MOST_TOGETHER] if w.__class__ is str]
+            for w, ids in zip(some, self.pieces([w.encode() for w in some])):
+                found[w] = struct.pack(f"<{len(ids)}i", *ids), self.decode(ids)
+        for i in self._special.values():
+            found[i] = struct.pack("<i", i), self.labels[i]
+        if len(self._kept) + len(new) > KEPT_WORDS:
             self._older, self._kept = self._kept, {}
-        if len(self._pieces) + len(fresh) > KEPT_WORDS:
-            self._pieces = {}
-        self._kept.update((w, row) for w, row in again.items() if len(w) <= LONGEST_KEPT)
-        self._pieces.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST_KEPT)
-        found.update(again)
+        self._kept.update((w, found[w]) for w in words if w.__class__ is str and len(w) <= LONGEST_KEPT)
         return found
 
-    def texts(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
+    def texts(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids of whole texts, as little-endian 32-bit numbers, and the labels on their paths."""
-        split = [text.split() for text in texts]
-        found = self._words(set().union(*split))
+        split = [self.words(text) for text in texts]
+        found = self._coded(set().union(*split))
         out = []
         for words in split:
             rows = [found[w] for w in words]
-            out.append((b"".join([ids for ids, _ in rows]), " ".join([labels for _, labels in rows if labels])))
+            out.append((b"".join([ids for ids, _ in rows]), " ".join([labels for _, labels in rows])))
         return out
 
 
@@ -333,11 +338,11 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
         words = codec(vocabulary)
         for batch in batches:
             for part in _by_size(batch):
-                ids, decoded = zip(*words.texts([raw or b"" for raw in part.column(1).to_pylist()]))
+                ids, decoded = zip(*words.texts([raw or "" for raw in part.column(1).to_pylist()]))
                 columns = [part.column(0), _lists(ids), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema=_ENCODED)
 
-    columns = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    columns = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return columns.mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 
 
