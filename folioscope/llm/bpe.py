@@ -4,9 +4,10 @@ The merges of a byte-pair vocabulary become a deterministic automaton over token
 the sequences which encoding can give. It starts with one state that every single symbol leads back to,
 and takes one merge gadget per merge ``u v -> w`` in rank order: the arcs of ``u`` get a target of their
 own, a copy without the arc of ``v``, and wherever an arc of ``u`` begins, an arc of ``w`` goes to what
-``u v`` led to. So the state after a token depends on that token alone, and the table is held by what it
-lacks: for each state, the tokens whose arc was removed and the merge that did it. An arc ``w`` exists if
-none of the tokens that ``w`` grew from on its left had lost its arc when ``w`` was made.
+``u v`` led to (a merge whose ``u v`` is no path makes no arcs). So the state after a token depends on
+that token alone, and the table is held by what it lacks: for each state, the tokens whose arc was removed
+and the merge that did it. An arc ``w`` exists if none of the tokens that ``w`` grew from on its left had
+lost its arc when ``w`` was made.
 
 A pre-split word has exactly one accepted path, and so has each of its prefixes; encoding follows arcs,
 with no merging. A token with the end of a word leads to the first state, so the ids of a whole text are
@@ -55,9 +56,14 @@ class Automaton:
         self.removed: list[dict[int, int]] = [{}]
         #: Per token, the tokens it grew from on its left, each with the merge that made the next one.
         self.grown: list[tuple[tuple[int, int], ...]] = [()] * tokens
+        #: Tokens that no path has, as what would merge to them never meets.
+        self.idle: set[int] = set()
         sharing = [tokens]
         for rank, (u, v, w) in enumerate(merges):
             before = after = self.target[u]
+            if u in self.idle or not self.has_arc(before, v):
+                self.idle.add(w)
+                continue
             if sharing[before] > 1 or u == v:
                 after = len(self.removed)
                 self.removed.append(dict(self.removed[before]))
@@ -74,6 +80,7 @@ class Automaton:
         order = np.argsort(lacks)
         self._lacks = lacks[order]
         self._lost = np.fromiter((rank for row in self.removed for rank in row.values()), np.int64)[order]
+        self._idle = np.isin(np.arange(tokens), list(self.idle))
         self._targets = np.array(self.target, np.int64)
         self._left = np.full(tokens, -1, np.int64)
         self._made = np.full(tokens, -1, np.int64)
@@ -82,11 +89,11 @@ class Automaton:
 
     def has_arc(self, state: int, token: int) -> bool:
         removed = self.removed[state]
-        return token not in removed and all(removed.get(t, rank + 1) > rank for t, rank in self.grown[token])
+        return token not in removed and token not in self.idle and all(removed.get(t, rank + 1) > rank for t, rank in self.grown[token])
 
     def have_arcs(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """``has_arc`` of many pairs."""
-        have = np.ones(len(states), bool)
+        have = ~self._idle[tokens]
         if not len(self._lacks):
             return have
         rows, limit = np.arange(len(states)), np.full(len(states), len(self._left), np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, fertility, katz, langid, lines, packing, quotes, simhash, substrings, warc
+from folioscope.llm import bpe, decontaminate, fertility, katz, langid, lines, packing, quotes, repair, simhash, substrings, trie, warc
 from folioscope.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,16 @@ def op13_tokenization_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, rebuilt on the first turns of others."""
+    return trie.rebuilt_trie(read(spark, sf_dir, "conversations"), lambda conv: id_remainder(conv, 9))
+
+
+@query
+def op11_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    conversations = read(spark, sf_dir, "conversations")
+    return repair.audit_and_digest(repair.damage(conversations), conversations)
