@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import stored
 
 _BREAK = r"\r?\n"
-_MARKS = r"^(?:[ \t]*>)*"
+#: Possessive, as Java's matcher recurses once per repetition of a group that it may give back.
+_MARKS = r"^(?:[ \t]*+>)*+"
 #: Stands for a null turn.
 _FIRST = -(1 << 63)
 
@@ -41,8 +42,8 @@ def normal(text: Column) -> Column:
 def own_text(text: Column) -> Column:
     """The lines that aren't quotes, without blank lines at the ends and with single ones between."""
     own = F.filter(F.split(F.coalesce(text, F.lit("")), _BREAK), lambda x: ~x.rlike(r"^[ \t]*>"))
-    single = F.regexp_replace(F.array_join(own, "\n"), r"\n[ \t]*(?:\n[ \t]*)+", "\n\n")
-    return F.regexp_replace(single, r"^\s+|\s+$", "")
+    single = F.regexp_replace(F.array_join(own, "\n"), r"\n[ \t]*+\n[ \t\n]*+", "\n\n")
+    return F.regexp_replace(single, r"^\s++|(?<!\s)\s++$", "")
 
 
 def _messages(df: DataFrame, conv_id: str, turn: str, text: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, lines, repair, warc
+from folioscope.llm import decontaminate, lines, repair
 
 SQL: dict[str, str] = {}
 
@@ -71,65 +71,6 @@ FROM docs d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id
 """
 
 
-def _text(expression: str) -> str:
-    """The entities of an expression decoded."""
-    for entity, meaning in warc.ENTITIES:
-        quoted = meaning.replace("'", "''")
-        expression = f"replace({expression}, '{entity}', '{quoted}')"
-    return expression
-
-
-def _pattern(name: str) -> str:
-    return "'" + warc.PATTERNS[name].replace("'", "''") + "'"
-
-
-def _id(*parts: str) -> str:
-    h = f"sha256(concat_ws(chr(31), {', '.join(parts)}))"
-    pieces = [f"substr({h}, {at}, {n})" for at, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
-    return "format('<urn:uuid:{}-{}-5{}-a{}-{}>', " + ", ".join(pieces) + ")"
-
-
-_SPACE = "'" + warc.SPACE + "'"
-_VISIBLE = (
-    f"regexp_replace(regexp_replace(regexp_replace(body, {_pattern('hidden')}, ' ', 'g'), {_SPACE}, ' ', 'g'), "
-    f"{_pattern('breaks')}, chr(10), 'g')"
-)
-_DECODED = _text(f"regexp_replace({_VISIBLE}, {_pattern('tags')}, '', 'g')")
-_PLAIN = f"trim(regexp_replace(regexp_replace({_DECODED}, {_pattern('spaces')}, ' ', 'g'), {_pattern('lines')}, chr(10), 'g'), ' ' || chr(10))"
-_TITLE = f"trim(regexp_replace({_text('regexp_extract(body, ' + _pattern('title') + ', 1)')}, {_SPACE}, ' ', 'g'))"
-_NL = "chr(13) || chr(10)"
-
-SQL["op1_warc_derivatives"] = f"""
-WITH pages_in AS (
-    SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS body FROM pages
-), with_headers AS (
-    SELECT *, [
-        'Content-Type: text/html; charset=utf-8', 'Content-Length: ' || CAST(strlen(body) AS VARCHAR), 'Server: {warc.SERVER}'
-    ] AS headers FROM pages_in
-), responses AS (
-    SELECT *, 'sha256:' || sha256(body) AS payload_digest,
-           'sha256:' || sha256('HTTP/1.1 200 OK' || {_NL} || array_to_string(headers, {_NL}) || {_NL} || {_NL} || body)
-               AS source_block_digest
-    FROM with_headers
-), identified AS (
-    SELECT *, {_id("'response'", "coalesce(CAST(page_id AS VARCHAR), '')", "target_uri", "payload_digest")} AS refers_to FROM responses
-), derived AS (
-    SELECT *, 'metadata' AS warc_type, 'application/json' AS content_type, CAST(to_json({{
-        'status': 'HTTP/1.1 200 OK', 'headers': headers, 'payload_digest': payload_digest,
-        'source_block_digest': source_block_digest, 'title': {_TITLE},
-        'language': regexp_extract(body, {_pattern('language')}, 1),
-        'links': list_transform(regexp_extract_all(body, {_pattern('links')}, 1), lambda x: {_text('x')})
-    }}) AS VARCHAR) AS block FROM identified
-    UNION ALL
-    SELECT *, 'conversion', 'text/plain; charset=utf-8', {_PLAIN} FROM identified
-)
-SELECT {_id("warc_type", "refers_to")} AS record_id, warc_type, page_id, target_uri, '{warc.CAPTURED}' AS date, refers_to,
-       array_to_string(headers, chr(10)) AS source_headers, payload_digest, source_block_digest, content_type,
-       CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, block
-FROM derived
-"""
-
-
 def _crc32(text: str) -> str:
     """The CRC-32 of a text of ASCII characters: eight shifts per byte under the reversed polynomial."""
     return (

@@ -6,9 +6,9 @@ record (its text). Both name the response in WARC-Refers-To and keep its target
 digest and source headers; their ids follow from the response's id, so a repeated run gives the same
 records. ``write_warc`` writes records as WARC 1.1 files.
 
-References are decoded and links found as HTML reads them, in Arrow batches; ``whole=False`` is the short
-form that SQL can express, with the entities and the link pattern below. Everything works on single
-rows: no shuffle, whatever one host or page holds.
+Pages are read in Arrow batches, each from left to right: what an opening without an end would leave
+open is text, and nothing is searched twice, so hostile markup takes time in proportion to its size.
+Everything works on single rows: no shuffle, whatever one host or page holds.
 
 Null bodies and urls are empty; an empty body gives an empty text and no links; rows equal in all
 columns give equal records, one set per row; an empty table gives none; further columns of the input
@@ -32,20 +32,18 @@ SERVER = "folioscope"
 SPACE = r"[ \t\n\x0B\f\r]+"
 #: Elements that end a line of text.
 _BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
-#: Fixed values of the short form: a few entities and what they stand for, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-
-PATTERNS = {
-    "hidden": r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>",
-    "breaks": rf"(?i)</?(?:{_BLOCKS})\b[^>]*>",
-    "tags": r"<[^>]*>",
-    "spaces": r"[ \t\r\x0B\x0C]+",
-    "lines": r" ?\n[ \n]*",
-    "title": r"(?is)<title[^>]*>(.*?)</title",
-    "language": r"""(?i)<html[^>]*\blang=["']?([A-Za-z-]+)""",
-    "links": r"""(?i)<a\b[^>]*\bhref=["']([^"'>]*)["']""",
-}
 
+_HIDDEN = re.compile(r"<!--|<(script|style|head)\b", re.I)
+_HIDDEN_ENDS = {None: re.compile("-->"), **{k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "head")}}
+_BREAKS = re.compile(rf"</?(?:{_BLOCKS})\b[^>]*>", re.I)
+_TAGS = re.compile(r"<[^>]*>")
+_BLANK = re.compile(SPACE)
+_SPACES = re.compile(r"[ \t\r\x0B\x0C]+")
+_LINES = re.compile(r" ?\n[ \n]*")
+_TITLE = re.compile(r"<title[^>]*", re.I)
+_TITLE_END = re.compile(r"</title", re.I)
+_HTML = re.compile(r"<html[^>]*", re.I)
+_LANGUAGE = re.compile(r"""(?=\blang=["']?([A-Za-z-]+))""", re.I)
 
 _REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
 _IN_VALUE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|([A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=]))))")
@@ -72,41 +70,78 @@ def unescaped_value(value: str) -> str:
 
 
 def link_targets(html: str) -> list[str]:
-    """The href of each anchor that has one, in double, single or no quotes."""
+    """The href of each anchor that has one, in double, single or no quotes. An anchor ends before the next is looked for."""
     found = []
-    for anchor in _ANCHOR.finditer(html):
-        at = anchor.end()
+    at = 0
+    while anchor := _ANCHOR.search(html, at):
+        at, href = anchor.end(), None
         while m := _ATTRIBUTE.match(html, at):
-            value = next((x for x in m.groups()[1:] if x is not None), None)
-            if m[1].lower() == "href" and value is not None:
-                found.append(unescaped_value(value))
-                break
+            if href is None and m[1].lower() == "href":
+                href = next((x for x in m.groups()[1:] if x is not None), None)
             at = m.end()
+        if href is not None:
+            found.append(unescaped_value(href))
     return found
 
 
-def _each(fn, text: Column, kind: str, arrow: pa.DataType) -> Column:
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else fn(x.decode("utf-8", "replace")) for x in texts.to_pylist()], arrow)
+def _shown(html: str) -> str:
+    """Markup without comments, scripts, styles and the head, a space in place of each."""
+    parts: list[str] = []
+    at = 0
+    open_ended = set()
+    for m in _HIDDEN.finditer(html):
+        kind = m[1] and m[1].lower()
+        if m.start() < at or kind in open_ended:
+            continue
+        end = _HIDDEN_ENDS[kind].search(html, m.end())
+        if end is None:
+            open_ended.add(kind)
+        else:
+            parts += (html[at : m.start()], " ")
+            at = end.end()
+    return "".join([*parts, html[at:]])
+
+
+def visible_text(html: str) -> str:
+    """The visible text of a page, a line for each block, without markup and with references decoded."""
+    text = _BLANK.sub(" ", _shown(html))
+    # Behind the last > no tag ends.
+    last = text.rfind(">") + 1
+    text = _TAGS.sub("", _BREAKS.sub("\n", text[:last])) + text[last:]
+    return _LINES.sub("\n", _SPACES.sub(" ", unescaped(text))).strip(" \n")
+
+
+def title_of(html: str) -> str:
+    """The content of the first title element, or the empty text."""
+    begin = _TITLE.search(html)
+    end = begin and html[begin.end() : begin.end() + 1] == ">" and _TITLE_END.search(html, begin.end() + 1)
+    return _BLANK.sub(" ", unescaped(html[begin.end() + 1 : end.start()])).strip(" ") if end else ""
+
+
+def language_of(html: str) -> str:
+    """The last lang attribute of the first html tag that has one."""
+    for tag in _HTML.finditer(html):
+        found = _LANGUAGE.findall(tag[0])
+        if found:
+            return found[-1]
+    return ""
 
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, kind)(text.cast("binary"))
 
+_PAGE = pa.struct([("title", pa.string()), ("language", pa.string()), ("links", pa.list_(pa.string())), ("text", pa.string())])
 
-def _decoded(text: Column, whole: bool = False) -> Column:
-    if whole:
-        return _each(unescaped, text, "string", pa.string())
-    for entity, meaning in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(meaning))
-    return text
 
+def _read_pages(bodies: pa.Array) -> pa.Array:
+    read = []
+    for body in bodies.to_pylist():
+        html = body.decode("utf-8", "replace")
+        read.append({"title": title_of(html), "language": language_of(html), "links": link_targets(html), "text": visible_text(html)})
+    return pa.array(read, _PAGE)
 
-def plain_text(html: Column, whole: bool = True) -> Column:
-    """The visible text, a line for each block, without markup and with entities decoded."""
-    text = F.regexp_replace(html, PATTERNS["hidden"], " ")
-    text = F.regexp_replace(F.regexp_replace(text, SPACE, " "), PATTERNS["breaks"], "\n")
-    text = _decoded(F.regexp_replace(text, PATTERNS["tags"], ""), whole)
-    return F.trim(F.regexp_replace(F.regexp_replace(text, PATTERNS["spaces"], " "), PATTERNS["lines"], "\n"), F.lit(" \n"))
+
+def read_page(body: Column) -> Column:
+    """Title, language, link targets and visible text of a body."""
+    read = F.arrow_udf(_read_pages, "title string, language string, links array<string>, text string")
+    return read(F.coalesce(body, F.lit("")).cast("binary"))
 
 
 def digest(content: Column) -> Column:
@@ -147,17 +182,9 @@ def responses(
     )
 
 
-def _links(html: Column, whole: bool) -> Column:
-    if whole:
-        return _each(link_targets, html, "array<string>", pa.list_(pa.string()))
-    return F.transform(F.regexp_extract_all(html, F.lit(PATTERNS["links"]), 1), lambda x: _decoded(x))
-
-
-def derive(records: DataFrame, whole: bool = True) -> DataFrame:
+def derive(records: DataFrame) -> DataFrame:
     """Two records for each response: ``metadata`` first, then ``conversion``."""
-    html = F.col("body")
-    title = F.trim(F.regexp_replace(_decoded(F.regexp_extract(html, PATTERNS["title"], 1), whole), SPACE, " "))
-    links = _links(html, whole)
+    records = records.withColumn("page", read_page(F.col("body")))
     lines = F.split(F.col("http_headers"), "\r\n")
     source_headers = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x != "")
     envelope = F.to_json(
@@ -166,9 +193,9 @@ def derive(records: DataFrame, whole: bool = True) -> DataFrame:
             source_headers.alias("headers"),
             F.col("payload_digest"),
             F.col("block_digest").alias("source_block_digest"),
-            title.alias("title"),
-            F.regexp_extract(html, PATTERNS["language"], 1).alias("language"),
-            links.alias("links"),
+            F.col("page.title").alias("title"),
+            F.col("page.language").alias("language"),
+            F.col("page.links").alias("links"),
         )
     )
 
@@ -177,7 +204,7 @@ def derive(records: DataFrame, whole: bool = True) -> DataFrame:
 
     both = F.array(
         made("metadata", "application/json", envelope),
-        made("conversion", "text/plain; charset=utf-8", plain_text(html, whole)),
+        made("conversion", "text/plain; charset=utf-8", F.col("page.text")),
     )
     out = records.select(
         "page_id", "target_uri", "date", "payload_digest",
@@ -197,15 +224,25 @@ def derive(records: DataFrame, whole: bool = True) -> DataFrame:
 
 
 def as_warc(records: DataFrame) -> DataFrame:
-    """Each record as WARC 1.1 text, without the two line ends that close it."""
+    """Each record as WARC 1.1 text, without the two line ends that close it.
+
+    The headers of the source follow as fields ``Source-...``. A line break inside a field is written as in a URI.
+    """
     fields = (
         ("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Target-URI", "target_uri"),
         ("WARC-Date", "date"), ("WARC-Refers-To", "refers_to"), ("WARC-Payload-Digest", "payload_digest"),
         ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Block-Digest", "source_block_digest"),
         ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     )
-    head = [F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\r\n")) for name, c in fields]
-    return records.select(F.concat(F.lit("WARC/1.1\r\n"), *head, F.lit("\r\n"), F.col("block")).alias("value"))
+
+    def line(text: Column) -> Column:
+        return F.replace(F.replace(text, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+    head = [F.concat(F.lit(f"{name}: "), line(F.col(c).cast("string")), F.lit("\r\n")) for name, c in fields]
+    source = F.transform(F.split("source_headers", "\n"), lambda h: F.when(h != "", F.concat(F.lit("Source-"), line(h), F.lit("\r\n"))))
+    return records.select(
+        F.concat(F.lit("WARC/1.1\r\n"), *head, F.array_join(source, ""), F.lit("\r\n"), F.col("block")).alias("value")
+    )
 
 
 def write_warc(records: DataFrame, folder: str, compression: str = "gzip") -> None:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 from folioscope.llm import quotes
@@ -125,3 +126,14 @@ def test_main_path_has_no_python(spark):
     df = quotes.reply_order(frame(spark, [(1, 0, "user", "a"), (1, 1, "user", "> a\nb")]))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hostile_texts_take_time_in_proportion(spark):
+    n = 10**6
+    texts = ["first\n\n" + "\n" * n + "last", ">" * n + " x", "> " * n, " " * n, "a" + " " * 100_000 + "b", "\n \t" * n + "x", "> a\n" * 50_000]
+    rows = [(1, i, "u", t) for i, t in enumerate(texts)]
+    start = time.time()
+    found = {r.turn: r for r in quotes.reply_order(frame(spark, rows)).collect()}
+    assert len(found) == len(texts) and time.time() - start < 120
+    own = {r.turn: r.own for r in frame(spark, rows).select("turn", quotes.own_text(quotes.F.col("text")).alias("own")).collect()}
+    assert own[0] == "first\n\nlast" and own[1] == own[2] == own[3] == own[6] == "" and own[5] == "x"

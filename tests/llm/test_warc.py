@@ -1,10 +1,14 @@
+import glob
 import gzip
 import hashlib
+import html
 import json
 import re
-import glob
+import time
+from html.parser import HTMLParser
 
 from folioscope.llm import warc
+from folioscope.llm.queries import QUERIES
 
 PAGE = (
     '<!DOCTYPE html><html lang="fr"><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><!-- x <p> -->'
@@ -72,3 +76,64 @@ def test_references_and_links_as_html_reads_them(spark):
     envelope = json.loads(meta.block)
     assert envelope["title"] == "Caf\xe9 — …"
     assert envelope["links"] == ["/it's?a=1&copy=2&b=3", "/plain", '/q"r', "/c\xe9"]
+
+
+class Reader(HTMLParser):
+    """Links, title and language by the HTML reader of the standard library."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.links, self.title, self.language, self._in_title = [], None, None, False
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        found = dict(reversed(attrs))
+        if tag == "a" and found.get("href") is not None:
+            self.links.append(found["href"])
+        if tag == "html" and self.language is None:
+            self.language = found.get("lang")
+        self._in_title = tag == "title" and self.title is None
+
+    def handle_data(self, data):
+        if self._in_title:
+            self.title = (self.title or "") + data
+
+    def handle_endtag(self, tag):
+        self._in_title = False
+
+
+def test_query_reads_every_page_as_html(spark):
+    """All pages: title, language and links as another reader has them, and no reference left that means something."""
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    found = QUERIES["op1_warc_derivatives"](spark, "/root/testdata/sf0.01").collect()
+    assert len(found) == 2 * len(pages)
+    for r in found:
+        if r.warc_type == "metadata":
+            envelope, reader = json.loads(r.block), Reader(pages[r.page_id])
+            assert envelope["links"] == reader.links
+            assert envelope["title"] == " ".join((reader.title or "").split())
+            assert envelope["language"] == (reader.language or "")
+        else:
+            assert html.unescape(r.block) == r.block and "<" not in r.block
+            body = re.sub(r"(?is)<head\b.*?</head\s*>|<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", pages[r.page_id])
+            words = html.unescape(re.sub(r"<[^>]*>", " ", body)).split()
+            assert "".join(r.block.split()) == "".join(words)
+
+
+def test_hostile_markup_takes_time_in_proportion(spark):
+    n = 200_000
+    texts = ["<" * n, "<!--" * n, "<script " * n, "<title" * n, "<title>" * n, "<html " * n, "<a " * n, "<a href=" * n, '<a b="' * n, "&" * n,
+             "<p" + " " * n, "</title" * n, "<!-- " * 9 + "x -->" * n, "\n" * n + "x", "lang=" * n, "<html lang=" * n]
+    start = time.time()
+    found = derived(spark, [(i, "http://e/", t) for i, t in enumerate(texts)]).collect()
+    assert len(found) == 2 * len(texts) and time.time() - start < 60
+    assert {r.block for r in found if r.page_id == 0 and r.warc_type == "conversion"} == {"<" * n}
+
+
+def test_fields_keep_their_lines(spark):
+    record = derived(spark, [(1, "http://e/a\r\nX-Other: 1", "x")])
+    text = sorted(r.value for r in warc.as_warc(record).collect())[0]
+    head = text.partition("\r\n\r\n")[0].split("\r\n")
+    assert "WARC-Target-URI: http://e/a%0D%0AX-Other: 1" in head and not any(line.startswith("X-Other") for line in head)
+    assert "Source-Content-Type: text/html; charset=utf-8" in head and f"Source-Server: {warc.SERVER}" in head
