@@ -22,7 +22,8 @@ CASE_NUMBER_PATTERN = r"^\d{7}[-.]?\d{2}[.]?\d{4}[.]?\d[.]?\d{2}[.]?\d{4}$"
 MONEY_TYPE = "decimal(18,2)"
 NAMESPACE_URL_HEX = "6ba7b8119dad11d180b400c04fd430c8"
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+#: White space at both ends; a run of it is looked at once, from its begin.
+_EDGE_SPACE = r"(?U)^\s++|(?<!\s)\s++$"
 _ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([+-]\d{2}:?\d{2})?)?$"
 _ISO_OFFSET = r"[T ].*[+-]\d{2}:?\d{2}$"
 #: Steps from the other ISO forms to the extended one with minutes and at most six fraction digits.

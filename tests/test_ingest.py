@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 import unicodedata
 import uuid
 from decimal import Decimal
@@ -238,3 +239,13 @@ def test_nested_texts_and_keys_are_scanned(spark):
         "a array<struct<t string, m map<string,int>>>",
     )
     assert [r["findings"] for r in profile.scan_sensitive(df, ["a"]).collect()] == [["credential_word"], ["cpf"], [], []]
+
+
+def test_edges_of_very_long_texts(spark):
+    n = 10**6
+    texts = ["a" + " " * n + "b", " " * n, " \u2003\t" * (n // 4) + "x\n", " a \n", "", "\x1f\u00a0 y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    start = time.time()
+    found = [r["t"] for r in df.select("i", s.edge_trim(F.col("t")).alias("t")).orderBy("i").collect()]
+    assert time.time() - start < 30
+    assert found[:5] == [texts[0], "", "x", "a", ""]
