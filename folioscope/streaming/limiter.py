@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Length of a window and failures that limit a key.
 WINDOW_SECONDS = 15 * 60
@@ -88,31 +89,106 @@ def limiter(events: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_count_windows, OUTPUT)
 
 
-def stream_limiter(stream: DataFrame) -> DataFrame:
-    """Streaming form; the state of a key is the start of its open window and the failures in it.
+def open_windows(events: DataFrame) -> DataFrame:
+    """key, start (microseconds) and failures of every window that is open after the last event of its key."""
+    moment = F.struct("at", "event_id")
+    last = events.groupBy("key").agg(F.max(moment).alias("_last")).select("key", "_last.at", "_last.event_id")
+    return limiter(events).join(last, ["key", "at", "event_id"], "left_semi").select(
+        "key", F.unix_micros("window_start").alias("start"), "failures"
+    )
+
+
+#: Rows wait in slots of this length until the watermark has passed them.
+SLOT_SECONDS = 60
+
 
-    Rows of a key reach the function as a sequence of Arrow batches and a success removes the state.
+class _Limiter(StatefulProcessor):
+    """Rows of a key wait in the state store, packed by slot; a timer at the slot's end counts them in order.
+
+    A second timer, a window's length after the first failure, frees the state of a key at rest.
     """
-    def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, failures = state.get if state.exists else (None, 0)
-        found = pd.concat(list(rows)).sort_values(["at", "event_id"])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getValueState("open", "start bigint, failures int")
+        self._waiting = handle.getMapState("waiting", "slot bigint", "rows binary")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
+        for start, failures in zip(initialState["start"], initialState["failures"]):
+            self._remember(int(start), int(failures))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for batch in rows:
+            micros = batch["at"].astype("datetime64[us]").astype("int64").to_numpy()
+            packed = np.empty(len(batch), _ROW)
+            packed["at"], packed["event_id"], packed["success"] = micros, batch["event_id"], batch["success"]
+            slots = micros // (SLOT_SECONDS * _MICROS)
+            for slot in np.unique(slots).tolist():
+                found = packed[slots == slot].tobytes()
+                if self._waiting.containsKey((slot,)):
+                    found = self._waiting.getValue((slot,))[0] + found
+                else:
+                    self._handle.registerTimer((slot + 1) * SLOT_SECONDS * 1000)
+                self._waiting.updateValue((slot,), (found,))
+        yield _states([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        slot = now // (SLOT_SECONDS * _MICROS) - 1
         out = []
-        for at, event_id, success in zip(found["at"], found["event_id"], found["success"]):
-            micros = at.value // 1000
-            if success:
-                start, failures = None, 0
-                continue
-            if start is None or micros - start >= WINDOW_SECONDS * _MICROS:
-                start, failures = micros, 1
+        start, failures = self._open.get() if self._open.exists() else (None, 0)
+        before = start
+        if now % (SLOT_SECONDS * _MICROS) == 0 and self._waiting.containsKey((slot,)):
+            rows = np.frombuffer(self._waiting.getValue((slot,))[0], _ROW)
+            self._waiting.removeKey((slot,))
+            for at, event_id, success in np.sort(rows, order=["at", "event_id"]).tolist():
+                if success:
+                    start, failures = None, 0
+                    continue
+                if start is None or at - start >= WINDOW_SECONDS * _MICROS:
+                    start, failures = at, 1
+                else:
+                    failures += 1
+                out.append((key[0], at, event_id, start, failures, failures >= LIMIT))
+        if start is None or now - start > WINDOW_SECONDS * _MICROS:
+            self._open.clear()
+        elif out:
+            if start != before:
+                self._remember(start, failures)
             else:
-                failures += 1
-            out.append((key[0], at, event_id, pd.Timestamp(start * 1000), failures, failures >= LIMIT))
-        if start is None:
-            state.remove()
-        else:
-            state.update((start, failures))
-        yield pd.DataFrame(out, columns=["key", "at", "event_id", "window_start", "failures", "limited"])
-
-    return stream.groupBy("key").applyInPandasWithState(
-        advance, OUTPUT, "start bigint, failures int", "append", GroupStateTimeout.NoTimeout
+                self._open.update((start, failures))
+        yield _states(out)
+
+    def _remember(self, start: int, failures: int) -> None:
+        self._open.update((start, failures))
+        # Behind the slot that holds the window's end.
+        end = start // 1000 + WINDOW_SECONDS * 1000 + 1
+        self._handle.registerTimer(end + SLOT_SECONDS * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+_ROW = np.dtype([("at", "<i8"), ("event_id", "<i8"), ("success", "?")])
+
+
+def _states(rows: list[tuple]) -> pd.DataFrame:
+    found = pd.DataFrame(rows, columns=["key", "at", "event_id", "window_start", "failures", "limited"])
+    for c in ("at", "window_start"):
+        found[c] = pd.to_datetime(found[c].astype("int64"), unit="us")
+    return found.astype({"key": "str", "event_id": "int64", "failures": "int32", "limited": "bool"})
+
+
+def live_limiter(stream: DataFrame, opened: DataFrame | None = None, late: str = "1 minute") -> DataFrame:
+    """The limiter over a stream of key, at, event_id and success, in order of time.
+
+    A failure comes out once the watermark, ``late`` behind the newest event, has passed its slot of a
+    minute; rows later than that are dropped. ``opened``, as ``open_windows`` gives it, is where earlier
+    events left the keys. State and waiting rows are in the state store; a task holds the rows of one key
+    and minute at most.
+    """
+    rows = stream.select("key", "at", "event_id", "success").withWatermark("at", late)
+    first = None if opened is None else opened.select("key", "start", "failures").groupBy("key")
+    return rows.groupBy("key").transformWithStateInPandas(
+        _Limiter(), OUTPUT, "Append", "EventTime", first
     )

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -136,17 +137,35 @@ def test_stream_twins(spark, rows, tmp_path):
     assert rows(state, "case_id", "row_hash") == rows(wanted, "case_id", "row_hash")
 
 
-def test_stream_limiter_equals_batch(spark, rows, tmp_path):
-    events = _login_events(spark)
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+def _drained(stream, folder):
     query = (
-        limiter.stream_limiter(stream).writeStream.outputMode("append").format("parquet")
-        .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    columns = ("key", "event_id", "window_start", "failures", "limited")
-    assert rows(spark.read.parquet(str(tmp_path / "out")), *columns) == rows(limiter.limiter(events), *columns)
+
+
+def test_live_limiter_equals_batch(spark, rows, tmp_path):
+    """Three files in turn, each in no order; the windows of the events before them are handed over."""
+    random.seed(6)
+    start = dt.datetime(2026, 1, 1)
+    data, seconds = [], 0
+    for i in range(600):
+        seconds += random.choice([0, 1, 5, 40, 200, 901])
+        data.append((random.choice("abcc"), start + dt.timedelta(seconds=seconds, microseconds=random.randrange(3)), i, random.random() < 0.1))
+    schema = "key string, at timestamp, event_id long, success boolean"
+    clock = [("clock", start + dt.timedelta(seconds=seconds, days=1), -1, True)]
+    for name, handed in (("whole", 0), ("handed", 150)):
+        folder = str(tmp_path / name)
+        before = spark.createDataFrame(data[:handed], schema)
+        for part in (data[handed:300], data[300:450], data[450:] + clock):
+            spark.createDataFrame(random.sample(part, len(part)), schema).write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+            opened = limiter.open_windows(before) if handed else None
+            _drained(limiter.live_limiter(stream, opened), folder)
+        columns = ("key", "event_id", "window_start", "failures", "limited")
+        whole = limiter.limiter(spark.createDataFrame(data, schema)).filter(F.col("event_id") >= handed)
+        assert rows(spark.read.parquet(f"{folder}/out"), *columns) == rows(whole, *columns)
 
 
 def test_movements_of_any_age_are_kept_once(spark, rows, tmp_path):
