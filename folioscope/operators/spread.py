@@ -113,27 +113,39 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def multiset_digest(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), name: str = "digest") -> DataFrame:
-    """Order-independent digest of the rows of each group.
+#: Columns that hold the sums of the four 64-bit words of row hashes.
+DIGEST_WORDS = ("_w0", "_w1", "_w2", "_w3")
 
-    Every row is hashed on its own; the four 64-bit words of the hashes are summed, which keeps a
-    constant state per group, merges on the map side and changes with any row or copy of a row.
-    """
+
+def digest_words(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` and the sums of row hashes per group: the state of ``multiset_digest``, which can be added and subtracted."""
     text = F.concat_ws(
         "\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]
     )
-    words = [f"_w{i}" for i in range(4)]
     hashed = df.withColumn("_h", F.sha2(text, 256)).withColumns(
         {
             w: F.conv(F.substring("_h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
-            for i, w in enumerate(words)
+            for i, w in enumerate(DIGEST_WORDS)
         }
     )
-    sums = [F.coalesce(F.sum(w), F.lit(0)).cast("decimal(38,0)").alias(w) for w in words]
+    sums = [F.coalesce(F.sum(w), F.lit(0)).cast("decimal(38,0)").alias(w) for w in DIGEST_WORDS]
     total = F.count(F.lit(1)).alias("rows")
-    grouped = hashed.groupBy(*by).agg(total, *sums) if by else hashed.agg(total, *sums)
-    parts = [F.col("rows").cast("string"), *[F.col(w).cast("string") for w in words]]
-    return grouped.select(*by, "rows", F.sha2(F.concat_ws(":", *parts), 256).alias(name))
+    return hashed.groupBy(*by).agg(total, *sums) if by else hashed.agg(total, *sums)
+
+
+def finished_digest(words: DataFrame, name: str = "digest") -> DataFrame:
+    """The digest in place of the sums of ``digest_words``."""
+    parts = [F.col("rows").cast("string"), *[F.col(w).cast("string") for w in DIGEST_WORDS]]
+    return words.withColumn(name, F.sha2(F.concat_ws(":", *parts), 256)).drop(*DIGEST_WORDS)
+
+
+def multiset_digest(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), name: str = "digest") -> DataFrame:
+    """Order-independent digest of the rows of each group.
+
+    Every row is hashed on its own; the four 64-bit words of the hashes are summed, which keeps a
+    constant state per group, merges on the map side and changes with any row or copy of a row.
+    """
+    return finished_digest(digest_words(df, columns, by), name).select(*by, "rows", name)
 
 
 def only_value(df: DataFrame, column: str) -> Column:

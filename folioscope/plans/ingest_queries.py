@@ -8,7 +8,7 @@ from folioscope.functions import scalars as s
 from folioscope.operators.links import effective_on
 from folioscope.plans.registry import query
 from folioscope.session import work_folder
-from folioscope.sources import normalize, pages, sinks, synthetic, tables
+from folioscope.sources import normalize, paged, pages, sinks, synthetic, tables
 
 PAGE_SIZE = 100
 
@@ -127,11 +127,14 @@ def money_value(name: str) -> str:
 # -- sources and sinks ------------------------------------------------------------------------
 
 
+S1_SQL = f"""SELECT (seq // {PAGE_SIZE}) * {PAGE_SIZE} AS requested_offset, row_number() OVER (PARTITION BY seq // {PAGE_SIZE} ORDER BY seq) - 1 AS position,
+        {text('name')} AS name FROM raw_customers"""
+
+
 @query(
     "s1_read_pages",
     "requested_offset l, position l, name s",
-    f"""SELECT (seq // {PAGE_SIZE}) * {PAGE_SIZE} AS requested_offset, row_number() OVER (PARTITION BY seq // {PAGE_SIZE} ORDER BY seq) - 1 AS position,
-        {text('name')} AS name FROM raw_customers""",
+    S1_SQL,
 )
 def s1(m):
     """Pages are landed as JSON lines in the shared work folder and read back."""
@@ -141,6 +144,49 @@ def s1(m):
     return s.open_record(found, ["name"]).withColumnRenamed("_name_text", "name")
 
 
+def _paged(m, raw, resource: str, source: str):
+    """A reader of the collection's pages, through the paged source."""
+    folder = work_folder(m.spark, "page-store")
+    paged.land_pages(landed(raw, resource), folder)
+    paged.register(m.spark, source, paged.from_folder(folder))
+    return {"resource": resource, "page_size": str(PAGE_SIZE), "pages_per_task": "4"}, folder
+
+
+@query("s1_paged_source", "requested_offset l, position l, name s", S1_SQL)
+def s1_paged(m):
+    """The collection page by page: ranges of pages are the partitions."""
+    options, _ = _paged(m, m.raw_customers(), "customers", "customer_pages")
+    found = m.spark.read.format("customer_pages").options(**options).load()
+    return s.open_record(pages.page_records(pages.parse_pages(found)), ["name"]).withColumnRenamed("_name_text", "name")
+
+
+@query("s1_paged_stream", "requested_offset l, position l, name s", S1_SQL)
+def s1_stream(m):
+    """The same collection as a stream, drained into a table of landed pages."""
+    options, folder = _paged(m, m.raw_customers(), "customers", "customer_page_stream")
+    stream = m.spark.readStream.format("customer_page_stream").options(**options).load()
+    drained = stream.writeStream.format("parquet").option("path", f"{folder}-read").option("checkpointLocation", f"{folder}-checkpoint")
+    drained.trigger(availableNow=True).start().awaitTermination()
+    found = m.spark.read.schema(pages.LANDED_SCHEMA).parquet(f"{folder}-read")
+    return s.open_record(pages.page_records(pages.parse_pages(found)), ["name"]).withColumnRenamed("_name_text", "name")
+
+
+@query(
+    "s3_paged_scan",
+    "pages l, records l, page_violations l, gaps l, complete b",
+    f"""SELECT count(*) AS pages, sum(CASE WHEN page = 1 THEN 0 ELSE n END) AS records, count_if(page = 1) AS page_violations,
+          count_if(page = 1) AS gaps, count_if(page = 1) = 0 AS complete
+        FROM (SELECT seq // {PAGE_SIZE} AS page, count(*) AS n FROM raw_cases GROUP BY 1)""",
+)
+def s3_paged(m):
+    """A scan of a collection whose second page can't be had."""
+    folder = work_folder(m.spark, "page-store")
+    paged.land_pages(landed(m.raw_cases(), "lawsuits").filter(f"requested_offset <> {PAGE_SIZE}"), folder)
+    paged.register(m.spark, "case_pages", paged.from_folder(folder))
+    found = m.spark.read.format("case_pages").option("resource", "lawsuits").option("page_size", str(PAGE_SIZE)).load()
+    return pages.check_scan(pages.parse_pages(found))
+
+
 @query(
     "s2_check_pages",
     "requested_offset l, row_count l, violation s",

@@ -5,9 +5,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators import latest
+from folioscope.operators import latest, page_index
 from folioscope.plans.registry import query
 from folioscope.plans.steps import latest_movements
+from folioscope.session import work_folder
 
 PAGE_START, PAGE_END = "1997-01-15", "1998-03-10"
 
@@ -141,6 +142,26 @@ def w10_pages(m):
     return reduce(DataFrame.unionByName, pages)
 
 
+@query(
+    "w9_deep_pages",
+    "event_id l, page l, pages l, total_rows l",
+    """WITH listed AS (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER () AS total FROM events),
+         wanted AS (SELECT CAST(unnest([1, ceil(total / 100), 7, greatest(floor(total / 50), 1)]) AS BIGINT) AS page
+           FROM (SELECT count(*) AS total FROM events))
+       SELECT event_id, page, CAST(ceil(total / 25) AS BIGINT) AS pages, total AS total_rows
+       FROM listed JOIN (SELECT DISTINCT page FROM wanted) ON rn > (page - 1) * 25 AND rn <= page * 25""",
+)
+def w9_deep(m):
+    """The first, the seventh and two pages deep inside the list of all events, newest first."""
+    folder = work_folder(m.spark, "pages")
+    order = [F.col("ts").desc(), F.col("event_id").desc()]
+    events = m.stored("events").select("event_id", "ts")
+    page_index.write_index(events, order, folder, 1 << 13)
+    total = events.count()
+    numbers = {1, -(-total // 100), 7, max(total // 50, 1)}
+    return reduce(DataFrame.unionByName, [page_index.read_page(m.spark, folder, order, n, 25) for n in sorted(numbers)])
+
+
 @query(
     "w11_set_operations",
     "operation s, case_id l",

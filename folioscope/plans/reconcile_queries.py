@@ -1,9 +1,14 @@
 """Reconciliation and import-review queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators import blocks, reconcile
+from folioscope.operators import blocks, hash_tree, reconcile
+from folioscope.operators.spread import digest_words, finished_digest
 from folioscope.plans.registry import query
+from folioscope.session import work_folder
 
 _ITEM_SHAPE = "item_id l, status s, method s, matched_id n, reason_code s"
 
@@ -82,10 +87,90 @@ def r3(m):
     return reconcile.snapshot_digest(m.candidates(), ["customer_id"]).withColumnRenamed("snapshot_sha256", "digest")
 
 
-@query("r3_snapshot_integrity", "total_ok b, ids_unique b, digest_ok b", "SELECT TRUE AS total_ok, TRUE AS ids_unique, FALSE AS digest_ok")
+_SECOND_READS = {
+    "same": "SELECT * FROM candidates",
+    "shortened": "SELECT * FROM candidates WHERE folder IS NOT NULL",
+    "doubled": "SELECT * FROM candidates UNION ALL SELECT * FROM candidates WHERE external_id % 4 = 1",
+    "changed": "SELECT * REPLACE (CASE WHEN external_id % 8 = 1 THEN customer_id + 1 ELSE customer_id END AS customer_id) FROM candidates",
+}
+
+
+def _second_reads(m) -> dict:
+    first = m.candidates()
+    moved = F.when(F.col("external_id") % 8 == 1, F.col("customer_id") + 1).otherwise(F.col("customer_id"))
+    return {
+        "same": first,
+        "shortened": first.filter("folder is not null"),
+        "doubled": first.unionByName(first.filter("external_id % 4 = 1")),
+        "changed": first.withColumn("customer_id", moved),
+    }
+
+
+def _integrity_sql(name: str, rows: str) -> str:
+    read = _CAND_ROWS.replace("FROM candidates", f"FROM ({rows})")
+    return f"""SELECT '{name}' AS read, (SELECT count(*) FROM ({rows})) = (SELECT count(*) FROM candidates) AS total_ok,
+        (SELECT count(*) = count(DISTINCT external_id) FROM ({rows})) AS ids_unique,
+        (SELECT digest FROM ({digest_sql(read, _CAND_COLUMNS)})) = (SELECT digest FROM ({digest_sql(_CAND_ROWS, _CAND_COLUMNS)})) AS digest_ok"""
+
+
+@query(
+    "r3_snapshot_integrity",
+    "read s, total_ok b, ids_unique b, digest_ok b",
+    " UNION ALL ".join(_integrity_sql(name, rows) for name, rows in _SECOND_READS.items()),
+)
 def r3_integrity(m):
-    total = m.candidates().count()
-    return reconcile.snapshot_integrity(m.candidates(), total, "0" * 64)
+    """Four reads against the total and digest that the first one stated."""
+    stated = reconcile.snapshot_digest(m.candidates()).first()
+    parts = [
+        reconcile.snapshot_integrity(read, stated["rows"], stated["snapshot_sha256"]).withColumn("read", F.lit(name))
+        for name, read in _second_reads(m).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "r4_differing_keys",
+    "read s, external_id l, difference s",
+    """SELECT 'shortened' AS read, external_id, 'removed' AS difference FROM candidates WHERE folder IS NULL
+       UNION ALL SELECT 'doubled', external_id, 'changed' FROM candidates WHERE external_id % 4 = 1
+       UNION ALL SELECT 'changed', external_id, 'changed' FROM candidates WHERE external_id % 8 = 1
+       UNION ALL SELECT 'longer', external_id, 'added' FROM candidates WHERE folder IS NULL""",
+)
+def r4_keys(m):
+    """Which candidates differ between a stored read and later ones, and between a short read and the whole."""
+    folder = work_folder(m.spark, "snapshots")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.candidates().schema)
+    key = ["external_id"]
+    bits = hash_tree.bits_for(m.candidates().count())
+    for name, read in _second_reads(m).items():
+        hash_tree.write_snapshot(read, key, f"{folder}/{name}", bits)
+    pairs = {name: ("same", name) for name in ("shortened", "doubled", "changed")} | {"longer": ("shortened", "same"), "equal": ("same", "same")}
+    parts = [
+        hash_tree.differing_keys(m.spark, f"{folder}/{one}", f"{folder}/{two}", schema, key, bits).withColumn("read", F.lit(name))
+        for name, (one, two) in pairs.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "i10_moved_digest",
+    "customer_id l, rows l, digest s",
+    digest_sql(
+        _CAND_ROWS.replace("FROM candidates", "FROM (SELECT * REPLACE (CASE WHEN external_id % 8 = 1 THEN customer_id + 1 ELSE customer_id END AS customer_id) "
+        "FROM candidates WHERE folder IS NOT NULL OR external_id % 8 = 1)"),
+        _CAND_COLUMNS,
+        "customer_id",
+    ),
+)
+def i10_moved(m):
+    """Digests per customer after rows were removed and changed, from the digests before and those rows alone."""
+    columns, by = ["external_id", "number", "folder_norm", "record_digest", "customer_id"], ["customer_id"]
+    before = reconcile.with_keys(m.candidates())
+    moved = F.col("external_id") % 8 == 1
+    gone = before.filter(moved | F.col("folder").isNull())
+    came = before.filter(moved).withColumn("customer_id", F.col("customer_id") + 1)
+    after = hash_tree.moved_digest(digest_words(before, columns, by), gone, came, columns, by)
+    return finished_digest(after)
 
 
 @query(

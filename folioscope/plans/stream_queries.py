@@ -176,7 +176,7 @@ def st2_sync(m):
     t = sync.SyncTables(m.spark, f"{folder}/tables", 2)
 
     def part(name, log, *key, detail=F.col("action")):
-        rows = reduce(DataFrame.unionByName, [t[log].segment(f"segment={run}") for run in range(3)])
+        rows = reduce(DataFrame.unionByName, [t[log].changes(run) for run in range(3)])
         return rows.select(F.col("batch").alias("run"), F.lit(name).alias("part"), F.concat_ws("|", *key).alias("key"), detail.alias("detail"))
 
     lost = part("error", "errors", "error_code", "reference").groupBy("run", "part", "key")
@@ -194,10 +194,7 @@ def st2_sync(m):
     )
 
 
-@query(
-    "st3_failure_limiter",
-    "key s, event_id l, window_start t, failures l, limited b",
-    """WITH RECURSIVE timed AS (SELECT user_id::VARCHAR AS key, event_id, make_timestamp(epoch_us(ts) // 256) AS ts, value > 80 AS success FROM events),
+LIMITER_SQL = """WITH RECURSIVE timed AS (SELECT user_id::VARCHAR AS key, event_id, make_timestamp(epoch_us(ts) // 256) AS ts, value > 80 AS success FROM events),
        e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM timed),
        walk AS (SELECT key, event_id, rn, ts, success, CASE WHEN success THEN NULL ELSE ts END AS s, CASE WHEN success THEN 0 ELSE 1 END AS f
          FROM e WHERE rn = 1
@@ -205,15 +202,47 @@ def st2_sync(m):
            CASE WHEN e.success THEN NULL WHEN w.s IS NULL OR e.ts - w.s >= INTERVAL 15 MINUTE THEN e.ts ELSE w.s END,
            CASE WHEN e.success THEN 0 WHEN w.s IS NULL OR e.ts - w.s >= INTERVAL 15 MINUTE THEN 1 ELSE w.f + 1 END
          FROM walk w JOIN e ON e.key = w.key AND e.rn = w.rn + 1)
-       SELECT key, event_id, s AS window_start, f AS failures, f >= 5 AS limited FROM walk WHERE NOT success""",
-)
-def st3(m):
+       SELECT key, event_id, s AS window_start, f AS failures, f >= 5 AS limited FROM walk WHERE NOT success"""
+LIMITER_SHAPE = "key s, event_id l, window_start t, failures l, limited b"
+
+
+def _logins(m) -> DataFrame:
     """Each user logs in, in a time that runs 256 times faster; large values are successes."""
     at = F.timestamp_micros(F.floor(F.unix_micros("ts") / 256).cast("bigint"))
-    events = m.stored("events").select(
+    return m.stored("events").select(
         F.col("user_id").cast("string").alias("key"), at.alias("at"), "event_id", (F.col("value") > 80).alias("success")
     )
-    return limiter.limiter(events)
+
+
+@query("st3_failure_limiter", LIMITER_SHAPE, LIMITER_SQL)
+def st3(m):
+    return limiter.limiter(_logins(m))
+
+
+@query("st3_live_limiter", LIMITER_SHAPE, LIMITER_SQL)
+def st3_live(m):
+    """The first third of the time in the batch form, whose open windows the stream takes over in two runs."""
+    folder = work_folder(m.spark, "logins")
+    logins = _logins(m)
+    at = F.unix_micros("at")
+    row = logins.agg(F.percentile_approx(at, [1 / 3, 2 / 3]).alias("cuts"), F.max(at).alias("last")).first()
+    first, second = row["cuts"] or [0, 0]
+    # An event long after all others moves the watermark behind them.
+    clock = m.spark.range(1).select(
+        F.lit("clock").alias("key"), F.timestamp_micros(F.lit((row["last"] or 0) + 86_400_000_000)).alias("at"),
+        F.lit(-1).cast("bigint").alias("event_id"), F.lit(True).alias("success"),
+    )
+    before = logins.filter(at <= first)
+    opened = limiter.open_windows(before)
+    later = [logins.filter((at > first) & (at <= second)), logins.filter(at > second).unionByName(clock)]
+
+    def run(stream):
+        found = limiter.live_limiter(stream, opened).writeStream.outputMode("append").format("parquet")
+        return found.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+    _in_batches(later, f"{folder}/in", run)
+    live = m.spark.read.schema(limiter.OUTPUT).parquet(f"{folder}/out")
+    return limiter.limiter(before).unionByName(live)
 
 
 @query(

@@ -10,6 +10,7 @@ therefore reads the buckets of its keys, each at most as often as that, however
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,10 +29,16 @@ def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def buckets_of(rows: DataFrame, key: str, buckets: int = BUCKETS) -> list[int]:
-    """The buckets in which keys of ``rows`` lie; null keys lie in none."""
-    found = rows.filter(F.col(key).isNotNull()).select(bucket_of(key, buckets).alias("b")).distinct()
-    return sorted(r["b"] for r in found.collect())
+def buckets_of(*keys: tuple[DataFrame, str], buckets: int = BUCKETS) -> list[list[int]]:
+    """For each of the key columns, the buckets in which its keys lie, in one job; null keys lie in none."""
+    parts = [
+        rows.filter(F.col(key).isNotNull()).select(F.lit(i).alias("i"), bucket_of(key, buckets).alias("b"))
+        for i, (rows, key) in enumerate(keys)
+    ]
+    found = [set() for _ in keys]
+    for row in reduce(DataFrame.unionByName, parts).distinct().collect():
+        found[row["i"]].add(row["b"])
+    return [sorted(f) for f in found]
 
 
 class Ledger:
@@ -74,8 +81,11 @@ class KeyedLog:
     def _spark(self) -> SparkSession:
         return self._ledger._spark
 
+    def changes(self, batch: int) -> DataFrame:
+        """What a batch changed, with its ``action``, whatever was merged since."""
+        return self.segment(f"segment={batch}")
+
     def segment(self, segment: str) -> DataFrame:
-        """The rows of one segment, whatever their bucket."""
         return self._spark().read.schema(self._schema).option("recursiveFileLookup", "true").parquet(f"{self._folder}/{self.name}/{segment}")
 
     def paths(self, buckets: Sequence[int] | None = None) -> list[str]:
@@ -99,30 +109,28 @@ class KeyedLog:
         """The current rows of the buckets, or of the whole table."""
         return self._newest(buckets).select(*self.columns)
 
-    def state_of(self, keys: DataFrame, key: str) -> DataFrame:
-        """The current rows whose key occurs in ``keys``; only their buckets are read."""
+    def state_of(self, keys: DataFrame, key: str, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The current rows whose key occurs in ``keys``; only ``buckets``, those of the keys, are read."""
         wanted = keys.select(F.col(key).alias(self.key)).distinct()
-        return self.state(buckets_of(wanted, self.key, self._buckets)).join(wanted, self.key, "left_semi")
+        if buckets is None:
+            (buckets,) = buckets_of((wanted, self.key), buckets=self._buckets)
+        return self.state(buckets).join(wanted, self.key, "left_semi")
 
     def _write(self, rows: DataFrame, segment: str) -> list[int]:
+        """Writes a segment and returns the buckets that it has."""
         path = f"{self._folder}/{self.name}/{segment}"
         placed = rows.select(*self.columns, "action", "batch", bucket_of(self.key, self._buckets).alias("bucket"))
         # A salt by identity, so that a bucket that holds one very frequent key has several writers.
         spread = F.pmod(F.xxhash64(*self.identity), F.lit(4))
         placed.repartition("bucket", spread).write.mode("overwrite").partitionBy("bucket").parquet(path)
-        if self._empty(path):
-            return []
-        return sorted(r["bucket"] for r in self._spark().read.parquet(path).select("bucket").distinct().collect())
-
-    def _empty(self, path: str) -> bool:
-        files = self._spark().read.schema(self._schema).option("recursiveFileLookup", "true").parquet(path)
-        return not files.inputFiles()
+        return sorted({int(f.split("/bucket=")[1].split("/")[0]) for f in self.segment(segment).inputFiles()})
 
     def log(self, changed: DataFrame, batch: int) -> DataFrame:
         """Writes a batch's changed rows, with their ``action``, and returns them as written."""
         segment = f"segment={batch}"
         numbered = changed.withColumn("batch", F.lit(batch).cast("bigint"))
-        for b in self._write(numbered, segment):
+        written = self._write(numbered, segment)
+        for b in written:
             self._ledger.live.setdefault((self.name, b), []).append(segment)
         full = [b for (name, b), segments in self._ledger.live.items() if name == self.name and len(segments) >= MOST_SEGMENTS]
         if full:
@@ -133,4 +141,4 @@ class KeyedLog:
                     self._ledger.live[self.name, b] = [merged]
                 else:
                     del self._ledger.live[self.name, b]
-        return self.segment(segment)
+        return self.segment(segment) if written else self._spark().createDataFrame([], self._schema)

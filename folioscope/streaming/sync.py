@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioscope.operators import incremental, links as link_ops
 from folioscope.operators.spread import first_rows
-from folioscope.streaming.keyed_log import KeyedLog, Ledger
+from folioscope.streaming.keyed_log import KeyedLog, Ledger, buckets_of
 
 #: Records of all four collections: the id of a customer, case or transaction; the case of a transaction or
 #: movement; the customers of a case; the fingerprint of a movement.
@@ -51,11 +51,7 @@ class SyncTables:
 
 def _staged(batch: DataFrame, folder: str, number: int) -> dict[str, DataFrame]:
     """The batch's records by collection, written once; of records with one key the one of the last page counts."""
-    path = f"{folder}/staging/batch={number}"
-    spark = batch.sparkSession
-    batch.write.mode("overwrite").partitionBy("resource").parquet(path)
-    schema = batch.schema
-    rows = spark.read.schema(schema).parquet(path) if _any(spark, schema, path) else spark.createDataFrame([], schema)
+    rows = _kept(batch, f"{folder}/staging/batch={number}")
 
     def newest(resource: str) -> DataFrame:
         some = rows.filter((F.col("resource") == resource) & F.col("id").isNotNull())
@@ -66,29 +62,31 @@ def _staged(batch: DataFrame, folder: str, number: int) -> dict[str, DataFrame]:
     return found
 
 
-def _any(spark: SparkSession, schema: object, path: str) -> bool:
-    return bool(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path).inputFiles())
-
-
 def apply_run(batch: DataFrame, number: int, folder: str, links: DataFrame, day: dt.date | str) -> None:
     """One run over the records of a micro-batch, on top of the run before it."""
-    spark = batch.sparkSession
-    t = SyncTables(spark, folder, number - 1)
+    t = SyncTables(batch.sparkSession, folder, number - 1)
     records = _staged(batch, folder, number)
     error = F.lit("error").alias("action")
 
     customers = records["customers"].select(F.col("id").alias("customer_id"), "row_hash", "body")
-    state = incremental.upsert(t["customers"].state_of(customers, "customer_id"), customers, "customer_id")
-    changed_customers = t["customers"].log(state.filter(_CHANGED), number).select("customer_id")
-
     cases = records["lawsuits"].select(F.col("id").alias("case_id"), "row_hash", "body")
     pairs = records["lawsuits"].select(F.col("id").alias("case_id"), F.explode("customers").alias("customer_id"), "page_offset")
+    entries = records["transactions"].select(F.col("id").alias("entry_id"), "case_id", "row_hash", "body", "page_offset")
+    movements = records["movements"].select("case_id", "fingerprint", "body", "page_offset")
+    of_customers, of_cases, of_pairs, of_entries, of_entry_cases, of_movements = buckets_of(
+        (customers, "customer_id"), (cases, "case_id"), (pairs, "customer_id"),
+        (entries, "entry_id"), (entries, "case_id"), (movements, "case_id"),
+    )
+
+    state = incremental.upsert(t["customers"].state_of(customers, "customer_id", of_customers), customers, "customer_id")
+    changed_customers = t["customers"].log(state.filter(_CHANGED), number).select("customer_id")
+
     found = incremental.upsert_cases(
-        t["cases"].state_of(cases, "case_id"),
-        t["pairs_by_case"].state_of(cases, "case_id"),
+        t["cases"].state_of(cases, "case_id", of_cases),
+        t["pairs_by_case"].state_of(cases, "case_id", of_cases),
         cases,
         pairs,
-        t["customers"].state_of(pairs, "customer_id"),
+        t["customers"].state_of(pairs, "customer_id", of_pairs),
     )
     moved = found["bridge"].filter("action <> 'keep'")
     errors = found["errors"].withColumnRenamed("customer_id", "reference")
@@ -97,9 +95,10 @@ def apply_run(batch: DataFrame, number: int, folder: str, links: DataFrame, day:
     written = t["cases"].log(found["cases"].filter(_CHANGED), number)
     changed_cases = written.select("case_id").unionByName(moved_pairs.select("case_id"))
 
-    entries = records["transactions"].select(F.col("id").alias("entry_id"), "case_id", "row_hash", "body", "page_offset")
     found = incremental.upsert_transactions(
-        t["transactions"].state_of(entries, "entry_id"), entries, t["cases"].state_of(entries, "case_id")
+        t["transactions"].state_of(entries, "entry_id", of_entries),
+        entries,
+        t["cases"].state_of(entries, "case_id", of_entry_cases),
     )
     errors = errors.unionByName(found["errors"].withColumnRenamed("case_id", "reference"))
     changed_cases = changed_cases.unionByName(found["changed_cases"])
@@ -107,17 +106,19 @@ def apply_run(batch: DataFrame, number: int, folder: str, links: DataFrame, day:
     changed_cases = _kept(changed_cases.distinct(), f"{folder}/changed/batch={number}/lawsuits")
     t["transactions"].log(found["transactions"].filter(_CHANGED), number)
 
-    movements = records["movements"].select("case_id", "fingerprint", "body", "page_offset")
     found = incremental.append_movements(
-        t["movements"].state_of(movements, "case_id"), movements, t["cases"].state_of(movements, "case_id")
+        t["movements"].state_of(movements, "case_id", of_movements),
+        movements,
+        t["cases"].state_of(movements, "case_id", of_movements),
     )
     errors = errors.unionByName(found["errors"].withColumnRenamed("case_id", "reference"))
     t["errors"].log(errors.select("error_code", "reference", "page_offset", error), number)
     fresh = t["movements"].log(found["new"].withColumn("action", F.lit("insert")), number)
     changed_cases = changed_cases.unionByName(fresh.select("case_id")).distinct()
 
-    bridge = t["pairs_by_customer"].state_of(changed_customers, "customer_id")
-    bridge = bridge.unionByName(t["pairs_by_case"].state_of(changed_cases, "case_id")).distinct()
+    of_customers, of_cases = buckets_of((changed_customers, "customer_id"), (changed_cases, "case_id"))
+    bridge = t["pairs_by_customer"].state_of(changed_customers, "customer_id", of_customers)
+    bridge = bridge.unionByName(t["pairs_by_case"].state_of(changed_cases, "case_id", of_cases)).distinct()
     partners = link_ops.affected_partners(changed_customers, changed_cases, bridge, links, day)
     t["partners"].log(incremental.changed_partners(number, partners).withColumn("action", F.lit("insert")), number)
     t.ledger.commit(number)
