@@ -351,10 +351,12 @@ def _merge_pairs(sent: DataFrame, words: Words, hot: int) -> DataFrame:
         steps = np.diff(history_of[learned], prepend=np.uint64(0))
         out.append(("model", part, None, None, squeeze(steps), squeeze(word_of[learned]), squeeze(total[learned]), *[None] * 4))
 
-        # A history counts once more where none of its pairs is discounted, and always if it is spread.
+        # A history counts once more where none of its pairs is discounted. Of a spread one that isn't known here
+        # if none is discounted here; then its pairs wait for the sums over all partitions.
         low = sum(of_counts[:MOST_DISCOUNTED])
         size = np.diff(np.append(begins, len(history_of)))
-        more = np.repeat((low == 0), size) | (times_of >= hot)
+        none_here, spread = np.repeat((low == 0), size), times_of >= hot
+        more, waits = none_here & ~spread, none_here & spread
         with np.errstate(divide="ignore"):
             gain = np.log10(total / (times_of + more)) - np.log10(alone)
         for r, a, b in zip(rows, [0, *ends[:-1]], ends):
@@ -370,6 +372,10 @@ def _merge_pairs(sent: DataFrame, words: Words, hot: int) -> DataFrame:
             out.append(("sums", part, r["block"], None, *sums_of, *[None] * 4))
             missing = (squeeze(history_of[pair[~known]]), squeeze(doc[~known].astype(np.uint32)))
             out.append(("missing", part, r["block"], None, *missing, *[None] * 5))
+            late = known & waits[pair]
+            if late.any():
+                waiting = (squeeze(history_of[pair[late]]), squeeze(doc[late].astype(np.uint32)))
+                out.append(("waiting", part, r["block"], None, *waiting, *[None] * 5))
         return pa.Table.from_batches([_batch(out, _PAIRS)])
 
     return sent.groupBy("part").applyInArrow(merge, _PAIRS)
@@ -397,8 +403,9 @@ def _histories(merged: DataFrame) -> DataFrame:
     return rows.groupBy("history").agg(*sums, F.max("times").alias("times"))
 
 
-def _missing(merged: DataFrame) -> DataFrame:
-    """``history, block, doc, n``: how many pairs that weren't learned a document has after a history."""
+def _by_history(merged: DataFrame, kind: str) -> DataFrame:
+    """``history, block, doc, n``: how many pairs of a kind, those that weren't learned or those that wait for the
+    history's sums, a document has after a history."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -411,7 +418,7 @@ def _missing(merged: DataFrame) -> DataFrame:
                     names=["history", "block", "doc"],
                 )
 
-    rows = merged.filter("kind = 'missing'").select("block", "a", "b")
+    rows = merged.filter(F.col("kind") == kind).select("block", "a", "b")
     each = rows.mapInArrow(run, "history bigint, block bigint, doc bigint")
     return each.groupBy("history", "block", "doc").agg(F.count(F.lit(1)).alias("n"))
 
@@ -486,11 +493,13 @@ def scores(
     d = discounts([x or 0 for x in histories.agg(*[F.sum(n) for n in names]).collect()[0]])
     taken = sum((F.col(n) * (r * x) for r, (n, x) in enumerate(zip(names, d), 1)), F.lit(0.0)) + F.col("larger")
     low = sum((F.col(n) for n in names[1:MOST_DISCOUNTED]), F.col(names[0]))
-    times = F.col("times") + F.when((low == 0) | (F.col("times") >= hot), 1).otherwise(0)
+    times = F.col("times") + F.when(low == 0, 1).otherwise(0)
     weights = histories.select("history", F.log10((1 - taken / times) / (1 - F.col("mass"))).alias("weight"))
+    once_more = histories.filter(low == 0).select("history", F.log10(F.col("times") / (F.col("times") + 1)).alias("weight"))
     left = (
-        _missing(merged)
+        _by_history(merged, "missing")
         .join(weights, "history")
+        .unionByName(_by_history(merged, "waiting").join(once_more, "history"))
         .groupBy("block", "doc")
         .agg(F.sum(F.col("n") * F.col("weight")).alias("left"))
     )

@@ -17,14 +17,18 @@ WITH split AS (
     SELECT *, sum(CASE WHEN words <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM normal
 ), filled AS (
     SELECT doc_id, pos, words FROM numbered WHERE words <> ''
+), runs AS (
+    SELECT doc_id, pos, unnest(range(1, {lines.RUN} + 1)) AS n FROM filled
 ), windows AS (
-    SELECT doc_id, pos, {", ".join(f"lead(words, {i}) OVER w AS w{i}" for i in range(lines.RUN))}
-    FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+    SELECT r.doc_id, r.pos, r.n, string_agg(f.words, chr(10) ORDER BY f.pos) AS lines,
+           sum(len(string_split(f.words, ' '))) AS n_words, sum(strlen(f.words)) AS n_bytes
+    FROM runs r JOIN filled f ON f.doc_id = r.doc_id AND f.pos >= r.pos AND f.pos < r.pos + r.n
+    GROUP BY r.doc_id, r.pos, r.n HAVING count(*) = r.n
 ), ranked AS (
-    SELECT doc_id, pos, row_number() OVER (PARTITION BY {", ".join(f"w{i}" for i in range(lines.RUN))} ORDER BY doc_id, pos) AS place
-    FROM windows WHERE w{lines.RUN - 1} IS NOT NULL
+    SELECT doc_id, pos, n, row_number() OVER (PARTITION BY n, lines ORDER BY doc_id, pos) AS place
+    FROM windows WHERE n = {lines.RUN} OR n_words >= {lines.WORDS} OR n_bytes >= {lines.BYTES}
 ), gone AS (
-    SELECT DISTINCT doc_id, pos + shift AS pos FROM ranked, range({lines.RUN}) AS r(shift) WHERE place > 1
+    SELECT DISTINCT doc_id, pos + shift AS pos FROM ranked, range({lines.RUN}) AS r(shift) WHERE place > 1 AND shift < n
 ), marked AS (
     SELECT n.*, g.pos IS NOT NULL AS goes FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.pos = g.pos
 )

@@ -10,7 +10,7 @@ from folioscope.llm import katz
 from folioscope.llm.common import id_remainder
 
 
-def brute(docs, held, hot):
+def brute(docs, held):
     """The model written out over dictionaries: a list of results, and a check that it is normalised."""
     texts = [(t or "").encode().lower().split() + [None] for _, t in docs]
     words, pairs, times, after = Counter(), Counter(), Counter(), defaultdict(Counter)
@@ -32,7 +32,7 @@ def brute(docs, held, hot):
         return ((d1[c - 1] if c <= 5 else 1) * c if c else left) / n
 
     def seen(a, c):
-        most = times[a] + (times[a] >= hot or all(x > 5 for x in after[a].values()))
+        most = times[a] + all(x > 5 for x in after[a].values())
         return (d2[c - 1] if c <= 5 else 1) * c / most
 
     weight = {a: (1 - sum(seen(a, c) for c in f.values())) / (1 - sum(map(p, f))) for a, f in after.items()}
@@ -53,7 +53,7 @@ def brute(docs, held, hot):
 
 def compare(df, docs, **sizes):
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in docs]
-    wanted = brute(docs, held, sizes.get("part_tokens", katz.PART_TOKENS) // sizes.get("hot_share", katz.HOT_SHARE))
+    wanted = brute(docs, held)
     found = [tuple(r) for r in katz.scores(df, id_remainder(F.col("doc_id"), 7) == 2, **sizes).collect()]
     order = lambda r: (str(r[0]), r[2], r[5])
     assert len(found) == len(wanted)
@@ -77,6 +77,14 @@ def test_hot_history_is_spread(documents):
     compare(documents(docs), docs, part_tokens=1000, block_tokens=2000, hot_share=8)
 
 
+def test_spread_histories_of_large_counts_only(documents):
+    """No pair after "the" is discounted, in any partition, or only in one of them."""
+    docs = [(i, " ".join(f"the x{j % 7}" for j in range(70))) for i in range(30)]
+    for more in ([], [(100, "the rare")]):
+        for sizes in ({}, {"part_tokens": 500, "block_tokens": 2000, "hot_share": 8}):
+            compare(documents(docs + more), docs + more, **sizes)
+
+
 def test_nothing_learned_and_no_documents(documents):
     rows = katz.scores(documents([(1, "a b"), (2, None)]), F.lit(True)).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows) == [
