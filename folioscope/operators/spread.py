@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.session import work_folder
+
 # A 63-bit id is read as three 21-bit digits, so no window ever holds more than 2**21 unique ids.
 _DIGIT = 21
 
@@ -67,9 +69,12 @@ def positions(
     and only a slice is sorted in one task. Where the levels alone leave small groups, fewer
     ``id_levels`` save shuffles.
 
-    Where no group is larger than a slice may be, the numbers come from one window; a count with
-    map-side combine, run beforehand, tells.
+    The rows are written to the shared work folder first, so they are computed once. Where no group is
+    larger than a slice may be, as the written keys tell, the numbers come from one window.
     """
+    folder = work_folder(df.sparkSession, "positions")
+    df.write.parquet(folder)
+    df = df.sparkSession.read.schema(df.schema).parquet(folder)
     largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0] or 0
     if largest <= 1 << _DIGIT:
         order = [c for level in before_id for c in level]

@@ -64,16 +64,15 @@ def _in_batches(batches: list[DataFrame], folder: str, run) -> None:
 def st2(m):
     """Three micro-batches: keys are inserted, updated or kept."""
     folder = work_folder(m.spark, "upsert")
-    parts = [m.stored("events").filter(F.col("event_id") % 3 == part) for part in range(3)]
-
-    def run(events):
-        stream = events.select(
-            F.col("user_id").alias("key"), "ts", F.sha2(F.concat_ws("|", "user_id", "event_type"), 256).alias("row_hash")
-        )
-        return jobs.stream_upsert(stream, "key", "row_hash", "ts", f"{folder}/log", f"{folder}/checkpoint")
-
-    _in_batches(parts, f"{folder}/in", run)
-    return jobs.current_state(m.spark.read.parquet(f"{folder}/log"), "key")
+    hashed = F.sha2(F.concat_ws("|", "user_id", "event_type"), 256).alias("row_hash")
+    rows = m.stored("events").select("event_id", F.col("user_id").alias("key"), "ts", hashed)
+    parts = [rows.filter(F.col("event_id") % 3 == part).drop("event_id") for part in range(3)]
+    _in_batches(
+        parts,
+        f"{folder}/in",
+        lambda stream: jobs.stream_upsert(stream, "key", "row_hash", "ts", f"{folder}/log", f"{folder}/checkpoint"),
+    )
+    return jobs.current_state(m.spark, f"{folder}/log", parts[0].schema, "key")
 
 
 def sync_batches(m) -> list[DataFrame]:
@@ -254,8 +253,8 @@ def st3_live(m):
 def st4(m):
     folder = work_folder(m.spark, "latest")
     latest = jobs.stream_latest(_movements(event_stream(m)), m.cases(), AS_OF)
-    jobs.keep_latest_in_table(latest, f"{folder}/log", f"{folder}/checkpoint")
-    return jobs.current_state(m.spark.read.parquet(f"{folder}/log"), "case_id")
+    jobs.keep_latest_in_table(latest, "case_id", f"{folder}/log", f"{folder}/checkpoint")
+    return jobs.current_state(m.spark, f"{folder}/log", latest.schema, "case_id")
 
 
 @query(

@@ -7,8 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from folioscope.operators.spread import first_rows
+from folioscope.streaming.keyed_log import KeyedLog, Ledger
 
 MOVEMENT_KEYS = ("case_id", "fingerprint")
 
@@ -70,33 +72,39 @@ def _write_batch(rows: DataFrame, target: str, parts: tuple[str, ...] = ("batch"
     )
 
 
-def current_state(log: DataFrame, key: str) -> DataFrame:
-    """Newest logged row per key."""
-    return first_rows(log, [key], [F.col("batch").desc()]).drop("batch")
+def _log(spark: SparkSession, target: str, schema: StructType, key: str, batch: int | None) -> tuple[Ledger, KeyedLog]:
+    """The log under ``target`` as of a batch, or of the last one."""
+    ledger = Ledger(spark, target)
+    if batch is None:
+        ledger.load_last()
+    else:
+        ledger.load(batch)
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return ledger, KeyedLog(ledger, target, "rows", names, key)
+
+
+def current_state(spark: SparkSession, target: str, schema: StructType, key: str) -> DataFrame:
+    """The newest row per key that a stream has logged under ``target``, with the ``action`` that wrote it."""
+    return _log(spark, target, schema, key, None)[1].newest().drop("batch")
 
 
 def stream_upsert(
     stream: DataFrame, key: str, hash_col: str, order_col: str, target: str, checkpoint: str
 ) -> StreamingQuery:
-    """Logs inserted and changed rows per micro-batch under ``target``.
+    """Logs inserted and changed rows per micro-batch under ``target``, in buckets of the key.
 
-    Only changed rows are written, never the whole state; :func:`current_state` reads the newest row
-    per key. The lookup of stored digests is limited to the keys of the batch.
+    Only changed rows are written, never the whole state; :func:`current_state` reads the newest row per key. A batch
+    looks its keys up in their buckets, which are merged now and then, so what it reads doesn't grow with the log.
     """
-    empty = stream.sparkSession.createDataFrame([], stream.schema.add("batch", "long").add("action", "string"))
-    empty.write.mode("append").partitionBy("batch").parquet(target)
+    schema = stream.schema
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        ledger, log = _log(batch.sparkSession, target, schema, key, batch_id - 1)
         newest = first_rows(batch, [key], [F.col(order_col).desc(), F.col(hash_col).desc()])
-        numbered = newest.withColumn("batch", F.lit(batch_id).cast("bigint"))
-        with_action = numbered.withColumn("action", F.lit(""))
-        stored = spark.read.schema(with_action.schema).parquet(target).filter(F.col("batch") < batch_id)
-        touched = stored.join(numbered.select(key), key, "left_semi")
-        known = current_state(touched, key).select(key, F.col(hash_col).alias("_stored"))
+        known = log.state_of(newest, key).select(key, F.col(hash_col).alias("_stored"))
         action = F.when(F.col("_stored").isNull(), "insert").when(F.col("_stored") != F.col(hash_col), "update")
-        changed = numbered.join(known, key, "left").withColumn("action", action).filter("action is not null")
-        _write_batch(changed.drop("_stored"), target)
+        log.log(newest.join(known, key, "left").withColumn("action", action).filter("action is not null"), batch_id)
+        ledger.commit(batch_id)
 
     return (
         stream.writeStream.foreachBatch(apply)
@@ -142,14 +150,18 @@ def run_to_table(stream: DataFrame, target: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def keep_latest_in_table(latest: DataFrame, target: str, checkpoint: str) -> None:
-    """Drains an update-mode stream; every batch logs the keys it changed."""
-    def log(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch.withColumn("batch", F.lit(batch_id).cast("bigint")), target)
+def keep_latest_in_table(latest: DataFrame, key: str, target: str, checkpoint: str) -> None:
+    """Drains an update-mode stream; every batch logs the keys it changed, for :func:`current_state`."""
+    schema = latest.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ledger, log = _log(batch.sparkSession, target, schema, key, batch_id - 1)
+        log.log(batch.withColumn("action", F.lit("update")), batch_id)
+        ledger.commit(batch_id)
 
     query = (
         latest.writeStream.outputMode("update")
-        .foreachBatch(log)
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -62,6 +62,17 @@ class Ledger:
         self.live = {(r["name"], r["bucket"]): list(r["segments"]) for r in rows}
         return bool(rows)
 
+    def load_last(self) -> bool:
+        """Takes over the newest entry; False if there is none."""
+        try:
+            entries = self._spark.read.schema(f"{_ENTRY}, batch bigint").json(f"{self._folder}/ledger")
+            last = entries.agg(F.max("batch").alias("last")).first()["last"]
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return False
+        return last is not None and self.load(last)
+
     def commit(self, batch: int) -> None:
         rows = [(name, bucket, segments) for (name, bucket), segments in sorted(self.live.items())]
         # A bucket below all others, so that a batch without any rows is an entry too.
@@ -98,16 +109,28 @@ class KeyedLog:
             for segment in segments
         ]
 
-    def _newest(self, buckets: Sequence[int] | None) -> DataFrame:
-        paths = self.paths(buckets)
-        if not paths:
+    def newest(self, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The newest rows of the buckets, or of the whole table, with the ``action`` and ``batch`` that wrote them."""
+        wanted = None if buckets is None else set(buckets)
+        live: dict[str, list[int]] = {}
+        for (name, b), segments in self._ledger.live.items():
+            if name == self.name and (wanted is None or b in wanted):
+                for segment in segments:
+                    live.setdefault(segment, []).append(b)
+        # One scan per segment; the filter on its folders leaves other buckets unread.
+        parts = [self._of_buckets(segment, some) for segment, some in live.items()]
+        if not parts:
             return self._spark().createDataFrame([], self._schema)
-        logged = self._spark().read.schema(self._schema).parquet(*paths)
+        logged = reduce(DataFrame.unionByName, parts)
         return first_rows(logged, self.identity, [F.col("batch").desc()]).filter("action <> 'delete'")
 
+    def _of_buckets(self, segment: str, buckets: list[int]) -> DataFrame:
+        rows = self._spark().read.schema(f"{self._schema}, bucket int").parquet(f"{self._folder}/{self.name}/{segment}")
+        return rows.filter(F.col("bucket").isin(buckets)).drop("bucket")
+
     def state(self, buckets: Sequence[int] | None = None) -> DataFrame:
         """The current rows of the buckets, or of the whole table."""
-        return self._newest(buckets).select(*self.columns)
+        return self.newest(buckets).select(*self.columns)
 
     def state_of(self, keys: DataFrame, key: str, buckets: Sequence[int] | None = None) -> DataFrame:
         """The current rows whose key occurs in ``keys``; only ``buckets``, those of the keys, are read."""
@@ -135,7 +158,7 @@ class KeyedLog:
         full = [b for (name, b), segments in self._ledger.live.items() if name == self.name and len(segments) >= MOST_SEGMENTS]
         if full:
             merged = f"merged={batch}"
-            left = set(self._write(self._newest(full), merged))
+            left = set(self._write(self.newest(full), merged))
             for b in full:
                 if b in left:
                     self._ledger.live[self.name, b] = [merged]

@@ -126,13 +126,14 @@ def test_stream_twins(spark, rows, tmp_path):
     lost = incremental.append_movements(whole.limit(0), whole, cases)["errors"]
     assert rows(spark.read.parquet(str(tmp_path / "me")).select("case_id").distinct()) == rows(lost.select("case_id").distinct())
 
-    jobs.keep_latest_in_table(jobs.stream_latest(stream(), cases), str(tmp_path / "l"), str(tmp_path / "cl"))
-    latest = jobs.current_state(spark.read.parquet(str(tmp_path / "l")), "case_id")
+    newest = jobs.stream_latest(stream(), cases)
+    jobs.keep_latest_in_table(newest, "case_id", str(tmp_path / "l"), str(tmp_path / "cl"))
+    latest = jobs.current_state(spark, str(tmp_path / "l"), newest.schema, "case_id")
     assert rows(latest, "case_id", "last_movement_at") == rows(jobs.stream_latest(whole, cases), "case_id", "last_movement_at")
 
     hashed = stream().select("case_id", "occurred_at", F.col("fingerprint").alias("row_hash"))
     jobs.stream_upsert(hashed, "case_id", "row_hash", "occurred_at", str(tmp_path / "u"), str(tmp_path / "cu")).awaitTermination()
-    state = jobs.current_state(spark.read.parquet(str(tmp_path / "u")), "case_id")
+    state = jobs.current_state(spark, str(tmp_path / "u"), hashed.schema, "case_id")
     wanted = whole.groupBy("case_id").agg(F.max_by("fingerprint", "occurred_at").alias("row_hash"))
     assert rows(state, "case_id", "row_hash") == rows(wanted, "case_id", "row_hash")
 

@@ -165,6 +165,35 @@ def test_sinks_and_external_view(spark, tmp_path):
     assert sorted(tuple(r) for r in found) == [(1, 1, 5), (1, 2, 5), (2, 1, 6)]
 
 
+def test_commits_of_two_writers(spark, tmp_path):
+    """Both begin before either commits: numbers tell the winner, a careful writer is told, readers keep their snapshot."""
+    path = str(tmp_path / "r")
+    report = spark.createDataFrame([(1, dt.date(2026, 9, 30), 5), (2, dt.date(2026, 9, 30), 6)], "partner_id long, period_end date, case_id long")
+    assert sinks.write_report_version(report, path, 1) == 1
+
+    def changed(by):
+        return report.filter("partner_id = 1").withColumn("case_id", F.col("case_id") + by)
+
+    def shown(frame):
+        return sorted((r.partner_id, r.case_id) for r in frame.collect())
+
+    base = sinks.last_commit(spark, path)
+    one, two, three = (sinks.stage_slices(changed(by), path, 1) for by in (10, 20, 30))
+    before = sinks.read_reports(spark, path)
+    assert sinks.commit_slices(spark, path, two, base) == 2
+    with pytest.raises(sinks.SliceConflict):
+        sinks.commit_slices(spark, path, three, base, on_conflict="fail")
+    assert shown(before) == [(1, 5), (2, 6)] and shown(sinks.read_reports(spark, path)) == [(1, 25), (2, 6)]
+    assert sinks.commit_slices(spark, path, one, base) == 3
+    assert shown(sinks.read_reports(spark, path)) == [(1, 15), (2, 6)]
+    assert shown(sinks.read_reports(spark, path, as_of=2)) == [(1, 25), (2, 6)] and shown(before) == [(1, 5), (2, 6)]
+    # A writer of other slices doesn't mind.
+    other = sinks.stage_slices(report.filter("partner_id = 2"), path, 2)
+    assert sinks.commit_slices(spark, path, other, base, on_conflict="fail") == 4
+    assert sinks._put_if_absent(spark, f"{path}/commits/{4:020}.json", "{}") is False
+    assert sinks.last_commit(spark, path) == 4
+
+
 def test_iso_forms(spark):
     day = dt.datetime(2024, 1, 1, 10, 0)
     forms = {
