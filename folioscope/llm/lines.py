@@ -40,62 +40,88 @@ WORDS, BYTES = 50, 300
 _ANCHORS = "_id bigint, _h bigint, no_id boolean, anchor bigint, first bigint, around array<bigint>"
 
 
-def line_hashes(raw: bytes):
+def line_hashes(raw: bytes) -> tuple[list[int], list[int], list[int]]:
     """Of the non-blank lines, white space made single: hashes, numbers of words and of bytes."""
-    import numpy as np
     from xxhash import xxh64_intdigest
 
     words = [w for w in (line.split() for line in raw.split(b"\n")) if w]
     joined = [b" ".join(w) for w in words]
-    hashes = np.array([xxh64_intdigest(x) for x in joined], "<u8").view("<i8")
-    return hashes, np.array([len(w) for w in words], np.int64), np.array([len(x) for x in joined], np.int64)
+    return [xxh64_intdigest(x) for x in joined], [len(w) for w in words], [len(x) for x in joined]
+
+
+def _windows(doc, size: int):
+    """The first lines of all windows of ``size`` lines that lie in one document; ``doc`` is each line's."""
+    import numpy as np
 
+    return np.flatnonzero(doc[: len(doc) - size + 1] == doc[size - 1 :]) if len(doc) >= size else np.zeros(0, np.int64)
 
-def winnow(hashes, run: int) -> list[tuple[int, int, int]]:
-    """Selected lines as (position, start of the first window that selected it, start of the last one)."""
+
+def winnow(hashes, run: int, doc=None):
+    """Rows of a selected line and the first lines of the first and the last window that selected it.
+
+    ``doc`` is each line's document, if there is more than one.
+    """
     import numpy as np
 
-    if len(hashes) < run:
-        return []
-    windows = np.lib.stride_tricks.sliding_window_view(hashes, run)
-    chosen = np.arange(len(windows)) + run - 1 - windows[:, ::-1].argmin(axis=1)
+    first = _windows(np.zeros(len(hashes)) if doc is None else doc, run)
+    if not len(first):
+        return np.zeros((0, 3), np.int64)
+    values = hashes[first[:, None] + np.arange(run)]
+    chosen = first + run - 1 - values[:, ::-1].argmin(axis=1)
     cuts = np.flatnonzero(np.diff(chosen)) + 1
-    firsts, lasts = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(chosen)]]) - 1
-    return list(zip(chosen[firsts].tolist(), firsts.tolist(), lasts.tolist()))
+    begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(chosen)]]) - 1
+    return np.stack([chosen[begins], first[begins], first[ends]], axis=1)
 
 
-def large_windows(hashes, words, size, run: int) -> list[tuple[int, int, list[int]]]:
-    """Windows of fewer than ``run`` lines with ``WORDS`` words or ``BYTES`` bytes, as (anchor, start, hashes)."""
+def large_windows(doc, words, size, n: int):
+    """First lines of the windows of ``n`` lines with ``WORDS`` words or ``BYTES`` bytes."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    found = []
-    for n in range(1, min(run, len(hashes) + 1)):
-        sums = (np.lib.stride_tricks.sliding_window_view(x, n).sum(axis=1) for x in (words, size))
-        large = next(sums) >= WORDS
-        large |= next(sums) >= BYTES
-        for at in np.flatnonzero(large).tolist():
-            window = hashes[at : at + n]
-            # The seed tells these anchors from lines and from each other's lengths.
-            found.append((xxh64_intdigest(window.tobytes(), seed=n) - (1 << 63), at, window.tolist()))
-    return found
+    first = _windows(doc, n)
+    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (words, size)]
+    of = [s[first + n] - s[first] for s in sums]
+    return first[(of[0] >= WORDS) | (of[1] >= BYTES)]
+
+
+def _mixed(x):
+    """A 64-bit number whose bits all depend on all of ``x``'s."""
+    import numpy as np
+
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
 def anchors(df: DataFrame, doc_id: str, text: str, run: int, large: bool) -> DataFrame:
     """The selected lines of all documents, each with the lines around it, and the large windows."""
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for batch in batches:
-            out = [[] for _ in range(6)]
-            for i, h, no_id, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                hashes, words, size = line_hashes(raw or b"")
-                chosen = [(int(hashes[at]), first, hashes[first : last + run].tolist()) for at, first, last in winnow(hashes, run)]
-                for row in chosen + (large_windows(hashes, words, size, run) if large else []):
-                    for column, value in zip(out, (i, h, no_id, *row)):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            names = [x.split()[0] for x in _ANCHORS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+            found = [line_hashes(raw or b"") for raw in batch.column(3).to_pylist()]
+            counts = np.array([len(f[0]) for f in found], np.int64)
+            hashes, words, size = (np.concatenate([np.array(f[k], kind) for f in found] or [np.zeros(0, kind)]) for k, kind in enumerate((np.uint64, np.int64, np.int64)))
+            signed = hashes.view(np.int64)
+            doc = np.repeat(np.arange(len(counts)), counts)
+            begin = np.cumsum(counts) - counts
+            line, first, last = winnow(signed, run, doc).T
+            parts = [(signed[line], first, last - first + run)]
+            for n in range(1, run) if large else ():
+                at = large_windows(doc, words, size, n)
+                # Starting from its length tells a window from lines and from other lengths.
+                key = np.full(len(at), n, np.uint64)
+                for k in range(n):
+                    key = _mixed(key + hashes[at + k])
+                parts.append((key.view(np.int64), at, np.full(len(at), n)))
+            anchor, first, length = (np.concatenate(c) for c in zip(*parts))
+            ends = np.concatenate([[0], np.cumsum(length)])
+            around = signed[np.repeat(first - ends[:-1], length) + np.arange(ends[-1])]
+            of = doc[first] if len(first) else np.zeros(0, np.int64)
+            columns = [batch.column(k).take(pa.array(of)) for k in range(3)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(around, pa.int64()))
+            columns += [pa.array(anchor, pa.int64()), pa.array(first - begin[of], pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _ANCHORS.split(", ")])
 
     docs = keyed(df, doc_id, text)
     columns = docs.select(*KEY, F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("binary").alias("text"))
@@ -158,8 +184,10 @@ def dedup_lines(
 
     Without ``large`` only windows of ``run`` lines count, however long their lines are.
     """
+    # Written once: the lines are read and hashed here only.
+    found = stored(anchors(df, doc_id, text, run, large), "line-anchors")
     gone = (
-        repeated_windows(anchors(df, doc_id, text, run, large), run)
+        repeated_windows(found, run)
         .groupBy(*KEY)
         .agg(F.collect_set(F.struct("start", "n")).alias("windows"))
     )
