@@ -370,12 +370,10 @@ def _merge_pairs(sent: DataFrame, words: Words, hot: int) -> DataFrame:
             applied = np.bincount(place * (MOST_DISCOUNTED + 1) + capped_at - 1, minlength=len(docs) * (MOST_DISCOUNTED + 1))
             sums_of = (squeeze(docs.astype(np.uint32)), squeeze(sums), squeeze(applied.astype(np.uint32)))
             out.append(("sums", part, r["block"], None, *sums_of, *[None] * 4))
-            missing = (squeeze(history_of[pair[~known]]), squeeze(doc[~known].astype(np.uint32)))
-            out.append(("missing", part, r["block"], None, *missing, *[None] * 5))
-            late = known & waits[pair]
-            if late.any():
-                waiting = (squeeze(history_of[pair[late]]), squeeze(doc[late].astype(np.uint32)))
-                out.append(("waiting", part, r["block"], None, *waiting, *[None] * 5))
+            for kind, those in (("missing", ~known), ("waiting", known & waits[pair])):
+                if those.any():
+                    counted = _counted(history_of[pair[those]], doc[those].astype(np.uint32))
+                    out.append((kind, part, r["block"], None, *map(squeeze, counted), *[None] * 4))
         return pa.Table.from_batches([_batch(out, _PAIRS)])
 
     return sent.groupBy("part").applyInArrow(merge, _PAIRS)
@@ -403,6 +401,16 @@ def _histories(merged: DataFrame) -> DataFrame:
     return rows.groupBy("history").agg(*sums, F.max("times").alias("times"))
 
 
+def _counted(history, doc):
+    """The different pairs of history and document, and how often each occurs."""
+    import numpy as np
+
+    order = np.lexsort((doc, history))
+    history, doc = history[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], (history[1:] != history[:-1]) | (doc[1:] != doc[:-1])]))
+    return history[first], doc[first], np.diff(np.append(first, len(history))).astype(np.uint32)
+
+
 def _by_history(merged: DataFrame, kind: str) -> DataFrame:
     """``history, block, doc, n``: how many pairs of a kind, those that weren't learned or those that wait for the
     history's sums, a document has after a history."""
@@ -413,14 +421,15 @@ def _by_history(merged: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 history, doc = unsqueeze(r["a"], np.int64), unsqueeze(r["b"], np.uint32).astype(np.int64)
+                n = unsqueeze(r["c"], np.uint32).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(history), pa.array(np.full(len(doc), r["block"])), pa.array(doc)],
-                    names=["history", "block", "doc"],
+                    [pa.array(history), pa.array(np.full(len(doc), r["block"])), pa.array(doc), pa.array(n)],
+                    names=["history", "block", "doc", "n"],
                 )
 
-    rows = merged.filter(F.col("kind") == kind).select("block", "a", "b")
-    each = rows.mapInArrow(run, "history bigint, block bigint, doc bigint")
-    return each.groupBy("history", "block", "doc").agg(F.count(F.lit(1)).alias("n"))
+    rows = merged.filter(F.col("kind") == kind).select("block", "a", "b", "c")
+    each = rows.mapInArrow(run, "history bigint, block bigint, doc bigint, n bigint")
+    return each.groupBy("history", "block", "doc").agg(F.sum("n").alias("n"))
 
 
 def _document_sums(merged: DataFrame, d: list[float]) -> DataFrame:
