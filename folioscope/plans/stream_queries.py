@@ -170,9 +170,9 @@ def st2_sync(m):
     _in_batches(
         sync_batches(m),
         f"{folder}/in",
-        lambda stream: sync.stream_sync(stream, m.links(), LINK_DAY, f"{folder}/tables", f"{folder}/checkpoint"),
+        lambda stream: sync.stream_sync(stream, m.links(), LINK_DAY, f"{folder}/tables", f"{folder}/checkpoint", 4),
     )
-    t = sync.SyncTables(m.spark, f"{folder}/tables", 2)
+    t = sync.SyncTables(m.spark, f"{folder}/tables", 2, 4)
 
     def part(name, log, *key, detail=F.col("action")):
         rows = reduce(DataFrame.unionByName, [t[log].changes(run) for run in range(3)])

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioscope.operators import incremental, links as link_ops
 from folioscope.operators.spread import first_rows
-from folioscope.streaming.keyed_log import KeyedLog, Ledger, buckets_of
+from folioscope.streaming.keyed_log import BUCKETS, KeyedLog, Ledger, buckets_of
 
 #: Records of all four collections: the id of a customer, case or transaction; the case of a transaction or
 #: movement; the customers of a case; the fingerprint of a movement.
@@ -40,10 +40,10 @@ _CHANGED = "action in ('insert', 'update')"
 class SyncTables:
     """The tables of a sync as committed by a batch."""
 
-    def __init__(self, spark: SparkSession, folder: str, batch: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str, batch: int | None = None, buckets: int = BUCKETS):
         self.ledger = Ledger(spark, folder)
         self.committed = batch is not None and self.ledger.load(batch)
-        self.logs = {n: KeyedLog(self.ledger, folder, n, *spec) for n, spec in _SCHEMAS.items()}
+        self.logs = {n: KeyedLog(self.ledger, folder, n, *spec, buckets) for n, spec in _SCHEMAS.items()}
 
     def __getitem__(self, name: str) -> KeyedLog:
         return self.logs[name]
@@ -62,9 +62,11 @@ def _staged(batch: DataFrame, folder: str, number: int) -> dict[str, DataFrame]:
     return found
 
 
-def apply_run(batch: DataFrame, number: int, folder: str, links: DataFrame, day: dt.date | str) -> None:
-    """One run over the records of a micro-batch, on top of the run before it."""
-    t = SyncTables(batch.sparkSession, folder, number - 1)
+def apply_run(
+    batch: DataFrame, number: int, folder: str, links: DataFrame, day: dt.date | str, buckets: int = BUCKETS
+) -> None:
+    """One run over the records of a micro-batch, on top of the run before it; all runs have the same ``buckets``."""
+    t = SyncTables(batch.sparkSession, folder, number - 1, buckets)
     records = _staged(batch, folder, number)
     error = F.lit("error").alias("action")
 
@@ -75,7 +77,7 @@ def apply_run(batch: DataFrame, number: int, folder: str, links: DataFrame, day:
     movements = records["movements"].select("case_id", "fingerprint", "body", "page_offset")
     of_customers, of_cases, of_pairs, of_entries, of_entry_cases, of_movements = buckets_of(
         (customers, "customer_id"), (cases, "case_id"), (pairs, "customer_id"),
-        (entries, "entry_id"), (entries, "case_id"), (movements, "case_id"),
+        (entries, "entry_id"), (entries, "case_id"), (movements, "case_id"), buckets=buckets,
     )
 
     state = incremental.upsert(t["customers"].state_of(customers, "customer_id", of_customers), customers, "customer_id")
@@ -116,7 +118,7 @@ def apply_run(batch: DataFrame, number: int, folder: str, links: DataFrame, day:
     fresh = t["movements"].log(found["new"].withColumn("action", F.lit("insert")), number)
     changed_cases = changed_cases.unionByName(fresh.select("case_id")).distinct()
 
-    of_customers, of_cases = buckets_of((changed_customers, "customer_id"), (changed_cases, "case_id"))
+    of_customers, of_cases = buckets_of((changed_customers, "customer_id"), (changed_cases, "case_id"), buckets=buckets)
     bridge = t["pairs_by_customer"].state_of(changed_customers, "customer_id", of_customers)
     bridge = bridge.unionByName(t["pairs_by_case"].state_of(changed_cases, "case_id", of_cases)).distinct()
     partners = link_ops.affected_partners(changed_customers, changed_cases, bridge, links, day)
@@ -129,10 +131,15 @@ def _kept(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def stream_sync(stream: DataFrame, links: DataFrame, day: dt.date | str, folder: str, checkpoint: str) -> StreamingQuery:
-    """Runs every micro-batch of ``RECORD`` rows as a sync into the tables under ``folder``."""
+def stream_sync(
+    stream: DataFrame, links: DataFrame, day: dt.date | str, folder: str, checkpoint: str, buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Runs every micro-batch of ``RECORD`` rows as a sync into the tables under ``folder``.
+
+    ``buckets`` is how many folders a table's keys are dealt to: as many as keep one bucket in a task's memory.
+    """
     return (
-        stream.writeStream.foreachBatch(lambda batch, number: apply_run(batch, number, folder, links, day))
+        stream.writeStream.foreachBatch(lambda batch, number: apply_run(batch, number, folder, links, day, buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

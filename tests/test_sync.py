@@ -79,13 +79,13 @@ def test_three_runs_equal_the_batch_operators_and_repeat_without_a_trace(spark,
             # A run that breaks off before its ledger entry leaves no trace, whatever it had written.
             broken = spark.createDataFrame(records(77), sync.RECORD)
             with pytest.raises(Exception, match="partner_id"):
-                sync.apply_run(broken, run, folder, links.drop("partner_id"), DAY)
-            assert not sync.SyncTables(spark, folder, run).committed
-        sync.apply_run(frame, run, folder, links, DAY)
+                sync.apply_run(broken, run, folder, links.drop("partner_id"), DAY, 3)
+            assert not sync.SyncTables(spark, folder, run, 3).committed
+        sync.apply_run(frame, run, folder, links, DAY, 3)
         if run == 2:
-            sync.apply_run(frame, run, folder, links, DAY)
+            sync.apply_run(frame, run, folder, links, DAY, 3)
         state, partners, errors = batch_run(spark, state, batch, links, run)
-        tables = sync.SyncTables(spark, folder, run)
+        tables = sync.SyncTables(spark, folder, run, 3)
         for name, log in names.items():
             columns = state[name].columns
             assert rows(tables[log].state(), *columns) == rows(state[name], *columns), (run, name)
