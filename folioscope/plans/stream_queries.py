@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.plans.registry import query
 from folioscope.plans.steps import AS_OF, LINK_DAY
-from folioscope.session import work_folder
+from folioscope.session import state_in_rocksdb, work_folder
 from folioscope.sources.tables import SCHEMAS
 from folioscope.streaming import jobs, limiter, sync
 
@@ -237,7 +237,10 @@ def st3_live(m):
 
     def run(stream):
         found = limiter.live_limiter(stream, opened).writeStream.outputMode("append").format("parquet")
-        return found.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        sink = found.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        # The processor has several states per key, which the default store can't hold.
+        with state_in_rocksdb(m.spark):
+            return sink.start()
 
     _in_batches(later, f"{folder}/in", run)
     live = m.spark.read.schema(limiter.OUTPUT).parquet(f"{folder}/out")

@@ -185,7 +185,7 @@ def live_limiter(stream: DataFrame, opened: DataFrame | None = None, late: str =
     A failure comes out once the watermark, ``late`` behind the newest event, has passed its slot of a
     minute; rows later than that are dropped. ``opened``, as ``open_windows`` gives it, is where earlier
     events left the keys. State and waiting rows are in the state store; a task holds the rows of one key
-    and minute at most.
+    and minute at most. The query needs the RocksDB store: start it inside ``session.state_in_rocksdb``.
     """
     rows = stream.select("key", "at", "event_id", "success").withWatermark("at", late)
     first = None if opened is None else opened.select("key", "start", "failures").groupBy("key")
