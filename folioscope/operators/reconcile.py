@@ -267,43 +267,57 @@ def resolve_for_approval(
 
     Unmatched and ambiguous items follow their latest correction. Besides the item's own reason a
     repeated target in the batch blocks every item that points at it.
+
+    Items stay where their batch is, those that may follow a correction then go by their id, and all go
+    once by their target: it tells whether the target lives and, sorted, whether the batch repeats it.
     """
-    current = latest_run(runs).select("batch_id", "run_id")
+    current = latest_run(runs).select("batch_id", F.col("run_id").alias("_run"))
+    states = batches.select("batch_id", F.col("state").alias("_state")).join(current, "batch_id")
     correction = latest_decision(reviews, "corrected").select(
         "item_id", F.col("after_id").alias("_after"), F.col("review_id").alias("_review")
     )
-    live = targets.filter("status = 'active'").select(F.col("case_id").alias("target_id"), F.lit(True).alias("_live"))
-    matched = F.col("status") == "matched"
-    open_item = F.col("status").isin("unmatched", "ambiguous") & F.col("_after").isNotNull()
-    blocking = _blocking(F.col("quality_flags"))
-    picked = (
-        items.join(current, ["batch_id", "run_id"], "left_semi")
-        .join(batches.select("batch_id", F.col("state").alias("_state")), "batch_id")
-        .join(correction, "item_id", "left")
-        .withColumn("target_id", F.when(matched, F.col("matched_id")).when(open_item, F.col("_after")))
-        .withColumn("target_key", own_key(F.col("target_id"), F.col("item_id")))
-        .join(live.withColumn("target_key", own_key(F.col("target_id"), F.lit(""))).drop("target_id"), "target_key", "left")
+    live = targets.filter("status = 'active'").select(
+        own_key(F.col("case_id"), F.lit("")).alias("_key"), F.lit(True).alias("_live")
     )
-    repeated = repeated_keys(picked, ["batch_id", "target_id"], "_repeats").withColumn(
-        "target_key", own_key(F.col("target_id"), F.lit(""))
-    )
-    block = (
+    matched = F.coalesce(F.col("status") == "matched", F.lit(False))
+    follows = F.col("status").isin("unmatched", "ambiguous")
+    reason = (
         F.when(F.col("_state") != "needs_review", "batch_state")
-        .when(blocking, "manifest_flag")
+        .when(_blocking(F.col("quality_flags")), "manifest_flag")
         .when(matched & (F.col("evidence").isNull() | F.col("method").isNull()), "evidence_missing")
+    )
+    # Not an equality, which would be one more key and send the items by batch and run.
+    newest = F.col("run_id").between(F.col("_run"), F.col("_run"))
+    placed = items.join(states, "batch_id").filter(newest).withColumn("_reason", reason)
+
+    own = ["batch_id", "run_id", "item_id", "target_id", "_review"]
+    settled = placed.filter(matched).select(
+        "batch_id", "run_id", "item_id", "_reason", F.col("matched_id").alias("target_id"), F.lit(None).cast("string").alias("_review"),
+        F.lit(True).alias("_matched"), F.col("method").alias("link_method"), F.col("evidence").alias("_evidence"),
+    )
+    corrected = (
+        placed.filter(~matched)
+        .select("batch_id", "run_id", "item_id", "_reason", follows.alias("_follows"))
+        .join(correction, "item_id", "left")
+        .select(
+            "batch_id", "run_id", "item_id", "_reason", F.when(F.col("_follows"), F.col("_after")).alias("target_id"), "_review",
+            F.lit(False).alias("_matched"), F.lit("manual_existing_id").alias("link_method"), F.lit(None).cast("string").alias("_evidence"),
+        )
+    )
+    picked = settled.unionByName(corrected).withColumn("_key", own_key(F.col("target_id"), F.col("item_id")))
+    same = Window.partitionBy("_key", "batch_id").orderBy("item_id")
+    repeated = F.lag(F.lit(True)).over(same).isNotNull() | F.lead(F.lit(True)).over(same).isNotNull()
+    block = (
+        F.when(F.col("_reason").isNotNull(), F.col("_reason"))
         .when(F.col("target_id").isNull(), "unresolved")
         .when(F.col("_live").isNull(), "target_inactive")
-        .when(F.col("_repeats").isNotNull(), "target_repeated")
-    )
-    evidence = F.when(matched, F.col("evidence")).otherwise(
-        F.sha2(F.concat_ws(":", "batch_id", "run_id", "item_id", "target_id", "_review"), 256)
+        .when(F.col("_repeated"), "target_repeated")
     )
+    evidence = F.when(F.col("_matched"), F.col("_evidence")).otherwise(F.sha2(F.concat_ws(":", *own), 256))
     return (
-        picked.join(repeated.drop("target_id"), ["batch_id", "target_key"], "left")
-        .withColumn("block_reason", block)
-        .withColumn("link_method", F.when(matched, F.col("method")).otherwise(F.lit("manual_existing_id")))
-        .withColumn("link_evidence", evidence)
-        .select("batch_id", "item_id", "target_id", "link_method", "link_evidence", "block_reason")
+        picked.join(live, "_key", "left")
+        .withColumn("_repeated", repeated)
+        .select("batch_id", "item_id", "target_id", "link_method", evidence.alias("link_evidence"), block.alias("block_reason"))
     )
 
 

@@ -130,3 +130,31 @@ def test_blank_chunks_say_nothing(spark):
     blank = [(1, 1, 140.0, 180.0, "  ", 50), (1, 1, 136.0, 181.0, "\t", 51)]
     chunks = _chunks(spark, [("", " PASTA-01 ")]).unionByName(spark.createDataFrame(blank, CHUNK))
     assert [(r["folder"], r["quality_flags"]) for r in blocks.extract_blocks(chunks).collect()] == [("PASTA-01", [])]
+
+
+def test_items_of_an_approval_travel_once_by_their_target(spark):
+    batches = spark.createDataFrame([(1, "needs_review"), (2, "approved")], "batch_id long, state string")
+    runs = spark.createDataFrame([(10, 1, 1), (11, 1, 2), (20, 2, 1)], "run_id long, batch_id long, created_at long")
+    items = [("old", 1, 10, "matched", 5, "m", "e"), ("a", 1, 11, "matched", 5, "m", "e"), ("b", 1, 11, "unmatched", None, None, None),
+             ("c", 1, 11, "matched", 6, "m", "e"), ("d", 1, 11, "matched", 7, "m", None), ("e", 1, 11, "ambiguous", None, None, None),
+             ("f", 1, 11, "invalid_identifier", None, None, None), ("g", 1, 11, "matched", 8, "m", "e"), ("h", 2, 20, "matched", 8, "m", "e")]
+    schema = "item_id string, batch_id long, run_id long, status string, matched_id long, method string, evidence string"
+    items = spark.createDataFrame(items, schema).withColumn("quality_flags", F.array().cast("array<string>"))
+    reviews = [("r1", "b", 1, "corrected", 4), ("r2", "b", 2, "corrected", 5), ("r3", "f", 1, "corrected", 8)]
+    reviews = spark.createDataFrame(reviews, "review_id string, item_id string, review_revision long, decision string, after_id long")
+    targets = spark.createDataFrame([(5, "active"), (6, "inactive"), (7, "active"), (8, "active")], "case_id long, status string")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        found = reconcile.resolve_for_approval(items, reviews, targets, runs, batches)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {r["item_id"]: (r["target_id"], r["block_reason"]) for r in found.collect()}
+    finally:
+        spark.conf.set(threshold, before)
+    assert plan.count("Exchange hashpartitioning") <= 12
+    assert not any("hashpartitioning" in line and "run_id" in line for line in plan.splitlines())
+    assert got == {
+        "a": (5, "target_repeated"), "b": (5, "target_repeated"), "c": (6, "target_inactive"), "d": (7, "evidence_missing"),
+        "e": (None, "unresolved"), "f": (None, "unresolved"), "g": (8, None), "h": (8, "batch_state"),
+    }
