@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -190,21 +191,46 @@ def register(spark: SparkSession, name: str, fetch: Fetch) -> None:
     spark.dataSource.register(PagedCollection)
 
 
+#: Record numbers whose pages lie in one file, so that a large collection isn't a file per page.
+_FILE_SPAN = 5_000
+
+
 def land_pages(pages: DataFrame, folder: str) -> None:
-    """Writes landed pages so that each can be found by its resource and offset."""
-    pages.select("resource", "requested_offset", "payload").write.partitionBy("resource", "requested_offset").text(folder)
+    """Writes landed pages so that each can be found by its resource and offset, in files of neighbouring pages."""
+    placed = pages.select("resource", "requested_offset", "payload", F.expr(f"requested_offset div {_FILE_SPAN}").alias("span"))
+    placed.repartition("resource", "span").write.partitionBy("resource", "span").parquet(folder)
 
 
-def from_folder(folder: str) -> Fetch:
-    """Pages that ``land_pages`` wrote; any file system that Arrow opens."""
+class _Folder:
+    """Pages of a folder; those of the file read last are held, as a task asks for neighbours."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self._at, self._pages = None, {}
 
-    def fetch(resource: str, offset: int, limit: int) -> str:
-        from pyarrow import fs
+    def __getstate__(self) -> dict:
+        # What the driver read doesn't travel to the tasks.
+        return {"folder": self.folder, "_at": None, "_pages": {}}
 
-        store, root = fs.FileSystem.from_uri(folder)
-        files = store.get_file_info(fs.FileSelector(f"{root}/resource={resource}/requested_offset={offset}"))
-        (page,) = [f.path for f in files if f.base_name.startswith("part-")]
-        with store.open_input_stream(page) as content:
-            return content.read().decode().removesuffix("\n")
+    def __call__(self, resource: str, offset: int, limit: int) -> str:
+        from pyarrow import fs, parquet
 
-    return fetch
+        at = (resource, offset // _FILE_SPAN)
+        if at != self._at:
+            store, root = fs.FileSystem.from_uri(self.folder)
+            files = store.get_file_info(fs.FileSelector(f"{root}/resource={resource}/span={at[1]}"))
+            found: dict[int, list[str]] = {}
+            for file in files:
+                if file.base_name.startswith("part-"):
+                    with store.open_input_file(file.path) as content:
+                        read = parquet.read_table(content, columns=["requested_offset", "payload"]).to_pydict()
+                    for o, page in zip(read["requested_offset"], read["payload"]):
+                        found.setdefault(o, []).append(page)
+            self._at, self._pages = at, found
+        (page,) = self._pages[offset]
+        return page
+
+
+def from_folder(folder: str) -> Fetch:
+    """Pages that ``land_pages`` wrote; any file system that Arrow opens."""
+    return _Folder(folder)

@@ -98,3 +98,18 @@ def test_empty_collection_and_wrong_options(spark, tmp_path):
     paged.register(spark, "pages_f", lambda *_: "no page")
     with pytest.raises(Exception, match="no total"):
         load(spark, "pages_f").collect()
+
+
+def test_a_landed_collection_has_a_file_for_many_pages(spark, rows, tmp_path):
+    offset = F.col("id") * 100
+    landed = spark.range(200).select(
+        F.lit("customers").alias("resource"), offset.alias("requested_offset"), F.lit(100).alias("requested_limit"),
+        F.concat(F.lit('{"data":[],"totalCount":20000,"limit":100,"offset":'), offset.cast("string"), F.lit("}")).alias("payload"),
+    )
+    folder = f"file://{tmp_path}/store"
+    paged.land_pages(landed.filter("requested_offset <> 700"), folder)
+    assert len(list(tmp_path.glob("store/**/part-*"))) == 4
+    paged.register(spark, "pages_g", paged.from_folder(folder))
+    found = load(spark, "pages_g", page_size=100)
+    expected = landed.withColumn("payload", F.expr("if(requested_offset = 700, null, payload)"))
+    assert rows(found.select("requested_offset", "payload")) == rows(expected.select("requested_offset", "payload"))
