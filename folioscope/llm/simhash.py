@@ -126,12 +126,13 @@ def near_links(prints: DataFrame, radius: int = RADIUS, largest_group: int = LAR
     rows = prints.select("print", F.explode(F.array(*[F.lit(_signed(m)) for m in masks(0, radius)])).alias("mask"))
     found = []
     while True:
+        # Groups are mostly of one, so rows are sent as they are: combined first, a task would hold its prints once per mask.
         rows = rows.withColumn("shared", F.col("print").bitwiseAND(F.col("mask")))
-        groups = rows.groupBy("mask", "shared")
+        groups = rows.repartition("mask", "shared").groupBy("mask", "shared")
         large = stored(groups.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > largest_group), "large")
         last = large.isEmpty()
         small = rows if last else rows.join(large, ["mask", "shared"], "left_anti")
-        members = small.groupBy("mask", "shared").agg(F.collect_list("print").alias("members"))
+        members = small.repartition("mask", "shared").groupBy("mask", "shared").agg(F.collect_list("print").alias("members"))
         linked = members.filter(F.size("members") > 1).select(_group_links(F.col("members"), radius).alias("links"))
         found.append(linked.select(F.inline("links")))
         if last:

@@ -93,3 +93,10 @@ def test_documents(documents, clashing):
         wanted.append((i, f"{fingerprint(t):016x}", min(same) if same else None))
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in rows), key=str) == sorted(wanted, key=str)
     assert simhash.near_duplicates(documents([])).collect() == []
+
+
+def test_groups_are_made_where_their_rows_meet(documents):
+    """No task holds all its fingerprints once per mask: rows are sent before they are combined."""
+    prints = documents([(i, "") for i in range(50)]).selectExpr("doc_id * 977 as print")
+    plan = simhash.near_links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_collect_list") < plan.index("Exchange hashpartitioning(mask")
