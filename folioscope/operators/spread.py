@@ -18,6 +18,15 @@ from folioscope.session import work_folder
 _DIGIT = 21
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by ``keys`` to as many tasks as ``spark.sql.shuffle.partitions`` says.
+
+    Adaptive execution merges partitions by their packed size, down to a task per core: columns that pack
+    well then give a task many millions of rows to sort or to keep. A number that is named stays.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def group_sizes(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     """Rows per key (null keys left out), combined on the map side."""
     usable = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))

@@ -208,7 +208,7 @@ def r4(m):
          CASE WHEN status = 'matched' THEN period_end END AS proposed_to FROM items JOIN batches USING (batch_id)""",
 )
 def r5(m):
-    return reconcile.proposals(m.items(), m.batches(), "snap")
+    return reconcile.proposals(m.items(deal=True), m.batches(), "snap")
 
 
 @query(
@@ -219,7 +219,7 @@ def r5(m):
          min(ordinal) AS lo, max(ordinal) AS hi, count(DISTINCT ordinal) AS d FROM items GROUP BY 1) USING (batch_id)""",
 )
 def r6(m):
-    return reconcile.manifest_complete(m.items(), m.batches())
+    return reconcile.manifest_complete(m.items(deal=True), m.batches())
 
 
 @query(
@@ -366,7 +366,7 @@ RESOLVED_SQL = f"""SELECT batch_id, item_id, target_id, CASE WHEN status = 'matc
 
 def _resolved(m):
     """The items of the latest run of each batch, resolved."""
-    return reconcile.resolve_for_approval(m.items(), m.reviews(), m.targets(), m.runs(), m.batches())
+    return reconcile.resolve_for_approval(m.items(), m.reviews(), m.targets(), m.run_ids(), m.batches())
 
 
 @query("r10_resolve_for_approval", "batch_id l, item_id s, target_id n, link_method s, link_evidence s, block_reason s", RESOLVED_SQL)
@@ -525,4 +525,4 @@ def r19(m):
 )
 def r20(m):
     wanted = m.reviews().filter("decision = 'corrected'").select("item_id", "after_id")
-    return reconcile.correctable(m.items(), m.runs(), m.targets(), wanted)
+    return reconcile.correctable(m.items(), m.run_ids(), m.targets(), wanted)

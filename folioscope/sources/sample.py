@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.operators.spread import dealt
 from folioscope.sources.tables import read_table
 
 _HASH_ID = (
     "cast(conv(substring(sha2(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
     " cast(l_extendedprice as decimal(18,2))), 256), 1, 15), 16, 10) as bigint)"
 )
+_ATTEMPTS = "explode(if(state = 'needs_review', array(0, 1), array(0)))"
+_RUN_IDS = ("batch_id * 2 + attempt as run_id", "batch_id", "created_at + make_dt_interval(0, attempt) as created_at")
 _ITEM_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 
@@ -179,11 +182,9 @@ class Model:
             "cast(c_acctbal / 100 as decimal(5,2)) as percentage",
         )
 
-    def batches(self) -> DataFrame:
-        counted = self.stored("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-            F.count(F.lit(1)).alias("n_items")
-        )
-        return self.stored("orders").join(counted, "o_orderkey", "left").selectExpr(
+    def _uploads(self) -> DataFrame:
+        """Batches without the number of their items."""
+        return self.stored("orders").selectExpr(
             "o_orderkey as batch_id",
             "o_custkey as partner_id",
             "o_custkey as source_id",
@@ -201,18 +202,32 @@ class Model:
             " as processing_finished_at",
             "o_custkey % 20 as uploaded_by",
             "'v1' as parser_version",
-            "coalesce(n_items, 0) + if(o_orderstatus = 'P', 1, 0) as parsed_item_count",
+            "if(o_orderstatus = 'P', 1, 0) as extra_items",
+        )
+
+    def batches(self) -> DataFrame:
+        counted = self.stored("lineitem").groupBy(F.col("l_orderkey").alias("batch_id")).agg(
+            F.count(F.lit(1)).alias("n_items")
+        )
+        count = F.coalesce("n_items", F.lit(0)) + F.col("extra_items")
+        return (
+            self._uploads()
+            .join(counted, "batch_id", "left")
+            .withColumn("parsed_item_count", count)
+            .drop("extra_items", "n_items")
         )
 
+    def run_ids(self) -> DataFrame:
+        """The runs without what they counted."""
+        return self._uploads().withColumn("attempt", F.expr(_ATTEMPTS)).selectExpr(*_RUN_IDS)
+
     def runs(self) -> DataFrame:
         """One reconciliation run per batch, two for open orders."""
         return (
             self.batches()
-            .withColumn("attempt", F.expr("explode(if(state = 'needs_review', array(0, 1), array(0)))"))
+            .withColumn("attempt", F.expr(_ATTEMPTS))
             .selectExpr(
-                "batch_id * 2 + attempt as run_id",
-                "batch_id",
-                "created_at + make_dt_interval(0, attempt) as created_at",
+                *_RUN_IDS,
                 "if(processing_status = 'running', 'v0', 'v1') as parser_version",
                 "parsed_item_count as result_total",
                 "parsed_item_count - if(attempt = 0, 2, 0) as matched_count",
@@ -222,12 +237,16 @@ class Model:
             )
         )
 
-    def items(self) -> DataFrame:
-        """Reconciliation items of every run. A batch that ran twice had matched nothing at first."""
+    def items(self, deal: bool = False) -> DataFrame:
+        """Reconciliation items of every run. A batch that ran twice had matched nothing at first.
+
+        With ``deal`` they lie in as many tasks as ``spread.dealt`` makes, for jobs that keep much of a task's rows.
+        """
         first = "(attempt = 0 and runs = 2)"
-        runs = self.batches().selectExpr("batch_id as l_orderkey", "if(state = 'needs_review', 2, 1) as runs")
+        runs = self._uploads().selectExpr("batch_id as l_orderkey", "if(state = 'needs_review', 2, 1) as runs")
         attempts = F.expr("explode(sequence(0, runs - 1))")
-        return self.stored("lineitem").join(runs, "l_orderkey").withColumn("attempt", attempts).selectExpr(
+        lines = self.stored("lineitem")
+        return (dealt(lines, "l_orderkey") if deal else lines).join(runs, "l_orderkey").withColumn("attempt", attempts).selectExpr(
             f"if({first}, concat({_ITEM_ID}, '/first'), {_ITEM_ID}) as item_id",
             "l_orderkey as batch_id",
             "l_orderkey * 2 + attempt as run_id",
