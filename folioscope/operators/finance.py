@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import label
-from folioscope.operators.spread import positions, repeated_keys
+from folioscope.operators.spread import dealt, positions, repeated_keys
 
 MONEY = "decimal(18,2)"
 
@@ -227,10 +227,13 @@ def portfolio_enrichment(portfolio: DataFrame, movements: DataFrame, transaction
     from folioscope.operators.latest import latest_movement
 
     wanted = portfolio.select("case_id").distinct()
-    kept = classified(transactions)
+    of_portfolio = wanted.withColumn("_wanted", F.lit(True))
+    # Joined, not semi-joined: Spark would move a semi-join under the dealing.
+    kept = dealt(classified(transactions), "case_id")
+    marked = kept.join(of_portfolio, "case_id", "left")
     return {
         "movements": latest_movement(movements, wanted),
-        "entries": kept.join(wanted, "case_id", "left_semi"),
-        "foreign": kept.join(wanted, "case_id", "left_anti"),
-        "repeated": repeated_keys(kept.join(wanted, "case_id", "left_semi"), ["entry_id"]),
+        "entries": marked.filter("_wanted").drop("_wanted"),
+        "foreign": marked.filter("_wanted is null").drop("_wanted"),
+        "repeated": repeated_keys(marked.filter("_wanted"), ["entry_id"]),
     }
