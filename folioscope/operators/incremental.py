@@ -62,7 +62,9 @@ def changed_keys(state: DataFrame, key: str) -> DataFrame:
 
 def missing_references(source: DataFrame, known: DataFrame, key: str, code: str, offset_col: str = "page_offset") -> DataFrame:
     """One retryable error row per source row whose non-null reference is unknown."""
-    lost = source.filter(F.col(key).isNotNull()).join(known.select(key).distinct(), key, "left_anti")
+    known = known.select(key).distinct().withColumn("_known", F.lit(True))
+    # Joined, not anti-joined: Spark would move an anti-join under a source that is dealt to more tasks.
+    lost = source.filter(F.col(key).isNotNull()).join(known, key, "left").filter("_known is null")
     return lost.select(F.lit(code).alias("error_code"), F.lit(True).alias("retryable"), F.col(offset_col).alias("page_offset"), key)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import consistency, finance, incremental, links, profile, retention
 from folioscope.operators.latest import latest_run
+from folioscope.operators.spread import dealt
 from folioscope.plans.latest_queries import LATEST_VERSION_SQL
 from folioscope.plans.link_queries import QUALITY_SQL
 from folioscope.plans.registry import query
@@ -53,7 +54,7 @@ def _stored_cases(m):
     )
 
 
-def _case_parts(m):
+def _case_parts(m, deal=False):
     source = m.cases().select("case_id", F.col("stage").alias("row_hash"))
     stored_pairs = m.case_customers().join(
         m.cases().filter("step <> 'JUDICIAL' and stage <> 'RPV EMITIDO'").select("case_id"), "case_id", "left_semi"
@@ -62,6 +63,8 @@ def _case_parts(m):
         "case_id", F.lit(5).cast("bigint").alias("customer_id")
     )
     wanted = m.case_customers().withColumn("page_offset", F.floor(F.col("case_id") / 100) * 100)
+    if deal:
+        wanted = dealt(wanted, "customer_id")
     return incremental.upsert_cases(
         _stored_cases(m), stored_pairs.unionByName(gone).distinct(), source, wanted, m.customers()
     )
@@ -89,15 +92,16 @@ def i2(m):
     return cases.unionByName(pairs)
 
 
-def _transaction_parts(m):
+def _transaction_parts(m, deal=False):
     hashed = m.transactions().select("entry_id", "case_id", F.col("category").alias("row_hash"), "entry_type", "date_due")
     stored = hashed.filter("entry_type = 'income'").select(
         "entry_id",
         F.when(F.col("date_due") < "1998-01-01", F.col("case_id") + 1).otherwise(F.col("case_id")).alias("case_id"),
         "row_hash",
     )
+    source = hashed.select("entry_id", "case_id", "row_hash", F.lit(0).alias("page_offset"))
     return incremental.upsert_transactions(
-        stored, hashed.select("entry_id", "case_id", "row_hash", F.lit(0).alias("page_offset")), m.cases()
+        stored, dealt(source, "case_id") if deal else source, m.cases()
     )
 
 
@@ -173,8 +177,8 @@ def i5(m):
 )
 def i6(m):
     parts = [
-        _case_parts(m)["errors"].withColumnRenamed("customer_id", "reference"),
-        _transaction_parts(m)["errors"].withColumnRenamed("case_id", "reference"),
+        _case_parts(m, deal=True)["errors"].withColumnRenamed("customer_id", "reference"),
+        _transaction_parts(m, deal=True)["errors"].withColumnRenamed("case_id", "reference"),
         _movement_parts(m)["errors"].withColumnRenamed("case_id", "reference"),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -18,6 +18,7 @@ def plan(spark, name):
         ("r6_manifest_complete", "l_orderkey"),
         ("r5_proposals", "l_orderkey"),
         ("f9_portfolio_enrichment", "case_id"),
+        ("i6_missing_references", "case_id"),
     ],
 )
 def test_rows_are_dealt_to_a_named_number_of_tasks(spark, name, key):
