@@ -114,19 +114,27 @@ def partner_status(partners: DataFrame, versions: DataFrame, requests: DataFrame
     )
 
 
-def reprocess_pending(batches: DataFrame, runs: DataFrame, reviews: DataFrame) -> DataFrame:
-    """``reprocess_pending`` per batch with a run: asked for on that run and not finished since."""
+def _last_asked(reviews: DataFrame) -> DataFrame:
+    """Per batch the run whose reprocessing was asked for last, and when."""
     order = [F.col("review_revision").desc(), F.col("review_id").desc()]
-    asked = first_rows(reviews.filter("decision = 'reprocess_requested'"), ["batch_id"], order).select(
+    return first_rows(reviews.filter("decision = 'reprocess_requested'"), ["batch_id"], order).select(
         "batch_id", F.col("run_id").alias("_asked_run"), F.col("created_at").alias("_asked_at")
     )
+
+
+def _pending(run: Column) -> Column:
+    """Whether reprocessing was asked for on a run and isn't finished since."""
     finished = (F.col("processing_status") == "succeeded") & (F.col("processing_finished_at") > F.col("_asked_at"))
-    pending = (F.col("_asked_run") == F.col("run_id")) & ~F.coalesce(finished, F.lit(False))
+    return F.coalesce((F.col("_asked_run") == run) & ~F.coalesce(finished, F.lit(False)), F.lit(False))
+
+
+def reprocess_pending(batches: DataFrame, runs: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``reprocess_pending`` per batch with a run: asked for on that run and not finished since."""
     return (
         batches.select("batch_id", "processing_status", "processing_finished_at")
         .join(latest_run(runs).select("batch_id", "run_id"), "batch_id")
-        .join(asked, "batch_id", "left")
-        .select("batch_id", "run_id", F.coalesce(pending, F.lit(False)).alias("reprocess_pending"))
+        .join(_last_asked(reviews), "batch_id", "left")
+        .select("batch_id", "run_id", _pending(F.col("run_id")).alias("reprocess_pending"))
     )
 
 
@@ -142,27 +150,41 @@ def approval_blocked(
     Blocks without a run or items, on a pending reprocess, on a manifest that is incomplete or
     carries a flag, on unresolved items, and on several approved batches of the same period.
     """
-    current = latest_run(runs).select("batch_id", "run_id")
+    current = latest_run(runs).select("batch_id", F.col("run_id").alias("_run"))
     corrected = latest_decision(reviews, "corrected").select("item_id", F.lit(True).alias("_corrected"))
-    in_run = items.join(current, ["batch_id", "run_id"], "left_semi").join(corrected, "item_id", "left")
-    solved = (F.col("status") == "matched") | (
-        F.col("status").isin("unmatched", "ambiguous") & F.col("_corrected").isNotNull()
+    flagged = F.exists("quality_flags", lambda f: f != HARMLESS_FLAG)
+    # Items are counted where their batch is; only those that a correction may settle go by their id.
+    manifest = (
+        items.join(current, "batch_id", "left")
+        .groupBy("batch_id")
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.count_if(flagged).alias("_flagged"),
+            F.count_if(F.col("run_id") == F.col("_run")).alias("_items"),
+        )
     )
-    item_counts = in_run.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("_items"),
-        F.count_if(~solved).alias("_unsolved"),
-        F.count_if((F.col("status") != "matched") & F.col("_corrected").isNull()).alias("open_issues"),
+    follows = F.col("status").isin("unmatched", "ambiguous")
+    unmatched = (
+        items.filter("status <> 'matched'")
+        .join(current, "batch_id")
+        # Not an equality, which would be one more key and send the items by batch and run.
+        .filter(F.col("run_id").between(F.col("_run"), F.col("_run")))
+        .select("batch_id", "item_id", follows.alias("_follows"))
+        .join(corrected, "item_id", "left")
+        .groupBy("batch_id")
+        .agg(
+            F.count_if(~F.col("_follows") | F.col("_corrected").isNull()).alias("_unsolved"),
+            F.count_if(F.col("_corrected").isNull()).alias("open_issues"),
+        )
     )
-    flagged = F.exists("quality_flags", lambda f: f != HARMLESS_FLAG)
-    manifest = items.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_rows"), F.count_if(flagged).alias("_flagged"))
     period = ["partner_id", "period_start", "period_end"]
     approved = batches.filter("state = 'approved'").groupBy(*period).agg(F.count(F.lit(1)).alias("_approved"))
-    pending = reprocess_pending(batches, runs, reviews).select("batch_id", "reprocess_pending")
     zero = F.lit(0).cast("bigint")
     wide = (
-        batches.join(item_counts, "batch_id", "left")
-        .join(manifest, "batch_id", "left")
-        .join(pending, "batch_id", "left")
+        batches.join(manifest, "batch_id", "left")
+        .join(unmatched, "batch_id", "left")
+        .join(current, "batch_id", "left")
+        .join(_last_asked(reviews), "batch_id", "left")
         .join(approved, period, "left")
         .withColumns(
             {c: F.coalesce(c, zero) for c in ("_items", "_unsolved", "open_issues", "_rows", "_flagged", "_approved")}
@@ -171,7 +193,8 @@ def approval_blocked(
     others = F.col("_approved") - F.when(F.col("state") == "approved", 1).otherwise(0)
     blocked = (
         (F.col("_items") == 0)
-        | F.coalesce("reprocess_pending", F.lit(True))
+        | F.col("_run").isNull()
+        | _pending(F.col("_run"))
         | (others > 1)
         | (F.col("_rows") != F.col("parsed_item_count"))
         | (F.col("_flagged") > 0)

@@ -38,7 +38,7 @@ BLOCKED_SQL = f"""SELECT b.*, coalesce(issues, 0) AS open_issues, coalesce(n_ite
 
 
 def _blocked(m):
-    return status.approval_blocked(m.batches(), m.runs(), m.items(), m.reviews())
+    return status.approval_blocked(m.batches(), m.run_ids(), m.items(), m.reviews())
 
 
 @query(
@@ -80,7 +80,7 @@ def q10(m):
 
 @query("q11_reprocess_pending", "batch_id l, run_id l, reprocess_pending b", REPROCESS_SQL)
 def q11(m):
-    return status.reprocess_pending(m.batches(), m.runs(), m.reviews())
+    return status.reprocess_pending(m.batches(), m.run_ids(), m.reviews())
 
 
 @query(
