@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators.links import in_scope
 from folioscope.operators.spread import first_rows
+from folioscope.session import work_folder
 
 READY = ("validated", "published")
 ACTIVE = ("pending", "running")
@@ -114,6 +116,21 @@ def page(df: DataFrame, condition: Column, order: Sequence[Column], number: int
     return kept.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total_rows", total)
 
 
+def _listed(
+    partners: DataFrame, versions: DataFrame, requests: DataFrame, changes: DataFrame, query: str = "", scope: str | None = None
+) -> DataFrame:
+    """Active partners with their derived status, in no order."""
+    from folioscope.operators.status import partner_status
+
+    live = partners.filter("status = 'active' and deleted_at is null")
+    if scope:
+        live = in_scope(live, scope)
+    if query:
+        needle = F.lower(F.lit(query))
+        live = live.filter(F.lower("name").contains(needle) | F.lower("external_id").contains(needle))
+    return partner_status(live, versions, requests, changes)
+
+
 def catalog(
     partners: DataFrame,
     versions: DataFrame,
@@ -124,15 +141,7 @@ def catalog(
     scope: str | None = None,
 ) -> DataFrame:
     """Active partners with their derived status, searched by name or code without case."""
-    from folioscope.operators.status import partner_status
-
-    live = partners.filter("status = 'active' and deleted_at is null")
-    if scope:
-        live = in_scope(live, scope)
-    if query:
-        needle = F.lower(F.lit(query))
-        live = live.filter(F.lower("name").contains(needle) | F.lower("external_id").contains(needle))
-    listed = partner_status(live, versions, requests, changes)
+    listed = _listed(partners, versions, requests, changes, query, scope)
     if status:
         listed = listed.filter(F.col("report_status") == status)
     return listed.orderBy("name", "external_id")
@@ -150,6 +159,29 @@ def catalog_page(listed: DataFrame, number: int, size: int = 20) -> DataFrame:
     return shown.withColumns({"page": F.lit(number), "pages": F.lit(pages), "total_rows": F.lit(total)})
 
 
+def catalog_pages(
+    partners: DataFrame,
+    versions: DataFrame,
+    requests: DataFrame,
+    changes: DataFrame,
+    statuses: Sequence[str],
+    number: int,
+    size: int = 20,
+    query: str = "",
+    scope: str | None = None,
+) -> DataFrame:
+    """The page ``number`` of the catalog under each of the statuses.
+
+    Statuses are derived once, for all pages: the list is written to the shared work folder.
+    """
+    listed = _listed(partners, versions, requests, changes, query, scope)
+    folder = work_folder(listed.sparkSession, "catalog")
+    listed.write.parquet(folder)
+    written = listed.sparkSession.read.schema(listed.schema).parquet(folder)
+    pages = [catalog_page(written.filter(F.col("report_status") == s), number, size) for s in statuses]
+    return reduce(DataFrame.unionByName, pages)
+
+
 def set_union(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.select(*keys).unionByName(right.select(*keys)).distinct()
 

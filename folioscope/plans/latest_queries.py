@@ -136,10 +136,7 @@ def w10_pages(m):
     """The last page of each status, asked for with a number far behind it."""
     changes = latest.last_change(m.changed_partners(), m.run_log())
     states = ("atualizado", "desatualizado", "gerando", "erro", "sem relatório")
-    pages = [
-        latest.catalog_page(latest.catalog(m.directory(), m.versions(), m.requests(), changes, status=x), 1_000_000, 3) for x in states
-    ]
-    return reduce(DataFrame.unionByName, pages)
+    return latest.catalog_pages(m.directory(), m.versions(), m.requests(), changes, states, 1_000_000, 3)
 
 
 @query(

@@ -39,3 +39,8 @@ def test_only_items_that_corrections_may_settle_go_by_their_id(spark):
     reviews = rows("review_id string, item_id string, batch_id long, run_id long, review_revision long, decision string, created_at timestamp")
     shown = approval_blocked(batches, runs, items, reviews)._jdf.queryExecution().optimizedPlan().toString()
     assert any(re.search(r"Filter .*NOT \(status#\d+ = matched\)", line) for line in shown.splitlines())
+
+
+def test_the_catalog_is_derived_once(spark):
+    shown = plan(spark, "w10_catalog_pages")
+    assert "catalog-" in shown and "orders.parquet" not in shown
