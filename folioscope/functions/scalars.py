@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.session import small_methods
+
 # Business zone, case-number shape, money scale.
 BUSINESS_ZONE = "America/Sao_Paulo"
 CASE_NUMBER_PATTERN = r"^\d{7}[-.]?\d{2}[.]?\d{4}[.]?\d[.]?\d{2}[.]?\d{4}$"
@@ -72,26 +74,26 @@ class Raw(NamedTuple):
         return F.when(self.is_number(), self.text.try_cast("bigint"))
 
 
-def _plain_text(form: Column, record: Column, path: str) -> Column:
-    """Text of a value: strings lose their quotes, and only escaped ones are looked up again."""
-    quoted = F.ascii(form) == ord('"')
-    bare = F.substring(form, F.lit(2), F.length(form) - 2)
-    escaped = F.try_variant_get(record, f"$.{path}", "string")
-    return F.when(~quoted, form).when(F.instr(form, "\\") == 0, bare).otherwise(escaped)
-
-
 def open_record(df: DataFrame, names: Sequence[str], record: str = "record", extra: Sequence[Column] = ()) -> DataFrame:
     """Replaces a VARIANT record by ``_<name>_mark`` and ``_<name>_text`` columns.
 
-    The two steps stay apart in the plan, so every attribute is looked up once per row however
-    often the normalising expressions use it.
+    A record is walked twice for all its attributes, once for their values and once for their texts, and not once
+    for each of them. The steps stay apart in the plan, so each is done once per row however often the normalising
+    expressions use it.
     """
+    small_methods(df.sparkSession)
     kept = [c for c in df.columns if c != record]
-    forms = [F.to_json(field(record, n)).alias(f"_{n}_form") for n in names]
-    looked_up = df.select(*kept, record, *forms, *extra)
+    if not names:
+        return df.select(*kept, *extra)
+    values, texts = (
+        F.try_variant_get(F.col(record), "$", f"struct<{', '.join(f'`{n}` {kind}' for n in names)}>") for kind in ("variant", "string")
+    )
+    walked = df.select(*kept, *extra, values.alias("_values"), texts.alias("_texts"))
+    forms = walked.withColumns({f"_{n}_form": F.to_json(F.col("_values")[n]) for n in names}).drop("_values")
     marks = {f"_{n}_mark": F.ascii(f"_{n}_form") for n in names}
-    texts = {f"_{n}_text": _plain_text(F.col(f"_{n}_form"), F.col(record), n) for n in names}
-    return looked_up.withColumns(marks | texts).drop(record, *[f"_{n}_form" for n in names])
+    # The JSON form of a string has quotes and escapes, its text hasn't.
+    plain = {f"_{n}_text": F.when(marks[f"_{n}_mark"] == ord('"'), F.col("_texts")[n]).otherwise(F.col(f"_{n}_form")) for n in names}
+    return forms.withColumns(marks | plain).drop("_texts", *[f"_{n}_form" for n in names])
 
 
 def opened(name: str) -> Raw:
@@ -124,7 +126,8 @@ def entry_value(entry: Column, name: str) -> Raw:
 
 def is_object(value: Column) -> Column:
     """Is a VARIANT a JSON object?"""
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+    # An empty struct tells as much as a map and copies none of its values.
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
 
 
 def _is_blank(value: Raw) -> Column:
