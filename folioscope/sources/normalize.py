@@ -344,13 +344,15 @@ def candidate_coverage(records: DataFrame, salt: str, with_customers: bool) -> D
 
 def missing_relationships(case_records: DataFrame, customer_records: DataFrame) -> DataFrame:
     """One row: customer references in case records, and distinct referenced ids without a record."""
+    # Entries become rows before they are opened, and only their id is.
+    entries = F.explode(F.try_variant_get(F.col("record"), f"$.{RELATED}", "array<variant>"))
     refs = (
-        _opened(case_records, (), related=True)
-        .select(F.explode("_related").alias("r"))
-        .select(s.technical_id(s.entry_value(F.col("r"), "customer_id")).alias("_id"))
+        s.open_record(case_records.select(entries.alias("entry")), ["customer_id"], "entry")
+        .select(s.technical_id(_get("customer_id")).alias("_id"))
         .filter("_id is not null")
     )
     per_id = refs.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
     known = _opened(customer_records, ("id",)).select(s.technical_id(_get("id")).alias("_id")).distinct()
-    lost = per_id.join(known, "_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).scalar()
-    return per_id.agg(F.sum("_n").alias("customer_references")).withColumn("missing_customers", lost)
+    # References are counted once, with a mark of those that have a record.
+    marked = per_id.join(known.withColumn("_known", F.lit(True)), "_id", "left")
+    return marked.agg(F.sum("_n").alias("customer_references"), F.count_if(F.col("_known").isNull()).alias("missing_customers"))

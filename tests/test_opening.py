@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import scalars as s
 from folioscope.session import METHOD_LIMIT
+from folioscope.sources import normalize
 
 
 def _plan(df):
@@ -33,3 +34,14 @@ def test_a_session_with_the_default_limit_gets_small_methods(spark):
         assert spark.conf.get(METHOD_LIMIT) == "8000"
     finally:
         spark.conf.set(METHOD_LIMIT, before)
+
+
+def test_references_are_counted_once(spark):
+    cases = _records(
+        spark, {"customers": [{"customer_id": 1}, {"customer_id": 1}, {"customer_id": "a "}, {"customer_id": 9}, {}, 5, {"customer_id": None}]},
+        {"customers": {}}, {}, {"customers": [{"customer_id": 9}]},
+    )
+    found = normalize.missing_relationships(cases, _records(spark, {"id": 1}, {"id": 1}, {"id": "a"}, {"id": 2}))
+    assert "Subquery" not in _plan(found)
+    assert tuple(found.first()) == (5, 1)
+    assert tuple(normalize.missing_relationships(cases.limit(0), cases).first()) == (None, 0)
