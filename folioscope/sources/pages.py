@@ -41,15 +41,16 @@ def check_pages(pages: DataFrame) -> DataFrame:
 
     measured = (
         open_record(
-            pages.select("requested_offset", "requested_limit", "page"),
+            pages.select("requested_offset", "requested_limit", "page", _records().alias("_list")),
             ("totalCount", "offset", "limit"),
             "page",
             [
                 is_object(F.col("page")).alias("_object"),
-                F.size(_records()).alias("_size"),
-                F.coalesce(F.exists(_records(), lambda r: ~is_object(r)), F.lit(False)).alias("_foreign"),
+                F.size("_list").alias("_size"),
+                F.coalesce(F.exists("_list", lambda r: ~is_object(r)), F.lit(False)).alias("_foreign"),
             ],
         )
+        .drop("_list")
         .withColumn("row_count", F.coalesce(F.nullif("_size", F.lit(-1)), F.lit(0)).cast("bigint"))
         .withColumn("total", integer("totalCount"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import scalars as s
 from folioscope.session import METHOD_LIMIT
-from folioscope.sources import normalize
+from folioscope.sources import normalize, pages
 
 
 def _plan(df):
@@ -45,3 +45,11 @@ def test_references_are_counted_once(spark):
     assert "Subquery" not in _plan(found)
     assert tuple(found.first()) == (5, 1)
     assert tuple(normalize.missing_relationships(cases.limit(0), cases).first()) == (None, 0)
+
+
+def test_pages_with_foreign_records(spark):
+    rows = [(0, '{"data":[{},{"a":1}],"totalCount":2,"limit":2,"offset":0}'), (2, '{"data":[{},5],"totalCount":4,"limit":2,"offset":2}'), (4, "[]")]
+    landed = spark.createDataFrame([(o, 2, p) for o, p in rows], "requested_offset bigint, requested_limit bigint, payload string")
+    checked = pages.check_pages(pages.parse_pages(landed))
+    assert "map<string,variant>" not in _plan(checked)
+    assert {r["requested_offset"]: r["violation"] for r in checked.collect()} == {0: None, 2: "record_invalid", 4: "not_an_object"}
