@@ -9,11 +9,12 @@ root, ``FAN_BITS`` at a time, into differing nodes only, and opens the folders o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators.spread import DIGEST_WORDS, digest_words, finished_digest
+from folioscope.operators.spread import DIGEST_WORDS, dealt, digest_words, finished_digest
 
 FAN_BITS = 4
 #: Rows of a range, about, and the most bits that tell ranges apart (so many folders has a snapshot at most).
@@ -86,15 +87,24 @@ def differing_keys(spark: SparkSession, first: str, second: str, schema: str, ke
     A key with several rows is compared as the collection of its rows. Null parts of a key are a value like others.
     """
     ranges = differing_ranges(spark, first, second, bits)
+    # Eight words of 32 bits of each row's hash, whose sums over the rows of a key are plain longs.
+    words = {f"_v{i}": F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(8)}
     sides = []
-    for folder, side in ((first, 0), (second, 1)):
+    for folder in (first, second):
         rows = spark.read.schema(f"{schema}, _range bigint").parquet(f"{folder}/rows").filter(F.col("_range").isin(ranges))
         columns = [c for c in rows.columns if c != "_range"]
-        sides.append(digest_words(rows, columns, key).withColumn("_side", F.lit(side)))
-    both = sides[0].unionByName(sides[1])
-    same = both.groupBy(*key, "rows", *DIGEST_WORDS).agg(F.count(F.lit(1)).alias("_n"), F.max("_side").alias("_side"))
-    kind = F.when(F.count(F.lit(1)) == 2, "changed").when(F.max("_side") == 1, "added").otherwise("removed")
-    return same.filter("_n = 1").groupBy(*key).agg(kind.alias("difference"))
+        text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+        hashed = rows.select(*key, F.sha2(text, 256).alias("_h")).select(*key, *[w.alias(n) for n, w in words.items()])
+        # Spark may join the sides by their partitions, and then would merge these into few tasks: their number is named.
+        sides.append(dealt(hashed, *key).withColumn("_n", F.lit(1).cast("bigint")))
+    # What the second side has is subtracted, so both sides meet in one aggregate and equal rows leave nothing.
+    counted = [*words, "_n"]
+    taken = sides[1].select(*key, *[(-F.col(n)).alias(n) for n in counted], F.lit(1).alias("_side"))
+    both = sides[0].withColumn("_side", F.lit(0)).unionByName(taken)
+    sums = both.groupBy(*key).agg(F.min("_side").alias("_low"), F.max("_side").alias("_high"), *[F.sum(n).alias(n) for n in counted])
+    differs = reduce(lambda a, b: a | b, (F.col(n) != 0 for n in counted))
+    kind = F.when(F.col("_low") == 1, "added").when(F.col("_high") == 0, "removed").otherwise("changed")
+    return sums.filter(differs).select(*key, kind.alias("difference"))
 
 
 def moved_digest(words: DataFrame, removed: DataFrame, added: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:

@@ -63,3 +63,19 @@ def test_digest_from_changes_equals_the_recount(spark, rows):
     assert rows(finished_digest(words), "part", "rows", "digest") == rows(multiset_digest(frame(spark, table), columns, by))
     everything = hash_tree.moved_digest(words, frame(spark, table), frame(spark, []), columns, by)
     assert everything.collect() == []
+
+
+def test_sides_meet_in_a_named_number_of_tasks(spark, tmp_path):
+    rows = some(500)
+    hash_tree.write_snapshot(frame(spark, rows), ["id"], str(tmp_path / "one"), 4)
+    hash_tree.write_snapshot(frame(spark, rows[:400] + [(5, "b", 9.0)]), ["id"], str(tmp_path / "two"), 4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        found = hash_tree.differing_keys(spark, str(tmp_path / "one"), str(tmp_path / "two"), SCHEMA, ["id"], 4)
+        kinds = {r["id"]: r["difference"] for r in found.collect()}
+        assert kinds == {5: "changed"} | {i: "removed" for i in range(400, 500)}
+        # Small partitions as these would be merged into one task.
+        assert found.rdd.getNumPartitions() == 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
