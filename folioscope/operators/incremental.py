@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.latest import ACTIVE, READY, latest_version
 from folioscope.operators.links import in_scope
-from folioscope.operators.spread import first_rows, join_null_safe, multiset_digest, own_key
+from folioscope.operators.spread import first_rows, join_null_safe, multiset_digest
 
 
 def upsert(
@@ -68,6 +68,26 @@ def missing_references(source: DataFrame, known: DataFrame, key: str, code: str,
     return lost.select(F.lit(code).alias("error_code"), F.lit(True).alias("retryable"), F.col(offset_col).alias("page_offset"), key)
 
 
+def mark_known(source: DataFrame, known: DataFrame, key: str, row_id: str | None = None) -> DataFrame:
+    """``source`` with ``_known``: true where ``known``, which has each key once, has its ``key``, else null.
+
+    Rows without a key are spread by ``row_id``.
+    """
+    marked = known.select(F.col(key).alias("_key"), F.lit(True).alias("_known"))
+    same = F.col(key) == F.col("_key")
+    if row_id is not None:
+        # A number for each row without a key, so that they don't meet in one task.
+        slot = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("r"), F.col(row_id).cast("string"))))
+        same &= slot == F.xxhash64(F.col("_key").cast("string"))
+    return source.join(marked, same, "left").drop("_key")
+
+
+def lost_references(marked: DataFrame, key: str, code: str, offset_col: str = "page_offset") -> DataFrame:
+    """The rows of ``missing_references`` for a source that ``mark_known`` has marked."""
+    lost = marked.filter(F.col(key).isNotNull() & F.col("_known").isNull())
+    return lost.select(F.lit(code).alias("error_code"), F.lit(True).alias("retryable"), F.col(offset_col).alias("page_offset"), key)
+
+
 def diff_bridge(bridge: DataFrame, source_pairs: DataFrame, cases_in_batch: DataFrame, customers: DataFrame) -> DataFrame:
     """(case_id, customer_id, action) with delete, add or keep for the cases of a batch.
 
@@ -75,9 +95,15 @@ def diff_bridge(bridge: DataFrame, source_pairs: DataFrame, cases_in_batch: Data
     """
     pair = ["case_id", "customer_id"]
     wanted = source_pairs.select(*pair).distinct().join(customers.select("customer_id"), "customer_id", "left_semi")
+    return diff_pairs(bridge, wanted, cases_in_batch)
+
+
+def diff_pairs(bridge: DataFrame, wanted: DataFrame, cases_in_batch: DataFrame) -> DataFrame:
+    """``diff_bridge`` for pairs of known customers; equal pairs count once."""
+    pair = ["case_id", "customer_id"]
     stored = bridge.select(*pair).join(cases_in_batch.select("case_id").distinct(), "case_id", "left_semi")
     sides = stored.withColumn("_stored", F.lit(1)).withColumn("_wanted", F.lit(0)).unionByName(
-        wanted.withColumn("_stored", F.lit(0)).withColumn("_wanted", F.lit(1))
+        wanted.select(*pair).withColumn("_stored", F.lit(0)).withColumn("_wanted", F.lit(1))
     )
     action = F.when(F.col("_wanted") == 0, "delete").when(F.col("_stored") == 0, "add").otherwise("keep")
     return (
@@ -105,32 +131,40 @@ def upsert_transactions(target: DataFrame, source: DataFrame, cases: DataFrame)
 
     A reference to an unknown case is stored as null and reported.
     """
-    known = cases.select("case_id", F.lit(True).alias("_known"))
-    keyed = source.withColumn("_slot", own_key(F.col("case_id"), F.col("entry_id")))
-    known = known.withColumn("_slot", own_key(F.col("case_id"), F.lit(""))).drop("case_id")
-    resolved = (
-        keyed.join(known, "_slot", "left")
-        .withColumn("case_id", F.when(F.col("_known"), F.col("case_id")))
-        .select(*source.columns)
-    )
+    return upsert_marked(target, mark_known(source, cases, "case_id", "entry_id"))
+
+
+def upsert_marked(target: DataFrame, marked: DataFrame) -> dict[str, DataFrame]:
+    """``upsert_transactions`` for a source that ``mark_known`` has marked."""
+    resolved = marked.withColumn("case_id", F.when(F.col("_known"), F.col("case_id"))).drop("_known")
     state = upsert(target, resolved, "entry_id", also_changed=["case_id"], status_col=None)
     changed = state.filter(F.col("action").isin("insert", "update"))
-    touched = changed.select(F.explode(F.array("case_id", "previous_case_id")).alias("case_id"))
     return {
         "transactions": state,
-        "errors": missing_references(source, cases, "case_id", "missing_lawsuit"),
-        "changed_cases": touched.filter("case_id is not null").distinct(),
+        "errors": lost_references(marked, "case_id", "missing_lawsuit"),
+        "changed_cases": old_and_new_cases(changed),
     }
 
 
+def old_and_new_cases(changed: DataFrame) -> DataFrame:
+    """The cases that changed transactions name or named."""
+    touched = changed.select(F.explode(F.array("case_id", "previous_case_id")).alias("case_id"))
+    return touched.filter("case_id is not null").distinct()
+
+
 def append_movements(target: DataFrame, source: DataFrame, cases: DataFrame) -> dict[str, DataFrame]:
     """New movements by (case, fingerprint), missing cases and changed cases."""
+    return append_marked(target, mark_known(source.filter("case_id is not null"), cases, "case_id"))
+
+
+def append_marked(target: DataFrame, marked: DataFrame) -> dict[str, DataFrame]:
+    """``append_movements`` for a source that ``mark_known`` has marked."""
     keys = ["case_id", "fingerprint"]
-    known = source.join(cases.select("case_id"), "case_id", "left_semi")
+    known = marked.filter("_known").drop("_known")
     fresh = known.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
     return {
         "new": fresh,
-        "errors": missing_references(source, cases, "case_id", "missing_lawsuit"),
+        "errors": lost_references(marked, "case_id", "missing_lawsuit"),
         "changed_cases": fresh.select("case_id").distinct(),
     }
 

@@ -255,14 +255,33 @@ def affected_partners(
     changed_customers: DataFrame, changed_cases: DataFrame, case_customers: DataFrame, links: DataFrame, day: dt.date | str
 ) -> DataFrame:
     """Partners whose portfolio shows one of the changed customers or cases."""
+    return partners_showing(
+        changed_customers,
+        changed_cases,
+        case_customers.join(changed_customers, "customer_id", "left_semi"),
+        case_customers.join(changed_cases, "case_id", "left_semi"),
+        links,
+        day,
+    )
+
+
+def partners_showing(
+    customers: DataFrame,
+    cases: DataFrame,
+    pairs_of_customers: DataFrame,
+    pairs_of_cases: DataFrame,
+    links: DataFrame,
+    day: dt.date | str,
+) -> DataFrame:
+    """Partners linked to one of the customers or cases, to a case of those customers or a customer of those cases."""
     def entities(kind: str, rows: DataFrame, key: str) -> DataFrame:
         return rows.select(F.lit(kind).alias("entity_type"), F.col(key).alias("entity_id"))
 
     touched = (
-        entities("customer", changed_customers, "customer_id")
-        .unionByName(entities("case", case_customers.join(changed_customers, "customer_id", "left_semi"), "case_id"))
-        .unionByName(entities("case", changed_cases, "case_id"))
-        .unionByName(entities("customer", case_customers.join(changed_cases, "case_id", "left_semi"), "customer_id"))
+        entities("customer", customers, "customer_id")
+        .unionByName(entities("case", pairs_of_customers, "case_id"))
+        .unionByName(entities("case", cases, "case_id"))
+        .unionByName(entities("customer", pairs_of_cases, "customer_id"))
     )
     hit = effective_on(links, day).join(touched.distinct(), ["entity_type", "entity_id"], "left_semi")
     return hit.select("partner_id").distinct()

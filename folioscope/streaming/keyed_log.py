@@ -81,11 +81,25 @@ class Ledger:
 
 
 class KeyedLog:
-    """One table: rows by ``key``; the newest of equal ``identity`` counts, unless it is a deletion."""
-
-    def __init__(self, ledger: Ledger, folder: str, name: str, schema: str, key: str, identity: Sequence[str] | None = None, buckets: int = BUCKETS):
+    """One table: rows by ``key``; the newest of equal ``identity`` counts, unless it is a deletion.
+
+    A batch has one row per identity, but where it ``repeats`` them.
+    """
+
+    def __init__(
+        self,
+        ledger: Ledger,
+        folder: str,
+        name: str,
+        schema: str,
+        key: str,
+        identity: Sequence[str] | None = None,
+        buckets: int = BUCKETS,
+        repeats: bool = False,
+    ):
         self._ledger, self._folder, self.name = ledger, folder, name
         self.key, self.identity, self._buckets = key, list(identity or [key]), buckets
+        self._repeats = repeats
         self.columns = [f.name for f in T._parse_datatype_string(schema).fields]
         self._schema = f"{schema}, action string, batch bigint"
 
@@ -96,8 +110,8 @@ class KeyedLog:
         """What a batch changed, with its ``action``, whatever was merged since."""
         return self.segment(f"segment={batch}")
 
-    def segment(self, segment: str) -> DataFrame:
-        return self._spark().read.schema(self._schema).option("recursiveFileLookup", "true").parquet(f"{self._folder}/{self.name}/{segment}")
+    def segment(self, segment: str, schema: str | None = None) -> DataFrame:
+        return self._spark().read.schema(schema or self._schema).option("recursiveFileLookup", "true").parquet(f"{self._folder}/{self.name}/{segment}")
 
     def paths(self, buckets: Sequence[int] | None = None) -> list[str]:
         """The live folders of the buckets, or of all."""
@@ -112,17 +126,20 @@ class KeyedLog:
     def newest(self, buckets: Sequence[int] | None = None) -> DataFrame:
         """The newest rows of the buckets, or of the whole table, with the ``action`` and ``batch`` that wrote them."""
         wanted = None if buckets is None else set(buckets)
-        live: dict[str, list[int]] = {}
+        alone: dict[str, list[int]] = {}
+        layered: dict[str, list[int]] = {}
         for (name, b), segments in self._ledger.live.items():
             if name == self.name and (wanted is None or b in wanted):
                 for segment in segments:
-                    live.setdefault(segment, []).append(b)
+                    (layered if self._repeats or len(segments) > 1 else alone).setdefault(segment, []).append(b)
         # One scan per segment; the filter on its folders leaves other buckets unread.
-        parts = [self._of_buckets(segment, some) for segment, some in live.items()]
+        parts = [self._of_buckets(segment, some) for segment, some in alone.items()]
+        if layered:
+            logged = reduce(DataFrame.unionByName, [self._of_buckets(segment, some) for segment, some in layered.items()])
+            parts.append(first_rows(logged, self.identity, [F.col("batch").desc()]))
         if not parts:
             return self._spark().createDataFrame([], self._schema)
-        logged = reduce(DataFrame.unionByName, parts)
-        return first_rows(logged, self.identity, [F.col("batch").desc()]).filter("action <> 'delete'")
+        return reduce(DataFrame.unionByName, parts).filter("action <> 'delete'")
 
     def _of_buckets(self, segment: str, buckets: list[int]) -> DataFrame:
         rows = self._spark().read.schema(f"{self._schema}, bucket int").parquet(f"{self._folder}/{self.name}/{segment}")
@@ -139,20 +156,26 @@ class KeyedLog:
             (buckets,) = buckets_of((wanted, self.key), buckets=self._buckets)
         return self.state(buckets).join(wanted, self.key, "left_semi")
 
-    def _write(self, rows: DataFrame, segment: str) -> list[int]:
+    def _write(self, rows: DataFrame, segment: str, also: Sequence[str] = ()) -> list[int]:
         """Writes a segment and returns the buckets that it has."""
         path = f"{self._folder}/{self.name}/{segment}"
-        placed = rows.select(*self.columns, "action", "batch", bucket_of(self.key, self._buckets).alias("bucket"))
-        # A salt by identity, so that a bucket that holds one very frequent key has several writers.
+        placed = rows.select(*self.columns, *also, "action", "batch", bucket_of(self.key, self._buckets).alias("bucket"))
+        # A salt by identity, so that a bucket that holds one very frequent key has several writers; adaptive
+        # execution gives a large segment more of them.
         spread = F.pmod(F.xxhash64(*self.identity), F.lit(4))
-        placed.repartition("bucket", spread).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        placed = placed.withColumn("_spread", spread).hint("rebalance", F.col("bucket"), F.col("_spread")).drop("_spread")
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(path)
         return sorted({int(f.split("/bucket=")[1].split("/")[0]) for f in self.segment(segment).inputFiles()})
 
-    def log(self, changed: DataFrame, batch: int) -> DataFrame:
-        """Writes a batch's changed rows, with their ``action``, and returns them as written."""
+    def log(self, changed: DataFrame, batch: int, also: str = "") -> DataFrame:
+        """Writes a batch's changed rows, with their ``action``, and returns them as written.
+
+        ``also`` declares columns that are written with them but don't belong to the table.
+        """
+        more = T._parse_datatype_string(also) if also else T.StructType([])
         segment = f"segment={batch}"
         numbered = changed.withColumn("batch", F.lit(batch).cast("bigint"))
-        written = self._write(numbered, segment)
+        written = self._write(numbered, segment, more.names)
         for b in written:
             self._ledger.live.setdefault((self.name, b), []).append(segment)
         full = [b for (name, b), segments in self._ledger.live.items() if name == self.name and len(segments) >= MOST_SEGMENTS]
@@ -164,4 +187,5 @@ class KeyedLog:
                     self._ledger.live[self.name, b] = [merged]
                 else:
                     del self._ledger.live[self.name, b]
-        return self.segment(segment) if written else self._spark().createDataFrame([], self._schema)
+        schema = f"{self._schema}, {also}" if also else self._schema
+        return self.segment(segment, schema) if written else self._spark().createDataFrame([], schema)

@@ -8,6 +8,7 @@ tables together (see ``keyed_log``). A repeated batch repeats itself without a t
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ class SyncTables:
     def __init__(self, spark: SparkSession, folder: str, batch: int | None = None, buckets: int = BUCKETS):
         self.ledger = Ledger(spark, folder)
         self.committed = batch is not None and self.ledger.load(batch)
-        self.logs = {n: KeyedLog(self.ledger, folder, n, *spec, buckets) for n, spec in _SCHEMAS.items()}
+        self.logs = {n: KeyedLog(self.ledger, folder, n, *spec, buckets, n == "errors") for n, spec in _SCHEMAS.items()}
 
     def __getitem__(self, name: str) -> KeyedLog:
         return self.logs[name]
@@ -51,15 +52,11 @@ class SyncTables:
 
 def _staged(batch: DataFrame, folder: str, number: int) -> dict[str, DataFrame]:
     """The batch's records by collection, written once; of records with one key the one of the last page counts."""
-    rows = _kept(batch, f"{folder}/staging/batch={number}")
-
-    def newest(resource: str) -> DataFrame:
-        some = rows.filter((F.col("resource") == resource) & F.col("id").isNotNull())
-        return first_rows(some, ["id"], [F.col("page_offset").desc(), F.col("row_hash").desc()])
-
-    found = {r: newest(r) for r in RESOURCES[:3]}
-    found["movements"] = rows.filter((F.col("resource") == "movements") & F.col("case_id").isNotNull())
-    return found
+    keyed = batch.filter(F.col("resource").isin(*RESOURCES[:3]) & F.col("id").isNotNull())
+    newest = first_rows(keyed, ["resource", "id"], [F.col("page_offset").desc(), F.col("row_hash").desc()])
+    movements = batch.filter((F.col("resource") == "movements") & F.col("case_id").isNotNull())
+    rows = _kept(newest.unionByName(movements), f"{folder}/staging/batch={number}", "resource")
+    return {r: rows.filter(F.col("resource") == r) for r in RESOURCES}
 
 
 def apply_run(
@@ -83,51 +80,51 @@ def apply_run(
     state = incremental.upsert(t["customers"].state_of(customers, "customer_id", of_customers), customers, "customer_id")
     changed_customers = t["customers"].log(state.filter(_CHANGED), number).select("customer_id")
 
-    found = incremental.upsert_cases(
-        t["cases"].state_of(cases, "case_id", of_cases),
-        t["pairs_by_case"].state_of(cases, "case_id", of_cases),
-        cases,
-        pairs,
-        t["customers"].state_of(pairs, "customer_id", of_pairs),
-    )
-    moved = found["bridge"].filter("action <> 'keep'")
-    errors = found["errors"].withColumnRenamed("customer_id", "reference")
-    moved_pairs = t["pairs_by_case"].log(moved, number)
-    t["pairs_by_customer"].log(moved_pairs.drop("batch"), number)
-    written = t["cases"].log(found["cases"].filter(_CHANGED), number)
-    changed_cases = written.select("case_id").unionByName(moved_pairs.select("case_id"))
-
-    found = incremental.upsert_transactions(
-        t["transactions"].state_of(entries, "entry_id", of_entries),
-        entries,
-        t["cases"].state_of(entries, "case_id", of_entry_cases),
-    )
-    errors = errors.unionByName(found["errors"].withColumnRenamed("case_id", "reference"))
-    changed_cases = changed_cases.unionByName(found["changed_cases"])
-    # The old cases of changed rows are known before their new rows are stored.
-    changed_cases = _kept(changed_cases.distinct(), f"{folder}/changed/batch={number}/lawsuits")
-    t["transactions"].log(found["transactions"].filter(_CHANGED), number)
-
-    found = incremental.append_movements(
-        t["movements"].state_of(movements, "case_id", of_movements),
-        movements,
-        t["cases"].state_of(movements, "case_id", of_movements),
-    )
-    errors = errors.unionByName(found["errors"].withColumnRenamed("case_id", "reference"))
-    t["errors"].log(errors.select("error_code", "reference", "page_offset", error), number)
-    fresh = t["movements"].log(found["new"].withColumn("action", F.lit("insert")), number)
-    changed_cases = changed_cases.unionByName(fresh.select("case_id")).distinct()
-
+    state = incremental.upsert(t["cases"].state_of(cases, "case_id", of_cases), cases, "case_id")
+    changed_cases = [t["cases"].log(state.filter(_CHANGED), number)]
+
+    # Whether a reference is known decides both what is stored and what is an error, so it is looked up once.
+    def marked(name: str, rows: DataFrame, known: DataFrame, key: str, row_id: str | None = None) -> DataFrame:
+        return _kept(incremental.mark_known(rows, known, key, row_id), f"{folder}/marked/batch={number}/{name}")
+
+    named = pairs.filter("customer_id is not null")
+    named = marked("pairs", named, t["customers"].state_of(named, "customer_id", of_pairs), "customer_id")
+    errors = [incremental.lost_references(named, "customer_id", "missing_customer").withColumnRenamed("customer_id", "reference")]
+    bridge = incremental.diff_pairs(t["pairs_by_case"].state_of(cases, "case_id", of_cases), named.filter("_known"), cases)
+    changed_cases.append(t["pairs_by_case"].log(bridge.filter("action <> 'keep'"), number))
+    t["pairs_by_customer"].log(changed_cases[-1].drop("batch"), number)
+
+    entries = marked("transactions", entries, t["cases"].state_of(entries, "case_id", of_entry_cases), "case_id", "entry_id")
+    found = incremental.upsert_marked(t["transactions"].state_of(entries, "entry_id", of_entries), entries)
+    errors.append(found["errors"].withColumnRenamed("case_id", "reference"))
+    # The old cases of changed rows are written beside their new ones, for the partners below.
+    changed = t["transactions"].log(found["transactions"].filter(_CHANGED), number, "previous_case_id bigint")
+    changed_cases.append(incremental.old_and_new_cases(changed))
+
+    movements = marked("movements", movements, t["cases"].state_of(movements, "case_id", of_movements), "case_id")
+    found = incremental.append_marked(t["movements"].state_of(movements, "case_id", of_movements), movements)
+    errors.append(found["errors"].withColumnRenamed("case_id", "reference"))
+    changed_cases.append(t["movements"].log(found["new"].withColumn("action", F.lit("insert")), number))
+    lost = reduce(DataFrame.unionByName, errors).select("error_code", "reference", "page_offset", error)
+    t["errors"].log(lost, number)
+
+    changed_cases = reduce(DataFrame.unionByName, [rows.select("case_id") for rows in changed_cases]).distinct()
+    changed_cases = _kept(changed_cases, f"{folder}/changed/batch={number}/lawsuits")
     of_customers, of_cases = buckets_of((changed_customers, "customer_id"), (changed_cases, "case_id"), buckets=buckets)
-    bridge = t["pairs_by_customer"].state_of(changed_customers, "customer_id", of_customers)
-    bridge = bridge.unionByName(t["pairs_by_case"].state_of(changed_cases, "case_id", of_cases)).distinct()
-    partners = link_ops.affected_partners(changed_customers, changed_cases, bridge, links, day)
+    partners = link_ops.partners_showing(
+        changed_customers,
+        changed_cases,
+        t["pairs_by_customer"].state_of(changed_customers, "customer_id", of_customers),
+        t["pairs_by_case"].state_of(changed_cases, "case_id", of_cases),
+        links,
+        day,
+    )
     t["partners"].log(incremental.changed_partners(number, partners).withColumn("action", F.lit("insert")), number)
     t.ledger.commit(number)
 
 
-def _kept(rows: DataFrame, path: str) -> DataFrame:
-    rows.write.mode("overwrite").parquet(path)
+def _kept(rows: DataFrame, path: str, *by: str) -> DataFrame:
+    rows.write.mode("overwrite").partitionBy(*by).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -121,3 +121,25 @@ def test_a_run_without_records_is_committed(spark, links, tmp_path):
     sync.apply_run(spark.createDataFrame([], sync.RECORD), 0, folder, links, DAY)
     tables = sync.SyncTables(spark, folder, 0)
     assert tables.committed and tables["customers"].state().collect() == []
+
+
+def test_a_run_looks_its_references_up_once(spark, links, tmp_path):
+    """What a run stores, its errors and its partners come from the same lookups: few stages, whatever the rows."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one run", "one run")
+    try:
+        sync.apply_run(spark.createDataFrame(records(5), sync.RECORD), 0, str(tmp_path / "tables"), links, DAY, 3)
+        jobs = len(tracker.getJobIdsForGroup("one run"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 75
+
+
+def test_a_table_of_one_segment_is_read_without_a_sort(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path))
+    ledger.load(-1)
+    log = KeyedLog(ledger, str(tmp_path), "t", "id long", "id", buckets=2)
+    log.log(spark.range(9).withColumn("action", F.lit("insert")), 0)
+    assert "Window" not in log.newest()._jdf.queryExecution().optimizedPlan().toString()
+    log.log(spark.range(4).withColumn("action", F.lit("delete")), 1)
+    assert sorted(r["id"] for r in log.state().collect()) == [4, 5, 6, 7, 8]
