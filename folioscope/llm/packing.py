@@ -177,8 +177,8 @@ def pack(
         end = end_id.to_bytes(4, "little")
         packer = Packer(capacity, TaskContext.get().partitionId() << _PARTITION_BITS, max_open)
         for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(i, words.of((raw.as_py() or b"").split()) + end)
+            for i, ids in zip(batch.column(0).to_pylist(), words.of_texts(batch.column(1))):
+                packer.add(i, ids + end)
             yield packer.batch()
         packer.close()
         yield packer.batch()

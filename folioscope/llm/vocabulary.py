@@ -8,13 +8,17 @@ text are the ids of its words one after the other, and each distinct word is enc
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept per worker are at most twice as many; longer words are encoded each time.
 KEPT_WORDS = 150_000
 LONGEST_KEPT = 64
+#: Texts whose words are told apart together, in bytes; a longer text is alone.
+TEXT_BYTES = 8_000_000
 
 #: The vocabulary that this worker used last. Workers outlive stages, so it gives way to the next one.
 _LOADED: dict[str, tuple] = {}
@@ -40,20 +44,47 @@ class WordIds:
 
     def of(self, words: list[bytes]) -> bytes:
         """The ids of the words, joined."""
-        kept = self._kept
-        try:
-            return b"".join([kept[w] for w in words])
-        except KeyError:
-            pass
-        missing = set(words).difference(kept)
-        found = {w: self._older[w] for w in missing if w in self._older}
-        new = [w for w in missing if w not in found]
+        return b"".join(self.each(words))
+
+    def each(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        ids = list(map(self._kept.get, words))
+        if None not in ids:
+            return ids
+        found = {w: self._older.get(w) for w, i in zip(words, ids) if i is None}
+        new = [w for w, i in found.items() if i is None]
         found.update(zip(new, self._encode(new)))
-        joined = b"".join([kept[w] if w in kept else found[w] for w in words])
-        if len(kept) > KEPT_WORDS:
-            self._older, self._kept = kept, {}
-        self._kept.update((w, i) for w, i in found.items() if len(w) <= LONGEST_KEPT)
-        return joined
+        ids = [found[w] if i is None else i for w, i in zip(words, ids)]
+        if len(self._kept) > KEPT_WORDS:
+            self._older, self._kept = self._kept, {}
+        if max(map(len, found)) > LONGEST_KEPT:
+            found = {w: i for w, i in found.items() if len(w) <= LONGEST_KEPT}
+        self._kept.update(found)
+        return ids
+
+    def of_texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, joined; a null has none. Words are told apart once per ``TEXT_BYTES`` of texts."""
+        start = 0
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        while start < len(texts):
+            end, size = start + 1, sizes[start]
+            while end < len(texts) and size + sizes[end] <= TEXT_BYTES:
+                size += sizes[end]
+                end += 1
+            yield from self._of_some(texts[start:end])
+            start = end
+
+    def _of_some(self, texts: pa.Array) -> list[bytes]:
+        # Bytes that aren't UTF-8 stay as they are: only white space of ASCII is looked for.
+        plain = pc.fill_null(texts.cast(pa.large_binary()), b"").cast(pa.large_string(), safe=False)
+        words = pc.ascii_split_whitespace(plain)
+        # The bounds of a slice count from the first word of the whole.
+        bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+        distinct = words.flatten().dictionary_encode()
+        spellings = distinct.dictionary.cast(pa.large_binary()).to_pylist()
+        ids = pa.array(self.each(spellings), pa.large_binary()).take(distinct.indices)
+        of_text = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), ids)
+        return pc.binary_join(of_text, pa.scalar(b"", pa.large_binary())).to_pylist()
 
 
 def _ids(ids: list[int]) -> bytes:
@@ -88,22 +119,34 @@ class _WordBpe:
         self._tokenizer = Tokenizer.from_file(file)
         self._model = self._tokenizer.model
         self._letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        #: The bytes of each id.
+        self._bytes = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
         self._parts: dict[bytes, bytes] = {}
 
     def _part(self, part: bytes) -> bytes:
         """Ids of a run of letters or of punctuation."""
-        text = part.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text):
-            text = text.lower()
-            key = text.encode()
-            if key not in self._parts:
-                spelled = key.decode("latin-1").translate(self._letters)
-                self._parts[key] = _ids([t.id for t in self._model.tokenize(spelled)])
-        else:
-            key = part
-            if key not in self._parts:
-                self._parts[key] = _ids(self._tokenizer.encode(text, add_special_tokens=False).ids)
-        return self._parts[key]
+        if part.isalpha():
+            # Letters of ASCII, which byte-level vocabularies write as they are.
+            key = part.lower()
+            ids = self._parts.get(key)
+            if ids is None:
+                ids = self._parts[key] = self._merged(key.decode("ascii"))
+            return ids
+        ids = self._parts.get(part)
+        if ids is None:
+            text = part.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text):
+                key = text.lower().encode()
+                ids = self._parts.get(key)
+                if ids is None:
+                    ids = self._parts[key] = self._merged(key.decode("latin-1").translate(self._letters))
+            else:
+                ids = self._parts[part] = _ids(self._tokenizer.encode(text, add_special_tokens=False).ids)
+        return ids
+
+    def _merged(self, spelled: str) -> bytes:
+        of = self._bytes
+        return b"".join([of[t.id] for t in self._model.tokenize(spelled)])
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
         if len(self._parts) > KEPT_WORDS:
@@ -111,7 +154,7 @@ class _WordBpe:
         out = []
         for w in words:
             letters = w.rstrip(_PUNCTUATION)
-            if len(letters) < len(w) and _ENDED.fullmatch(letters):
+            if len(letters) < len(w) and (letters.isalpha() or _ENDED.fullmatch(letters)):
                 out.append(self._part(letters) + self._part(w[len(letters) :]))
             else:
                 out.append(self._part(w))

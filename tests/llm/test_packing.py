@@ -4,10 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from folioscope.llm import packing
+from folioscope.llm import packing, vocabulary
 from folioscope.llm.vocabulary import word_bpe
 
 ODD = [
@@ -91,3 +92,22 @@ def test_padding_is_little(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     sizes = [r["n"] for r in packing.pack(docs).groupBy("sequence_id").agg({"length": "sum"}).toDF("s", "n").collect()]
     assert all(n == 2048 or n & (n - 1) == 0 for n in sizes) and sum(n < 2048 for n in sizes) <= 12 * docs.rdd.getNumPartitions()
+
+
+def test_words_of_many_texts_are_told_apart_once(monkeypatch):
+    """Texts are encoded in groups: a repeated word is looked up once, and the ids are those of each text alone."""
+    words = word_bpe(packing.VOCABULARY)
+    texts = [t if isinstance(t, bytes) else t.encode() for t in ODD]
+    texts += [b"", None, b"  a  b ", b"\xff\xfe a\xe9 b", b"x\x0by\x0cz\x1cq", b"same " * 50, b"\n", b"same again"]
+    wanted = [words.of((t or b"").split()) for t in texts]
+    column = pa.array(texts, pa.binary())
+    for size in (1, 60, vocabulary.TEXT_BYTES):
+        monkeypatch.setattr(vocabulary, "TEXT_BYTES", size)
+        assert [*words.of_texts(column)] == wanted
+        assert [*words.of_texts(column[3:9])] == wanted[3:9]
+    asked = []
+    each = words.each
+    monkeypatch.setattr(words, "each", lambda some: asked.extend(some) or each(some))
+    assert [*words.of_texts(column)] == wanted
+    assert len(asked) == len(set(asked))
+    assert [*words.of_texts(column[:0])] == []
