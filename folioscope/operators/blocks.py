@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import case_number, codes, edge_trim, folder_key
 from folioscope.operators.spread import positions
+from folioscope.session import work_folder
 
 # Layout of the manifest pages.
 ANCHOR_TEXT = r"(?iu)^\s*Processo\b"
@@ -39,26 +40,37 @@ def _in_bands(df: DataFrame, low: Column, high: Column) -> DataFrame:
     return df.withColumn("band", F.explode(F.array_distinct(F.array(_band(low), _band(high)))))
 
 
-def _visible(chunks: DataFrame) -> DataFrame:
-    """Chunks with their text trimmed; blank ones say nothing and go."""
-    return chunks.withColumn("text", edge_trim(F.col("text"))).filter(F.col("text") != "")
-
-
 def _is_label() -> Column:
-    return F.col("text").rlike(LABEL_TEXT) & (F.abs(F.col("x") - LABEL_X) <= LABEL_DX)
+    return (F.abs(F.col("x") - LABEL_X) <= LABEL_DX) & F.col("text").rlike(LABEL_TEXT)
 
 
 def _is_anchor() -> Column:
-    return F.col("text").rlike(ANCHOR_TEXT) & (F.abs(F.col("x") - ANCHOR_X) <= ANCHOR_DX)
+    return (F.abs(F.col("x") - ANCHOR_X) <= ANCHOR_DX) & F.col("text").rlike(ANCHOR_TEXT)
+
+
+def _told_apart(chunks: DataFrame) -> DataFrame:
+    """All chunks with what they may be, as anchor, label and value; these have their text, trimmed and not blank.
+
+    They are written to the shared work folder, so however often they are read, they are computed once.
+    """
+    kinds = {"anchor": _is_anchor(), "label": _is_label(), "value": F.col("x").between(*VALUE_X)}
+    visible = F.col("text") != ""
+    told = chunks.withColumn("text", edge_trim(F.col("text"))).select(
+        "doc_id", "page", "y", "chunk_id", "text", *[F.coalesce(kind & visible, F.lit(False)).alias(name) for name, kind in kinds.items()]
+    )
+    told = told.withColumn("text", F.when(F.col("anchor") | F.col("label") | F.col("value"), F.col("text")))
+    folder = work_folder(chunks.sparkSession, "chunks")
+    told.write.parquet(folder)
+    return chunks.sparkSession.read.schema(told.schema).parquet(folder)
 
 
 def _label_values(chunks: DataFrame) -> DataFrame:
     """Labels per (doc, page, y) with their count and, if there is exactly one value, its folder."""
     page = ["doc_id", "page"]
     y = F.col("y")
-    labels = chunks.filter(_is_label()).groupBy(*page, "y", "text").agg(F.count(F.lit(1)).alias("labels"))
+    labels = chunks.filter("label").groupBy(*page, "y", "text").agg(F.count(F.lit(1)).alias("labels"))
     values = (
-        chunks.filter(F.col("x").between(*VALUE_X))
+        chunks.filter("value")
         .groupBy(*page, "y", "text")
         .agg(F.count(F.lit(1)).alias("values"))
     )
@@ -89,8 +101,8 @@ def extract_blocks(chunks: DataFrame) -> DataFrame:
     """Items with ordinal, number, folder, page range and quality flags."""
     page = ["doc_id", "page"]
     y = F.col("y")
-    pages, chunks = chunks, _visible(chunks)
-    anchors = chunks.filter(_is_anchor())
+    chunks = _told_apart(chunks)
+    anchors = chunks.filter("anchor").select(*page, "y", "chunk_id", "text")
     heights = anchors.select(*page, "y").distinct()
     labels = _in_bands(_label_values(chunks), y - LABEL_DY[1], y - LABEL_DY[0])
     rows = _in_bands(heights, y, y).withColumn("anchor", F.lit(True)).unionByName(labels, allowMissingColumns=True)
@@ -118,7 +130,7 @@ def extract_blocks(chunks: DataFrame) -> DataFrame:
     )
     is_last = F.struct("y", "chunk_id") == F.col("_last")
     return (
-        items.join(_page_ends(pages, anchors), ["doc_id", "page"])
+        items.join(_page_ends(chunks, anchors), ["doc_id", "page"])
         .withColumn("page_end", F.when(is_last, F.col("_page_end")).otherwise(F.col("page")))
         .select("doc_id", "ordinal", "number", "folder", F.col("page").alias("page_start"), "page_end", "quality_flags")
     )

@@ -126,6 +126,21 @@ def test_items_are_numbered_and_flagged(spark):
     ]
 
 
+def test_chunks_are_computed_once(spark):
+    """However many steps look at the chunks, what gives them runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    chunks = _chunks(spark, [("", "PASTA-01"), (N2, "PASTA-03")], pages=4)
+    expected = blocks.extract_blocks(chunks).collect()
+    assert blocks.extract_blocks(chunks.mapInArrow(counted, CHUNK)).collect() == expected
+    assert seen.value == chunks.count()
+
+
 def test_blank_chunks_say_nothing(spark):
     blank = [(1, 1, 140.0, 180.0, "  ", 50), (1, 1, 136.0, 181.0, "\t", 51)]
     chunks = _chunks(spark, [("", " PASTA-01 ")]).unionByName(spark.createDataFrame(blank, CHUNK))
