@@ -24,7 +24,7 @@ MOST_COUNTS = 100_000
 _LONGEST_INTEGER = 10**38
 
 _TYPES = {type(None): "null", bool: "boolean", int: "integer", float: "number", str: "string", dict: "object", list: "array"}
-_COUNTS = pa.schema([("path", pa.string()), ("type", pa.string()), ("n", pa.int64())])
+_COUNTS = pa.schema([("column", pa.string()), ("path", pa.string()), ("type", pa.string()), ("n", pa.int64())])
 
 
 def _members(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
@@ -62,18 +62,16 @@ def reader() -> Callable[[str], Any]:
 
 def count_members(value: Any, counts: dict[tuple[str, str], int]) -> None:
     """Adds 1 per member of a value at any depth under (path, type). Elements of arrays share the path ``[]``."""
-    level, depth = [("", value)], 0
+    level, depth = [("", value)] if value.__class__ is dict or value.__class__ is list else [], 0
     while level:
         depth += 1
         below = []
         for path, at in level:
             if at.__class__ is dict:
                 members = [(f"{path}.{key}" if path else key, member) for key, member in at.items()]
-            elif at.__class__ is list:
+            else:
                 step = path + "[]"
                 members = [(step, member) for member in at]
-            else:
-                continue
             for step, member in members:
                 kind = _TYPES[member.__class__]
                 if kind == "integer" and not -_LONGEST_INTEGER < member < _LONGEST_INTEGER:
@@ -86,41 +84,49 @@ def count_members(value: Any, counts: dict[tuple[str, str], int]) -> None:
         level = below
 
 
-def path_counts(texts: DataFrame, col: str) -> DataFrame:
-    """(path, type, n): how often a member of a type stands at a path, summed per task as far as memory allows.
+def path_counts(texts: DataFrame, *columns: str) -> DataFrame:
+    """(column, path, type, n): how often a member of a type stands at a path, summed per task as far as memory allows.
 
-    Malformed texts count under the empty path; null texts don't count.
+    Malformed texts count under the empty path; null texts don't count. A text that stands in several columns
+    of a row is opened once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], int] = {}
+        counts: list[dict[tuple[str, str], int]] = [{} for _ in columns]
         parsed = reader()
 
         def passed() -> pa.RecordBatch:
-            paths, kinds = zip(*counts) if counts else ((), ())
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip((paths, kinds, list(counts.values())), _COUNTS)], schema=_COUNTS
-            )
-            counts.clear()
+            rows = [(name, *key, n) for name, some in zip(columns, counts) for key, n in some.items()]
+            values = zip(*rows) if rows else [()] * len(_COUNTS)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(values, _COUNTS)], schema=_COUNTS)
+            for some in counts:
+                some.clear()
             return batch
 
+        def members(text: str) -> dict[tuple[str, str], int]:
+            found: dict[tuple[str, str], int] = {}
+            try:
+                count_members(parsed(text), found)
+            except ValueError:
+                found = {("", MALFORMED): 1}
+            return found
+
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                if text is None:
-                    continue
-                found: dict[tuple[str, str], int] = {}
-                try:
-                    count_members(parsed(text), found)
-                except ValueError:
-                    found = {("", MALFORMED): 1}
-                for key, n in found.items():
-                    counts[key] = counts.get(key, 0) + n
-                if len(counts) >= MOST_COUNTS:
+            for row in zip(*[column.to_pylist() for column in batch.columns]):
+                opened: dict[str, dict[tuple[str, str], int]] = {}
+                for text, some in zip(row, counts):
+                    if text is None:
+                        continue
+                    found = opened.get(text)
+                    if found is None:
+                        found = opened[text] = members(text)
+                    for key, n in found.items():
+                        some[key] = some.get(key, 0) + n
+                if sum(map(len, counts)) >= MOST_COUNTS:
                     yield passed()
         yield passed()
 
-    return texts.select(F.col(col).cast("string")).mapInArrow(run, "path string, type string, n bigint")
+    return texts.select(*[F.col(c).cast("string") for c in columns]).mapInArrow(run, "column string, path string, type string, n bigint")
 
 
 def member_test(test: Callable[[str | None, str, Any], bool]) -> Callable[[Column], Column]:

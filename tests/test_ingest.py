@@ -278,3 +278,17 @@ def test_edges_of_very_long_texts(spark):
     found = [r["t"] for r in df.select("i", s.edge_trim(F.col("t")).alias("t")).orderBy("i").collect()]
     assert time.time() - start < 30
     assert found[:5] == [texts[0], "", "x", "a", ""]
+
+
+def test_a_text_of_several_columns_is_opened_once(spark, rows):
+    texts = [('{"a": 1, "b": [null, "x"]}', '{"a": 1, "b": [null, "x"]}'), ('{"a": 2.5}', '{"a": '), (None, "7")]
+    df = spark.createDataFrame(texts, "first string, second string")
+    found = rows(profile.schema_profiles(df, "first", "second"), "column", "path", "types", "observed", "nulls")
+    apart = [(c, *r) for c in df.columns for r in rows(profile.schema_profile(df, c), "path", "types", "observed", "nulls")]
+    assert found == sorted(apart, key=repr)
+    plan = profile.schema_profiles(df, "first", "second")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    profiles = profile.schema_profiles(df, "first", "second").withColumn("resource", F.lit("lawsuits"))
+    assert rows(profile.linkage_conclusion(profiles, "column"), "column", "conclusion") == [
+        ("first", "INCONCLUSIVO"), ("second", "INCONCLUSIVO"),
+    ]
