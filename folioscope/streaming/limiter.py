@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -98,85 +100,170 @@ def open_windows(events: DataFrame) -> DataFrame:
     )
 
 
-#: Rows wait in slots of this length until the watermark has passed them.
+#: Rows wait in slots of this length until the watermark has passed them; a window is a whole number of them.
 SLOT_SECONDS = 60
+#: Slots are counted together until they hold so many rows, or are as long as a window.
+STRETCH_ROWS = 10_000
+#: Keys are dealt to so many buckets, whose rows and windows share their entries in the state store.
+BUCKETS = 128
+
+_SLOT_MILLIS = SLOT_SECONDS * 1000
+_WINDOW_SLOTS = WINDOW_SECONDS // SLOT_SECONDS
 
 
 class _Limiter(StatefulProcessor):
-    """Rows of a key wait in the state store, packed by slot; a timer at the slot's end counts them in order.
+    """Rows of a bucket wait in the state store, packed by slot; a timer has the slots counted in order that are over.
 
-    A second timer, a window's length after the first failure, frees the state of a key at rest.
+    A call of the store or of a timer costs about a millisecond, whatever it carries, so each serves all keys of
+    a bucket. A bucket has one timer: its first slot's end, or at rest the time when no window is open any more.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getValueState("open", "start bigint, failures int")
-        self._waiting = handle.getMapState("waiting", "slot bigint", "rows binary")
+        self._open = handle.getValueState("open", "windows binary")
+        self._slots = handle.getValueState("slots", "parts binary, timer bigint")
+        self._waiting = handle.getMapState("waiting", "slot bigint, part bigint", "rows binary")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
-        for start, failures in zip(initialState["start"], initialState["failures"]):
-            self._remember(int(start), int(failures))
+        handed = pa.RecordBatch.from_pandas(initialState[_WINDOWS.names], _WINDOWS, preserve_index=False)
+        windows = pa.Table.from_batches([*self._windows().to_batches(), handed])
+        self._remember(windows)
+        self._sleep(*self._parts(), windows)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        parts, timer = self._parts()
         for batch in rows:
             micros = batch["at"].astype("datetime64[us]").astype("int64").to_numpy()
-            packed = np.empty(len(batch), _ROW)
-            packed["at"], packed["event_id"], packed["success"] = micros, batch["event_id"], batch["success"]
             slots = micros // (SLOT_SECONDS * _MICROS)
-            for slot in np.unique(slots).tolist():
-                found = packed[slots == slot].tobytes()
-                if self._waiting.containsKey((slot,)):
-                    found = self._waiting.getValue((slot,))[0] + found
-                else:
-                    self._handle.registerTimer((slot + 1) * SLOT_SECONDS * 1000)
-                self._waiting.updateValue((slot,), (found,))
-        yield _states([])
+            order = np.argsort(slots, kind="stable")
+            columns = (batch["key"], micros, batch["event_id"].to_numpy("int64"), batch["success"].to_numpy("bool"))
+            packed = pa.record_batch([pa.array(c, t) for c, t in zip(columns, _ROWS.types)], schema=_ROWS).take(order)
+            found, begins = np.unique(slots[order], return_index=True)
+            for slot, begin, end in zip(found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(batch)]):
+                # A slot's rows are written once, as a part of their own, however many batches come.
+                part = parts.get(slot, 0)
+                self._waiting.updateValue((slot, part), (_packed(packed.slice(begin, end - begin)),))
+                parts[slot] = part + 1
+        self._sleep(parts, timer)
+        return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        slot = now // (SLOT_SECONDS * _MICROS) - 1
-        out = []
-        start, failures = self._open.get() if self._open.exists() else (None, 0)
-        before = start
-        if now % (SLOT_SECONDS * _MICROS) == 0 and self._waiting.containsKey((slot,)):
-            rows = np.frombuffer(self._waiting.getValue((slot,))[0], _ROW)
-            self._waiting.removeKey((slot,))
-            for at, event_id, success in np.sort(rows, order=["at", "event_id"]).tolist():
-                if success:
-                    start, failures = None, 0
-                    continue
-                if start is None or at - start >= WINDOW_SECONDS * _MICROS:
-                    start, failures = at, 1
-                else:
-                    failures += 1
-                out.append((key[0], at, event_id, start, failures, failures >= LIMIT))
-        if start is None or now - start > WINDOW_SECONDS * _MICROS:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        over = max(now, timerValues.getCurrentWatermarkInMs()) // _SLOT_MILLIS
+        parts, timer = self._parts()
+        windows = self._windows()
+        due = sorted(s for s in parts if s < over)
+        while due:
+            begin, names, rows = due[0], [], []
+            while due and due[0] - begin < _WINDOW_SLOTS and sum(map(len, rows)) < STRETCH_ROWS:
+                slot = due.pop(0)
+                found = [(slot, part) for part in range(parts.pop(slot))]
+                rows += [_unpacked(self._waiting.getValue(n)[0], _ROWS) for n in found]
+                names += found
+            out, windows = _count_stretch(pa.Table.from_batches(rows), _still_open(windows, begin))
+            yield out
+            for name in names:
+                self._waiting.removeKey(name)
+        windows = _still_open(windows, over)
+        self._remember(windows)
+        self._sleep(parts, None if timer == now else timer, windows)
+
+    def _windows(self) -> pa.Table:
+        found = self._open.get()
+        return pa.Table.from_batches([_unpacked(found[0], _WINDOWS)] if found else [], _WINDOWS)
+
+    def _remember(self, windows: pa.Table) -> None:
+        if len(windows):
+            self._open.update((_packed(windows.combine_chunks().to_batches()[0]),))
+        else:
             self._open.clear()
-        elif out:
-            if start != before:
-                self._remember(start, failures)
-            else:
-                self._open.update((start, failures))
-        yield _states(out)
 
-    def _remember(self, start: int, failures: int) -> None:
-        self._open.update((start, failures))
-        # Behind the slot that holds the window's end.
-        end = start // 1000 + WINDOW_SECONDS * 1000 + 1
-        self._handle.registerTimer(end + SLOT_SECONDS * 1000)
+    def _parts(self) -> tuple[dict[int, int], int | None]:
+        """Number of parts by slot that waits, and the timer that is set."""
+        found = self._slots.get()
+        return (dict(np.frombuffer(found[0], "<i8").reshape(-1, 2).tolist()), found[1]) if found else ({}, None)
+
+    def _sleep(self, parts: dict[int, int], timer: int | None, windows: pa.Table = ()) -> None:
+        wake = timer
+        if parts:
+            wake = (min(parts) + 1) * _SLOT_MILLIS
+        elif len(windows):
+            # Behind the slot that holds the end of the newest window.
+            wake = pc.max(windows["start"]).as_py() // 1000 + WINDOW_SECONDS * 1000 + 1 + _SLOT_MILLIS
+        if wake is None:
+            self._slots.clear()
+            return
+        if timer is None or wake < timer:
+            if timer is not None:
+                self._handle.deleteTimer(timer)
+            self._handle.registerTimer(wake)
+            timer = wake
+        self._slots.update((np.array(list(parts.items()), "<i8").tobytes(), timer))
 
     def close(self) -> None:
         pass
 
 
-_ROW = np.dtype([("at", "<i8"), ("event_id", "<i8"), ("success", "?")])
+_ROWS = pa.schema([("key", pa.string()), ("at", pa.int64()), ("event_id", pa.int64()), ("success", pa.bool_())])
+_WINDOWS = pa.schema([("key", pa.string()), ("start", pa.int64()), ("failures", pa.int32())])
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    return batch.serialize().to_pybytes()
+
 
+def _unpacked(packed: bytes, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.ipc.read_record_batch(pa.py_buffer(packed), schema)
 
-def _states(rows: list[tuple]) -> pd.DataFrame:
-    found = pd.DataFrame(rows, columns=["key", "at", "event_id", "window_start", "failures", "limited"])
-    for c in ("at", "window_start"):
-        found[c] = pd.to_datetime(found[c].astype("int64"), unit="us")
-    return found.astype({"key": "str", "event_id": "int64", "failures": "int32", "limited": "bool"})
+
+def _still_open(windows: pa.Table, slot: int) -> pa.Table:
+    """Those that a row of the slot or of a later one may fall into."""
+    ends = pc.add(windows["start"], WINDOW_SECONDS * _MICROS)
+    return windows.filter(pc.greater(ends, slot * SLOT_SECONDS * _MICROS))
+
+
+def _count_stretch(rows: pa.Table, windows: pa.Table) -> tuple[pd.DataFrame, pa.Table]:
+    """The state after each failure of a stretch, and the windows open behind it; ``windows`` are those open before.
+
+    A stretch is no longer than a window, so a window that opens in it ends in it only by a success.
+    """
+    length = WINDOW_SECONDS * _MICROS
+    keys = pa.chunked_array([*windows["key"].chunks, *rows["key"].chunks]).combine_chunks().dictionary_encode("encode")
+    codes = keys.indices.to_numpy()
+    here, codes = codes[: len(windows)], codes[len(windows) :]
+    n = len(keys.dictionary)
+    is_open, start, failures = np.zeros(n, "bool"), np.zeros(n, "int64"), np.zeros(n, "int64")
+    is_open[here], start[here], failures[here] = True, windows["start"].to_numpy(), windows["failures"].to_numpy()
+
+    at, event_id, success = (rows[c].to_numpy() for c in ("at", "event_id", "success"))
+    order = np.lexsort((event_id, at, codes))
+    code, at, event_id, success = codes[order], at[order], event_id[order], success[order]
+    index = np.arange(len(code))
+    first = np.ones(len(code), "bool")
+    first[1:] = code[1:] != code[:-1]
+    # The window from before lasts up to a success, or to the first row a window's length behind its start.
+    cleared = np.cumsum(success) - success
+    cleared -= cleared[np.maximum.accumulate(np.where(first, index, 0))]
+    carried = is_open[code] & (at < start[code] + length) & (cleared == 0)
+    opens = first.copy()
+    opens[1:] |= success[:-1] | (carried[:-1] & ~carried[1:])
+    head = np.flatnonzero(opens)
+    run = np.cumsum(opens) - 1
+    window_start = np.where(carried[head], start[code[head]], at[head])[run]
+    counts = np.where(carried[head], failures[code[head]], 0)[run] + index - head[run] + 1
+
+    last = np.append(first[1:], True)
+    is_open[code[last]], start[code[last]], failures[code[last]] = ~success[last], window_start[last], counts[last]
+    left = np.flatnonzero(is_open)
+    behind = pa.table([keys.dictionary.take(left), start[left], failures[left].astype("int32")], schema=_WINDOWS)
+
+    failed = np.flatnonzero(~success)
+    out = pd.DataFrame({
+        "key": keys.dictionary.take(code[failed]).to_pandas(), "at": at[failed].astype("datetime64[us]"), "event_id": event_id[failed],
+        "window_start": window_start[failed].astype("datetime64[us]"), "failures": counts[failed].astype("int32"),
+        "limited": counts[failed] >= LIMIT,
+    })
+    return out, behind
 
 
 def live_limiter(stream: DataFrame, opened: DataFrame | None = None, late: str = "1 minute") -> DataFrame:
@@ -184,11 +271,13 @@ def live_limiter(stream: DataFrame, opened: DataFrame | None = None, late: str =
 
     A failure comes out once the watermark, ``late`` behind the newest event, has passed its slot of a
     minute; rows later than that are dropped. ``opened``, as ``open_windows`` gives it, is where earlier
-    events left the keys. State and waiting rows are in the state store; a task holds the rows of one key
-    and minute at most. The query needs the RocksDB store: start it inside ``session.state_in_rocksdb``.
+    events left the keys. State and waiting rows are in the state store; a task holds the rows of one bucket
+    of keys and minute at most, and the windows open in it. The query needs the RocksDB store: start it
+    inside ``session.state_in_rocksdb``. A checkpoint is bound to ``BUCKETS``.
     """
-    rows = stream.select("key", "at", "event_id", "success").withWatermark("at", late)
-    first = None if opened is None else opened.select("key", "start", "failures").groupBy("key")
-    return rows.groupBy("key").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket")
+    rows = stream.select(bucket, "key", "at", "event_id", "success").withWatermark("at", late)
+    first = None if opened is None else opened.select(bucket, "key", "start", "failures").groupBy("bucket")
+    return rows.groupBy("bucket").transformWithStateInPandas(
         _Limiter(), OUTPUT, "Append", "EventTime", first
     )
