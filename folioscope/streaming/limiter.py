@@ -100,9 +100,10 @@ def open_windows(events: DataFrame) -> DataFrame:
     )
 
 
-#: Rows wait in slots of this length until the watermark has passed them; a window is a whole number of them.
+#: Rows wait for the watermark by slots of this length; a window is a whole number of them.
 SLOT_SECONDS = 60
-#: Slots are counted together until they hold so many rows, or are as long as a window.
+#: Slots are kept together while they have fewer rows than this, and counted together while fewer than that.
+PART_ROWS = 1_000
 STRETCH_ROWS = 10_000
 #: Keys are dealt to so many buckets, whose rows and windows share their entries in the state store.
 BUCKETS = 128
@@ -112,7 +113,7 @@ _WINDOW_SLOTS = WINDOW_SECONDS // SLOT_SECONDS
 
 
 class _Limiter(StatefulProcessor):
-    """Rows of a bucket wait in the state store, packed by slot; a timer has the slots counted in order that are over.
+    """Rows of a bucket wait in the state store, packed by slots; a timer has the slots counted in order that are over.
 
     A call of the store or of a timer costs about a millisecond, whatever it carries, so each serves all keys of
     a bucket. A bucket has one timer: its first slot's end, or at rest the time when no window is open any more.
@@ -121,49 +122,52 @@ class _Limiter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._open = handle.getValueState("open", "windows binary")
-        self._slots = handle.getValueState("slots", "parts binary, timer bigint")
-        self._waiting = handle.getMapState("waiting", "slot bigint, part bigint", "rows binary")
+        self._parts = handle.getValueState("parts", "listed binary, timer bigint")
+        self._waiting = handle.getMapState("waiting", "part bigint", "rows binary")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
         handed = pa.RecordBatch.from_pandas(initialState[_WINDOWS.names], _WINDOWS, preserve_index=False)
         windows = pa.Table.from_batches([*self._windows().to_batches(), handed])
         self._remember(windows)
-        self._sleep(*self._parts(), windows)
+        self._sleep(*self._listed(), windows)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        parts, timer = self._parts()
+        parts, timer = self._listed()
         for batch in rows:
-            micros = batch["at"].astype("datetime64[us]").astype("int64").to_numpy()
-            slots = micros // (SLOT_SECONDS * _MICROS)
-            order = np.argsort(slots, kind="stable")
-            columns = (batch["key"], micros, batch["event_id"].to_numpy("int64"), batch["success"].to_numpy("bool"))
-            packed = pa.record_batch([pa.array(c, t) for c, t in zip(columns, _ROWS.types)], schema=_ROWS).take(order)
-            found, begins = np.unique(slots[order], return_index=True)
-            for slot, begin, end in zip(found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(batch)]):
-                # A slot's rows are written once, as a part of their own, however many batches come.
-                part = parts.get(slot, 0)
-                self._waiting.updateValue((slot, part), (_packed(packed.slice(begin, end - begin)),))
-                parts[slot] = part + 1
+            micros = batch["at"].astype("datetime64[us]").astype("int64")
+            columns = (batch["key"], micros, batch["event_id"], batch["success"].to_numpy("bool"))
+            self._wait(pa.table([pa.array(c, t) for c, t in zip(columns, _ROWS.types)], schema=_ROWS), parts)
         self._sleep(parts, timer)
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = expiredTimerInfo.getExpiryTimeInMs()
         over = max(now, timerValues.getCurrentWatermarkInMs()) // _SLOT_MILLIS
-        parts, timer = self._parts()
-        windows = self._windows()
-        due = sorted(s for s in parts if s < over)
-        while due:
-            begin, names, rows = due[0], [], []
-            while due and due[0] - begin < _WINDOW_SLOTS and sum(map(len, rows)) < STRETCH_ROWS:
-                slot = due.pop(0)
-                found = [(slot, part) for part in range(parts.pop(slot))]
-                rows += [_unpacked(self._waiting.getValue(n)[0], _ROWS) for n in found]
-                names += found
-            out, windows = _count_stretch(pa.Table.from_batches(rows), _still_open(windows, begin))
-            yield out
-            for name in names:
-                self._waiting.removeKey(name)
+        parts, timer = self._listed()
+        parts.sort(reverse=True)
+        windows, held, states = self._windows(), _ROWS.empty_table(), []
+        while parts or len(held):
+            begin = int(_slots(held).min(initial=parts[-1][0] if parts else np.iinfo("int64").max))
+            if begin >= over:
+                break
+            until = min(begin + _WINDOW_SLOTS, over)
+            while parts and parts[-1][0] < until:
+                if len(held) >= STRETCH_ROWS and parts[-1][0] > begin:
+                    until = parts[-1][0]
+                    break
+                part = (parts.pop()[1],)
+                held = pa.Table.from_batches([*held.to_batches(), _unpacked(self._waiting.getValue(part)[0], _ROWS)])
+                self._waiting.removeKey(part)
+            due = _slots(held) < until
+            out, windows = _count_stretch(held.filter(pa.array(due)), windows)
+            windows, held = _still_open(windows, until), held.filter(pa.array(~due))
+            states.append(out)
+            if sum(map(len, states)) >= STRETCH_ROWS:
+                yield pd.concat(states)
+                states.clear()
+        if states:
+            yield pd.concat(states)
+        self._wait(held, parts)
         windows = _still_open(windows, over)
         self._remember(windows)
         self._sleep(parts, None if timer == now else timer, windows)
@@ -174,31 +178,46 @@ class _Limiter(StatefulProcessor):
 
     def _remember(self, windows: pa.Table) -> None:
         if len(windows):
-            self._open.update((_packed(windows.combine_chunks().to_batches()[0]),))
+            self._open.update((_packed(windows),))
         else:
             self._open.clear()
 
-    def _parts(self) -> tuple[dict[int, int], int | None]:
-        """Number of parts by slot that waits, and the timer that is set."""
-        found = self._slots.get()
-        return (dict(np.frombuffer(found[0], "<i8").reshape(-1, 2).tolist()), found[1]) if found else ({}, None)
-
-    def _sleep(self, parts: dict[int, int], timer: int | None, windows: pa.Table = ()) -> None:
+    def _listed(self) -> tuple[list[list[int]], int | None]:
+        """First slot and number of every part that waits, and the timer that is set."""
+        found = self._parts.get()
+        return (np.frombuffer(found[0], "<i8").reshape(-1, 2).tolist(), found[1]) if found else ([], None)
+
+    def _wait(self, rows: pa.Table, parts: list[list[int]]) -> None:
+        """Puts rows away once, however many come later: a part is a slot, or several with few rows."""
+        slots = _slots(rows)
+        order = np.argsort(slots, kind="stable")
+        rows = rows.take(pa.array(order))
+        cuts = []
+        for slot, begin in zip(*(a.tolist() for a in np.unique(slots[order], return_index=True))):
+            if not cuts or begin - cuts[-1][1] >= PART_ROWS or slot - cuts[-1][0] >= _WINDOW_SLOTS:
+                cuts.append((slot, begin))
+        number = max((part for _, part in parts), default=-1)
+        for (slot, begin), end in zip(cuts, [*(begin for _, begin in cuts[1:]), len(rows)]):
+            number += 1
+            self._waiting.updateValue((number,), (_packed(rows.slice(begin, end - begin)),))
+            parts.append([slot, number])
+
+    def _sleep(self, parts: list[list[int]], timer: int | None, windows: pa.Table | None = None) -> None:
         wake = timer
         if parts:
-            wake = (min(parts) + 1) * _SLOT_MILLIS
-        elif len(windows):
+            wake = (min(parts)[0] + 1) * _SLOT_MILLIS
+        elif windows:
             # Behind the slot that holds the end of the newest window.
             wake = pc.max(windows["start"]).as_py() // 1000 + WINDOW_SECONDS * 1000 + 1 + _SLOT_MILLIS
         if wake is None:
-            self._slots.clear()
+            self._parts.clear()
             return
         if timer is None or wake < timer:
             if timer is not None:
                 self._handle.deleteTimer(timer)
             self._handle.registerTimer(wake)
             timer = wake
-        self._slots.update((np.array(list(parts.items()), "<i8").tobytes(), timer))
+        self._parts.update((np.array(parts, "<i8").tobytes(), timer))
 
     def close(self) -> None:
         pass
@@ -208,8 +227,12 @@ _ROWS = pa.schema([("key", pa.string()), ("at", pa.int64()), ("event_id", pa.int
 _WINDOWS = pa.schema([("key", pa.string()), ("start", pa.int64()), ("failures", pa.int32())])
 
 
-def _packed(batch: pa.RecordBatch) -> bytes:
-    return batch.serialize().to_pybytes()
+def _slots(rows: pa.Table) -> np.ndarray:
+    return rows["at"].to_numpy() // (SLOT_SECONDS * _MICROS)
+
+
+def _packed(rows: pa.Table) -> bytes:
+    return rows.combine_chunks().to_batches()[0].serialize().to_pybytes()
 
 
 def _unpacked(packed: bytes, schema: pa.Schema) -> pa.RecordBatch:
@@ -235,9 +258,9 @@ def _count_stretch(rows: pa.Table, windows: pa.Table) -> tuple[pd.DataFrame, pa.
     is_open, start, failures = np.zeros(n, "bool"), np.zeros(n, "int64"), np.zeros(n, "int64")
     is_open[here], start[here], failures[here] = True, windows["start"].to_numpy(), windows["failures"].to_numpy()
 
-    at, event_id, success = (rows[c].to_numpy() for c in ("at", "event_id", "success"))
-    order = np.lexsort((event_id, at, codes))
-    code, at, event_id, success = codes[order], at[order], event_id[order], success[order]
+    at, success, known = rows["at"].to_numpy(), rows["success"].to_numpy(), rows["event_id"].fill_null(-(2**63)).to_numpy()
+    order = np.lexsort((known, at, codes))
+    code, at, success, event_id = codes[order], at[order], success[order], rows["event_id"].take(pa.array(order))
     index = np.arange(len(code))
     first = np.ones(len(code), "bool")
     first[1:] = code[1:] != code[:-1]
@@ -259,7 +282,8 @@ def _count_stretch(rows: pa.Table, windows: pa.Table) -> tuple[pd.DataFrame, pa.
 
     failed = np.flatnonzero(~success)
     out = pd.DataFrame({
-        "key": keys.dictionary.take(code[failed]).to_pandas(), "at": at[failed].astype("datetime64[us]"), "event_id": event_id[failed],
+        "key": keys.dictionary.take(pa.array(code[failed])).to_pandas(), "at": at[failed].astype("datetime64[us]"),
+        "event_id": event_id.take(pa.array(failed)).to_pandas(),
         "window_start": window_start[failed].astype("datetime64[us]"), "failures": counts[failed].astype("int32"),
         "limited": counts[failed] >= LIMIT,
     })
@@ -272,7 +296,7 @@ def live_limiter(stream: DataFrame, opened: DataFrame | None = None, late: str =
     A failure comes out once the watermark, ``late`` behind the newest event, has passed its slot of a
     minute; rows later than that are dropped. ``opened``, as ``open_windows`` gives it, is where earlier
     events left the keys. State and waiting rows are in the state store; a task holds the rows of one bucket
-    of keys and minute at most, and the windows open in it. The query needs the RocksDB store: start it
+    of keys and minute, those of its quarter of an hour where they are few, and the windows open in it. The query needs the RocksDB store: start it
     inside ``session.state_in_rocksdb``. A checkpoint is bound to ``BUCKETS``.
     """
     bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket")
